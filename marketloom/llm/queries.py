@@ -2,18 +2,63 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketloom.llm.common import table
+from marketloom.llm.jaccard import near_duplicates
+from marketloom.llm.mixing import mix_sources
+from marketloom.llm.pieces import encode_decode
 from marketloom.llm.quality import score_quality
+from marketloom.llm.secrets import joined_spans, scan_secrets
+
+#: Parts of the mix; sources not named have one part.
+PARTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("bytes_covered"),
+        F.xxhash64("starts", "ends").alias("spans_hash"),
+    )
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda x: x["kind"] != "entropy")
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in ("assign", "access", "hex", "entropy")),
+        F.sha2(joined_spans(base).cast("binary"), 256).alias("base_sha256"),
+        joined_spans(F.col("found")).alias("spans"),
+    )
+
+
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), PARTS)
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op4_secret_scans": op4_secret_scans,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
+    "op7_source_mixing": op7_source_mixing,
 }
 
 SQL: dict[str, str] = {}
