@@ -94,7 +94,7 @@ class Normaliser:
             if piece:
                 shown = piece.replace(b" ", space) if self.escape else piece
                 out += shown
-                source += [at] * len(shown)
+                source += range(at, at + n) if shown == data[at : at + n] else [at] * len(shown)
                 spaced = self.squeeze and piece.endswith(b" ")
             at += n
         source.append(at)
