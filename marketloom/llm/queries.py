@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm import chats
 from marketloom.llm.common import table
 from marketloom.llm.jaccard import near_duplicates
 from marketloom.llm.mixing import mix_sources
+from marketloom.llm.neighbours import nearest
 from marketloom.llm.pieces import encode_decode
 from marketloom.llm.quality import score_quality
 from marketloom.llm.secrets import joined_spans, scan_secrets
+from marketloom.llm.substrings import remove_repeats
 
 #: Parts of the mix; sources not named have one part.
 PARTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
@@ -29,6 +32,21 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+        F.size("starts").cast("long").alias("n_intervals"),
+    )
+
+
+def op3_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -53,12 +71,19 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), PARTS)
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_vantage_point_trees": op3_vantage_point_trees,
     "op4_secret_scans": op4_secret_scans,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mixing": op7_source_mixing,
+    "op8_chat_formatting": op8_chat_formatting,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_chat_formatting": chats.SQL}
