@@ -7,14 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import chats
-from marketloom.llm.common import table
+from marketloom.llm.common import shared_dir, table
 from marketloom.llm.jaccard import near_duplicates
+from marketloom.llm.licenses import scan_licenses
 from marketloom.llm.mixing import mix_sources
 from marketloom.llm.neighbours import nearest
 from marketloom.llm.pieces import encode_decode
 from marketloom.llm.quality import score_quality
 from marketloom.llm.secrets import joined_spans, scan_secrets
 from marketloom.llm.substrings import remove_repeats
+from marketloom.llm.tokens import Ledger, count_tokens
 
 #: Parts of the mix; sources not named have one part.
 PARTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
@@ -75,6 +77,48 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents come in; those labelled toxic go; those labelled bad are counted
+    again with each line once. The second batch is sent twice."""
+    tokenizers = {
+        "words-1": None,
+        "byte_bpe_50k-1": (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    }
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ledger = Ledger(spark, shared_dir(spark, "token-ledger"))
+    event = lambda df, op: df.select("doc_id", F.lit(op).alias("op"), "source", "lang", "tokenizer", "n_tokens")
+    ledger.commit("load", event(count_tokens(docs, tokenizers), "insert"))
+    toxic = labels.filter("toxic = 1").select("doc_id")
+    for _ in range(2):
+        ledger.commit("takedown", event(ledger.state().join(toxic, "doc_id", "left_semi"), "delete"))
+    bad = labels.filter("quality = 0").select("doc_id").join(ledger.state().select("doc_id").distinct(), "doc_id", "left_semi")
+    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    recounted = docs.join(bad, "doc_id", "left_semi").withColumn("text", once)
+    ledger.commit("lines-once", event(count_tokens(recounted, tokenizers), "revise"))
+    return ledger.totals()
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["notice"].isNull())
+    labels = lambda ms: F.array_join(F.array_sort(F.array_distinct(F.transform(ms, lambda m: m["label"]))), ",")
+    starts = F.transform(base, lambda m: m["first_word"])
+    scores = F.transform(
+        "matches", lambda m: F.when(m["notice"].isNull(), F.lit(1.0)).otherwise(1 - m["edits"] / F.length(m["notice"]))
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(scores), F.lit(0.0)).alias("score"),
+        F.size("matches").cast("long").alias("n_matches"),
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -84,6 +128,8 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mixing": op7_source_mixing,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_token_counts": op9_token_counts,
+    "op10_license_scans": op10_license_scans,
 }
 
 SQL: dict[str, str] = {"op8_chat_formatting": chats.SQL}
