@@ -41,7 +41,7 @@ def whole_word(alias: Column) -> Column:
 def match_exact(titles: DataFrame, dim: DataFrame) -> DataFrame:
     """M1. Titles (``title``) that equal an alias; the first in the taxonomy's order."""
     best = F.min_by(F.struct("id", "name"), F.struct("entity_ord", "alias_ord")).alias("m")
-    return titles.join(F.broadcast(dim), titles.title == dim.alias).groupBy("title").agg(best).select("title", "m.id", "m.name", F.lit(1.0).alias("score"))
+    return titles.join(F.broadcast(dim), F.col("title") == F.col("alias")).groupBy("title").agg(best).select("title", "m.id", "m.name", F.lit(1.0).alias("score"))
 
 
 def match_contained(titles: DataFrame, dim: DataFrame, least_chars: int = 8) -> DataFrame:

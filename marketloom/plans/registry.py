@@ -5,6 +5,983 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketloom.functions import normalize as N
+from marketloom.functions import text as T
+from marketloom.operators import aggregate as A
+from marketloom.operators import checks as V
+from marketloom.operators import dedup as D
+from marketloom.operators import learner as E
+from marketloom.operators import lifecycle as L
+from marketloom.operators import lookups as Q
+from marketloom.operators import matching as M
+from marketloom.operators import pages as P
+from marketloom.operators import postings as J
+from marketloom.operators import profiles as C
+from marketloom.plans.demo import Roles, role_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+JOBS, SKILLS, EVIDENCE, STUDENTS, RESULTS, POSTS = (role_sql(r) for r in ("jobs", "skills", "evidence", "students", "results", "posts"))
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of ``Roles`` and its SQL."""
+
+    def add(f: Callable[[Roles], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Roles(spark, sf_dir))
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    """Doubles rounded, as sums in another order differ in their last bits."""
+    return df.withColumns({c: F.round(c, places) for c, kind in df.dtypes if kind == "double"})
+
+
+# aggregates ---------------------------------------------------------------------------------------------------------
+
+LATEST = f"select * from ({JOBS}) j where is_active qualify row_number() over (partition by source_id, source_job_id order by collected_at desc, seq desc) = 1"
+DEMAND = f"""
+select career_id, career_name, province, work_mode, snapshot_version, count(job_id) as posting_count, count(distinct company_name) as unique_company_count,
+       median(case when salary_disclosed then salary_mid_vnd end) as salary_median_vnd, count(case when salary_disclosed then salary_mid_vnd end) as salary_sample_size,
+       avg(overall_confidence) as average_confidence, min(posted_at) as data_from, max(posted_at) as data_to
+from ({LATEST}) t where career_id is not null group by 1, 2, 3, 4, 5
+"""
+MATRIX = f"""
+select career_id, province, work_mode, skill_id, skill_name, count(*) as skill_posting_count from (
+  select skill_id, min(struct_pack(career_id := career_id, province := coalesce(province, ''), work_mode := work_mode, skill_name := skill_name)) as v
+  from ({SKILLS}) s where requirement_level in ('required', 'preferred', 'mentioned') group by dedup_group_id, skill_id
+) g, lateral (select v.career_id, nullif(v.province, '') as province, v.work_mode, v.skill_name) x group by all
+"""
+
+
+@query("A1_demand_summary", f"select * replace (round(average_confidence, 4) as average_confidence, round(salary_median_vnd, 4) as salary_median_vnd) from ({DEMAND}) d")
+def _(r):
+    return rounded(A.demand_summary(r["jobs"], "seq"))
+
+
+@query("A2_skill_matrix", MATRIX)
+def _(r):
+    return A.skill_matrix(r["skills"])
+
+
+@query("A3_skill_share", f"select m.*, d.posting_count, round(skill_posting_count / d.posting_count, 4) as share_of_career_jobs from ({MATRIX}) m left join ({DEMAND}) d on m.career_id is not distinct from d.career_id and m.province is not distinct from d.province and m.work_mode is not distinct from d.work_mode")
+def _(r):
+    return rounded(A.skill_share(A.skill_matrix(r["skills"]), A.demand_summary(r["jobs"], "seq")))
+
+
+@query("A4_quality_report", f"""
+select count(*) as row_count, count(distinct content_hash) as distinct_hashes, count(*) - count(distinct (source_id, source_job_id)) as duplicate_identities, count(career_id) as mapped_careers,
+       count(province) as mapped_locations, count(*) filter (work_mode = 'REMOTE') as remote_jobs, count(*) filter (salary_disclosed) as salary_disclosed, round(avg(overall_confidence), 3) as mean_confidence,
+       string_agg(distinct source_id, ',' order by source_id) as sources from ({JOBS}) j""")
+def _(r):
+    return A.quality_report(r["jobs"])
+
+
+COVERAGE = """count(*) as job_count, count(*) filter (work_mode = 'REMOTE') as remote_count, round(count(career_id) / count(*), 4) as career_rate,
+       round(count(*) filter (work_mode <> 'REMOTE' and province is not null) / nullif(count(*) filter (work_mode <> 'REMOTE'), 0), 4) as location_rate,
+       round(count(*) filter (s.job_id is not null) / count(*), 4) as skill_rate, round(count(*) filter (salary_disclosed) / count(*), 4) as salary_rate, round(avg(overall_confidence), 4) as mean_confidence"""
+WITH_SKILL = f"({JOBS}) j left join (select distinct job_id from ({SKILLS}) x where requirement_level = 'preferred') s on j.job_id = s.job_id"
+
+
+@query("A5_coverage", f"select {COVERAGE} from {WITH_SKILL}")
+def _(r):
+    return A.coverage(r["jobs"], r["skills"].filter("requirement_level = 'preferred'"))
+
+
+@query("A6_coverage_by_source", f"select source_id, {COVERAGE} from {WITH_SKILL} group by source_id")
+def _(r):
+    return A.coverage(r["jobs"], r["skills"].filter("requirement_level = 'preferred'"), ["source_id"])
+
+
+@query("A7_tag_frequency", """
+with t as (select p_name as tag from part), s as (select distinct p_name as tag, p_brand as skill_id, 'Skill ' || p_brand as skill_name from part where p_size > 25 and p_partkey % 7 = 0)
+select tag, n, skill_ids, skill_names, skill_ids is not null as is_mapped from (select tag, count(*) as n from t group by tag) c
+left join (select tag, string_agg(distinct skill_id, ',' order by skill_id) as skill_ids, string_agg(distinct skill_name, ',' order by skill_name) as skill_names from s group by tag) k using (tag)""")
+def _(r):
+    skills = r.sql("select distinct p_name as tag, p_brand as skill_id, 'Skill ' || p_brand as skill_name from part where p_size > 25 and p_partkey % 7 = 0")
+    return A.tag_frequency(r.sql("select p_name as tag from part"), skills)
+
+
+GAP_JOBS = "select j.*, case when overall_confidence > 0.9 then null else overall_confidence end as career_confidence from ({}) j"
+
+
+@query("A8_taxonomy_gaps", f"""
+with j as ({GAP_JOBS.format(JOBS)}), m as (select job_id, skill_name as tag, requirement_level <> 'not_required' as is_mapped from ({SKILLS}) s)
+select job_id, 'career' as gap from j where career_id is null or coalesce(career_confidence, 0) < 0.9
+union all select job_id, 'location' from j where province is null and work_mode not in ('REMOTE', 'UNSPECIFIED')
+union all select distinct job_id, 'skill' from m where not is_mapped""")
+def _(r):
+    tags = r["skills"].select("job_id", F.col("skill_name").alias("tag"), (F.col("requirement_level") != "not_required").alias("is_mapped"))
+    return A.taxonomy_gaps(r.sql(GAP_JOBS.format(JOBS)), tags)
+
+
+@query("A9_simple_matrix", f"""
+with s as (select distinct career_id, skill_id, job_id from ({SKILLS}) x)
+select career_id, skill_id, count(*) as skill_jobs, career_jobs, round(count(*) / career_jobs, 4) as share from s join (select career_id, count(distinct job_id) as career_jobs from s group by 1) c using (career_id) group by career_id, skill_id, career_jobs""")
+def _(r):
+    return rounded(A.simple_matrix(r["skills"]))
+
+
+MAPPING = "select distinct c_mktsegment as career_id, case when c_mktsegment < 'F' then 'G1' else 'G2' end as career_group_id from customer"
+
+
+@query("A10_market_groups", f"""
+with m as ({MAPPING})
+select career_group_id, sample_size, snapshot_version, foundation_skill_ids, case when sample_size >= 5 then 'observed' else 'limited' end as market_signal from
+(select career_group_id, cast(sum(posting_count) as bigint) as sample_size, max(snapshot_version) as snapshot_version from ({DEMAND}) d join m using (career_id) group by 1) a
+left join (select career_group_id, string_agg(distinct skill_id, ',' order by skill_id) as foundation_skill_ids from ({MATRIX}) x join m using (career_id) where skill_id in ('Brand#1', 'Brand#12', 'Brand#7') group by 1) b using (career_group_id)""")
+def _(r):
+    return A.market_groups(A.demand_summary(r["jobs"], "seq"), A.skill_matrix(r["skills"]), r.sql(MAPPING), ["Brand#1", "Brand#12", "Brand#7"])
+
+
+ANSWERS = "select user_id, event_id % 20 as question_id, event_type || case when event_id % 2 = 0 then ' ' else '' end as answer from events"
+QUESTIONS = "select distinct event_id % 20 as question_id, case event_id % 20 when 3 then null when 4 then 'VIEW' else 'click' end as expected from events"
+
+
+@query("A11_grade_tests", f"""
+select user_id, round(100 * avg(case when lower(trim(answer)) = lower(trim(expected)) then 1 else 0 end), 2) as score, count(*) filter (lower(trim(answer)) <> lower(trim(expected))) as wrong
+from ({ANSWERS}) a join ({QUESTIONS}) q using (question_id) where expected is not null group by user_id""")
+def _(r):
+    return A.grade_tests(r.sql(ANSWERS), r.sql(QUESTIONS), ["user_id"])
+
+
+@query("A12_evidence_summary", f"select source_type, count(*) as n from ({EVIDENCE}) e group by 1")
+def _(r):
+    return A.evidence_summary(r["evidence"])
+
+
+@query("A13_salary_stats", f"select career_id, median(case when salary_disclosed then salary_mid_vnd end) as salary_median_vnd, count(*) filter (salary_disclosed) as salary_sample_size from ({JOBS}) j group by 1")
+def _(r):
+    return A.salary_stats(r["jobs"])
+
+
+# text, hashes, addresses ----------------------------------------------------------------------------------------------
+
+PLAIN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query("T3_normalize_company", r"select s_suppkey, trim(regexp_replace(regexp_replace(lower(s_name) || ' jsc ltd', '\b(jsc|ltd|limited|cp|cty|tnhh)\b', ' ', 'g'), '\s+', ' ', 'g')) as company from supplier")
+def _(r):
+    return r.table("supplier").select("s_suppkey", T.normalize_company(F.concat("s_name", F.lit(" JSC  Ltd")), markup=False).alias("company"))
+
+
+@query("T4_fold_accents", "select doc_id, sha256(strip_accents(lower(text))) as folded from documents")
+def _(r):
+    return r.table("documents").select("doc_id", F.sha2(T.fold_accents("text").cast("binary"), 256).alias("folded"))
+
+
+@query("T5_slug", "select doc_id, md5(trim(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '[^a-z0-9]+', '_', 'g'), '_')) as slug from documents")
+def _(r):
+    return r.table("documents").select("doc_id", F.md5(T.slug("text").cast("binary")).alias("slug"))
+
+
+@query("T6_block_key", r"""select doc_id, md5(trim(regexp_replace(translate(lower(text), '“”‘’–—', '""''''--'), '\s+', ' ', 'g'))) as block_key from documents""")
+def _(r):
+    return r.table("documents").select("doc_id", F.md5(T.block_key("text").cast("binary")).alias("block_key"))
+
+
+@query("T7_squeeze", f"select doc_id, md5(nullif({PLAIN}, '')) as squeezed from documents")
+def _(r):
+    return r.table("documents").select("doc_id", F.md5(T.squeezed_or_null("text").cast("binary")).alias("squeezed"))
+
+
+@query("T1_clean_text")
+def _(r):
+    return r.table("pages").select("page_id", T.clean_text("html").alias("text"))
+
+
+@query("T2_match_text")
+def _(r):
+    return r.table("pages").select("page_id", T.match_text("html").alias("text"))
+
+
+@query("T8_extraction_text")
+def _(r):
+    return r.table("pages").select("page_id", T.extraction_text("html").alias("text"))
+
+
+@query("T9_clean_title", "select p_partkey, p_name as title from part")
+def _(r):
+    raw = F.concat(F.lit("[HN] Gấp tuyển 12 bạn "), "p_name", F.lit(" (Lương 10 triệu) - 10 - "), F.col("p_size").cast("string"), F.lit(" triệu gross"))
+    return r.table("part").select("p_partkey", T.clean_title(F.replace(raw, F.lit("tuyển 12"), F.lit("tuyển  12")), markup=False).alias("title"))
+
+
+@query("T10_distinct_lines", r"""
+with l as (select doc_id, trim(unnest(string_split(text, chr(10))), ' ') as x, unnest(range(len(string_split(text, chr(10))))) as i from documents),
+f as (select doc_id, min_by(x, i) as x, min(i) as i from l where x <> '' group by doc_id, lower(x))
+select doc_id, md5(coalesce(string_agg(x, chr(10) order by i), '')) as lines from documents left join f using (doc_id) group by doc_id""")
+def _(r):
+    return r.table("documents").select("doc_id", F.md5(T.distinct_lines("text").cast("binary")).alias("lines"))
+
+
+@query("T11_document_metadata", rf"""
+with d as (select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as lines from documents)
+select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{T.EMAIL}'))), ',') as emails, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{T.PHONE}'))), ',') as phones,
+       len(lines) as line_count, length(text) as character_count, md5(array_to_string(lines[1:20], chr(10))) as preview from d""")
+def _(r):
+    meta = T.document_metadata("text")
+    return r.table("documents").select("doc_id", *(c.alias(k) if k != "preview" else F.md5(c.cast("binary")).alias(k) for k, c in meta.items()))
+
+
+U1_HOSTS = ["viec.example"]
+
+
+@query("U1_canonical_url", "select page_id, case when page_id % 3 = 0 then null else 'https://viec.example/viec-lam/job-' || page_id || '.html' end as url from pages")
+def _(r):
+    pid = F.col("page_id").cast("string")
+    raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/danh-muc-x/a-"), pid, F.lit(".html"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/viec-lam/job-"), pid, F.lit(".html?ref=1#x")))
+    raw = raw.otherwise(F.concat(F.lit("http://VIEC.example/viec-lam/job-"), pid, F.lit(".html")))
+    return r.table("pages").select("page_id", T.canonical_job_url(raw, "https://viec.example", U1_HOSTS).alias("url"))
+
+
+@query("U2_id_from_url", r"select page_id, coalesce(nullif(regexp_extract(url, '/(\d+)\.html$', 1), ''), nullif(regexp_extract(url, '-j(\d+)\.html$', 1), ''), sha256(url)[1:16]) as url_id from pages")
+def _(r):
+    return r.table("pages").select("page_id", T.id_from_url("url").alias("url_id"))
+
+
+HASH_SQL = rf"sha256(lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) || '|' || lower(source) || '|' || lower(lang) || '|' || lower({PLAIN}))"
+
+
+def _hashed(r: Roles) -> DataFrame:
+    return r["posts"].withColumn("content_hash", T.content_hash("title", "source", "lang", "text", markup=False))
+
+
+@query("H1_content_hash", f"select doc_id, {HASH_SQL} as content_hash from ({POSTS}) p")
+def _(r):
+    return _hashed(r).select("doc_id", "content_hash")
+
+
+@query("H2_job_id", f"select doc_id, 'job_' || sha1(source || '|' || case when doc_id % 2 = 0 then cast(doc_id as string) else {HASH_SQL} end)[1:16] as job_id from ({POSTS}) p")
+def _(r):
+    return _hashed(r).select("doc_id", T.job_id("source", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")), F.lit(""), "content_hash").alias("job_id"))
+
+
+@query("H3_dedup_group_id", f"select doc_id, 'dup_' || {HASH_SQL}[1:16] as dedup_group_id from ({POSTS}) p")
+def _(r):
+    return _hashed(r).select("doc_id", T.dedup_group_id("content_hash").alias("dedup_group_id"))
+
+
+@query("H4_cross_source_key", r"select doc_id, case when trim(title) <> '' and doc_id % 5 <> 0 then 'acme|' || lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) || '|' || lower(lang) end as cross_key from (" + POSTS + ") p")
+def _(r):
+    company = F.when(F.col("doc_id") % 5 != 0, F.lit("Acme JSC"))
+    return r["posts"].select("doc_id", T.cross_source_key(company, "title", "lang", markup=False).alias("cross_key"))
+
+
+@query("H5_stable_id", "select event_id, 'EV_' || sha256('event|' || cast(user_id as string) || '|' || event_type)[1:16] as stable_id from events")
+def _(r):
+    return r.table("events").select("event_id", T.stable_id("EV", F.lit("event"), "user_id", "event_type").alias("stable_id"))
+
+
+@query("H6_record_hash", """select n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') as record_hash from nation""")
+def _(r):
+    return r.table("nation").select("n_nationkey", T.record_hash(["n_nationkey", "n_name", "n_regionkey"]).alias("record_hash"))
+
+
+# filters and normalisers ------------------------------------------------------------------------------------------------
+
+
+@query("F2_parse_tags", """select event_id, case when event_id % 3 = 0 then '' else event_type || ',k' end as tags from events""")
+def _(r):
+    raw = F.when(F.col("event_id") % 3 == 0, F.lit("[broken")).otherwise(F.concat(F.lit('[" '), "event_type", F.lit('", "k", "", "k "]')))
+    return r.table("events").select("event_id", F.array_join(J.parse_tags(raw), ",").alias("tags"))
+
+
+@query("F3_category_page", "select page_id, coalesce(url ilike '%/en/%', false) as hit from pages")
+def _(r):
+    swapped = F.replace("url", F.lit("/en/"), F.lit("/Danh-muc-"))
+    return r.table("pages").select("page_id", L.is_category_page(F.lit("ViecOi"), "viecoi", swapped).alias("hit"))
+
+
+@query("F4_active_jobs", f"select job_id, source_id from ({JOBS}) j where coalesce(is_active, false) and coalesce(case when seq % 5 = 0 then 'invalid' when seq % 5 = 1 then 'seen' end <> 'invalid', true)")
+def _(r):
+    jobs = r["jobs"].withColumn("lifecycle_status", F.expr("case when seq % 5 = 0 then 'invalid' when seq % 5 = 1 then 'seen' end"))
+    return A.active_jobs(jobs).select("job_id", "source_id")
+
+
+@query("F5_challenge", "select page_id, regexp_matches(lower(html), 'just a moment|verify you are human|captcha') as challenge from pages")
+def _(r):
+    return r.table("pages").select("page_id", P.is_challenge("html").alias("challenge"))
+
+
+@query("F7_user_segment", """
+select c_custkey, case when c_custkey % 4 = 0 then case when c_custkey % 8 = 0 then 'student_with_goal' else 'student_exploring' end when c_mktsegment <> 'BUILDING' and c_custkey % 4 = 1 then 'career_switcher'
+       when c_custkey % 4 = 2 then 'early_career' else 'advancing' end as segment from customer""")
+def _(r):
+    k = F.col("c_custkey")
+    target = F.when(k % 8 == 0, "x").when(k % 4 == 1, "building")
+    return r.table("customer").select("c_custkey", J.user_segment(F.when(k % 4 == 0, "Student"), F.when(k % 4 == 2, "junior"), "c_mktsegment", target).alias("segment"))
+
+
+@query("N1_province", """
+with d as (select n_name as name, lower(n_name) as alias, n_nationkey as ord from nation), t as (select s_suppkey, 'at ' || n_name || ', floor 2' as loc from supplier join nation on s_nationkey = n_nationkey)
+select s_suppkey, min_by(name, ord) as province from t left join d on contains(lower(loc), alias) group by s_suppkey""")
+def _(r):
+    dim = r.sql("select n_name as name, lower(n_name) as alias, n_nationkey as entity_ord, 0 as alias_ord from nation")
+    rows = r.sql("select s_suppkey, 'at ' || n_name || ', floor 2' as loc from supplier join nation on s_nationkey = n_nationkey")
+    return N.province(rows, "loc", dim, markup=False).select("s_suppkey", "province")
+
+
+@query("N2_work_mode", "select o_orderkey, case when o_orderpriority = '1-URGENT' then 'REMOTE' when o_orderpriority = '2-HIGH' then 'HYBRID' when o_orderpriority = '5-LOW' then 'ONSITE' else 'UNSPECIFIED' end as work_mode from orders")
+def _(r):
+    said = F.when(F.col("o_orderpriority") == "1-URGENT", "Hybrid or Work From Home").when(F.col("o_orderpriority") == "2-HIGH", "on-site, HYBRID").when(F.col("o_orderpriority") == "5-LOW", "Onsite")
+    return r.table("orders").select("o_orderkey", N.work_mode(said, "o_orderstatus", F.lit("any"), markup=False).alias("work_mode"))
+
+
+@query("N3_salary", """
+select p_partkey, case p_partkey % 5 when 0 then p_size * 1000000 when 1 then p_size * 1000000 when 3 then p_size * 1000000 end as min_vnd,
+       case p_partkey % 5 when 0 then (p_size + 5) * 1000000 when 2 then p_size * 1000000 when 3 then p_size * 1000000 end as max_vnd,
+       cast(case p_partkey % 5 when 0 then p_size * 1000000 + 2500000 when 3 then p_size * 1000000 end as double) as mid_vnd, p_partkey % 5 <> 4 as disclosed from part""")
+def _(r):
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    raw = F.when(k == 0, F.concat(n, F.lit(" - "), (F.col("p_size") + 5).cast("string"), F.lit(" triệu"))).when(k == 1, F.concat(F.lit("Từ "), n, F.lit(" tr"))).when(k == 2, F.concat(F.lit("up to "), n, F.lit(" triệu"))).when(k == 3, F.concat(n, F.lit("M"))).otherwise(F.lit("Thỏa thuận"))
+    return r.table("part").select("p_partkey", N.salary(raw, markup=False).alias("s")).select("p_partkey", "s.*")
+
+
+@query("N4_seniority", "select p_partkey, case when p_partkey % 4 = 0 then 'fresher' when p_partkey % 4 = 1 then 'unknown' when p_size <= 2 then 'junior' when p_size <= 5 then 'mid' else 'senior' end as seniority from part")
+def _(r):
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, "Mới tốt nghiệp, 3 năm").when(k == 1, "any").otherwise(F.concat(F.lit("1 - "), F.col("p_size").cast("string"), F.lit(" năm")))
+    return r.table("part").select("p_partkey", N.seniority(raw, markup=False).alias("seniority"))
+
+
+@query("N5_education", "select p_partkey, case p_partkey % 4 when 0 then 'no_formal_requirement' when 1 then 'vocational_or_above' when 2 then 'university_or_above' else 'unknown' end as education from part")
+def _(r):
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, "Đại học hoặc Trung cấp").when(k == 2, "Đại học").otherwise(F.col("p_name"))
+    return r.table("part").select("p_partkey", N.education(raw, markup=False).alias("education"))
+
+
+@query("N6_posted_date", """
+select o_orderkey, case o_orderkey % 5 when 0 then cast(o_orderdate as date) when 1 then cast(o_orderdate as date) - 1 when 2 then cast(o_orderdate as date) - cast(o_orderkey % 30 as int) when 3 then cast(o_orderdate as date) end as posted_at from orders""")
+def _(r):
+    k, day = F.col("o_orderkey") % 5, F.col("o_orderdate").cast("date")
+    raw = F.when(k == 0, "Hôm nay").when(k == 1, "hôm qua").when(k == 2, F.concat((F.col("o_orderkey") % 30).cast("string"), F.lit(" ngày trước"))).when(k == 3, F.concat(F.lit("Đăng "), F.date_format(day, "dd/MM/yyyy")))
+    return r.table("orders").select("o_orderkey", N.posted_date(raw, "o_orderdate", markup=False).alias("posted_at"))
+
+
+@query("N7_experience_years", "select p_partkey, case when p_partkey % 3 < 2 then cast(least(p_size, 7) as double) end as years from part")
+def _(r):
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit("at least "), n, F.lit(" years, or 7+ năm"))).when(k == 1, F.concat(n, F.lit("+ năm and 7 yrs"))).otherwise(F.concat(n, F.lit(" people")))
+    return r.table("part").select("p_partkey", N.experience_years(raw, markup=False).alias("years"))
+
+
+@query("N9_confidence", "select p_partkey, round((p_size / 50.0 + case when p_size > 20 then 1 else 0.4 end + case when p_partkey % 2 = 1 then 1 else 0.3 end + 1) / 4, 3) as confidence from part")
+def _(r):
+    return r.table("part").select("p_partkey", N.overall_confidence(F.col("p_size") / 50, F.when(F.col("p_size") > 20, "x"), F.col("p_partkey") % 2, "p_name").alias("confidence"))
+
+
+# pages ------------------------------------------------------------------------------------------------------------------
+
+
+@query("P1_html_blocks")
+def _(r):
+    return P.html_blocks(r.table("pages"), "page_id", "html").drop("strong")
+
+
+LINK = r"""<a\s[^>]*?href\s*=\s*["'']([^"''#]+)["'']"""
+
+
+@query("P2_extract_links", rf"""
+with l as (select distinct page_id, unnest(regexp_extract_all(html, '{LINK}', 1)) as href from pages)
+select page_id, href, coalesce(nullif(regexp_extract(href, '/(\d+)\.html$', 1), ''), nullif(regexp_extract(href, '-j(\d+)\.html$', 1), ''), sha256(href)[1:16]) as link_id from l""")
+def _(r):
+    return P.extract_links(r.table("pages"), "page_id", "html")
+
+
+@query("P3_parse_listing")
+def _(r):
+    return P.parse_listing(r.table("pages"), "page_id", "html")
+
+
+@query("P4_extract_jsonld", r"""select page_id, cast(null as varchar) as posting, nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1)), '') as title, cast(null as varchar) as description,
+       case when nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1)), '') is not null then 'page_title' else 'none' end as parser_method from pages""")
+def _(r):
+    return P.extract_jsonld(r.table("pages"), "page_id", "html")
+
+
+@query("P5_typical_tasks")
+def _(r):
+    task = F.concat(F.lit("<h2>Responsibilities</h2><ul><li>"), F.replace(F.substring_index("html", "<p>", 3), F.lit("<"), F.lit("&lt;")), F.lit("</li></ul>"), "html")
+    return P.typical_tasks(P.html_blocks(r.table("pages").withColumn("html", task), "page_id", "html"), "page_id")
+
+
+LABELLED = "select d.doc_id, d.lang, l.quality, l.toxic from documents d left join labels l on d.doc_id = l.doc_id"
+
+
+@query("P7_missing_rates", f"select count(*) as row_count, count(doc_id) - count(distinct doc_id) as duplicate_ids, round(avg(case when lang is null then 1 else 0 end), 4) as missing_lang, round(avg(case when quality is null then 1 else 0 end), 4) as missing_quality from ({LABELLED}) x")
+def _(r):
+    return P.missing_rates(r.sql(LABELLED), "doc_id", ["lang", "quality"])
+
+
+# dictionary matching ------------------------------------------------------------------------------------------------------
+
+ALIASES = ["license", "the", "mit license", "apache license", "queque les", "der", "general public license", "version 2"]
+DIM_SQL = "select alias as id, alias as name, alias, entity_ord from (values " + ", ".join(f"('{a}', {k})" for k, a in enumerate(ALIASES)) + ") t(alias, entity_ord)"
+BOUND = r"'(^|[^\p{L}\p{N}_])' || alias || '($|[^\p{L}\p{N}_])'"
+
+
+def _dim(r: Roles) -> DataFrame:
+    rows = [(a, a, [a], k) for k, a in enumerate(ALIASES)]
+    return M.alias_dim(r.spark.createDataFrame(rows, "id string, name string, aliases array<string>, entity_ord int"))
+
+
+def _titles(r: Roles) -> DataFrame:
+    return r["posts"].select(T.match_text("title", markup=False).alias("title")).distinct()
+
+
+TITLES = rf"(select distinct lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) as title from ({POSTS}) p)"
+
+
+@query("M1_match_exact", "with d as (select distinct lower(p_name) as alias, p_name as name from part where p_size < 3) select lower(p_name) as title, min(name) as id, min(name) as name, 1.0 as score from (select distinct p_name from part) t join d on lower(p_name) = alias group by 1")
+def _(r):
+    dim = r.sql("select p_name as id, p_name as name, lower(p_name) as alias, 0 as entity_ord, 0 as alias_ord from (select distinct p_name from part where p_size < 3)")
+    return M.match_exact(r.sql("select distinct lower(p_name) as title from part"), dim)
+
+
+@query("M2_match_contained", f"with d as ({DIM_SQL}) select title, min_by(id, (-length(alias), entity_ord)) as id, min_by(name, (-length(alias), entity_ord)) as name, 0.96 as score from {TITLES} t join d on length(alias) >= 8 and contains(alias, ' ') and contains(title, alias) and regexp_matches(title, {BOUND}) group by title")
+def _(r):
+    return M.match_contained(_titles(r), _dim(r))
+
+
+@query("M3_match_fuzzy")
+def _(r):
+    dim = r.sql("select distinct p_name as id, p_name as name, reverse(p_name) || ' ' || p_name as alias, 0 as entity_ord, 0 as alias_ord from part")
+    return M.match_fuzzy(r.sql("select distinct p_name || 's' as title from part"), dim)
+
+
+@query("M4_match_career")
+def _(r):
+    return M.match_career(r["posts"].select("doc_id", "title"), "title", _dim(r), markup=False)
+
+
+@query("M5_extract_skills", f"with d as ({DIM_SQL}) select doc_id, id as skill_id from documents join d on contains(lower(text), alias) and regexp_matches(lower(text), {BOUND})")
+def _(r):
+    return M.extract_skills(r.table("documents"), "doc_id", "text", _dim(r), markup=False).select("doc_id", "skill_id")
+
+
+@query("M6_sentences", r"select doc_id, count(*) as n, md5(string_agg(trim(x, ' '), '|' order by i)) as joined from (select doc_id, unnest(regexp_split_to_array(text, '[.;\n]')) as x, unnest(range(len(regexp_split_to_array(text, '[.;\n]')))) as i from documents) s where trim(x, ' ') <> '' group by doc_id")
+def _(r):
+    rows = M.sentences(r.table("documents"), "doc_id", "text")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"])
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(ordered, "|").cast("binary")).alias("joined"))
+
+
+@query("M7_requirement_level", "select event_id, case event_type when 'error' then 'not_required' when 'view' then 'preferred' else 'mentioned' end as level, case event_type when 'error' then 0.98 when 'view' then 0.95 else 0.85 end as confidence from events")
+def _(r):
+    said = F.when(F.col("event_type") == "error", "sql không bắt buộc, nice to have").when(F.col("event_type") == "view", "sql ưu tiên").otherwise("sql")
+    return r.table("events").select("event_id", M.requirement_level(said, "mentioned").alias("l")).select("event_id", "l.*")
+
+
+@query("M8_skills_from_tags", f"with d as ({DIM_SQL}) select distinct doc_id, id as skill_id from (select doc_id, unnest(string_split(lower(text), chr(10))) as tag from documents) t join d on contains(tag, alias) and regexp_matches(tag, {BOUND})")
+def _(r):
+    tags = r.table("documents").withColumn("tags", F.split("text", "\n"))
+    return M.extract_skills_from_tags(tags, "doc_id", "tags", _dim(r)).select("doc_id", "skill_id")
+
+
+@query("M9_process_postings")
+def _(r):
+    raw = r.sql("""
+        select source, source as source_id, cast(doc_id as string) as source_job_id, cast(null as string) as source_url, split_part(text, chr(10), 1) as title_raw, source as company_name_raw, text as description_raw, lang as location_raw,
+               cast(null as string) as work_mode_raw, cast(n_chars % 40 as string) || ' triệu' as salary_raw, cast(null as string) as experience_raw, cast(null as string) as education_raw, 'hôm nay' as posted_at_raw, timestamp '2024-01-31 00:00:00' as collected_at from documents""")
+    places = r.spark.createDataFrame([("English", "en", 0, 0), ("German", "de", 1, 0)], "name string, alias string, entity_ord int, alias_ord int")
+    return J.process_postings(raw, _dim(r), _dim(r), places, "v1", markup=False).drop("skills")
+
+
+# duplicates and boilerplate -------------------------------------------------------------------------------------------------
+
+
+@query("D1_duplicate_count", f"select doc_id, count(*) over (partition by content_hash) as duplicate_count from (select doc_id, {HASH_SQL} as content_hash from ({POSTS}) p) h")
+def _(r):
+    return D.with_duplicate_count(_hashed(r).select("doc_id", "content_hash")).select("doc_id", "duplicate_count")
+
+
+@query("D2_dedup_identity", f"select job_id, source_id, source_job_id, seq from ({JOBS}) j qualify row_number() over (partition by source_id, source_job_id order by seq desc) = 1")
+def _(r):
+    return D.dedup_identity(r["jobs"].withColumn("source", F.lit("x")), "seq").select("job_id", "source_id", "source_job_id", "seq")
+
+
+CROSS = f"select job_id, seq, source_id, career_id || '|' || company_name || '|' || province as cross_source_key from ({JOBS}) j"
+
+
+@query("D3_group_cross_source", f"""
+with c as ({CROSS}), g as (select cross_source_key as k, count(*) as cross_group_size from c where cross_source_key is not null group by 1 having count(distinct source_id) >= 2)
+select seq, cross_source_key, 'xsrc_' || sha256(k)[1:16] as cross_group_id, cross_group_size from c left join g on cross_source_key = k""")
+def _(r):
+    return D.group_cross_source(r.sql(CROSS)).select("seq", "cross_source_key", "cross_group_id", "cross_group_size")
+
+
+@query("D4_dedup_first", "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
+def _(r):
+    return D.dedup_first(r.table("events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("D5_dedup_latest", f"select job_id, source_id, source_job_id, collected_at from ({JOBS}) j qualify row_number() over (partition by source_id, source_job_id order by collected_at desc, seq desc) = 1")
+def _(r):
+    return D.dedup_last(r["jobs"], ["source_id", "source_job_id"], ["collected_at", "seq"]).select("job_id", "source_id", "source_job_id", "collected_at")
+
+
+BLOCKS = r"""
+select * from (select doc_id, source, i as pos, x as block, trim(regexp_replace(translate(lower(x), '“”‘’–—', '""''''--'), '\s+', ' ', 'g')) as key from
+  (select doc_id, source, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as i from documents) l) b where key <> ''
+"""
+KEYS = f"""
+select source, key, n, docs from (select source, key, count(distinct doc_id) as n from ({BLOCKS}) b group by 1, 2) c
+join (select source, count(distinct doc_id) as docs from ({BLOCKS}) b group by 1) d using (source) where docs >= 3 and n >= ceil(docs * 0.05)
+"""
+SPLIT = f"""
+select doc_id, source, coalesce(string_agg(block, chr(10) order by pos) filter (not common), '') as role_text, coalesce(string_agg(block, chr(10) order by pos) filter (common), '') as boilerplate_text,
+       count(*) as block_count, count(*) filter (common) as boilerplate_count, round(avg(cast(common as int)), 4) as boilerplate_ratio
+from (select b.*, k.key is not null as common from ({BLOCKS}) b left join ({KEYS}) k on b.source = k.source and b.key = k.key) x group by 1, 2
+"""
+
+
+def _boilerplate(r: Roles) -> tuple[DataFrame, DataFrame]:
+    blocks = D.text_blocks(r.table("documents"), "doc_id", "source", "text")
+    return blocks, D.boilerplate_keys(blocks, "doc_id", "source", 0.05)
+
+
+@query("B1_boilerplate_keys", KEYS)
+def _(r):
+    return _boilerplate(r)[1]
+
+
+@query("B2_split_boilerplate", f"select * replace (md5(role_text) as role_text, md5(boilerplate_text) as boilerplate_text) from ({SPLIT}) s")
+def _(r):
+    split = D.split_boilerplate(*_boilerplate(r), "doc_id", "source")
+    return split.withColumns({c: F.md5(F.col(c).cast("binary")) for c in ("role_text", "boilerplate_text")})
+
+
+@query("B3_boilerplate_stats", f"select source, count(*) as docs, round(avg(boilerplate_ratio), 4) as mean_ratio, max(boilerplate_ratio) as max_ratio, cast(sum(length(role_text) + length(boilerplate_text)) as bigint) as chars_before, cast(sum(length(role_text)) as bigint) as chars_after from ({SPLIT}) s group by 1")
+def _(r):
+    return D.boilerplate_stats(D.split_boilerplate(*_boilerplate(r), "doc_id", "source"), "source")
+
+
+# lifecycle --------------------------------------------------------------------------------------------------------------------
+
+CRAWL = "select cast(user_id as string) as source_job_id, 'e' as source_id, max_by(event_type, event_id) as content_hash, max(ts) as collected_at from events where {} group by user_id"
+FIRST, SECOND = CRAWL.format("cast(ts as date) <= date '2024-01-02'"), CRAWL.format("cast(ts as date) = date '2024-01-03'")
+
+
+def _two_runs(r: Roles) -> DataFrame:
+    at = lambda day: F.lit(day).cast("timestamp")
+    as_crawl = lambda sql: r.sql(sql).withColumn("collected_at", F.col("collected_at").cast("timestamp"))
+    state = L.lifecycle_merge(as_crawl(FIRST), L.empty_state(r.spark), at("2024-01-02"))
+    return L.lifecycle_merge(as_crawl(SECOND), state, at("2024-01-03"))
+
+
+LIFECYCLE = f"""
+with a as ({FIRST}), b as ({SECOND})
+select coalesce(a.source_job_id, b.source_job_id) as source_job_id, coalesce(b.content_hash, a.content_hash) as content_hash, case when b.source_job_id is null then 1 else 0 end as consecutive_missing_runs,
+       true as is_active, coalesce(a.content_hash <> b.content_hash, false) as content_changed, case when a.content_hash <> b.content_hash then a.content_hash end as previous_content_hash,
+       case when b.source_job_id is null then 'missing_unconfirmed' when a.source_job_id is null then 'new' else 'seen' end as lifecycle_status, false as reactivated
+from a full join b on a.source_job_id = b.source_job_id
+"""
+
+
+@query("L3_lifecycle_merge", LIFECYCLE)
+def _(r):
+    return _two_runs(r).select("source_job_id", "content_hash", "consecutive_missing_runs", "is_active", "content_changed", "previous_content_hash", "lifecycle_status", "reactivated")
+
+
+@query("L5_status_counts", f"select lifecycle_status, count(*) as n from ({LIFECYCLE}) x group by 1")
+def _(r):
+    return A.status_counts(_two_runs(r))
+
+
+RUNS = "select user_id, cast(ts as date) as day, max_by(event_type, event_id) as h from events group by 1, 2"
+
+
+@query("L6_lifecycle_replay", f"""
+with s as ({RUNS}), r as (select day, row_number() over (order by day) as n from (select distinct day from s) d), k as (select user_id as key, n as run_no, h from s join r using (day)),
+g as (select key, r.n as run_no from (select key, min(run_no) as f from k group by 1) x join r on r.n >= f),
+j as (select g.key, g.run_no, k.h is not null as seen, k.h, max(k.run_no) over w as last_seen from g left join k on g.key = k.key and g.run_no = k.run_no window w as (partition by g.key order by g.run_no)),
+p as (select key, run_no, lag(run_no) over (partition by key order by run_no) as before, lag(h) over (partition by key order by run_no) as h_before from k)
+select j.key, j.run_no, j.run_no - last_seen as missing_runs, case when seen and before is null then 'new' when seen then 'seen' when j.run_no - last_seen >= 3 then 'inactive' else 'missing_unconfirmed' end as status,
+       coalesce(seen and h <> h_before, false) as content_changed, coalesce(seen and j.run_no - before > 3, false) as reactivated from j left join p on j.key = p.key and j.run_no = p.run_no""")
+def _(r):
+    return L.lifecycle_replay(r.sql(RUNS), "user_id", "day", "h").withColumn("run_no", F.col("run_no").cast("long")).withColumn("missing_runs", F.col("missing_runs").cast("long"))
+
+
+# learners -------------------------------------------------------------------------------------------------------------------------
+
+WEIGHT = "case source_type when 'assessment' then 1.0 when 'academic_record' then 0.9 when 'teacher_observation' then 0.8 when 'activity_result' then 0.7 else 0.4 end"
+
+
+def ability_sql(evidence: str) -> str:
+    return f"""
+select student_id, skill_id, round(vw / w, 6) as estimated_level, round(least(1.0, greatest(0.0, least(1.0, w / 2) * case when n = 1 and a = 'self_report' then 0.6 when n > 1 and a = b then 0.85 else 1.0 end
+       * case when spread > 0.35 then greatest(0.25, 1 - (spread - 0.35) / 0.65) else 1.0 end)), 6) as confidence, n as evidence_count, spread from (
+  select student_id, skill_id, sum(normalized_value * {WEIGHT}::double * confidence) as vw, sum({WEIGHT}::double * confidence) as w, count(*) as n, min(source_type) as a, max(source_type) as b, max(normalized_value) - min(normalized_value) as spread
+  from ({evidence}) e where skill_id not like 'INTEREST\\_%' escape '\\' group by 1, 2) s"""
+
+
+ABILITY = ability_sql(EVIDENCE)
+LIMITS = [("SKILL_0", 0.65, 1.0, "ACT0", 20), ("SKILL_1", 0.5, 0.8, "ACT1", 50), ("SKILL_2", 0.3, 1.0, None, None)]
+LIMITS_SQL = "(values " + ", ".join(f"('{s}', {x}, {i}, {'null' if a is None else repr(a)}, {'null' if m is None else m})" for s, x, i, a, m in LIMITS) + ") t(skill_id, expected_level, importance, activity_id, activity_minutes)"
+GAPS = f"""
+select student_id, 'GAP_' || sha256('academic|' || skill_id)[1:16] as gap_id, skill_id, estimated_level, expected_level, gap_size, score,
+       case when score >= 0.25 and confidence >= 0.55 then 'high' when score >= 0.1 then 'medium' else 'low' end as priority from (
+  select *, round(gap_size * confidence * importance * case when exam_week then 1.4 else 1.2 end * case when coalesce(activity_minutes <= weekly_available_minutes, false) then 1.0 else 0.75 end, 6) as score from (
+    select a.*, expected_level::double as expected_level, importance::double as importance, activity_minutes, weekly_available_minutes, exam_week, round(expected_level::double - estimated_level, 6) as gap_size from ({ABILITY}) a join {LIMITS_SQL} using (skill_id) join ({STUDENTS}) s using (student_id) where estimated_level < expected_level) x) y
+"""
+GROUP_ACTS = [("G0", "ACT0", 20), ("G1", "ACT1", 25), ("G2", "ACT2", 45)]
+ACTS_SQL = "(values " + ", ".join(f"('{g}', '{a}', {m})" for g, a, m in GROUP_ACTS) + ") t(career_group_id, activity_id, estimated_minutes)"
+INTERESTS = f"select student_id, weekly_available_minutes, exam_week, unnest([0, 1]) as pos, unnest(['G' || (cast(student_id as int) % 4), 'G' || ((cast(student_id as int) + 1) % 4)]) as career_group_id from ({STUDENTS}) s"
+EXPLORED = f"select distinct student_id, career_group_id from ({RESULTS}) r where completed and rubric_score / max_score >= 0.6"
+EXPLORATION = f"""
+select student_id, career_group_id, pos, activity_id, case when estimated_minutes <= weekly_available_minutes then 'high' else 'medium' end as priority
+from ({INTERESTS}) i left join {ACTS_SQL} using (career_group_id) where not exists (select 1 from ({EXPLORED}) e where e.student_id = i.student_id and e.career_group_id = i.career_group_id)
+"""
+
+
+def _limits(r: Roles) -> DataFrame:
+    return r.spark.createDataFrame(LIMITS, "skill_id string, expected_level double, importance double, activity_id string, activity_minutes int")
+
+
+def _acts(r: Roles) -> DataFrame:
+    return r.spark.createDataFrame(GROUP_ACTS, "career_group_id string, activity_id string, estimated_minutes int")
+
+
+def _students(r: Roles) -> DataFrame:
+    n = F.col("student_id").cast("int")
+    group = lambda k: F.concat(F.lit("G"), ((n + k) % 4).cast("string"))
+    return r["students"].withColumn("career_interest_ids", F.array(group(0), group(1)))
+
+
+def _gaps(r: Roles) -> DataFrame:
+    return E.academic_gaps(E.ability_profile(r["evidence"]), r["students"], _limits(r))
+
+
+def _exploration(r: Roles) -> DataFrame:
+    return E.exploration_gaps(_students(r), r["results"], _acts(r))
+
+
+@query("E1_evidence_academic", "select cast(l_suppkey as string) as student_id, 'EV_' || sha256('academic_record|' || l_orderkey || '|' || l_returnflag)[1:16] as evidence_id, 'academic_record' as source_type, l_returnflag as skill_id, l_quantity / 50 as normalized_value, 1.0 as confidence from lineitem")
+def _(r):
+    rows = r.sql("select cast(l_orderkey as string) as record_id, cast(l_suppkey as string) as student_id, l_returnflag as topic_id, l_quantity as score, 50D as max_score, l_shipdate as observed_at from lineitem")
+    return E.evidence_academic(rows).drop("observed_at")
+
+
+@query("E2_evidence_observation", "select cast(user_id as string) as student_id, event_id % 7 as k, case event_type when 'view' then 0.65 when 'click' then 0.5 when 'error' then 0.1 end as normalized_value, value / 500 as confidence from events")
+def _(r):
+    kind = F.when(F.col("event_type") == "view", "strength").when(F.col("event_type") == "click", "neutral").when(F.col("event_type") == "error", "weakness")
+    severity = F.when(F.col("event_type") == "error", "high").otherwise("low")
+    rows = r.table("events").select(F.col("event_id").alias("observation_id"), F.col("user_id").cast("string").alias("student_id"), (F.col("event_id") % 7).cast("string").alias("skill_id"), kind.alias("observation_type"), severity.alias("severity"), (F.col("value") / 500).alias("confidence"), F.col("ts").alias("observed_at"))
+    return E.evidence_observation(rows).select("student_id", F.col("skill_id").cast("long").alias("k"), "normalized_value", "confidence")
+
+
+@query("E3_evidence_assessment", "select cast(o_custkey as string) as student_id, p as skill_id, v as normalized_value from (select o_custkey, unnest(['a', 'b']) as p, unnest([o_totalprice / 1000000, o_orderkey / 1000000]) as v from orders) x")
+def _(r):
+    score = lambda name, c: F.struct(F.lit(name).alias("skill_id"), F.col(c).cast("double").alias("score"), F.lit(1000000.0).alias("max_score"))
+    rows = r.table("orders").select(F.col("o_custkey").cast("string").alias("student_id"), F.col("o_orderkey").alias("attempt_id"), F.col("o_orderdate").alias("completed_at"), F.array(score("a", "o_totalprice"), score("b", "o_orderkey")).alias("skill_scores"))
+    return E.evidence_assessment(rows).select("student_id", "skill_id", "normalized_value")
+
+
+@query("E5_evidence_activity", f"select student_id, 'S' || career_group_id as skill_id, rubric_score / max_score as normalized_value from ({RESULTS}) r where completed and career_group_id <> 'G3'")
+def _(r):
+    catalog = r.spark.createDataFrame([("ACT0", "SG0"), ("ACT1", "SG1"), ("ACT2", "SG2"), ("ACT3", None)], "activity_id string, rubric_skill_id string")
+    return E.evidence_activity(r["results"].withColumn("completed_at", F.lit("2024-01-01").cast("timestamp")), catalog).select("student_id", "skill_id", "normalized_value")
+
+
+@query("E6_merge_evidence", f"select * exclude (observed_at) from ({EVIDENCE}) e")
+def _(r):
+    e = r["evidence"]
+    return E.merge_evidence(e.filter("normalized_value < 0.2"), e).drop("observed_at")
+
+
+@query("E7_ability_profile", f"select * exclude (spread) from ({ABILITY}) a")
+def _(r):
+    return E.ability_profile(r["evidence"])
+
+
+TREND_OLD = "select * from ({}) e where cast(observed_at as date) <= date '2024-01-10'"
+
+
+@query("E8_ability_trend", f"with c as ({ABILITY}), p as ({ability_sql(TREND_OLD.format(EVIDENCE))}) select c.student_id, c.skill_id, c.estimated_level, case when p.estimated_level is null then 'unknown' when c.estimated_level - p.estimated_level >= 0.05 then 'improving' when c.estimated_level - p.estimated_level <= -0.05 then 'declining' else 'stable' end as trend from c left join p using (student_id, skill_id)")
+def _(r):
+    return E.ability_trend(E.ability_profile(r["evidence"]), E.ability_profile(r.sql(TREND_OLD.format(EVIDENCE)))).select("student_id", "skill_id", "estimated_level", "trend")
+
+
+@query("E9_academic_gaps", GAPS)
+def _(r):
+    return _gaps(r)
+
+
+@query("E11_exploration_gaps", EXPLORATION)
+def _(r):
+    return _exploration(r)
+
+
+@query("E12_decision_gaps", f"select student_id, count(*) as interests, count(e.student_id) as explored from (select student_id, i.career_group_id, e.student_id from ({INTERESTS}) i left join ({EXPLORED}) e using (student_id, career_group_id)) x group by 1 having count(*) >= 2 and count(e.student_id) < count(*)".replace("count(e.student_id)", "count(found)").replace("i.career_group_id, e.student_id from", "career_group_id, found from").replace(f"({EXPLORED}) e", f"(select *, 1 as found from ({EXPLORED}) z) e"))
+def _(r):
+    return E.decision_gaps(_students(r), r["results"])
+
+
+@query("E13_weekly_plan", f"""
+with a as (select g.student_id, first(l.activity_id order by gap_size desc, gap_id) as activity_id, first(activity_minutes order by gap_size desc, gap_id) as minutes from ({GAPS}) g join {LIMITS_SQL.replace(') t(', ') l(')} using (skill_id) join ({STUDENTS}) s on g.student_id = s.student_id
+           where priority = 'high' and activity_minutes <= weekly_available_minutes group by g.student_id),
+i as (select student_id, first(activity_id order by pos) as activity_id from ({EXPLORATION}) x group by 1)
+select student_id, 1 as task_no, activity_id, minutes from a
+union all select s.student_id, 2, i.activity_id, estimated_minutes from ({STUDENTS}) s join i using (student_id) join {ACTS_SQL} on t.activity_id = i.activity_id left join a on a.student_id = s.student_id
+where not exam_week and estimated_minutes <= weekly_available_minutes - coalesce(a.minutes, 0)""")
+def _(r):
+    return E.weekly_plan(r["students"], _gaps(r), _exploration(r), _limits(r), _acts(r))
+
+
+ASOF = {k: f"select user_id, event_type, ts as at, event_id as attempt_id, value from events where event_type = '{k}'" for k in ("view", "purchase")}
+ASOF_SQL = f"""
+select user_id, posttest_id, after, baseline_id, before from (
+  select p.user_id, p.attempt_id as posttest_id, p.value as after, b.attempt_id as baseline_id, b.value as before, row_number() over (partition by p.attempt_id order by b.at desc, b.attempt_id desc) as k
+  from ({ASOF['purchase']}) p join ({ASOF['view']}) b on p.user_id = b.user_id and b.at <= p.at) x where k = 1
+"""
+STATUS = "case when delta <= -0.05 then 'regression' when delta < 0.05 then 'no_change' when delta < 0.2 then 'partial_improvement' else 'meaningful_improvement' end"
+
+
+def _asof(r: Roles) -> DataFrame:
+    return E.asof_baseline(r.sql(ASOF["purchase"]), r.sql(ASOF["view"]), ["user_id"])
+
+
+@query("E14_assessment_outcomes", f"select pair_id, student_id, 'S' as skill_id, before, after, delta, {STATUS} as status from (select posttest_id as pair_id, user_id as student_id, before / 500 as before, after / 500 as after, round(after / 500 - before / 500, 10) as delta from ({ASOF_SQL}) a) d")
+def _(r):
+    pairs = _asof(r).select(F.col("posttest_id").alias("pair_id"), F.col("user_id").alias("student_id"), F.lit("S").alias("skill_id"), (F.col("before") / 500).alias("b"), (F.col("after") / 500).alias("a"))
+    return E.assessment_outcomes(pairs.withColumn("value", F.col("b")), pairs.withColumn("value", F.col("a")))
+
+
+@query("E15_asof_baseline", ASOF_SQL)
+def _(r):
+    return _asof(r).select("user_id", "posttest_id", "after", "baseline_id", "before")
+
+
+@query("E16_interest_outcomes", f"select student_id, activity_result_id, career_group_id, before, after, delta, {STATUS} as status from (select *, interest_before / interest_max_score as before, interest_after / interest_max_score as after, round(interest_after / interest_max_score - interest_before / interest_max_score, 10) as delta from ({RESULTS}) r where completed) d")
+def _(r):
+    return E.interest_outcomes(r["results"])
+
+
+@query("E17_next_step", f"""
+with a as (select student_id, 1 as tier, gap_id as tie, l.activity_id from ({GAPS}) g join {LIMITS_SQL.replace(') t(', ') l(')} using (skill_id) where priority = 'high' and l.activity_id is not null),
+b as (select student_id, 2 as tier, lpad(cast(pos as string), 6, '0') as tie, activity_id from ({EXPLORATION}) x where activity_id is not null),
+m as (select student_id, first(tier order by tier, tie) as tier, first(activity_id order by tier, tie) as activity_id from (select * from a union all select * from b) u group by 1)
+select student_id, case tier when 1 then 'academic' when 2 then 'exploration' else 'none' end as step, activity_id from ({STUDENTS}) s left join m using (student_id)""")
+def _(r):
+    return E.next_step(r["students"], _gaps(r), _exploration(r), _limits(r))
+
+
+@query("E18_evidence_warnings", f"""
+select student_id, 'INSUFFICIENT_EVIDENCE' as code, skill_id as field from ({ABILITY}) a where evidence_count < 2
+union all select student_id, 'CONFLICTING_EVIDENCE', skill_id from ({ABILITY}) a where spread > 0.35 union all select student_id, 'LOW_CONFIDENCE', skill_id from ({ABILITY}) a where confidence < 0.55""")
+def _(r):
+    return E.evidence_warnings(r["evidence"])
+
+
+@query("E21_overlay_profile", f"with c as ({ABILITY}), p as ({ability_sql(TREND_OLD.format(EVIDENCE))}) select student_id, skill_id, coalesce(c.estimated_level, p.estimated_level) as estimated_level, case when skill_id = 'SKILL_1' then 'declining' when c.skill_id is not null then 'stable' else 'unknown' end as trend from p full join c using (student_id, skill_id)")
+def _(r):
+    now = E.ability_profile(r["evidence"]).withColumn("trend", F.lit("stable"))
+    old = E.ability_profile(r.sql(TREND_OLD.format(EVIDENCE))).withColumn("trend", F.lit("unknown"))
+    return E.overlay_profile(old, now, now.filter("skill_id = 'SKILL_1'").select("student_id", "skill_id", F.lit("regression").alias("status")))
+
+
+@query("E22_snapshot")
+def _(r):
+    first = E.snapshot(E.ability_profile(r.sql(TREND_OLD.format(EVIDENCE))), r.spark.createDataFrame([], "student_id string, snapshot_id string"), "v1")
+    return E.snapshot(E.ability_profile(r["evidence"]), first.select("student_id", "snapshot_id"), "v1").select("student_id", "snapshot_id", "previous_snapshot_id", F.size("abilities").alias("skills"))
+
+
+# profiles -------------------------------------------------------------------------------------------------------------------------
+
+
+@query("C3_interest_profile", """
+with m as (select c_mktsegment as career_id, case c_nationkey % 6 when 0 then 'Realistic' when 1 then 'Investigative' when 2 then 'Artistic' when 3 then 'Social' when 4 then 'Enterprising' else 'Conventional' end as e, c_nationkey % 6 as ord, avg(round(c_acctbal)) as s from customer group by 1, 2, 3),
+k as (select *, row_number() over (partition by career_id order by s desc, ord) as n from m) select career_id, string_agg(e[1], '' order by n) as interest_code from k where n <= 3 group by 1""")
+def _(r):
+    names = F.array(*map(F.lit, C.DIMENSIONS))
+    rows = r.table("customer").select(F.col("c_mktsegment").alias("career_id"), F.get(names, F.col("c_nationkey") % 6).alias("element_name"), F.round("c_acctbal").alias("data_value"))
+    return C.interest_profile(rows)
+
+
+@query("C4_rated_skills", "select n_name as onetsoc_code, cast(s_suppkey % 3 as string) as element_id, 'e' as element_name, max(case when s_suppkey % 2 = 0 then s_acctbal end) as importance, max(case when s_suppkey % 2 = 1 then s_acctbal end) as level from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 5 <> 0 group by 1, 2")
+def _(r):
+    rows = r.sql("select n_name as onetsoc_code, cast(s_suppkey % 3 as string) as element_id, 'e' as element_name, case when s_suppkey % 2 = 0 then 'IM' else 'LV' end as scale_id, s_acctbal as data_value, case when s_suppkey % 5 = 0 then 'Y' end as recommend_suppress, 'N' as not_relevant from supplier join nation on s_nationkey = n_nationkey")
+    return C.rated_skills(rows)
+
+
+TOP = f"select career_id, skill_id, skill_name, postings, rank from (select career_id, skill_id, skill_name, max(skill_posting_count) as postings, row_number() over (partition by career_id order by max(skill_posting_count) desc, skill_id, skill_name) as rank from ({MATRIX}) m group by 1, 2, 3) t where rank <= 10"
+
+
+@query("C6_top_market_skills", TOP)
+def _(r):
+    return C.top_market_skills(A.skill_matrix(r["skills"]))
+
+
+@query("C10_market_breakdown", f"""
+select career_id, string_agg(coalesce(province, '-') || '/' || work_mode || '/' || posting_count, ',' order by k) filter (k <= 20) as rows, string_agg(distinct province, ',' order by province) as provinces, string_agg(distinct work_mode, ',' order by work_mode) as work_modes
+from (select *, row_number() over (partition by career_id order by posting_count desc, province nulls last, work_mode) as k from ({DEMAND}) d) x group by 1""")
+def _(r):
+    found = C.market_breakdown(A.demand_summary(r["jobs"], "seq"))
+    shown = F.transform("rows", lambda x: F.concat_ws("/", F.coalesce(x["province"], F.lit("-")), x["work_mode"], x["posting_count"].cast("string")))
+    return found.select("career_id", F.array_join(shown, ",").alias("rows"), F.array_join("provinces", ",").alias("provinces"), F.array_join("work_modes", ",").alias("work_modes"))
+
+
+@query("C12_changed_rows", "select c_custkey from customer where c_custkey % 3 = 0")
+def _(r):
+    now = r.table("customer")
+    old = now.withColumn("c_acctbal", F.when(F.col("c_custkey") % 3 == 0, -1.0).otherwise(F.col("c_acctbal")))
+    cache = old.withColumn("record_hash", T.record_hash(now.columns)).select("c_custkey", "record_hash")
+    return C.changed_rows(now, cache, "c_custkey")[0].select("c_custkey")
+
+
+PROFILES = "select cast(c_custkey as string) as profile_id, 'Brand#' || cast((c_custkey + k) % 25 + 1 as string) as skill_id from customer, (select 0 as k union all select 7 union all select 11) x"
+
+
+@query("R1_rank_careers", f"select profile_id, career_id, matched, row_number() over (partition by profile_id order by matched desc, career_id) as rank from (select profile_id, career_id, count(distinct skill_id) as matched from ({PROFILES}) p join (select distinct career_id, skill_id from ({MATRIX}) m where skill_posting_count > 3) m using (skill_id) group by 1, 2) x")
+def _(r):
+    return C.rank_careers(r.sql(PROFILES), A.skill_matrix(r["skills"]).filter("skill_posting_count > 3"))
+
+
+# lookups --------------------------------------------------------------------------------------------------------------------------
+
+
+@query("Q1_upsert_catalog", "select c_custkey, c_name, case when c_custkey % 2 = 0 then 'new' else c_mktsegment end as c_mktsegment from customer")
+def _(r):
+    now = r.table("customer").select("c_custkey", "c_name", "c_mktsegment")
+    return Q.upsert_catalog(now, now.filter("c_custkey % 2 = 0").withColumn("c_mktsegment", F.lit("new")), "c_custkey")
+
+
+@query("Q2_search_catalog", "select p_partkey, p_name, total from (select p_partkey, p_name || ' ' || p_partkey as p_name, count(*) over () as total from part where contains(lower(p_name), 'red')) x order by p_name limit 20")
+def _(r):
+    part = r.table("part").select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("p_name"))
+    return Q.search_catalog(part, "p_name", "p_name", "RÉD", 20)
+
+
+@query("Q3_career_detail", "select n_nationkey, n_name, coalesce(string_agg(s_name, ',' order by s_name), '') as aliases from nation left join supplier on s_nationkey = n_nationkey group by 1, 2")
+def _(r):
+    aliases = r.table("supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_name")
+    return Q.career_detail(r.table("nation").select("n_nationkey", "n_name"), aliases, "n_nationkey", "s_name").withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query("Q4_recent_sources", "select o_custkey, o_orderkey, rank from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc nulls last, o_orderkey) as rank from orders) x where rank <= 10")
+def _(r):
+    return Q.recent_per_key(r.table("orders"), ["o_custkey"], "o_orderdate", "o_orderkey", 10).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("Q5_match_results", "select o_orderkey, o_custkey % 7 as career_id, n_name as career_name from orders left join nation on o_custkey % 7 = n_nationkey and n_nationkey < 5")
+def _(r):
+    rows = r.table("orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("career_id"))
+    return Q.match_results(rows, r.table("nation").filter("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("career_id"), F.col("n_name").alias("career_name")))
+
+
+@query("Q6_roster", "select c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey and c_custkey % 3 = s_suppkey % 3")
+def _(r):
+    left = r.table("customer").select("c_custkey", F.col("c_nationkey").alias("tenant"), (F.col("c_custkey") % 3).alias("class"))
+    return Q.roster(left, r.table("supplier").select("s_suppkey", F.col("s_nationkey").alias("tenant"), (F.col("s_suppkey") % 3).alias("class")), ["tenant", "class"]).select("c_custkey", "s_suppkey")
+
+
+@query("Q7_interval_join", "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem join orders on l_orderkey = o_orderkey where o_orderdate <= l_shipdate and (o_orderstatus = 'O' or o_orderdate + interval 60 day >= l_shipdate)")
+def _(r):
+    spans = r.sql("select o_orderkey as k, o_orderdate as starts_at, case when o_orderstatus <> 'O' then o_orderdate + interval 60 days end as ends_at from orders")
+    points = r.table("lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return Q.interval_join(points, spans, ["k"], "l_shipdate", "starts_at", "ends_at").select(F.col("k").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("Q8_latest_status", "select c_custkey, coalesce(status, 'not_started') as status from customer left join (select o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) as status from orders where o_custkey % 4 <> 0 group by 1) o on c_custkey = o_custkey")
+def _(r):
+    orders = r.table("orders").filter("o_custkey % 4 <> 0").withColumnRenamed("o_custkey", "c_custkey")
+    return Q.latest_status(r.table("customer"), orders, "c_custkey", "o_orderdate", "o_orderkey", "o_orderstatus").select("c_custkey", "status")
+
+
+@query("Q9_history", "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rank from orders")
+def _(r):
+    return Q.recent_per_key(r.table("orders"), ["o_custkey"], "o_orderdate", "o_orderkey", 2**31 - 1).select("o_custkey", "o_orderkey", "rank")
+
+
+DRAFTS = {"state": "select distinct user_id as draft_id, event_id % 9 as question_id, 'old' as answer from events", "changes": "select user_id as draft_id, event_id % 12 as question_id, max(case when event_id % 5 = 0 then '' else event_type end) as answer, cast(user_id % 2 as int) as expected_version from events where event_type = 'click' group by 1, 2, 4"}
+
+
+@query("Q10_merge_drafts", f"""
+with s as ({DRAFTS['state']}), c as ({DRAFTS['changes']})
+select draft_id, question_id, case when c.expected_version is not null then c.answer else s.answer end as answer from s full join (select * from c where expected_version = 1) c using (draft_id, question_id) where case when c.expected_version is not null then c.answer else s.answer end <> ''""")
+def _(r):
+    versions = r.sql("select distinct user_id as draft_id, 1 as version from events")
+    return Q.merge_drafts(r.sql(DRAFTS["state"]), r.sql(DRAFTS["changes"]), versions)
+
+
+@query("Q11_student_snapshot", "select c_custkey, o.n as n_orders, o.first_order from customer left join (select o_custkey, count(*) as n, min_by(o_orderkey, (o_orderdate, o_orderkey)) as first_order from orders group by 1) o on c_custkey = o_custkey")
+def _(r):
+    orders = r.table("orders").withColumnRenamed("o_custkey", "c_custkey")
+    found = Q.student_snapshot(r.table("customer").select("c_custkey"), "c_custkey", {"orders": (orders, ["o_orderdate", "o_orderkey", "o_orderstatus"])})
+    n = F.when(F.col("orders").isNotNull(), F.size("orders")).cast("long")
+    return found.select("c_custkey", n.alias("n_orders"), F.get("orders", F.lit(0))["o_orderkey"].alias("first_order"))
+
+
+@query("Q12_cascade_delete", "select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'P')")
+def _(r):
+    ids = r.table("orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"))
+    items = r.table("lineitem").withColumnRenamed("l_orderkey", "k")
+    return Q.cascade_delete(r.table("orders").withColumnRenamed("o_orderkey", "k"), items, ids, "k")[1].select(F.col("k").alias("l_orderkey"), "l_linenumber", "l_partkey")
+
+
+@query("Q13_sample_balanced")
+def _(r):
+    return Q.sample_balanced(r.table("documents"), "lang", "doc_id", 10, 42).select("lang", "doc_id", "rank")
+
+
+# checks ---------------------------------------------------------------------------------------------------------------------------
+
+
+@query("V2_unique", "select 'unique:l_orderkey,l_linenumber' as rule, l_orderkey || '|' || l_linenumber as key, cast(count(*) as varchar) as detail from lineitem group by l_orderkey, l_linenumber having count(*) > 1")
+def _(r):
+    return V.unique(r.table("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("V3_not_blank", f"select 'not_blank:quality' as rule, cast(doc_id as varchar) as key, 'null or blank' as detail from ({LABELLED}) x where quality is null")
+def _(r):
+    return V.not_blank(r.sql(LABELLED), "quality", "doc_id")
+
+
+@query("V4_ranges", """
+select 'range:c_acctbal' as rule, cast(c_custkey as varchar) as key, cast(c_acctbal as varchar) as detail from customer where c_acctbal < 0 or c_acctbal > 9000
+union all select 'domain:c_mktsegment', cast(c_custkey as varchar), c_mktsegment from customer where c_mktsegment not in ('BUILDING', 'HOUSEHOLD')""")
+def _(r):
+    c = r.table("customer")
+    return V.in_range(c, "c_acctbal", "c_custkey", 0.0, 9000.0).unionByName(V.in_domain(c, "c_mktsegment", "c_custkey", ["BUILDING", "HOUSEHOLD"]))
+
+
+@query("V5_references", "select 'references:doc_id' as rule, cast(doc_id as varchar) as key, cast(doc_id as varchar) as detail from documents where doc_id not in (select doc_id from labels)")
+def _(r):
+    return V.references(r.table("documents").withColumn("k", F.col("doc_id")), "doc_id", "k", r.table("labels"), "doc_id")
+
+
+@query("V6_reconciled", f"select 'reconciled:demand' as rule, concat_ws('|', career_id, career_name, province, work_mode, snapshot_version) as key, (salary_sample_size + 1) || '/' || salary_sample_size as detail from ({DEMAND}) d where work_mode = 'REMOTE'")
+def _(r):
+    jobs = r["jobs"]
+    off = A.demand_summary(jobs, "seq").withColumn("salary_sample_size", F.col("salary_sample_size") + F.when(F.col("work_mode") == "REMOTE", 1).otherwise(0))
+    return V.reconciled(jobs, off, seq_col="seq")
+
+
+@query("V13_text_policy", r"select 'text_policy' as rule, conv_id || '/' || turn as key, 'the' as detail from conversations where regexp_matches(text, '\bthe\b') union all select 'text_policy', conv_id || '/' || turn, 'long' from conversations where regexp_matches(text, '[a-z]{20}')")
+def _(r):
+    return V.text_policy(r.table("conversations"), F.concat_ws("/", "conv_id", "turn"), "text", {"the": r"\bthe\b", "long": "[a-z]{20}"})
+
+
+@query("V15_plan_invariant", f"select 'delta' as rule, activity_result_id as key, '0.0' as detail from ({RESULTS}) r where completed and interest_after > 0.000001")
+def _(r):
+    return V.delta_invariant(E.interest_outcomes(r["results"]).withColumn("delta", F.lit(0.0)), "activity_result_id")
+
+
+@query("V16_production_metrics", f"""
+select count(*) as job_count, count(distinct source_id) as source_count, count(career_id) as mapped_careers, count(*) filter (salary_disclosed) as salary_disclosed, count(*) filter (work_mode = 'REMOTE') as remote, count(*) - count(distinct job_id) as duplicate_ids,
+       (select count(*) from ({SKILLS}) s) as skill_rows, (select count(distinct job_id) from ({SKILLS}) s) as jobs_with_skill from ({JOBS}) j""")
+def _(r):
+    return V.production_metrics(r["jobs"], r["skills"])
+
+
+@query("V12_report_reconciled")
+def _(r):
+    report = A.coverage(r["jobs"], r["skills"], ["source_id"]).withColumn("location_rate", F.col("location_rate") + 1)
+    return V.report_reconciled(report, "job_count", ["job_count"], ["career_rate", "location_rate"], "source_id")
