@@ -1,36 +1,42 @@
 """Substring dedup: word windows that also start in a document of smaller id, merged into removal intervals.
 
-Windows of ``width`` words are hashed by Rabin-Karp (prefix sums of a polynomial in two independent lanes of 64 bits)
-and counted in Spark: the smallest document of a window decides for all others. Three levels keep the shuffles small
-without losing a window:
+Windows of ``width`` words are hashed by Rabin-Karp (prefix sums of a polynomial, two lanes of 64 bits) and counted in
+Spark: the smallest document of a window decides for all others. Three levels keep the shuffles small without losing
+a window:
 
-1. *Chunks.* A text is cut where a hash of four words says so; a chunk is hashed with the ``width - 1`` words after it,
-   so equal chunks start equal windows. A chunk that a smaller document holds settles all its windows at once, and
+1. *Chunks.* A text is cut where a hash of a few words says so; a chunk is hashed with the ``width - 1`` words after
+   it, so equal chunks start equal windows. A chunk that a smaller document holds settles all its windows at once, and
    these windows need not be counted again: the smaller document's own do that.
-2. *Anchors.* Every window left names its smallest four-word hash. Equal windows name the same one, so a window whose
-   anchor is found in one document only is unique.
+2. *Anchors.* Every window left names its smallest hash of a few words. Equal windows name the same one, so a window
+   whose anchor is found in one document only is unique.
 3. *Windows.* The rest are counted by their hashes.
 
-All levels aggregate before they join, so a passage in a third of all documents is no hot spot: partial aggregates
-combine it, and the joins are of the kind that Spark splits when skewed.
+Each batch of documents is counted before it is shuffled: for a key, only the batch's smallest document goes to the
+key's task; what repeats within the batch is known at once and is dealt by document. So a passage in a third of all
+documents sends one row a batch to its task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import materialise
-from marketloom.llm.shingles import WordHashes, mixed, rolling, split_words
+from marketloom.llm.shingles import mixed, rolling
 
 WIDTH = 13
-GRAM = 4
+GRAM = 3
 CHUNK = 24
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+#: Bytes of text that are hashed together; a longer text is handled by itself.
+ROOM = 262_144
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 class Powers:
@@ -43,44 +49,61 @@ class Powers:
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << (n - 1).bit_length()
-            first = np.uint64(1)
-            steps = lambda b: np.cumprod(np.concatenate([[first], np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
+            steps = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)]), dtype=np.uint64)
             self.up, self.down = steps(self.base), steps(self.inverse)
         return self.up[:n], self.down[:n]
 
 
+POWERS = [Powers(b) for b in BASES]
+
+
+def prefix_sums(values: np.ndarray, powers: Powers) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Rabin-Karp: a function that hashes ``values[start:end]`` for arrays of starts and ends."""
+    up, down = powers.of(len(values) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down[:-1], dtype=np.uint64)])
+    return lambda starts, ends: mixed((sums[ends] - sums[starts]) * up[starts])
+
+
 class Windows:
-    """Chunks, anchors and window hashes of one text."""
+    """Words, chunks, anchors and windows of some texts laid end to end; windows never cross texts.
 
-    powers = [Powers(b) for b in BASES]
+    Windows are numbered through; ``text`` and ``place`` give each one's text and first word in it.
+    """
 
-    def __init__(self, text: str | None, memo: WordHashes, width: int):
-        self.words, self.width = split_words(text), width
-        hashes = memo.of(self.words)
-        self.n = max(0, len(hashes) - width + 1)
-        if not self.n:
+    def __init__(self, texts: list[bytes], width: int):
+        self.width = width
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        space = SPACE[raw]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+        first = np.searchsorted(starts, offsets)  # first word of each text
+        self.counts = np.diff(first)
+        of_text = np.maximum(self.counts - width + 1, 0)
+        self.text = np.repeat(np.arange(len(texts)), of_text)
+        self.first_window = np.cumsum(of_text) - of_text
+        self.place = np.arange(of_text.sum()) - self.first_window[self.text]
+        self.word = first[self.text] + self.place
+        if not len(self.word):
             return
-        self.sums = []
-        for k, p in enumerate(self.powers):
-            up, down = p.of(len(hashes) + 1)
-            lane = hashes if k == 0 else mixed(hashes)
-            self.sums.append((np.concatenate([[np.uint64(0)], np.cumsum(lane * down[:-1], dtype=np.uint64)]), up))
+        hashes = prefix_sums(BYTE[raw], POWERS[2])(starts, ends)
+        self.lanes = [prefix_sums(h, p) for h, p in zip((hashes, mixed(hashes ^ BYTE[0])), POWERS)]
         self.grams = mixed(rolling(hashes, GRAM))
+        cut = self.grams[self.word] % np.uint64(CHUNK) == 0
+        cut[self.place == 0] = True
+        self.chunk_first = np.flatnonzero(cut)
+        self.chunk_text = self.text[self.chunk_first]
+        self.chunk_count = np.bincount(self.chunk_text, minlength=len(texts))
+        self.chunk_base = np.cumsum(self.chunk_count) - self.chunk_count
 
     def hashed(self, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        """Two lanes of hashes of the words from each start to its end."""
-        return [mixed((s[ends] - s[starts]) * up[starts]).view(np.int64) for s, up in self.sums]
+        return [lane(starts, ends).view(np.int64) for lane in self.lanes]
 
-    def chunks(self) -> np.ndarray:
-        """First window of every chunk."""
-        cut = self.grams[: self.n] % np.uint64(CHUNK) == 0
-        cut[0] = True
-        return np.flatnonzero(cut)
-
-    def chunk_hashes(self) -> list[np.ndarray]:
-        starts = self.chunks()
-        ends = np.append(starts[1:], self.n) + (self.width - 1)
-        return self.hashed(starts, ends)
+    def chunks(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Text, hashes and number in the text of every chunk."""
+        last = np.append(self.chunk_first[1:], len(self.word)) - 1
+        hashes = self.hashed(self.word[self.chunk_first], self.word[last] + self.width)
+        return self.chunk_text, hashes, np.arange(len(self.chunk_first)) - self.chunk_base[self.chunk_text]
 
     def anchors(self) -> np.ndarray:
         """The smallest hash of ``GRAM`` words in each window."""
@@ -89,67 +112,104 @@ class Windows:
             step = min(have, need - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
-        return least.view(np.int64)
+        return least[self.word].view(np.int64)
 
-    def open(self, settled: list[int] | None) -> np.ndarray:
+    def open(self, settled: list[list[int] | None]) -> np.ndarray:
         """Which windows are in chunks that are not settled."""
-        left = np.ones(self.n, bool)
-        if settled:
-            starts = self.chunks()
-            ends = np.append(starts[1:], self.n)
-            for k in settled:
-                left[starts[k] : ends[k]] = False
-        return left
-
-    def intervals(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maximal runs of words covered by repeated windows, as starts and ends."""
-        change = np.zeros(len(self.words) + 1, np.int64)
-        at = np.flatnonzero(repeated)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + self.width, -1)
-        covered = np.concatenate([[0], (np.cumsum(change)[:-1] > 0).astype(np.int8), [0]])
-        edge = np.diff(covered)
-        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            yield batch.slice(at, 256)
-
-
-def _per_row(names: list[str], lengths: list[int], part: pa.RecordBatch, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """``doc_id`` and ``row`` of ``part``, each repeated ``lengths`` times, beside the columns."""
-    index = pa.array(np.repeat(np.arange(part.num_rows), lengths))
-    own = [part.column(c).take(index) for c in ("doc_id", "row")]
-    return pa.RecordBatch.from_arrays([*own, *(pa.array(c) for c in columns)], ["doc_id", "row", *names])
-
-
-def _emit(docs: DataFrame, width: int, schema: str, names: list[str], of_text) -> DataFrame:
-    """Rows made from each text: ``of_text(windows, row as dict)`` gives one array for each of ``names``."""
+        done = np.zeros(len(self.chunk_first), bool)
+        for t, chunks in enumerate(settled):
+            if chunks and self.chunk_count[t]:
+                done[self.chunk_base[t] + np.asarray(chunks)] = True
+        return ~np.repeat(done, np.diff(np.append(self.chunk_first, len(self.word))))
+
+
+def intervals(n_words: int, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of words covered by the windows at these places, as starts and ends."""
+    change = np.zeros(n_words + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + width, -1)
+    covered = np.concatenate([[0], (np.cumsum(change)[:-1] > 0).astype(np.int8), [0]])
+    edge = np.diff(covered)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes], dict[str, list]]]:
+    """Rows of a batch in groups of bounded size: their numbers, their texts, and their lists by column."""
+    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+    lists = {c: batch.column(c).to_pylist() for c in ("chunk", "anchor", "at") if c in batch.schema.names}
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= ROOM):
+            size += len(texts[end]) + 1
+            end += 1
+        yield np.arange(at, end), texts[at:end], {c: v[at:end] for c, v in lists.items()}
+        at = end
+
+
+def _counted(rows: list[list[np.ndarray]], ids: np.ndarray, n_keys: int, shared: bool) -> tuple[np.ndarray, ...]:
+    """Count a batch's rows (row of the batch, keys, value): what is known already, and what must be asked.
+
+    The rows of each key's smallest document are asked for. A row is known if a smaller document of the batch has its
+    key; with ``shared``, if any other does. Known rows get a key of their own document, so that they spread.
+    """
+    row, *rest = (np.concatenate([r[k] for r in rows]) for k in range(len(rows[0])))
+    keys, values = rest[:n_keys], rest[n_keys:]
+    doc = ids[row]
+    order = np.lexsort((doc, *keys))
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    if len(new):
+        new[0] = True
+    group = np.cumsum(new) - 1
+    sorted_doc = doc[order]
+    starts = np.flatnonzero(new)
+    least = sorted_doc[starts][group]
+    most = sorted_doc[np.append(starts[1:], len(order)) - 1][group]
+    known = np.empty(len(order), bool)
+    known[order] = (least < most) if shared else (sorted_doc > least)
+    ask = np.empty(len(order), bool)
+    ask[order] = sorted_doc == least
+    at = np.concatenate([np.flatnonzero(known), np.flatnonzero(ask)])
+    flag = np.arange(len(at)) < known.sum()
+    spread = mixed(doc[at].astype(np.uint64)).view(np.int64)
+    return (row[at], flag, *(np.where(flag, spread, k[at]) for k in keys), *(v[at] for v in values))
+
+
+def _emit(docs: DataFrame, width: int, keys: list[str], value: str | None, make, shared: bool = False) -> DataFrame:
+    """``doc_id, row, known``, keys and value of what ``make(windows, lists)`` gives: texts' numbers, keys, values."""
+    names = [*keys, *([value] if value else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for part in _rows(batches):
-            found = []
-            for row in part.to_pylist():
-                w = Windows(row["text"], memo, width)
-                found.append(of_text(w, row) if w.n else [np.empty(0, np.int64)] * len(names))
-            columns = [np.concatenate([f[k] for f in found]) for k in range(len(names))]
-            yield _per_row(names, [len(f[0]) for f in found], part, columns)
-
-    return docs.mapInArrow(run, f"doc_id long, row long, {schema}")
-
-
-def _earlier(keys: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of ``keys`` whose key is also in a document of smaller id."""
-    first = keys.groupBy(*by).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    return keys.join(first.drop("last"), by).filter("doc_id > first")
+        for batch in batches:
+            rows = []
+            for numbers, texts, lists in _groups(batch):
+                w = Windows(texts, width)
+                if len(w.word):
+                    text, *columns = make(w, lists)
+                    rows.append([numbers[text], *columns])
+            if not rows:
+                continue
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            row, known, *columns = _counted(rows, ids, len(keys), shared)
+            index = pa.array(row)
+            own = [batch.column(c).take(index) for c in ("doc_id", "row")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(known), *map(pa.array, columns)], ["doc_id", "row", "known", *names])
+
+    return docs.mapInArrow(run, "doc_id long, row long, known boolean, " + ", ".join(f"{c} long" for c in names))
 
 
 def _lists(rows: DataFrame, column: str) -> DataFrame:
     """One row a text: its own values of ``column``."""
-    return rows.groupBy("doc_id", "row").agg(F.collect_list(column).alias(column))
+    return rows.groupBy("doc_id", "row").agg(F.collect_set(column).alias(column))
+
+
+def _earlier(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """For each text the values whose key is also in a document of smaller id."""
+    first = F.min("doc_id").over(W.partitionBy("known", *keys))
+    return _lists(rows.withColumn("first", first).filter("known or doc_id > first"), column)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -161,64 +221,74 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     A word goes if a window of ``width`` words over it also starts in a document of smaller id; windows are judged on
     the input. Words are taken unchanged. Null and blank texts have no words; texts of fewer than ``width`` words lose
     none. Documents of equal id don't remove one another's words; a row without an id neither loses words nor makes
-    others lose any. An empty table gives no rows. Windows are compared by 128 bits.
+    others lose any. An empty table gives no rows. Windows are compared by 128 bits; rows that repeat an id are told
+    apart by length and 16 bits of a hash.
     """
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("row"),
-        F.col("text").cast("string").alias("text"),
-    )
-    named = texts.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    tell = F.coalesce(F.length("text"), F.lit(0)).cast("long") * 65536 + F.pmod(F.xxhash64("text"), F.lit(65536))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tell.alias("row"), F.col("text").cast("string").alias("text"))
+    texts = every.filter(F.col("doc_id").isNotNull())
 
-    def of_chunks(w: Windows, row: dict) -> list[np.ndarray]:
-        a, b = w.chunk_hashes()
-        return [a, b, np.arange(len(a))]
+    def of_chunks(w: Windows, lists: dict) -> tuple:
+        text, hashes, number = w.chunks()
+        return text, *hashes, number
 
-    chunks = _emit(named, width, "a long, b long, chunk long", ["a", "b", "chunk"], of_chunks)
-    settled = materialise(_lists(_earlier(chunks, ["a", "b"]), "chunk"), "chunks")
+    settled = materialise(_earlier(_emit(texts, width, ["a", "b"], "chunk", of_chunks), ["a", "b"], "chunk"), "chunks")
 
-    dealt = texts.repartition("doc_id", "row")
     key = ["doc_id", "row"]
-    rest = dealt.join(settled, key, "left")
+    rest = texts.repartition(*key).join(settled, key, "left")  # one shuffle of the texts serves all that follows
 
-    def of_anchors(w: Windows, row: dict) -> list[np.ndarray]:
-        return [np.unique(w.anchors()[w.open(row["chunk"])])]
+    def of_anchors(w: Windows, lists: dict) -> tuple:
+        at = np.flatnonzero(w.open(lists["chunk"]))
+        text, anchor = w.text[at], w.anchors()[at]
+        once = np.unique(np.column_stack([text, anchor]), axis=0) if len(at) else np.empty((0, 2), np.int64)
+        return once[:, 0], once[:, 1], once[:, 1]
 
-    anchors = _emit(rest.filter("doc_id is not null"), width, "anchor long", ["anchor"], of_anchors)
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    shared = _lists(anchors.join(shared.select("anchor"), "anchor"), "anchor")
+    anchors = _emit(rest, width, ["key"], "anchor", of_anchors, shared=True)
+    both = W.partitionBy("known", "key")
+    counted = anchors.withColumns({"first": F.min("doc_id").over(both), "last": F.max("doc_id").over(both)})
+    shared = _lists(counted.filter("known or first < last"), "anchor")
 
-    def of_windows(w: Windows, row: dict) -> list[np.ndarray]:
-        maybe = w.open(row["chunk"]) & np.isin(w.anchors(), np.asarray(row["anchor"], np.int64))
-        at = np.flatnonzero(maybe)
-        return [*w.hashed(at, at + width), at]
+    def of_windows(w: Windows, lists: dict) -> tuple:
+        left, anchors = w.open(lists["chunk"]), w.anchors()
+        for t, mine in enumerate(lists["anchor"]):
+            at = slice(w.first_window[t], w.first_window[t] + max(0, w.counts[t] - width + 1))
+            left[at] &= np.isin(anchors[at], np.asarray(mine or [], np.int64))
+        at = np.flatnonzero(left)
+        return w.text[at], *w.hashed(w.word[at], w.word[at] + width), w.place[at]
 
-    likely = rest.join(shared, key)
-    windows = _emit(likely, width, "a long, b long, at long", ["a", "b", "at"], of_windows)
-    repeated = _lists(_earlier(windows, ["a", "b"]), "at")
+    repeated = _earlier(_emit(rest.join(shared, key), width, ["a", "b"], "at", of_windows), ["a", "b"], "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for part in _rows(batches):
-            out = {k: [] for k in ("doc_id", "n_words", "n_removed", "starts", "ends", "kept")}
-            for row in part.to_pylist():
-                words = split_words(row["text"])
-                starts = ends = np.empty(0, np.int64)
-                if row["chunk"] or row["at"]:
-                    w = Windows(row["text"], memo, width)
-                    gone = ~w.open(row["chunk"])
-                    gone[row["at"] or []] = True
-                    starts, ends = w.intervals(gone)
-                kept, before = [], 0
-                for s, e in zip(starts, ends, strict=True):
-                    kept += words[before:s]
-                    before = e
-                kept += words[before:]
-                values = (row["doc_id"], len(words), int((ends - starts).sum()), starts, ends, b" ".join(kept).decode())
-                for k, v in zip(out, values, strict=True):
-                    out[k].append(v)
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
-
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for numbers, texts, lists in _groups(batch):
+                out = {k: [] for k in ("doc_id", "n_words", "n_removed", "starts", "ends", "kept")}
+                touched = [t for t in range(len(texts)) if lists["chunk"][t] or lists["at"][t]]
+                gone = {}
+                if touched:
+                    w = Windows([texts[t] for t in touched], width)
+                    shut = ~w.open([lists["chunk"][t] for t in touched])
+                    for k, t in enumerate(touched):
+                        at = np.flatnonzero(shut[w.first_window[k] : w.first_window[k] + max(0, w.counts[k] - width + 1)])
+                        gone[t] = np.concatenate([at, np.asarray(lists["at"][t] or [], np.int64)])
+                for t, text in enumerate(texts):
+                    words = text.split()
+                    starts = ends = np.empty(0, np.int64)
+                    if t in gone:
+                        starts, ends = intervals(len(words), gone[t], width)
+                    kept, before = [], 0
+                    for s, e in zip(starts, ends, strict=True):
+                        kept += words[before:s]
+                        before = e
+                    kept = kept + words[before:] if before else words
+                    values = (ids[numbers[t]], len(words), int((ends - starts).sum()), starts, ends, b" ".join(kept).decode("utf-8", "surrogatepass"))
+                    for k, v in zip(out, values, strict=True):
+                        out[k].append(v)
+                kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+
+    nameless = every.filter(F.col("doc_id").isNull())
+    none = lambda c: F.lit(None).cast("array<long>").alias(c)
+    last = rest.join(repeated, key, "left").select("doc_id", "text", "chunk", "at")
     schema = "doc_id long, n_words long, n_removed long, starts array<long>, ends array<long>, kept string"
-    return rest.join(repeated, key, "left").mapInArrow(run, schema)
+    return last.unionByName(nameless.select("doc_id", "text", none("chunk"), none("at"))).mapInArrow(run, schema)

@@ -2,8 +2,7 @@ import random
 
 import numpy as np
 
-from marketloom.llm.shingles import WordHashes
-from marketloom.llm.substrings import Windows, remove_repeats
+from marketloom.llm.substrings import Windows, intervals, remove_repeats
 from tests.llm.helpers import ODD_TEXTS, empty_docs, odd_docs
 
 
@@ -51,13 +50,16 @@ def test_random_texts(spark):
 
 
 def test_hashes_depend_on_the_words_alone():
-    memo = WordHashes()
-    a = Windows(" ".join(f"w{i}" for i in range(100)), memo, 13)
-    b = Windows("x y z " + " ".join(f"w{i}" for i in range(20, 100)), memo, 13)
-    at = np.arange(a.n)
-    left, right = a.hashed(at, at + 13), b.hashed(np.arange(b.n), np.arange(b.n) + 13)
-    for x, y in zip(left, right):
-        assert list(x[20:]) == list(y[3:]) and len(set(x)) == len(x)
+    words = [f"w{i}" for i in range(100)]
+    w = Windows([" ".join(words).encode(), b"", b"  x y\tz " + " ".join(words[20:]).encode(), b"few"], 13)
+    assert list(w.counts) == [100, 0, 83, 1]
+    lanes = w.hashed(w.word, w.word + 13)
+    for lane in (*lanes, w.anchors()):
+        left, right = lane[w.text == 0], lane[w.text == 2]
+        assert list(left[20:]) == list(right[3:])
+    assert all(len(set(lane[w.text == 0])) == 88 for lane in lanes)
+    least, most = intervals(100, np.array([3, 10, 60]), 13)
+    assert list(least) == [3, 60] and list(most) == [23, 73]
 
 
 def test_odd_rows(spark):
