@@ -150,11 +150,13 @@ def clean_title(c: str | Column, markup: bool = True) -> Column:
 
 def distinct_lines(c: str | Column) -> Column:
     """T10. Lines in order, each once, however its letters are cased; blank lines go."""
-    lines = F.transform(F.split(text_or_empty(c), "\n"), F.trim)
+    lines = F.transform(F.split(text_or_empty(c), "\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: x != "")
-    seen = F.transform(kept, F.lower)
-    first = F.filter(F.transform(kept, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: F.array_position(seen, F.lower(s["x"])) == s["i"] + 1)
-    return F.array_join(F.transform(first, lambda s: s["x"]), "\n")
+    pairs = F.transform(kept, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x")))
+    ordered = F.sort_array(pairs)
+    first = F.filter(ordered, lambda s, j: (j == 0) | (F.get(ordered, j - 1)["k"] != s["k"]))
+    back = F.sort_array(F.transform(first, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"))))
+    return F.array_join(F.transform(back, lambda s: s["x"]), "\n")
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"

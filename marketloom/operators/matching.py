@@ -138,14 +138,14 @@ def extract_skills(df: DataFrame, id_col: str, text_col: str, dim: DataFrame, de
     """
     if default not in ("required", "preferred", "mentioned"):
         raise ValueError("default must be required, preferred or mentioned")
-    texts = df.select(F.col(id_col), extraction_text(text_col, markup).alias("_text")).withColumn("_low", F.lower("_text"))
+    texts = df.select(F.col(id_col), extraction_text(text_col, markup).alias("_text")).withColumn("_low", F.lower("_text")).withColumn("_marks", F.translate("_low", ".;", "\n\n"))
     hits = texts.join(F.broadcast(dim.withColumn("pattern", whole_word(F.col("alias")))), F.expr("contains(_low, alias) AND rlike(_low, pattern)"))
     # the text is split at the finds; one pass over the parts sums up where each find starts
     size = F.length("alias")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     step = lambda acc, x: F.struct((acc["at"] + F.length(x) + size).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(x))).alias("out"))
     starts = F.aggregate(F.expr("split(_low, pattern, -1)"), zero, step, lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1))
-    places = hits.select(id_col, "id", "name", "alias_ord", "_text", "_low", F.translate("_low", ".;", "\n\n").alias("_marks"), size.alias("n"), F.explode_outer(starts).alias("at")).filter("at is not null")
+    places = hits.select(id_col, "id", "name", "alias_ord", "_text", "_low", "_marks", size.alias("n"), F.explode_outer(starts).alias("at")).filter("at is not null")
     before = F.expr("substring_index(substring(_marks, 1, at), '\\n', -1)")
     after = F.expr("substring_index(substring(_marks, at + n + 1), '\\n', 1)")
     level = requirement_level(F.concat(before, F.expr("substring(_low, at + 1, n)"), after), default)

@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+def rounded(df: DataFrame, places: int = 8) -> DataFrame:
     """Doubles rounded, as sums in another order differ in their last bits."""
     return df.withColumns({c: F.round(c, places) for c, kind in df.dtypes if kind == "double"})
 
@@ -60,7 +60,7 @@ select career_id, province, work_mode, skill_id, skill_name, count(*) as skill_p
 """
 
 
-@query("A1_demand_summary", f"select * replace (round(average_confidence, 4) as average_confidence, round(salary_median_vnd, 4) as salary_median_vnd) from ({DEMAND}) d")
+@query("A1_demand_summary", f"select * replace (round(average_confidence, 8) as average_confidence, round(salary_median_vnd, 8) as salary_median_vnd) from ({DEMAND}) d")
 def _(r):
     return rounded(A.demand_summary(r["jobs"], "seq"))
 
@@ -70,7 +70,7 @@ def _(r):
     return A.skill_matrix(r["skills"])
 
 
-@query("A3_skill_share", f"select m.*, d.posting_count, round(skill_posting_count / d.posting_count, 4) as share_of_career_jobs from ({MATRIX}) m left join ({DEMAND}) d on m.career_id is not distinct from d.career_id and m.province is not distinct from d.province and m.work_mode is not distinct from d.work_mode")
+@query("A3_skill_share", f"select m.*, d.posting_count, round(skill_posting_count / d.posting_count, 8) as share_of_career_jobs from ({MATRIX}) m left join ({DEMAND}) d on m.career_id is not distinct from d.career_id and m.province is not distinct from d.province and m.work_mode is not distinct from d.work_mode")
 def _(r):
     return rounded(A.skill_share(A.skill_matrix(r["skills"]), A.demand_summary(r["jobs"], "seq")))
 
@@ -123,7 +123,7 @@ def _(r):
 
 @query("A9_simple_matrix", f"""
 with s as (select distinct career_id, skill_id, job_id from ({SKILLS}) x)
-select career_id, skill_id, count(*) as skill_jobs, career_jobs, round(count(*) / career_jobs, 4) as share from s join (select career_id, count(distinct job_id) as career_jobs from s group by 1) c using (career_id) group by career_id, skill_id, career_jobs""")
+select career_id, skill_id, count(*) as skill_jobs, career_jobs, round(count(*) / career_jobs, 8) as share from s join (select career_id, count(distinct job_id) as career_jobs from s group by 1) c using (career_id) group by career_id, skill_id, career_jobs""")
 def _(r):
     return rounded(A.simple_matrix(r["skills"]))
 
@@ -427,6 +427,12 @@ DIM_SQL = "select alias as id, alias as name, alias, entity_ord from (values " +
 BOUND = r"'(^|[^\p{L}\p{N}_])' || alias || '($|[^\p{L}\p{N}_])'"
 
 
+def named(columns: str, text: str, rows: str) -> str:
+    """Rows whose text names an alias, alias by alias, so that DuckDB compiles each pattern once."""
+    parts = [rf"select {columns}, '{a}' as skill_id from {rows} where contains({text}, '{a}') and regexp_matches({text}, '(^|[^\p{{L}}\p{{N}}_]){a}($|[^\p{{L}}\p{{N}}_])')" for a in ALIASES]
+    return " union all ".join(parts)
+
+
 def _dim(r: Roles) -> DataFrame:
     rows = [(a, a, [a], k) for k, a in enumerate(ALIASES)]
     return M.alias_dim(r.spark.createDataFrame(rows, "id string, name string, aliases array<string>, entity_ord int"))
@@ -452,7 +458,7 @@ def _(r):
 
 @query("M3_match_fuzzy")
 def _(r):
-    dim = r.sql("select distinct p_name as id, p_name as name, reverse(p_name) || ' ' || p_name as alias, 0 as entity_ord, 0 as alias_ord from part")
+    dim = r.sql("select distinct p_name as id, p_name as name, p_name as alias, 0 as entity_ord, 0 as alias_ord from part")
     return M.match_fuzzy(r.sql("select distinct p_name || 's' as title from part"), dim)
 
 
@@ -461,7 +467,7 @@ def _(r):
     return M.match_career(r["posts"].select("doc_id", "title"), "title", _dim(r), markup=False)
 
 
-@query("M5_extract_skills", f"with d as ({DIM_SQL}) select doc_id, id as skill_id from documents join d on contains(lower(text), alias) and regexp_matches(lower(text), {BOUND})")
+@query("M5_extract_skills", named("doc_id", "t", "(select doc_id, lower(text) as t from documents) d"))
 def _(r):
     return M.extract_skills(r.table("documents"), "doc_id", "text", _dim(r), markup=False).select("doc_id", "skill_id")
 
@@ -479,7 +485,7 @@ def _(r):
     return r.table("events").select("event_id", M.requirement_level(said, "mentioned").alias("l")).select("event_id", "l.*")
 
 
-@query("M8_skills_from_tags", f"with d as ({DIM_SQL}) select distinct doc_id, id as skill_id from (select doc_id, unnest(string_split(lower(text), chr(10))) as tag from documents) t join d on contains(tag, alias) and regexp_matches(tag, {BOUND})")
+@query("M8_skills_from_tags", "with t as materialized (select distinct doc_id, unnest(string_split(lower(text), chr(10))) as tag from documents) select distinct doc_id, skill_id from (" + named("doc_id", "tag", "t") + ") x")
 def _(r):
     tags = r.table("documents").withColumn("tags", F.split("text", "\n"))
     return M.extract_skills_from_tags(tags, "doc_id", "tags", _dim(r)).select("doc_id", "skill_id")
