@@ -1,7 +1,8 @@
 """License scans: short notices found with a bounded number of errors.
 
 A notice of which at most ``k`` characters are inserted, deleted or replaced still holds one of its ``k + 1`` pieces
-unchanged (the pigeonhole principle). The pieces are searched exactly; around each find, the regex library's
+unchanged (the pigeonhole principle). The pieces are searched exactly. As an edit spoils at most three of the notice's
+runs of three characters, all but ``3 k`` of these must be near a find; where they are, the regex library's
 bounded-error matching decides and gives span and edits. Texts are compared as their lower-cased words, joined by
 single spaces, so that line breaks and punctuation cost nothing.
 """
@@ -47,6 +48,7 @@ class Notice:
         self.text, self.label, self.errors = text, label, errors
         cut = [len(text) * k // (errors + 1) for k in range(errors + 2)]
         self.pieces = [(text[a:b].encode(), a) for a, b in zip(cut, cut[1:])]
+        self.runs = [text[i : i + 3].encode() for i in range(len(text) - 2)]
         self.pattern = regex.compile(f"(?:{regex.escape(text)}){{e<={errors}}}", regex.BESTMATCH)
 
     def regions(self, plain: bytes) -> list[list[int]]:
@@ -68,6 +70,8 @@ class Notice:
     def matches(self, plain: bytes) -> Iterator[tuple[int, int, int]]:
         """Start and end in bytes, and edits."""
         for a, b in self.regions(plain):
+            if sum(run in plain[a:b] for run in self.runs) < len(self.runs) - 3 * self.errors:
+                continue
             part = plain[a:b].decode("utf-8", "ignore")
             skipped = len(plain[a:b]) - len(part.encode())  # a character cut at the region's start
             for m in self.pattern.finditer(part):
