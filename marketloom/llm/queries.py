@@ -91,10 +91,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic = labels.filter("toxic = 1").select("doc_id")
     for _ in range(2):
         ledger.commit("takedown", event(ledger.state().join(toxic, "doc_id", "left_semi"), "delete"))
-    bad = labels.filter("quality = 0").select("doc_id").join(ledger.state().select("doc_id").distinct(), "doc_id", "left_semi")
+    # texts that repeat a line are found and counted where they are read; only counts meet the labels
     once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    recounted = docs.join(bad, "doc_id", "left_semi").withColumn("text", once)
-    ledger.commit("lines-once", event(count_tokens(recounted, tokenizers), "revise"))
+    recounted = count_tokens(docs.withColumn("_once", once).filter("_once <> text").withColumn("text", F.col("_once")), tokenizers)
+    bad = labels.filter("quality = 0").select("doc_id").join(toxic, "doc_id", "left_anti").distinct()
+    ledger.commit("lines-once", event(recounted.join(bad, "doc_id", "left_semi"), "revise"))
     return ledger.totals()
 
 

@@ -114,6 +114,8 @@ class Ledger:
         if not self.committed().filter(F.col("batch") == batch).isEmpty():
             return False
         entries = f"{self.root}/signed/batch={batch}"
+        events.select(*(f.split()[0] for f in EVENT.split(", "))).write.mode("overwrite").parquet(f"{self.root}/events/batch={batch}")
+        events = self.spark.read.schema(EVENT).parquet(f"{self.root}/events/batch={batch}")  # counted once
         self.signed(events).write.mode("overwrite").parquet(entries)
         rows = self.spark.read.schema(SIGNED).parquet(entries)
         sums = rows.groupBy("source", "lang", "tokenizer").agg(
