@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def typed(df: DataFrame, name: str, kind: str) -> Column:
+    """The column as ``kind``; bare if it is so already, as a needless alias keeps Spark from sharing a shuffle."""
+    return F.col(name) if dict(df.dtypes)[name] == kind else F.col(name).cast(kind).alias(name)
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``value`` computed once, although ``v`` is used in inner lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

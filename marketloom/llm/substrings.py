@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import materialise
+from marketloom.llm.common import materialise, typed
 from marketloom.llm.shingles import mixed, rolling
 
 WIDTH = 13
@@ -117,9 +117,9 @@ class Windows:
     def open(self, settled: list[list[int] | None]) -> np.ndarray:
         """Which windows are in chunks that are not settled."""
         done = np.zeros(len(self.chunk_first), bool)
-        for t, chunks in enumerate(settled):
-            if chunks and self.chunk_count[t]:
-                done[self.chunk_base[t] + np.asarray(chunks)] = True
+        for t, runs in enumerate(settled):
+            if runs and self.chunk_count[t]:
+                done[self.chunk_base[t] + _unfolded(runs)] = True
         return ~np.repeat(done, np.diff(np.append(self.chunk_first, len(self.word))))
 
 
@@ -147,14 +147,39 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes], di
         at = end
 
 
+#: A run of values is one number: the first value times RUN, and how many follow one another (less than RUN).
+RUN = 4096
+
+
+def _runs(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and runs of the values that follow one another in a row."""
+    new = np.ones(len(value), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1] + 1)
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, len(value)))
+    pieces = -(-length // (RUN - 1))  # long runs are cut
+    at = np.repeat(start, pieces) + (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * (RUN - 1)
+    size = np.minimum(np.repeat(start + length, pieces) - at, RUN - 1)
+    return row[at], value[at] * RUN + size
+
+
+def _unfolded(runs: list[int] | None) -> np.ndarray:
+    """All values of some runs."""
+    if not runs:
+        return np.empty(0, np.int64)
+    first, size = np.divmod(np.asarray(runs, np.int64), RUN)
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _counted(rows: list[list[np.ndarray]], ids: np.ndarray, n_keys: int, shared: bool) -> tuple[np.ndarray, ...]:
     """Count a batch's rows (row of the batch, keys, value): what is known already, and what must be asked.
 
     The rows of each key's smallest document are asked for. A row is known if a smaller document of the batch has its
-    key; with ``shared``, if any other does. Known rows get a key of their own document, so that they spread.
+    key; with ``shared``, if any other does. Known rows get their own document as key, so that they spread. But for
+    ``shared``, values are runs, and known values that follow one another are one row.
     """
     row, *rest = (np.concatenate([r[k] for r in rows]) for k in range(len(rows[0])))
-    keys, values = rest[:n_keys], rest[n_keys:]
+    keys, value = rest[:n_keys], rest[n_keys]
     doc = ids[row]
     order = np.lexsort((doc, *keys))
     new = np.zeros(len(order), bool)
@@ -172,15 +197,21 @@ def _counted(rows: list[list[np.ndarray]], ids: np.ndarray, n_keys: int, shared:
     known[order] = (least < most) if shared else (sorted_doc > least)
     ask = np.empty(len(order), bool)
     ask[order] = sorted_doc == least
-    at = np.concatenate([np.flatnonzero(known), np.flatnonzero(ask)])
-    flag = np.arange(len(at)) < known.sum()
-    spread = mixed(doc[at].astype(np.uint64)).view(np.int64)
-    return (row[at], flag, *(np.where(flag, spread, k[at]) for k in keys), *(v[at] for v in values))
-
-
-def _emit(docs: DataFrame, width: int, keys: list[str], value: str | None, make, shared: bool = False) -> DataFrame:
+    told, asked = np.flatnonzero(known), np.flatnonzero(ask)
+    if shared:
+        row_told, value_told, value_asked = row[told], value[told], value[asked]
+    else:
+        row_told, value_told = _runs(row[told], value[told])
+        value_asked = value[asked] * RUN + 1
+    flag = np.arange(len(row_told) + len(asked)) < len(row_told)
+    own = ids[row_told]
+    both = lambda a, b: np.concatenate([a, b])
+    return both(row_told, row[asked]), flag, *(both(own, k[asked]) for k in keys), both(value_told, value_asked)
+
+
+def _emit(docs: DataFrame, width: int, keys: list[str], value: str, make, shared: bool = False) -> DataFrame:
     """``doc_id, row, known``, keys and value of what ``make(windows, lists)`` gives: texts' numbers, keys, values."""
-    names = [*keys, *([value] if value else [])]
+    names = [*keys, value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +255,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     others lose any. An empty table gives no rows. Windows are compared by 128 bits; rows that repeat an id are told
     apart by length and 16 bits of a hash.
     """
-    tell = F.coalesce(F.length("text"), F.lit(0)).cast("long") * 65536 + F.pmod(F.xxhash64("text"), F.lit(65536))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tell.alias("row"), F.col("text").cast("string").alias("text"))
+    tell = F.coalesce(F.length("text").cast("long") * 65536 + F.pmod(F.xxhash64("text"), F.lit(65536)), F.lit(0))  # never null, so that no join adds a filter
+    every = docs.select(typed(docs, "doc_id", "bigint"), tell.alias("row"), typed(docs, "text", "string"))
     texts = every.filter(F.col("doc_id").isNotNull())
 
     def of_chunks(w: Windows, lists: dict) -> tuple:
@@ -270,7 +301,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     shut = ~w.open([lists["chunk"][t] for t in touched])
                     for k, t in enumerate(touched):
                         at = np.flatnonzero(shut[w.first_window[k] : w.first_window[k] + max(0, w.counts[k] - width + 1)])
-                        gone[t] = np.concatenate([at, np.asarray(lists["at"][t] or [], np.int64)])
+                        gone[t] = np.union1d(at, _unfolded(lists["at"][t]))
                 for t, text in enumerate(texts):
                     words = text.split()
                     starts = ends = np.empty(0, np.int64)

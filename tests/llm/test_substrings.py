@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from marketloom.llm.substrings import Windows, intervals, remove_repeats
+from marketloom.llm.substrings import Windows, _runs, _unfolded, intervals, remove_repeats
 from tests.llm.helpers import ODD_TEXTS, empty_docs, odd_docs
 
 
@@ -67,3 +67,12 @@ def test_odd_rows(spark):
     rows = found(remove_repeats(docs))
     assert len(rows) == len(ODD_TEXTS) + 3 and rows == brute([(r.doc_id, r.text) for r in docs.collect()], 13)
     assert remove_repeats(empty_docs(spark)).count() == 0
+
+
+def test_runs():
+    row = np.array([0, 0, 0, 2, 2, 3] + [5] * 10_000)
+    value = np.array([4, 5, 9, 10, 11, 12, *range(10_000)])
+    rows, runs = _runs(row, value)
+    back = [(r, v) for r, run in zip(rows, runs) for v in _unfolded([int(run)])]
+    assert back == list(zip(row, value)) and len(runs) == 4 + 3
+    assert list(_unfolded(None)) == []
