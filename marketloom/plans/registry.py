@@ -20,6 +20,7 @@ from marketloom.operators import pages as P
 from marketloom.operators import postings as J
 from marketloom.operators import profiles as C
 from marketloom.plans.demo import Roles, role_sql
+from marketloom.sources.tables import jsonify_complex, split_jobs_skills
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -991,3 +992,136 @@ def _(r):
 def _(r):
     report = A.coverage(r["jobs"], r["skills"], ["source_id"]).withColumn("location_rate", F.col("location_rate") + 1)
     return V.report_reconciled(report, "job_count", ["job_count"], ["career_rate", "location_rate"], "source_id")
+
+
+# more of profiles, learners, sources ------------------------------------------------------------------------------------------
+
+CODES = "select distinct c_mktsegment as career_id, n_name as onetsoc_code from customer join nation on c_nationkey = n_nationkey where c_nationkey < 4"
+TEXTS = f"select j.*, company_name as description_raw from ({JOBS}) j"
+EVIDENCE_TEXTS = f"""
+select career_id, 'posting' as source_type, job_id as reference_id, description_raw as text from ({TEXTS}) j where is_active and career_id is not null and trim(description_raw) <> ''
+union all select career_id, 'occupation', onetsoc_code, concat_ws(chr(10), 'about ' || onetsoc_code, tasks) from ({CODES}) c
+left join (select n_name, string_agg(s_name, chr(10) order by cast(s_suppkey as string)) as tasks from supplier join nation on s_nationkey = n_nationkey group by 1) t on n_name = onetsoc_code
+"""
+
+
+def _evidence_texts(r: Roles) -> DataFrame:
+    occupations = r.sql("select n_name as onetsoc_code, n_name as title, 'about ' || n_name as description from nation")
+    tasks = r.sql("select n_name as onetsoc_code, cast(s_suppkey as string) as task_id, s_name as task, 'Core' as task_type from supplier join nation on s_nationkey = n_nationkey")
+    return C.career_evidence(r.sql(TEXTS), occupations, tasks, r.sql(CODES))
+
+
+@query("C1_career_evidence", EVIDENCE_TEXTS)
+def _(r):
+    return _evidence_texts(r)
+
+
+@query("C2_career_facts", f"""
+select career_id, 'market_skill' as fact_type, skill_id as name, round(skill_posting_count / posting_count, 8) as value, skill_posting_count as sample_size from (
+  select m.*, d.posting_count from ({MATRIX}) m left join ({DEMAND}) d on m.career_id is not distinct from d.career_id and m.province is not distinct from d.province and m.work_mode is not distinct from d.work_mode) x
+union all select c_mktsegment, 'interest', cast(c_nationkey % 6 as string), round(avg(c_nationkey), 3), count(*) from customer group by c_mktsegment, c_nationkey % 6""")
+def _(r):
+    share = A.skill_share(A.skill_matrix(r["skills"]), A.demand_summary(r["jobs"], "seq"))
+    interests = r.sql("select c_mktsegment as career_id, cast(c_nationkey % 6 as string) as element_name, cast(c_nationkey as double) as data_value from customer")
+    return rounded(C.career_facts(share, interests))
+
+
+@query("C5_software_skills", "select p_brand as onetsoc_code, p_name as name, p_size > 25 as in_demand, p_type = 'PROMO' as hot from part")
+def _(r):
+    return C.software_skills(r.sql("select p_brand as onetsoc_code, p_name as workplace_example, case when p_size > 25 then 'Y' else 'N' end as in_demand, case when p_type = 'PROMO' then 'Y' end as hot_technology from part"))
+
+
+SOFT = "select p_brand as career_id, p_name as name, p_size > 40 as in_demand, p_type = 'PROMO' as hot from part"
+RATED = "select p_brand as career_id, p_type as element_name, max(p_retailprice) as importance from part group by 1, 2"
+
+
+@query("C7_top_skills_with_fallback", f"""
+with k as (select career_id, lower(name) as k, min(struct_pack(a := case when in_demand then 0 else 1 end, b := case name when 'red widget' then 1 when 'small ring' then 2 else 1000 end, c := case when hot then 0 else 1 end, name := name)) as o from ({SOFT}) s where (in_demand or hot) and career_id > 'Brand#2' group by 1, 2),
+s as (select career_id, o.name as name, 1 as tier, cast(row_number() over (partition by career_id order by o) as double) as key from k), t as (select * from s where key <= 6 union all select career_id, element_name, 2, -importance from ({RATED}) r where career_id > 'Brand#2'),
+f as (select career_id, name, row_number() over (partition by career_id order by tier, key, name) as rank, case when tier = 1 then 'software' else 'rated' end as origin from t)
+select * from f where rank <= 10 union all select distinct p_brand, 'Known', 1, 'market' from part where p_brand <= 'Brand#2'""")
+def _(r):
+    market = r.sql("select distinct p_brand as career_id, 'Known' as skill_name, 1 as rank from part where p_brand <= 'Brand#2'")
+    return C.top_skills_with_fallback(market, r.sql(SOFT), r.sql(RATED), ["red widget", "small ring"])
+
+
+@query("C8_career_tasks", """
+with t as (select c_mktsegment as career_id, 0 as tier, c_custkey as ord, 'Call ' || c_nationkey as task from customer where c_custkey % 2 = 0 union all select c_mktsegment, case when c_custkey % 3 = 0 then 1 else 2 end, c_custkey, 'call: ' || c_nationkey % 30 from customer),
+k as (select career_id, min(struct_pack(tier := tier, ord := ord, task := task)) as m from t group by career_id, regexp_replace(lower(task), '[^a-z0-9]+', '', 'g'))
+select career_id, row_number() over (partition by career_id order by m) as rank, m.task as task, case when m.tier = 0 then 'posting' else 'occupation' end as origin from k qualify rank <= 10""")
+def _(r):
+    a = r.sql("select c_mktsegment as career_id, c_custkey as ord, 'Call ' || c_nationkey as task from customer where c_custkey % 2 = 0")
+    b = r.sql("select c_mktsegment as career_id, c_custkey as task_id, 'call: ' || c_nationkey % 30 as task, case when c_custkey % 3 = 0 then 'Core' else 'Other' end as task_type from customer")
+    return C.career_tasks(a, b)
+
+
+@query("C9_overlay_translation", "select c_mktsegment as career_id, c_custkey as rank, c_name as task, case when c_custkey % 2 = 0 then 'vi ' || c_name else c_name end as text_vi from customer")
+def _(r):
+    tasks = r.sql("select c_mktsegment as career_id, c_custkey as rank, c_name as task from customer")
+    return C.overlay_translation(tasks, tasks.filter("rank % 2 = 0").withColumn("text_vi", F.concat(F.lit("vi "), "task")))
+
+
+@query("C11_career_profiles", f"""
+with c as (select distinct c_mktsegment as career_id from customer union all select 'NONE'),
+e as (select career_id, count(*) filter (source_type = 'posting') as postings, count(*) filter (source_type = 'occupation') as refs, min_by(text, (case when source_type = 'occupation' then 0 else 1 end, reference_id)) as overview from ({EVIDENCE_TEXTS}) x group by 1),
+m as (select career_id, cast(sum(posting_count) as bigint) as n from ({DEMAND}) d group by 1)
+select career_id, career_id as career_name, coalesce(postings, 0) as postings, coalesce(refs, 0) as "references", coalesce(n, 0) as market_postings, overview,
+       case when postings > 0 then 'market_evidence' when refs > 0 then 'reference_only' else 'insufficient_evidence' end as status, 'v1' as profile_version from c left join e using (career_id) left join m using (career_id)""")
+def _(r):
+    careers = r.sql("select distinct c_mktsegment as career_id, c_mktsegment as career_name from customer union all select 'NONE', 'NONE'")
+    return C.career_profiles(careers, _evidence_texts(r), A.demand_summary(r["jobs"], "seq"), "v1")
+
+
+@query("E4_evidence_self_report", "select cast(c_custkey as string) as student_id, 'INTEREST_' || g as skill_id, v as normalized_value from (select c_custkey, unnest(['A', 'B']) as g, unnest([c_nationkey / 25.0::double, c_custkey % 10 / 10.0::double]) as v from customer) x")
+def _(r):
+    item = lambda g, v: F.struct(F.lit(g).alias("career_group_id"), v.cast("double").alias("interest_score"))
+    scores = F.array(item("A", F.col("c_nationkey") / 25), item("B", F.col("c_custkey") % 10 / 10))
+    rows = r.table("customer").select(F.col("c_custkey").cast("string").alias("student_id"), F.col("c_custkey").alias("report_id"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"), F.transform(scores, lambda s: F.struct(s["career_group_id"].alias("career_group_id"), s["interest_score"].alias("interest_score"), F.lit(1.0).alias("max_score"))).alias("career_interests"))
+    return E.evidence_self_report(rows).select("student_id", "skill_id", "normalized_value")
+
+
+@query("E10_priority_score", "select l_orderkey, l_linenumber, l_partkey, round(l_discount * (l_quantity / 50) * 0.8::double * case when l_returnflag = 'R' then 1.4::double else 1.2::double end * case when l_linestatus = 'O' then 1.0::double else 0.75::double end, 6) as score from lineitem")
+def _(r):
+    score = E.priority_score(F.col("l_discount"), F.col("l_quantity") / 50, F.lit(0.8), F.col("l_returnflag") == "R", F.col("l_linestatus") == "O")
+    return r.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", score.alias("score"))
+
+
+@query("E23_map_interests", "select c_custkey, case when c_mktsegment = 'BUILDING' then 'G_DATA,G_BUILD' when c_mktsegment = 'MACHINERY' then 'G_DATA' else 'G_NONE' end as groups from customer")
+def _(r):
+    tokens = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("Data mining"), "c_mktsegment", F.lit("big DATA"))).when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("data")))
+    groups = E.map_interests(tokens, {"data": "G_DATA", "build": "G_BUILD"}, "G_NONE")
+    return r.table("customer").select("c_custkey", F.array_join(groups, ",").alias("groups"))
+
+
+@query("F6_display_if", """
+with a as (select user_id as submission_id, 'q' || cast(event_id % 3 as string) as question_id, max(event_type) as value from events group by 1, 2), w as (select distinct submission_id from a),
+h as (select w.submission_id, coalesce(q1.value = 'view', false) as eq, q1.value is distinct from 'view' as ne, coalesce(q2.value in ('view', 'signup'), false) as isin from w left join a q1 on q1.submission_id = w.submission_id and q1.question_id = 'q1' left join a q2 on q2.submission_id = w.submission_id and q2.question_id = 'q2')
+select submission_id, 'x' as question_id, eq and isin as is_visible from h union all select submission_id, 'y', ne from h""")
+def _(r):
+    answers = r.sql("select user_id as submission_id, 'q' || cast(event_id % 3 as string) as question_id, max(event_type) as value from events group by 1, 2")
+    rows = [("x", "q1", "equals", "view"), ("x", "q2", "in", "view|signup"), ("y", "q1", "not_equals", "view")]
+    return V.visible(r.spark.createDataFrame(rows, "question_id string, depends_on string, operator string, operand string"), answers)
+
+
+@query("L4_mark_invalid", f"select source_job_id, case when cast(source_job_id as int) % 3 = 0 then 'invalid' else 'new' end as lifecycle_status, cast(source_job_id as int) % 3 <> 0 as is_active from ({FIRST}) f")
+def _(r):
+    at = F.lit("2024-01-02").cast("timestamp")
+    good, bad = L.mark_invalid(r.sql(FIRST).withColumn("collected_at", F.col("collected_at").cast("timestamp")), F.col("source_job_id").cast("int") % 3 == 0, at)
+    return L.with_invalid(L.lifecycle_merge(good, L.empty_state(r.spark), at), bad).select("source_job_id", "lifecycle_status", "is_active")
+
+
+@query("V7_one_version", "select distinct 'one_version:v' as rule, 'orders' as key, o_orderstatus as detail from orders union all select distinct 'one_version:v', 'lineitem', l_linestatus from lineitem")
+def _(r):
+    return V.one_version({"orders": r.sql("select o_orderstatus as v from orders"), "lineitem": r.sql("select l_linestatus as v from lineitem")}, "v")
+
+
+@query("S7_split_jobs_skills", "select cast(o_orderkey as string) as job_id, o_orderpriority as work_mode, l_partkey as skill_id, l_quantity as level from orders join lineitem on o_orderkey = l_orderkey")
+def _(r):
+    nested = r.table("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("skill_id"), F.col("l_quantity").alias("level"))).alias("skills"))
+    jobs = r.table("orders").join(nested, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("job_id"), F.col("o_orderpriority").alias("work_mode"), "o_totalprice", "skills")
+    return split_jobs_skills(jobs)[1]
+
+
+@query("S10_jsonify_complex", """select user_id, '{"first":' || min(event_id) || ',"last":' || max(event_id) || '}' as span from events group by user_id""")
+def _(r):
+    return jsonify_complex(r.table("events").groupBy("user_id").agg(F.struct(F.min("event_id").alias("first"), F.max("event_id").alias("last")).alias("span")))
