@@ -1,8 +1,8 @@
 """Secret scans as DataFrame expressions: patterns with spans, and sliding-window entropy.
 
 Base patterns give the kinds ``assign``, ``access`` and ``hex``. The method adds ``entropy``: over every candidate
-string (a run of 20 or more characters of the base64 alphabets that holds a digit) a window of ``WINDOW`` characters
-slides; the counts of its characters, and with them the sum of ``c * log2(c)``, change by one character in and one
+string (a run of 20 or more characters of the base64 alphabets that holds a digit, or a run of 20 or more letters
+that changes case as random ones do) a window of ``WINDOW`` characters slides; the counts of its characters, and with them the sum of ``c * log2(c)``, change by one character in and one
 out a step. Windows whose Shannon entropy reaches the threshold of the candidate's character class are joined into
 spans. Candidates on the allow-list add nothing; base spans always stay.
 """
@@ -25,20 +25,24 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ["assign", "access", "hex", "entropy"]
 
 WINDOW = 20
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Letters that change case as random ones do: twice, one or two small ones between capitals. Joined words seldom do.
+LETTERS = r"(?<![A-Za-z])(?=(?>[A-Za-z]*?[A-Z][a-z]{1,2}(?=[A-Z])){2})[A-Za-z]{20,}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{20,}}|{LETTERS}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes in order of trial: (name, what a whole candidate looks like, bits a character in a window).
 CLASSES = [
     ("digits", r"^[0-9]+$", math.inf),
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
+    ("letters", r"^[A-Za-z]+$", 3.75),
     ("alphanumeric", r"^[A-Za-z0-9]+$", 3.6),
     ("base64", r"^.*$", 3.7),
 ]
-#: Candidates that are no secrets: UUIDs, counting sequences, words of examples, paths and hyphenated words.
+#: Candidates that are no secrets: UUIDs, counting sequences and words of examples (if no window lies beside them),
+#: paths and hyphenated words (if each is all letters or all digits, and no letters look random).
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"0123456789|(?i:abcdefgh|example|placeholder|changeme|dummy|sample|xxxx)",
-    r"^[/-]?(?:[A-Za-z]+[/_-]|[0-9]+[/_-]){2,}[A-Za-z0-9]*[/=-]?$",
+    rf"^(?:.{{0,{WINDOW - 1}}}?(?:0123456789|(?i:abcdefgh|example|placeholder|changeme|dummy|sample|xxxx)))+.{{0,{WINDOW - 1}}}$",
+    rf"^(?!.*?{LETTERS})[/-]?(?:[A-Za-z]+[/_-]|[0-9]+[/_-]){{2,}}(?:[A-Za-z]*|[0-9]*)[/=-]?$",
 ]
 #: Stands for no character of a text: marks matches in a copy of it. The text's own become the other one.
 MARK, OTHER = "\u0001", "\u0002"

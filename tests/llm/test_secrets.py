@@ -95,3 +95,19 @@ def test_odd_rows(spark):
     rows = S.scan_secrets(odd_docs(spark)).collect()
     assert len(rows) == len(ODD_TEXTS) + 3 and all(r.found == [] for r in rows)
     assert S.scan_secrets(empty_docs(spark)).count() == 0
+
+
+RANDOM, LETTERS = "q7Rk2ZpX9vLm4TbW8sYd3NfH", "qRkZpXvLmTbWsYdNfHgJcEuA"
+
+
+def test_keys_with_prefixes_and_words_of_examples_are_found(spark):
+    keys = [f"sk_live_{RANDOM}", f"sk-proj-{RANDOM}", f"xoxb-123456789012-210987654321-{RANDOM}", f"api/v/{RANDOM}"]
+    keys += [f"{RANDOM}{w}{RANDOM}" for w in ("xxxx", "sample", "DUMMY", "example")] + [f"sample_{RANDOM}", LETTERS, f"sk_live_{LETTERS}", f"a-b-{LETTERS}-1"]
+    safe = ["/usr/local/share/applications/1", "2024-01-02-some-long-hyphenated-words", "AbstractSingletonProxyFactoryBean", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    safe += ["your-key-EXAMPLE-1234567890", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "internationalizations/of/characteristics"]
+    found = spans(spark, [f"see {x} here" for x in keys + safe])
+    for i, key in enumerate(keys):
+        at = 4 + max(key.rfind(RANDOM), key.rfind(LETTERS))
+        assert any(a <= at and b >= at + len(RANDOM) - 1 and kind == "entropy" for a, _, b, kind in found[i]), (key, found[i])
+    for i, text in enumerate(safe):
+        assert found[len(keys) + i] == [], text
