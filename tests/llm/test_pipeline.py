@@ -2,6 +2,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline as P
+from marketloom.llm.mixing import mix_sources
 from marketloom.llm.secrets import scan_secrets
 from tests.llm.helpers import empty_docs, odd_docs
 from tests.llm.test_jaccard import brute
@@ -46,3 +47,18 @@ def test_odd_rows(spark, sf):
         assert P.quality(spark, docs, sf).columns == P.COLUMNS
     twice = odd_docs(spark).filter("doc_id = 8").select(P.COLUMNS)
     assert P.near_copies(spark, twice.unionByName(twice), sf).count() == 1
+
+
+def test_the_last_stage_shows_the_mix_of_several_files(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(P.COLUMNS)
+    written = {r.doc_id: (r.slot, r.in_block) for r in mix_sources(docs, P.PARTS).collect()}
+    P.mixing(spark, docs, sf).repartition(3).write.parquet(str(tmp_path / "mixing"))
+    rows = P.pieces(spark, spark.read.parquet(str(tmp_path / "mixing")), sf).collect()
+    assert {r.doc_id: (r.slot, r.in_block) for r in rows} == written and len({(r.slot, r.in_block) for r in rows}) == len(rows)
+    alike = P.PARTS
+    P.PARTS = dict.fromkeys(alike, 1)
+    try:
+        other = {r.doc_id: (r.slot, r.in_block) for r in P.pieces(spark, docs, sf).collect()}
+    finally:
+        P.PARTS = alike
+    assert other != written
