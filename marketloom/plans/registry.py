@@ -602,6 +602,44 @@ def _(r):
     return A.status_counts(_two_runs(r))
 
 
+#: Runs of equal length that the whole of ``events`` is dealt into.
+WHOLE_RUNS = 6
+
+
+def _all_runs(r: Roles, invalid: bool = False) -> DataFrame:
+    """The state after one merge for each of ``WHOLE_RUNS`` equal ranges of time from the first event to the last."""
+    events = r.table("events").withColumn("_at", F.col("ts").cast("timestamp")).withColumn("_s", F.unix_micros("_at"))
+    low, high = events.agg(F.min("_s"), F.max("_s")).first()
+    low, high = low or 0, high or 0
+    step = (high - low) // WHOLE_RUNS + 1
+    dealt = events.withColumn("_run", F.floor((F.col("_s") - low) / step)).groupBy("_run", F.col("user_id").cast("string").alias("source_job_id"))
+    crawls = dealt.agg(F.lit("e").alias("source_id"), F.max_by("event_type", "event_id").alias("content_hash"), F.max("_at").alias("collected_at"))
+    state = L.empty_state(r.spark)
+    for n in range(WHOLE_RUNS):
+        at, crawl = F.timestamp_micros(F.lit(low + (n + 1) * step - 1)), crawls.filter(F.col("_run") == n).drop("_run")
+        if invalid:
+            good, bad = L.mark_invalid(crawl, F.col("source_job_id").cast("int") % 3 == 0, at)
+            state = L.with_invalid(L.lifecycle_merge(good, state, at), bad)
+        else:
+            state = L.lifecycle_merge(crawl, state, at)
+    return state
+
+
+@query("L3_lifecycle_merge_whole")
+def _(r):
+    return _all_runs(r).select("source_job_id", "content_hash", "consecutive_missing_runs", "is_active", "content_changed", "previous_content_hash", "lifecycle_status", "reactivated", "inactive_at")
+
+
+@query("L4_mark_invalid_whole")
+def _(r):
+    return _all_runs(r, invalid=True).select("source_job_id", "lifecycle_status", "is_active")
+
+
+@query("L5_status_counts_whole")
+def _(r):
+    return A.status_counts(_all_runs(r))
+
+
 RUNS = "select user_id, cast(ts as date) as day, max_by(event_type, event_id) as h from events group by 1, 2"
 
 
