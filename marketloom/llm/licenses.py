@@ -1,10 +1,13 @@
 """License scans: short notices found with a bounded number of errors.
 
-A notice of which at most ``k`` characters are inserted, deleted or replaced still holds one of its ``k + 1`` pieces
-unchanged (the pigeonhole principle). The pieces are searched exactly. As an edit spoils at most three of the notice's
-runs of three characters, all but ``3 k`` of these must be near a find; where they are, the regex library's
-bounded-error matching decides and gives span and edits. Texts are compared as their lower-cased words, joined by
-single spaces, so that line breaks and punctuation cost nothing.
+A notice is told from its siblings by its key, some words in a row (``mit``, ``gnu general public``), so these stand in
+a match unchanged; at most ``k`` characters of the rest may be inserted, deleted or replaced. The rest is cut into
+``k + 1`` pieces, of which one at least is then unchanged (the pigeonhole principle): key and pieces are the seeds that
+are searched exactly. As an edit spoils at most three of the rest's runs of three characters, all but ``3 k`` of these
+must be near a key as well; where they are, the regex library's bounded-error matching decides on both sides of the key
+and gives spans and edits. Every place of a key is judged by itself, so that no find hides another one.
+
+Texts are compared as their lower-cased words, joined by single spaces: line breaks and punctuation cost nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import re
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -20,17 +24,17 @@ from pyspark.sql import functions as F
 
 # The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices of the method, in words as above, and their labels.
+#: Notices of the method, in words as above: label, key, and words that make it another license if they follow the key.
 NOTICES = {
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
-    "licensed under the apache license version 2 0": "apache",
-    "licensed under the gnu general public license version": "gpl",
-    "licensed under the gnu lesser general public license": "lgpl",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under a creative commons attribution": "cc-by",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
+    "released under the mit license": ("mit", "mit", ""),
+    "permission is hereby granted free of charge to any person obtaining a copy of this software": ("mit", "copy of this software", ""),
+    "licensed under the apache license version 2 0": ("apache", "apache", ""),
+    "licensed under the gnu general public license version": ("gpl", "gnu general public", ""),
+    "licensed under the gnu lesser general public license": ("lgpl", "gnu lesser general public", ""),
+    "licensed under cc by nc 4 0": ("cc-by-nc", "cc by nc", "sa nd"),
+    "licensed under a creative commons attribution": ("cc-by", "creative commons attribution", "noncommercial non sharealike share noderivatives noderivs no nc sa nd"),
+    "redistribution and use in source and binary forms with or without modification are permitted": ("bsd", "source and binary forms", ""),
+    "subject to the terms of the mozilla public license": ("mpl", "mozilla", ""),
 }
 #: One error for so many characters of a notice.
 CHARACTERS_AN_ERROR = 10
@@ -42,46 +46,55 @@ MATCH = "label string, notice string, edits int, first_word long, last_word long
 
 
 class Notice:
-    """One notice: its pieces with their offsets, and its pattern."""
+    """One notice: what stands before and after its key, the seeds of both, and their patterns."""
 
-    def __init__(self, text: str, label: str, errors: int):
+    def __init__(self, text: str, label: str, key: str, siblings: str, errors: int):
         self.text, self.label, self.errors = text, label, errors
-        cut = [len(text) * k // (errors + 1) for k in range(errors + 2)]
-        self.pieces = [(text[a:b].encode(), a) for a, b in zip(cut, cut[1:])]
-        self.runs = [text[i : i + 3].encode() for i in range(len(text) - 2)]
-        self.pattern = regex.compile(f"(?:{regex.escape(text)}){{e<={errors}}}", regex.BESTMATCH)
-
-    def regions(self, plain: bytes) -> list[list[int]]:
-        """Where a match may lie: the surroundings of every piece found, joined where they touch."""
-        spans = []
-        for piece, offset in self.pieces:
-            at = plain.find(piece)
-            while at >= 0:
-                spans.append((at - offset - 2 * self.errors - 8, at - offset + len(self.text) + 2 * self.errors + 8))
-                at = plain.find(piece, at + 1)
-        out: list[list[int]] = []
-        for a, b in sorted(spans):
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(b, out[-1][1])
-            else:
-                out.append([max(0, a), b])
-        return out
+        at = f" {text} ".index(f" {key} ")
+        self.before, self.key, self.after = text[:at], key.encode(), text[at + len(key) :]
+        self.siblings = {w.encode() for w in siblings.split()}
+        self.pieces = [p.encode() for p in self._pieces()]
+        sides = [s.encode() for s in (self.before, self.after)]
+        self.runs = [s[i : i + 3] for s in sides for i in range(len(s) - 2)]
+        fuzzy = lambda part: f"(?:{regex.escape(part)}){{e<={errors}}}"
+        self.left = regex.compile(fuzzy(self.before) + r"\Z", regex.BESTMATCH) if self.before else None
+        self.right = regex.compile(fuzzy(self.after), regex.BESTMATCH) if self.after else None
+
+    def _pieces(self) -> list[str]:
+        """``errors + 1`` pieces of the two sides, none of them across the key."""
+        size, many = len(self.before) + len(self.after), self.errors + 1
+        left = min(len(self.before), max(many - len(self.after), round(many * len(self.before) / size))) if size else 0
+        cut = lambda part, n: [part[len(part) * k // n : len(part) * (k + 1) // n] for k in range(n)]
+        return cut(self.before, left) + cut(self.after, many - left)
 
     def matches(self, plain: bytes) -> Iterator[tuple[int, int, int]]:
         """Start and end in bytes, and edits."""
-        for a, b in self.regions(plain):
-            if sum(run in plain[a:b] for run in self.runs) < len(self.runs) - 3 * self.errors:
-                continue
-            part = plain[a:b].decode("utf-8", "ignore")
-            skipped = len(plain[a:b]) - len(part.encode())  # a character cut at the region's start
-            for m in self.pattern.finditer(part):
-                start = a + skipped + len(part[: m.start()].encode())
-                yield start, start + len(m[0].encode()), sum(m.fuzzy_counts)
+        seed = b" " + self.key + b" "
+        reach = 4 * self.errors  # an inserted character may have four bytes
+        at = plain.find(seed)
+        while at >= 0:
+            first, last = at + 1, at + 1 + len(self.key)
+            low = max(0, first - len(self.before) - reach)
+            high = last + len(self.after) + reach
+            if self._candidate(plain, low, first, last, high) and plain[last + 1 : last + 16].split(b" ")[0] not in self.siblings:
+                left, right = plain[low:first].decode("utf-8", "ignore"), plain[last:high].decode("utf-8", "ignore")
+                a = self.left.search(left) if self.left else None
+                b = self.right.match(right) if self.right else None
+                edits = sum(sum(m.fuzzy_counts) for m in (a, b) if m)
+                if (a or not self.left) and (b or not self.right) and edits <= self.errors:
+                    yield first - len(a[0].encode() if a else b""), last + len(b[0].encode() if b else b""), edits
+            at = plain.find(seed, at + 1)
+
+    def _candidate(self, plain: bytes, low: int, first: int, last: int, high: int) -> bool:
+        near = plain[low:first] + b"\0" + plain[last:high]
+        if not any(p in near for p in self.pieces):
+            return False
+        return sum(run in near for run in self.runs) >= len(self.runs) - 3 * self.errors
 
 
 @lru_cache(maxsize=4)
-def _compiled(notices: tuple[tuple[str, str], ...], characters: int) -> list[Notice]:
-    return [Notice(text, label, len(text) // characters) for text, label in notices]
+def _compiled(notices: tuple[tuple[str, tuple[str, str, str]], ...], characters: int) -> list[Notice]:
+    return [Notice(text, *spec, len(text) // characters) for text, spec in notices]
 
 
 def find_licenses(text: str | None, phrases: Mapping[str, str], notices: list[Notice]) -> tuple[int, list[tuple]]:
@@ -102,12 +115,14 @@ def find_licenses(text: str | None, phrases: Mapping[str, str], notices: list[No
     if not found:
         return len(words), []
     places = [m.span() for m in _WORD.finditer(text)]
+    spaces = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
     out = []
     for label, notice, edits, a, b in found:
         while plain[a : a + 1] == b" ":
             a += 1
-        first = plain.count(b" ", 0, a) - 1
-        last = max(first, plain[:b].rstrip(b" ").count(b" ") - 1)
+        while plain[b - 1 : b] == b" ":
+            b -= 1
+        first, last = (int(np.searchsorted(spaces, x)) - 1 for x in (a, b))
         out.append((label, notice, edits, first, last, places[first][0], places[last][1]))
     return len(words), sorted(out, key=lambda x: (x[3], x[4], x[1] or ""))
 
@@ -115,14 +130,15 @@ def find_licenses(text: str | None, phrases: Mapping[str, str], notices: list[No
 def scan_licenses(
     docs: DataFrame,
     phrases: Mapping[str, str] = PHRASES,
-    notices: Mapping[str, str] = NOTICES,
+    notices: Mapping[str, tuple[str, str, str]] = NOTICES,
     characters_an_error: int = CHARACTERS_AN_ERROR,
 ) -> DataFrame:
     """``doc_id, n_words, matches`` for every row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
 
     ``matches`` is an array of label, notice (null: an exact phrase), edits, first and last word (from 0) and start
     and end in code points of the text (end exclusive). Null text counts as empty: no words, no matches. Whole texts
-    are searched; rows with equal or null ids each by itself; an empty table gives no rows.
+    are searched; rows with equal or null ids each by itself; an empty table gives no rows. Every place of a notice's
+    key is judged by itself, so matches may overlap; a notice whose key is misspelt is not found.
     """
     phrases, listed = dict(phrases), tuple(notices.items())
 
