@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import let, running
+
 # The template of a turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -26,10 +28,16 @@ def with_prefixes(conversations: DataFrame) -> DataFrame:
     grouped = (
         conversations.filter(F.col("conv_id").isNotNull())
         .groupBy("conv_id")
-        .agg(F.array_distinct(F.sort_array(F.collect_list(turn))).alias("turns"))
+        .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     )
-    add = lambda acc, x: F.concat(acc, F.array(_turn_hash(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), x)))
-    return grouped.withColumn("prefixes", F.aggregate("turns", F.array().cast("array<string>"), add))
+    fresh = lambda ts: F.filter(ts, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(ts, i - 1)))
+    grouped = grouped.select("conv_id", let(F.col("turns"), fresh).alias("turns"))
+
+    def add(before: Column, x: Column) -> tuple[Column, Column]:
+        here = _turn_hash(before, x)
+        return here, F.array(here)
+
+    return grouped.withColumn("prefixes", running(F.col("turns"), F.lit(""), "string", add))
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
@@ -54,7 +62,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     ``conversations`` has one row a turn (``conv_id``, ``turn``, ``role``, ``text``; other columns are ignored). Turns
     are ordered by number (nulls first), then role and text; rows equal in all three count once. Numbers order the
     turns and are not compared. Rows without ``conv_id`` belong to no conversation. ``n_copies`` counts the
-    conversations with the same turns. An empty table gives no rows.
+    conversations with the same turns. An empty table gives no rows. As a conversation becomes one text, its turns are
+    brought together in one row, however many they are; conversations never are.
     """
     return maximal(conversations).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", rendered(F.col("turns")).alias("text")

@@ -25,6 +25,34 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements that ``running`` handles before it begins a new list.
+RUN_BLOCK = 256
+
+
+def running(items: Column, zero: Column, kind: str, step) -> Column:
+    """The array of what a left-to-right pass over ``items`` gives out.
+
+    ``step(state, item)`` returns the next state and an array (of SQL type ``kind``) to append. As appending copies
+    what is there already, the pass goes by blocks, so that its cost stays linear.
+    """
+    empty = lambda depth: F.array().cast("array<" * depth + kind + ">" * depth)
+
+    def within(acc: Column, x: Column) -> Column:
+        at, more = step(acc["at"], x)
+        return let(F.struct(at.alias("at"), more.alias("more")), lambda s: F.struct(s["at"].alias("at"), F.concat(acc["out"], s["more"]).alias("out")))
+
+    def over(array: Column) -> Column:
+        def block(acc: Column, k: Column) -> Column:
+            some = F.slice(array, k * RUN_BLOCK + 1, RUN_BLOCK)
+            done = F.aggregate(some, F.struct(acc["at"].alias("at"), empty(1).alias("out")), within)
+            return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(array) - 1, F.lit(0)) / RUN_BLOCK).cast("int"))
+        return F.aggregate(blocks, F.struct(zero.alias("at"), empty(2).alias("out")), block, lambda acc: F.flatten(acc["out"]))
+
+    return let(items, over)
+
+
 def words(text: Column) -> Column:
     """The words of ``text`` in order; null and blank texts have none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

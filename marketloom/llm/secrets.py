@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import let
+from marketloom.llm.common import let, running
 
 # The base patterns and the least lengths of what they match.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,11 +38,12 @@ CLASSES = [
     ("base64", r"^.*$", 3.7),
 ]
 #: Candidates that are no secrets: UUIDs, counting sequences and words of examples (if no window lies beside them),
-#: paths and hyphenated words (if each is all letters or all digits, and no letters look random).
+#: paths and hyphenated words (if each is all letters or all digits, and no letters look random). Repeated groups are
+#: possessive: others recurse once a repetition, and a long candidate would exhaust the stack.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    rf"^(?:.{{0,{WINDOW - 1}}}?(?:0123456789|(?i:abcdefgh|example|placeholder|changeme|dummy|sample|xxxx)))+.{{0,{WINDOW - 1}}}$",
-    rf"^(?!.*?{LETTERS})[/-]?(?:[A-Za-z]+[/_-]|[0-9]+[/_-]){{2,}}(?:[A-Za-z]*|[0-9]*)[/=-]?$",
+    rf"^(?:.{{0,{WINDOW - 1}}}?(?:0123456789|(?i:abcdefgh|example|placeholder|changeme|dummy|sample|xxxx)))++.{{0,{WINDOW - 1}}}$",
+    rf"^(?!.*?{LETTERS})[/-]?(?:[A-Za-z]+[/_-]|[0-9]+[/_-]){{2,}}+(?:[A-Za-z]*|[0-9]*)[/=-]?$",
 ]
 #: Stands for no character of a text: marks matches in a copy of it. The text's own become the other one.
 MARK, OTHER = "\u0001", "\u0002"
@@ -54,87 +55,111 @@ def _span(kind: str, start: Column, end: Column) -> Column:
     )
 
 
-EMPTY = "array<struct<start:bigint,k:int,end:bigint,kind:string>>"
+MATCHED = "struct<start:int,end:int,value:int,text:string>"
+PLACE = "struct<start:bigint,end:bigint>"
+#: Characters of a candidate that are handled together.
+PART = 1024
+#: Characters of a text that are read together when it is redacted.
+READ = 4096
 
 
 def _matches(shadow: Column, kind: str, pattern: str, groups: int, guard: str) -> Column:
-    """Spans of the leftmost non-overlapping matches of ``pattern``, as (start, end, value's length).
+    """The leftmost non-overlapping matches of ``pattern``: ``start, end``, the ``value``'s length and the ``text``.
 
     The matches are wrapped in marks, the text is split at the marks, and lengths are summed up.
     ``guard``: a text without it has no match that counts.
     """
     step = groups + 1
     marked = F.regexp_replace(shadow, F.lit(pattern), F.lit("".join([MARK, "$0", *[f"{MARK}$2"] * (groups - 1), MARK])))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:int>>").alias("found"))
 
     def spans(parts: Column) -> Column:
-        def add(acc: Column, i: Column) -> Column:
-            between, match, value = (F.length(F.get(parts, step * i + k)) for k in (0, 1, groups))
-            start = acc["at"] + between
-            one = F.struct(start.alias("start"), (start + match).alias("end"), value.alias("value"))
-            return F.struct((start + match).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        def add(at: Column, i: Column) -> tuple[Column, Column]:
+            text = F.get(parts, step * i + 1)
+            start = at + F.length(F.get(parts, step * i))
+            end = start + F.length(text)
+            one = F.struct(start.alias("start"), end.alias("end"), F.length(F.get(parts, step * i + groups)).alias("value"), text.alias("text"))
+            return end, F.array(one)
 
         n = F.floor(F.size(parts) / step).cast("int")
-        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, add, lambda acc: acc["found"])
+        return running(F.sequence(F.lit(0), n - 1), F.lit(0), MATCHED, add)
 
     found = let(F.split(marked, MARK), spans)
     long_enough = F.filter(found, lambda x: x["value"] >= LEAST[kind]) if kind in LEAST else found
-    made = F.transform(long_enough, lambda x: _span(kind, x["start"], x["end"]))
-    return F.when(shadow.rlike(guard), made).otherwise(F.array().cast(EMPTY))
+    return F.when(shadow.rlike(guard), long_enough).otherwise(F.array().cast(f"array<{MATCHED}>"))
 
 
-def _windows(candidate: Column, start: Column, least_bits: Column, window: int) -> Column:
-    """Spans of the windows of one candidate whose entropy reaches ``least_bits``, overlapping ones joined."""
+def _pattern_spans(shadow: Column, kind: str, pattern: str, groups: int, guard: str) -> Column:
+    return F.transform(_matches(shadow, kind, pattern, groups, guard), lambda x: _span(kind, x["start"], x["end"]))
+
+
+def _joined(spans: Column) -> Column:
+    """Overlapping and touching neighbours of ``spans`` as one; starts and ends both ascend."""
+    before = lambda x, i: (i > 0) & (F.get(spans, i - 1)["end"] >= x["start"])
+    after = lambda x, i: (i < F.size(spans) - 1) & (F.get(spans, i + 1)["start"] <= x["end"])
+    starts = F.transform(F.filter(spans, lambda x, i: ~before(x, i)), lambda x: x["start"])
+    ends = F.transform(F.filter(spans, lambda x, i: ~after(x, i)), lambda x: x["end"])
+    return F.arrays_zip(starts.alias("start"), ends.alias("end"))
+
+
+def _hot(run: Column, start: Column, least_bits: Column, window: int) -> Column:
+    """The windows of one run of characters whose entropy reaches ``least_bits``, overlapping ones joined.
+
+    ``s`` is the sum of ``c * log2(c)`` over the counts of the window's characters. One character comes and one goes a
+    step; their own counts, taken from the window, change the sum.
+    """
     log = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    codes = F.transform(F.regexp_extract_all(candidate, F.lit("."), F.lit(0)), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    counts = F.array_repeat(F.lit(0), len(ALPHABET))
-    zero = F.struct(counts.alias("c"), F.lit(0.0).alias("s"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("w"))
-
-    def moved(code: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            come, gone = F.get(code, i), F.when(i >= window, F.get(code, i - window)).otherwise(F.lit(-1))
-            n_in = F.get(acc["c"], come)
-            s_in = acc["s"] + log(n_in + 1) - log(n_in)
-            n_out = F.get(acc["c"], gone) + F.when(gone == come, 1).otherwise(0)
-            s = F.when(gone < 0, s_in).otherwise(s_in + log(n_out - 1) - log(n_out))
-            c = F.transform(
-                acc["c"], lambda x, k: x + F.when(k == come, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0)
-            )
-            bits = F.lit(math.log2(window)) - s / window
+    chars = F.regexp_extract_all(run, F.lit("."), F.lit(0))
+
+    def over(c: Column) -> Column:
+        count = lambda first, size, x: size - F.size(F.array_remove(F.slice(c, first, size), x))
+
+        def step(at: Column, i: Column) -> tuple[Column, Column]:
+            full = i >= window
+            size = F.least(i, F.lit(window))  # characters before this one
+            come, gone = F.get(c, i), F.get(c, i - window)
+            n_in = count(i - size + 1, size, come)
+            n_out = count(i - window + 1, F.lit(window), gone) + F.when(gone == come, 1).otherwise(0)
+            s = at + log(n_in + 1) - log(n_in) + F.when(full, log(n_out - 1) - log(n_out)).otherwise(F.lit(0.0))
             here = F.struct((start + i - (window - 1)).cast("long").alias("start"), (start + i + 1).cast("long").alias("end"))
-            last = F.try_element_at(acc["w"], F.lit(-1))
-            joined = F.concat(
-                F.slice(acc["w"], 1, F.size(acc["w"]) - 1), F.array(F.struct(last["start"].alias("start"), here["end"].alias("end")))
-            )
-            more = F.when((F.size(acc["w"]) > 0) & (last["end"] >= here["start"]), joined).otherwise(
-                F.concat(acc["w"], F.array(here))
-            )
-            hot = (i >= window - 1) & (bits >= least_bits)
-            return F.struct(c.alias("c"), s.alias("s"), F.when(hot, more).otherwise(acc["w"]).alias("w"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), zero, step, lambda acc: acc["w"])
+            def judged(total: Column) -> Column:
+                hot = (i >= window - 1) & (F.lit(math.log2(window)) - total / window >= least_bits)
+                return F.struct(total.alias("s"), F.when(hot, F.array(here)).otherwise(F.array().cast(f"array<{PLACE}>")).alias("w"))
+
+            both = let(s, judged)
+            return both["s"], both["w"]
+
+        return running(F.sequence(F.lit(0), F.size(c) - 1), F.lit(0.0), PLACE, step)
 
-    return let(F.filter(codes, lambda x: x >= 0), moved)
+    return let(let(chars, over), _joined)
+
+
+def _windows(candidate: Column, start: Column, least_bits: Column, window: int) -> Column:
+    """Spans of the windows of one candidate whose entropy reaches ``least_bits``, overlapping ones joined.
+
+    Long candidates are cut into runs that share ``window - 1`` characters, so that each window lies in one of them.
+    """
+
+    def cut(parts: Column) -> Column:
+        def one(part: Column, k: Column) -> Column:
+            shared = F.coalesce(F.substring(F.get(parts, k + 1), 1, window - 1), F.lit(""))
+            return _hot(F.concat(part, shared), start + k * PART, least_bits, window)
+
+        return F.flatten(F.transform(parts, one))
+
+    return let(let(F.regexp_extract_all(candidate, F.lit(f".{{1,{PART}}}"), F.lit(0)), cut), _joined)
 
 
 def _entropy(shadow: Column, classes: Sequence[tuple[str, str, float]], allowed: Sequence[str], window: int) -> Column:
     """The method's spans of one text."""
 
     def of_candidate(at: Column) -> Column:
-        text = F.substring(shadow, at["start"].cast("int") + 1, (at["end"] - at["start"]).cast("int"))
-
-        def judged(c: Column) -> Column:
-            bits = F.lit(math.inf)
-            for _, shape, least in reversed(classes):
-                bits = F.when(c.rlike(shape), F.lit(least)).otherwise(bits)
-            safe = F.lit(False)
-            for pattern in allowed:
-                safe = safe | c.rlike(pattern)
-            return F.when(safe, F.array().cast("array<struct<start:bigint,end:bigint>>")).otherwise(
-                _windows(c, at["start"], bits, window)
-            )
-
-        return let(text, judged)
+        c, bits, safe = at["text"], F.lit(math.inf), F.lit(False)
+        for _, shape, least in reversed(classes):
+            bits = F.when(c.rlike(shape), F.lit(least)).otherwise(bits)
+        for pattern in allowed:
+            safe = safe | c.rlike(pattern)
+        return F.when(safe, F.array().cast(f"array<{PLACE}>")).otherwise(let(bits, lambda b: _windows(c, at["start"], b, window)))
 
     places = _matches(shadow, "entropy", CANDIDATE, 1, CANDIDATE)
     return F.transform(F.flatten(F.transform(places, of_candidate)), lambda x: _span("entropy", x["start"], x["end"]))
@@ -152,9 +177,9 @@ def secret_spans(
     def all_of(s: Column) -> Column:
         return F.sort_array(
             F.concat(
-                _matches(s, "assign", ASSIGN, 2, ASSIGN.removesuffix("+)") + "{8})"),
-                _matches(s, "access", ACCESS, 1, ACCESS.removesuffix("+") + "{12}"),
-                _matches(s, "hex", HEX.removesuffix("+") + "{32,}", 1, HEX.removesuffix("+") + "{32}"),
+                _pattern_spans(s, "assign", ASSIGN, 2, ASSIGN.removesuffix("+)") + "{8})"),
+                _pattern_spans(s, "access", ACCESS, 1, ACCESS.removesuffix("+") + "{12}"),
+                _pattern_spans(s, "hex", HEX.removesuffix("+") + "{32,}", 1, HEX.removesuffix("+") + "{32}"),
                 _entropy(s, classes, allowed, window),
             )
         )
@@ -178,14 +203,27 @@ def scan_secrets(docs: DataFrame, **options) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """``text`` with every stretch that ``spans`` (sorted by start) cover replaced by ``mask``; null stays null."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """``text`` with every stretch that ``spans`` (sorted by start) cover replaced by ``mask``; null stays null.
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int"))
-        fresh = (x["start"] > acc["at"]) | (acc["out"] == "")
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    Pieces between the stretches are read from parts of the text, so that none is reached from the text's start.
+    """
 
-    tail = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, tail))
+    def gap(at: Column, x: Column) -> tuple[Column, Column]:
+        fresh = (x["start"] > at) | (at < 0)
+        piece = F.array(F.struct(F.greatest(at, F.lit(0).cast("long")).alias("start"), x["start"].alias("end")))
+        return F.greatest(at, x["end"]), F.when(fresh, piece).otherwise(F.array().cast(f"array<{PLACE}>"))
+
+    def cut(parts: Column) -> Column:
+        def read(g: Column) -> Column:
+            first = F.floor(g["start"] / READ).cast("int")
+            many = F.greatest(F.floor((g["end"] + READ - 1) / READ).cast("int") - first, F.lit(0))
+            some = F.array_join(F.slice(parts, first + 1, many), "")
+            return F.substring(some, (g["start"] - first * READ).cast("int") + 1, (g["end"] - g["start"]).cast("int"))
+
+        size = F.lit(READ).cast("long") * F.size(parts)
+        last = F.struct(F.array_max(F.transform(spans, lambda x: x["end"])).alias("start"), size.alias("end"))
+        gaps = F.concat(running(spans, F.lit(-1).cast("long"), PLACE, gap), F.array(last))
+        return F.array_join(F.transform(gaps, read), mask)
+
+    masked = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{READ}}}"), F.lit(0)), cut)
+    return F.when(F.size(spans) == 0, text).otherwise(masked)

@@ -1,3 +1,5 @@
+import time
+
 from marketloom.llm.chats import format_chats
 
 
@@ -38,3 +40,12 @@ def test_odd_rows(spark):
     got = found(format_chats(table))
     assert got == brute(rows) and {r[0] for r in got} == {4, 5, 6, 7, 8, 9}
     assert format_chats(table.limit(0)).count() == 0
+
+
+def test_a_long_conversation(spark):
+    turns = spark.range(50_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id) as text")
+    table = turns.unionByName(turns.filter("turn < 49000").selectExpr("2L as conv_id", "turn", "role", "text"))
+    began = time.monotonic()
+    got = format_chats(table).collect()
+    assert [(r.conv_id, r.n_turns) for r in got] == [(1, 50_000)] and got[0].text.endswith("turn 49999<|im_end|>\n")
+    assert time.monotonic() - began < 60

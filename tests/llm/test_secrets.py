@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -111,3 +113,24 @@ def test_keys_with_prefixes_and_words_of_examples_are_found(spark):
         assert any(a <= at and b >= at + len(RANDOM) - 1 and kind == "entropy" for a, _, b, kind in found[i]), (key, found[i])
     for i, text in enumerate(safe):
         assert found[len(keys) + i] == [], text
+
+
+def test_long_runs_and_many_matches(spark):
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    run = "".join(rng.choice(alphabet) for _ in range(1_000_000))
+    short = run[:60_000]
+    mixed = "".join("".join(rng.choice(alphabet) for _ in range(24)) + "a" * 30 for _ in range(3_000))
+    many = "password=abcdefgh1 x é " * 20_000
+    path = "a/1/" * 200_000
+    words = "xxxx-" * 200_000
+    docs = spark.createDataFrame(list(enumerate([f"see {run} end", mixed, many, path, words, short])), "doc_id long, text string")
+    began = time.monotonic()
+    out = {r.doc_id: r for r in docs.select("doc_id", "text", S.secret_spans(F.col("text")).alias("s")).withColumn("out", S.redacted(F.col("text"), F.col("s"))).collect()}
+    took = time.monotonic() - began
+    assert [tuple(x) for x in out[5].s if x.kind == "entropy"] == entropy(short)
+    assert out[0].out.startswith("see [SECRET]") and out[0].out.endswith(" end") and len(out[0].out) < 10_000
+    assert [tuple(x) for x in out[1].s if x.kind == "entropy"] == entropy(mixed) and len(out[1].s) > 2_900
+    assert len(out[2].s) == 20_000 and out[2].out == "[SECRET] x é " * 20_000
+    assert out[3].s == out[4].s == [] and out[3].out == path
+    assert took < 120, took
