@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,12 +63,13 @@ def words(text: Column) -> Column:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is missing (a local test) a folder of this machine stands in.
+    Where that setting is missing, a local session (all threads on one machine) gets a folder of this machine; any other
+    one is an error, as its executors could not see one another's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="marketloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -32,11 +32,11 @@ from marketloom.llm.shingles import mixed, rolling
 WIDTH = 13
 GRAM = 3
 CHUNK = 24
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xDA942042E4DD58B5)
 #: Bytes of text that are hashed together; a longer text is handled by itself.
 ROOM = 262_144
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+BYTES = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64)
 
 
 class Powers:
@@ -86,24 +86,25 @@ class Windows:
         self.word = first[self.text] + self.place
         if not len(self.word):
             return
-        hashes = prefix_sums(BYTE[raw], POWERS[2])(starts, ends)
-        self.lanes = [prefix_sums(h, p) for h, p in zip((hashes, mixed(hashes ^ BYTE[0])), POWERS)]
-        self.grams = mixed(rolling(hashes, GRAM))
+        # two hashes of every word, from different values and bases, one for each lane
+        hashes = [prefix_sums(b[raw], p)(starts, ends) for b, p in zip(BYTES, POWERS[2:])]
+        self.lanes = [prefix_sums(h, p) for h, p in zip(hashes, POWERS)]
+        self.grams = mixed(rolling(hashes[0], GRAM))
         cut = self.grams[self.word] % np.uint64(CHUNK) == 0
         cut[self.place == 0] = True
         self.chunk_first = np.flatnonzero(cut)
         self.chunk_text = self.text[self.chunk_first]
         self.chunk_count = np.bincount(self.chunk_text, minlength=len(texts))
         self.chunk_base = np.cumsum(self.chunk_count) - self.chunk_count
+        last = np.append(self.chunk_first[1:], len(self.word)) - 1
+        self.chunk_hashes = self.hashed(self.word[self.chunk_first], self.word[last] + width)
 
     def hashed(self, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         return [lane(starts, ends).view(np.int64) for lane in self.lanes]
 
     def chunks(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Text, hashes and number in the text of every chunk."""
-        last = np.append(self.chunk_first[1:], len(self.word)) - 1
-        hashes = self.hashed(self.word[self.chunk_first], self.word[last] + self.width)
-        return self.chunk_text, hashes, np.arange(len(self.chunk_first)) - self.chunk_base[self.chunk_text]
+        return self.chunk_text, self.chunk_hashes, np.arange(len(self.chunk_first)) - self.chunk_base[self.chunk_text]
 
     def anchors(self) -> np.ndarray:
         """The smallest hash of ``GRAM`` words in each window."""
@@ -119,10 +120,23 @@ class Windows:
         done = np.zeros(len(self.chunk_first), bool)
         for t, runs in enumerate(settled):
             if runs and self.chunk_count[t]:
-                done[self.chunk_base[t] + _unfolded(runs)] = True
+                mine = slice(self.chunk_base[t], self.chunk_base[t] + self.chunk_count[t])
+                done[mine] = alike([h[mine] for h in self.chunk_hashes], _unfolded(runs))
         return ~np.repeat(done, np.diff(np.append(self.chunk_first, len(self.word))))
 
 
+def alike(hashes: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Which places have the same hashes as one of the places ``at``: only one of a text's equal places is asked for."""
+    order = np.lexsort(hashes)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([h[order][1:] != h[order][:-1] for h in hashes], axis=0)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    hit = np.zeros(len(order) + 1, bool)
+    hit[group[at]] = True
+    return hit[group]
+
+
 def intervals(n_words: int, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of words covered by the windows at these places, as starts and ends."""
     change = np.zeros(n_words + 1, np.int64)
@@ -174,14 +188,15 @@ def _unfolded(runs: list[int] | None) -> np.ndarray:
 def _counted(rows: list[list[np.ndarray]], ids: np.ndarray, n_keys: int, shared: bool) -> tuple[np.ndarray, ...]:
     """Count a batch's rows (row of the batch, keys, value): what is known already, and what must be asked.
 
-    The rows of each key's smallest document are asked for. A row is known if a smaller document of the batch has its
-    key; with ``shared``, if any other does. Known rows get their own document as key, so that they spread. But for
-    ``shared``, values are runs, and known values that follow one another are one row.
+    The rows of each key's smallest document are asked for, once a text and key, with how much larger the batch's largest
+    document with that key is. A row is known if a smaller document of the batch has its key; with ``shared``, if any
+    other does. Known rows get their own document as key, so that they spread. But for ``shared``, values are runs, and
+    known values that follow one another are one row.
     """
     row, *rest = (np.concatenate([r[k] for r in rows]) for k in range(len(rows[0])))
     keys, value = rest[:n_keys], rest[n_keys]
     doc = ids[row]
-    order = np.lexsort((doc, *keys))
+    order = np.lexsort((row, doc, *keys))
     new = np.zeros(len(order), bool)
     for k in keys:
         s = k[order]
@@ -189,14 +204,18 @@ def _counted(rows: list[list[np.ndarray]], ids: np.ndarray, n_keys: int, shared:
     if len(new):
         new[0] = True
     group = np.cumsum(new) - 1
-    sorted_doc = doc[order]
+    sorted_doc, sorted_row = doc[order], row[order]
     starts = np.flatnonzero(new)
     least = sorted_doc[starts][group]
     most = sorted_doc[np.append(starts[1:], len(order)) - 1][group]
     known = np.empty(len(order), bool)
     known[order] = (least < most) if shared else (sorted_doc > least)
+    first = new.copy()
+    first[1:] |= sorted_row[1:] != sorted_row[:-1]
     ask = np.empty(len(order), bool)
-    ask[order] = sorted_doc == least
+    ask[order] = (sorted_doc == least) & first
+    span = np.empty(len(order), np.int64)
+    span[order] = most - least
     told, asked = np.flatnonzero(known), np.flatnonzero(ask)
     if shared:
         row_told, value_told, value_asked = row[told], value[told], value[asked]
@@ -206,11 +225,12 @@ def _counted(rows: list[list[np.ndarray]], ids: np.ndarray, n_keys: int, shared:
     flag = np.arange(len(row_told) + len(asked)) < len(row_told)
     own = ids[row_told]
     both = lambda a, b: np.concatenate([a, b])
-    return both(row_told, row[asked]), flag, *(both(own, k[asked]) for k in keys), both(value_told, value_asked)
+    more = both(np.zeros(len(row_told), np.int64), span[asked])
+    return both(row_told, row[asked]), flag, more, *(both(own, k[asked]) for k in keys), both(value_told, value_asked)
 
 
 def _emit(docs: DataFrame, width: int, keys: list[str], value: str, make, shared: bool = False) -> DataFrame:
-    """``doc_id, row, known``, keys and value of what ``make(windows, lists)`` gives: texts' numbers, keys, values."""
+    """``doc_id, row, known, more``, keys and value of what ``make(windows, lists)`` gives: texts' numbers, keys, values."""
     names = [*keys, value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,12 +244,13 @@ def _emit(docs: DataFrame, width: int, keys: list[str], value: str, make, shared
             if not rows:
                 continue
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            row, known, *columns = _counted(rows, ids, len(keys), shared)
+            row, known, more, *columns = _counted(rows, ids, len(keys), shared)
             index = pa.array(row)
             own = [batch.column(c).take(index) for c in ("doc_id", "row")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(known), *map(pa.array, columns)], ["doc_id", "row", "known", *names])
+            columns = [*own, pa.array(known), pa.array(more), *map(pa.array, columns)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "known", "more", *names])
 
-    return docs.mapInArrow(run, "doc_id long, row long, known boolean, " + ", ".join(f"{c} long" for c in names))
+    return docs.mapInArrow(run, "doc_id long, row long, known boolean, more long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _lists(rows: DataFrame, column: str) -> DataFrame:
@@ -237,10 +258,26 @@ def _lists(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("doc_id", "row").agg(F.collect_set(column).alias(column))
 
 
-def _earlier(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """For each text the values whose key is also in a document of smaller id."""
+def _earlier(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key is also in a document of smaller id."""
     first = F.min("doc_id").over(W.partitionBy("known", *keys))
-    return _lists(rows.withColumn("first", first).filter("known or doc_id > first"), column)
+    return rows.withColumn("first", first).filter("known or doc_id > first")
+
+
+def _folded(rows: DataFrame, column: str) -> DataFrame:
+    """One row a text: its own runs of values, those that follow one another joined.
+
+    Values are gathered by stretches of ``RUN`` first, so that a long text's are never in one set before they are runs.
+    """
+    by = ["doc_id", "row"]
+    stretch = F.floor(F.col(column) / (RUN * RUN // 2)).alias("stretch")  # a run is shorter than RUN
+    parts = rows.repartition(*by).groupBy(*by, stretch).agg(F.sort_array(F.collect_set(column)).alias("v"))
+    single = lambda x: x % RUN == 1
+    follows = lambda x, y: single(x) & single(y) & (x + RUN == y)
+    starts = F.filter("v", lambda x, i: ~F.coalesce(follows(F.get("v", i - 1), x), F.lit(False)))
+    ends = F.filter("v", lambda x, i: ~F.coalesce(follows(x, F.get("v", i + 1)), F.lit(False)))
+    runs = parts.withColumn("v", F.zip_with(starts, ends, lambda a, b: a + F.floor((b - a) / RUN)))
+    return runs.groupBy(*by).agg(F.flatten(F.collect_list("v")).alias(column))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -252,18 +289,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     A word goes if a window of ``width`` words over it also starts in a document of smaller id; windows are judged on
     the input. Words are taken unchanged. Null and blank texts have no words; texts of fewer than ``width`` words lose
     none. Documents of equal id don't remove one another's words; a row without an id neither loses words nor makes
-    others lose any. An empty table gives no rows. Windows are compared by 128 bits; rows that repeat an id are told
-    apart by length and 16 bits of a hash.
+    others lose any. An empty table gives no rows. Windows are compared by 128 bits, which come from two hashes of every
+    word; rows that repeat an id are told apart by a 64-bit hash of the text.
     """
-    tell = F.coalesce(F.length("text").cast("long") * 65536 + F.pmod(F.xxhash64("text"), F.lit(65536)), F.lit(0))  # never null, so that no join adds a filter
-    every = docs.select(typed(docs, "doc_id", "bigint"), tell.alias("row"), typed(docs, "text", "string"))
+    every = docs.select(typed(docs, "doc_id", "bigint"), F.xxhash64("text").alias("row"), typed(docs, "text", "string"))
     texts = every.filter(F.col("doc_id").isNotNull())
 
     def of_chunks(w: Windows, lists: dict) -> tuple:
         text, hashes, number = w.chunks()
         return text, *hashes, number
 
-    settled = materialise(_earlier(_emit(texts, width, ["a", "b"], "chunk", of_chunks), ["a", "b"], "chunk"), "chunks")
+    settled = materialise(_folded(_earlier(_emit(texts, width, ["a", "b"], "chunk", of_chunks), ["a", "b"]), "chunk"), "chunks")
 
     key = ["doc_id", "row"]
     rest = texts.repartition(*key).join(settled, key, "left")  # one shuffle of the texts serves all that follows
@@ -276,7 +312,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     anchors = _emit(rest, width, ["key"], "anchor", of_anchors, shared=True)
     both = W.partitionBy("known", "key")
-    counted = anchors.withColumns({"first": F.min("doc_id").over(both), "last": F.max("doc_id").over(both)})
+    counted = anchors.withColumns({"first": F.min("doc_id").over(both), "last": F.max(F.col("doc_id") + F.col("more")).over(both)})
     shared = _lists(counted.filter("known or first < last"), "anchor")
 
     def of_windows(w: Windows, lists: dict) -> tuple:
@@ -287,7 +323,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         at = np.flatnonzero(left)
         return w.text[at], *w.hashed(w.word[at], w.word[at] + width), w.place[at]
 
-    repeated = _earlier(_emit(rest.join(shared, key), width, ["a", "b"], "at", of_windows), ["a", "b"], "at")
+    repeated = _folded(_earlier(_emit(rest.join(shared, key), width, ["a", "b"], "at", of_windows), ["a", "b"]), "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,8 +336,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     w = Windows([texts[t] for t in touched], width)
                     shut = ~w.open([lists["chunk"][t] for t in touched])
                     for k, t in enumerate(touched):
-                        at = np.flatnonzero(shut[w.first_window[k] : w.first_window[k] + max(0, w.counts[k] - width + 1)])
-                        gone[t] = np.union1d(at, _unfolded(lists["at"][t]))
+                        mine = slice(w.first_window[k], w.first_window[k] + max(0, w.counts[k] - width + 1))
+                        if lists["at"][t]:
+                            shut[mine] |= alike(w.hashed(w.word[mine], w.word[mine] + width), _unfolded(lists["at"][t]))
+                        gone[t] = np.flatnonzero(shut[mine])
                 for t, text in enumerate(texts):
                     words = text.split()
                     starts = ends = np.empty(0, np.int64)

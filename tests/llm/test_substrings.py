@@ -76,3 +76,31 @@ def test_runs():
     back = [(r, v) for r, run in zip(rows, runs) for v in _unfolded([int(run)])]
     assert back == list(zip(row, value)) and len(runs) == 4 + 3
     assert list(_unfolded(None)) == []
+
+
+def test_repeats_inside_texts_and_of_ids(spark):
+    rng = random.Random(8)
+    line = " ".join(f"w{i}" for i in range(9))
+    docs = [(i, " ".join([line] * rng.randrange(1, 60) + [f"u{i}"] + [line] * rng.randrange(30))) for i in range(30)]
+    docs += [(i, "word " * (3000 + i)) for i in (50, 51, 51)] + [(60, " ".join(f"v{k}" for k in range(9000)))] * 2 + [(61, " ".join(f"v{k}" for k in range(3, 8990)))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    assert found(remove_repeats(frame)) == brute(docs, 13)
+
+
+def test_a_repeated_id_hides_no_passage(spark):
+    passage = " ".join(f"p{k}" for k in range(40))
+    # two batches: in the first, document 3 alone holds the passage; in the second, another text of 3 and document 7
+    parts = [[(3, f"{passage} a")], [(3, f"b {passage}"), (7, f"c {passage} d")]]
+    frames = [spark.createDataFrame(p, "doc_id long, text string").coalesce(1) for p in parts]
+    rows = found(remove_repeats(frames[0].unionByName(frames[1])))
+    assert rows == brute([r for p in parts for r in p], 13) and rows[-1][2] == 40
+
+
+def test_runs_of_long_texts_are_folded(spark):
+    from marketloom.llm.substrings import RUN, _folded
+
+    places = [*range(10_000), 10_500, *range(20_000, 20_010)]
+    values = [p * RUN + 1 for p in places] + [30_000 * RUN + 4000, 34_000 * RUN + 7]
+    frame = spark.createDataFrame([(1, 2, v) for v in values], "doc_id long, row long, at long")
+    runs = _folded(frame, "at").first()["at"]
+    assert sorted(_unfolded(runs)) == [*places, *range(30_000, 34_007)] and len(runs) < 12
