@@ -3,10 +3,10 @@
 1. Every text becomes its set of hashed word n-grams. Texts with the same set form a class and are
    handled once, however many copies there are.
 2. Band and row counts are chosen for a target recall at the threshold. Classes are shuffled on their band
-   hashes; each band group contributes one edge from every member to its smallest member.
-3. Components of these edges hold all candidates. A component is cut into blocks of bounded size; each pair of
-   blocks is one unit of work, in which all pairs are verified on the full sets by counting common n-grams with
-   matrix products. Only counts of links and a spanning forest leave the task, never the pairs.
+   hashes; classes with a band hash in common form a bucket. Of buckets with the same members one is kept.
+3. A bucket is cut into blocks of bounded size; each pair of blocks is one unit of work, in which the pairs are verified
+   on the full sets by counting common n-grams with matrix products. A pair that shares several buckets counts in the
+   first of them. Only counts of links and a spanning forest leave the task, never the pairs.
 4. Components of the verified links are the groups of near duplicates.
 """
 
@@ -30,31 +30,35 @@ RECALL = 0.9995
 MOST_HASHES = 160
 #: Bounds of a block: sets, and n-grams in all of them (a single larger set is a block of its own).
 BLOCK_SETS, BLOCK_NGRAMS = 2048, 2_000_000
+#: A class's buckets: band hash, number of blocks, and the class's own block.
+MINE = "array<struct<band:bigint,nb:int,block:int>>"
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, size, node, bands``: the size and digest of each text's n-gram set and its band hashes."""
+    """``doc_id, text_hash, size, node, bands``: the size and digest of each text's n-gram set and its band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(t, n, memo) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, n, memo) for t in part.column(2).to_pylist()]
                 full = [s for s in sets if len(s)]
                 found = iter([h.view(np.int64) for h in band_hashes(full, bands, rows)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(found) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "size", "node", "bands"],
+                    ["doc_id", "text_hash", "size", "node", "bands"],
                 )
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, size long, node binary, bands array<long>")
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text)
+    return source.mapInArrow(run, "doc_id long, text_hash long, size long, node binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -68,7 +72,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 rest = part.drop_columns(["text"]).append_column("ngrams", pa.array([s.tobytes() for s in sets], pa.binary()))
                 yield rest.filter(same)
 
-    return docs.mapInArrow(run, "node binary, root binary, copies long, nb int, block int, ngrams binary")
+    return docs.mapInArrow(run, f"node binary, copies long, mine {MINE}, ngrams binary")
 
 
 def common_counts(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -130,17 +134,34 @@ def _roots(near: np.ndarray, split: int) -> np.ndarray:
         label = least
 
 
+def _seen(rows: list[dict], band: int, split: int) -> np.ndarray:
+    """Which pairs share a bucket before ``band``, where they count."""
+    members: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        for b in r["mine"]:
+            if b["band"] < band:
+                members.setdefault(b["band"], []).append(i)
+    seen = np.zeros((len(rows), len(rows)), bool)
+    for some in members.values():
+        seen[np.ix_(some, some)] = True
+    return seen[:split, split:] if split else seen
+
+
 def _verified(blocks: DataFrame, threshold: Fraction) -> DataFrame:
     """``node, other, links``: for each set of a pair of blocks, its root there and its number of linked documents."""
 
-    def decide(rows: list[dict], lo: int, hi: int) -> pa.RecordBatch | None:
+    def decide(rows: list[dict], band: int, lo: int, hi: int) -> pa.RecordBatch | None:
         rows = list({r["node"]: r for r in rows}.values())
+        own = {r["node"]: next(b["block"] for b in r["mine"] if b["band"] == band) for r in rows}
         if lo != hi:
-            rows.sort(key=lambda r: r["block"])
-        split = sum(r["block"] == lo for r in rows) if lo != hi else 0
+            rows.sort(key=lambda r: own[r["node"]])
+        split = sum(own[r["node"]] == lo for r in rows) if lo != hi else 0
         if len(rows) < 2 or lo != hi and split in (0, len(rows)):
             return None
-        near = _linked([np.frombuffer(r["ngrams"], np.uint64) for r in rows], split, threshold)
+        seen = _seen(rows, band, split)
+        if seen.all():
+            return None
+        near = _linked([np.frombuffer(r["ngrams"], np.uint64) for r in rows], split, threshold) & ~seen
         copies = np.array([r["copies"] for r in rows], np.int64)
         if split:
             links = np.concatenate([near @ copies[split:], near.T @ copies[:split]])
@@ -161,16 +182,16 @@ def _verified(blocks: DataFrame, threshold: Fraction) -> DataFrame:
         key, rows = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                here = (r["root"], r["lo"], r["hi"])
+                here = (r["band"], r["lo"], r["hi"])
                 if here != key:
-                    if rows and (out := decide(rows, *key[1:])) is not None:
+                    if rows and (out := decide(rows, *key)) is not None:
                         yield out
                     key, rows = here, []
-                rows.append({k: r[k] for k in ("node", "block", "copies", "ngrams")})
-        if rows and (out := decide(rows, *key[1:])) is not None:
+                rows.append({k: r[k] for k in ("node", "copies", "mine", "ngrams")})
+        if rows and (out := decide(rows, *key)) is not None:
             yield out
 
-    dealt = blocks.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    dealt = blocks.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     return dealt.mapInArrow(run, "node binary, other binary, links long")
 
 
@@ -183,57 +204,60 @@ def near_duplicates(
 ) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``; other columns are ignored):
 
-    * ``doc_id``;
+    * ``doc_id``, and ``text_hash``, which tells rows of the same id apart;
     * ``n_ngrams``, the size of its set;
     * ``class_id``, the smallest id of the documents with the same set;
     * ``group_id``, the smallest id of its group of near duplicates (links, followed through);
-    * ``n_links``, the number of other documents with a similarity of ``threshold`` or more.
+    * ``n_links``, the number of other documents with a similarity of ``threshold`` or more;
+    * ``stays``, whether its id and text hash are the smallest of its group.
 
     Words are compared unchanged. A text of fewer than ``n`` words is one n-gram; a null, empty or blank one has
-    none and is alone. Rows without an id take no part: they keep null ids and 0 links. Repeated rows are copies of
-    one another. An empty table gives no rows. N-grams are compared by 64-bit hashes.
+    none and is alone. Rows without an id take no part: they keep null ids and 0 links, and stay. Repeated rows are
+    copies of one another. An empty table gives no rows. N-grams are compared by 64-bit hashes.
     """
     bands, rows = chosen_bands(float(threshold), recall, most_hashes)
     sig = materialise(signatures(docs, n, bands, rows), "signatures")
     known = sig.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("node").agg(
-        F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")
-    )
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last")
-    edges = banded.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    candidates = components(edges, "candidates")
-
-    sized = candidates.join(classes.select("node", "class_id", "copies", "size"), "node")
-    blocks = sized.groupBy("root").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_NGRAMS)).cast("int").alias("nb")
-    )
-    dealt = sized.join(blocks, "root").select(
-        F.col("class_id").alias("doc_id"), "node", "root", "copies", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block")
+        F.min(F.struct("doc_id", "text_hash")).alias("head"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")
     )
+    banded = classes.select("node", "size", F.explode("bands").alias("band"))
+    # members told by two 64-bit hashes: buckets with the same ones would verify the same pairs
+    fingers = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"f{k}") for k in (0, 1)]
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("ngrams"), *fingers).filter("n > 1")
+    once = buckets.groupBy("n", "f0", "f1").agg(F.min("band").alias("band"), F.first("ngrams").alias("ngrams"))
+    nb = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("ngrams") / BLOCK_NGRAMS)).cast("int")
+    dealt = banded.join(once.select("band", nb.alias("nb")), "band")
+    own = F.struct("band", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"))
+    mine = dealt.groupBy("node").agg(F.collect_list(own).alias("mine"))  # as many as bands at most
+
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = _sets(texts.join(dealt, "doc_id").select("text", "node", "root", "copies", "nb", "block"), n)
-    pairs = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "node", "block", "copies", "ngrams"
+    asked = mine.join(classes.select("node", "copies", F.col("head.doc_id").alias("doc_id")), "node")
+    sets = _sets(texts.join(asked, "doc_id").select("text", "node", "copies", "mine"), n)
+    placed = sets.select("node", "copies", "mine", "ngrams", F.explode("mine").alias("at"))
+    pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("at.nb") - 1))).select(
+        "at.band", F.least("at.block", "with").alias("lo"), F.greatest("at.block", "with").alias("hi"), "node", "copies", "mine", "ngrams"
     )
     links = materialise(_verified(pairs, threshold), "links")
     groups = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")), "groups")
 
-    members = classes.select("node", "class_id", "copies").join(groups, "node", "left")
+    members = classes.select("node", "head", "copies").join(groups, "node", "left")
     members = members.withColumn("root", F.coalesce("root", "node"))
-    least = members.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    least = members.groupBy("root").agg(F.min("head").alias("group"))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     per_class = (
         members.join(least, "root")
         .join(counted, "node", "left")
-        .select("node", "class_id", "group_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("node", F.col("head.doc_id").alias("class_id"), "group", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     found = sig.join(per_class, "node", "left")
     has_id = F.col("doc_id").isNotNull()
     return found.select(
         "doc_id",
+        "text_hash",
         F.col("size").alias("n_ngrams"),
         F.when(has_id, F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(has_id, F.coalesce("group_id", "doc_id")).alias("group_id"),
+        F.when(has_id, F.coalesce("group.doc_id", "doc_id")).alias("group_id"),
         F.when(has_id, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(~has_id | (F.struct("doc_id", "text_hash") == F.col("group")), F.lit(True)).alias("stays"),
     )

@@ -62,6 +62,26 @@ def test_a_group_in_many_blocks(spark, monkeypatch):
     assert found(near_duplicates(docs)) == brute(texts)
 
 
+def test_links_of_a_pair_count_once_and_only_band_sharers_are_compared(spark):
+    from marketloom.llm import jaccard
+
+    mine = lambda *bands: [{"band": b, "nb": 1, "block": 0} for b in bands]
+    rows = [{"mine": mine(1, 5)}, {"mine": mine(1, 5)}, {"mine": mine(5)}]
+    assert jaccard._seen(rows, 5, 0).tolist() == [[True, True, False], [True, True, False], [False, False, False]]
+    # a chain: neighbours are near, the ends are not; every link counts once, whatever buckets they share
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(words[i * 12 : i * 12 + 200]) for i in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert found(near_duplicates(docs)) == brute(texts)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a), (2, b + " more"), (3, a)], "doc_id long, text string")
+    rows = near_duplicates(docs).select("doc_id", "text_hash", "n_links", "stays").collect()
+    assert sorted((r.doc_id, r.n_links, r.stays) for r in rows) == [(1, 1, True), (1, 2, True), (1, 2, True), (2, 1, False), (3, 2, False)]
+
+
 def test_common_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200))).astype(np.uint64) for _ in range(70)]
