@@ -1,69 +1,138 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source is cut into blocks of ``block_rows`` documents. A source with ``p`` of ``q`` parts of the weight gives
-its block ``j`` the release time ``floor(j * q / p)`` and the deadline ``ceil((j + 1) * q / p)``; every slot takes the
-released block with the earliest deadline. At every slot, each source then deviates from ``slot * p / q`` by less than
-one block. As weights are whole parts, the schedule repeats after ``q`` slots, so that one period, worked out on the
-driver, places every block by arithmetic. When a source has no block left, a new phase begins with the parts of the
-rest; the bound holds in each phase, counted from its start. No document is dropped or repeated.
+Every source is cut into blocks of ``block_rows`` documents. In a period every source gives as many blocks as it has
+parts, or what it has left. Among ``q`` slots of a period, a source with ``p`` parts gives its block ``i`` of the period
+the release time ``floor(i * q / p)`` and the deadline ``ceil((i + 1) * q / p)``; every slot takes the released block with
+the earliest deadline. At every slot, each source then deviates from ``slot * p / q`` by less than one block, and at a
+period's end by nothing. A source without blocks is no part of the periods that follow. Nothing is dropped or repeated.
+
+Sources with the same number of parts are alike. So the driver counts only how many there are for each number of parts
+and blocks, which grows with the square root of the documents; alike periods are scheduled once; and every row finds its
+slot by arithmetic from its source's rank among its like. Neither sources nor slots are listed on the driver.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from functools import reduce
+from math import gcd
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 16
-BUCKETS = 1024
-MOST_SOURCES = 512
+#: Rows that are numbered by one task, about.
+BUCKET_ROWS = 65_536
 NO_SOURCE = "(none)"
+#: Parts of the mix of the registered query and of the pipeline; sources not named have one part.
+PARTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
 
-Phase = tuple[int, int, int, int, int, list[int]]
 
+def period(alike: Mapping[int, int]) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
+    """One period of ``alike[p]`` sources with ``p`` parts each, earliest deadline first.
 
-def period(parts: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period of ``sum(parts)`` slots, earliest deadline first."""
-    q = sum(parts.values())
-    waiting = sorted(parts)
-    future = [(0, s, 0) for s in waiting]
-    ready: list[tuple[int, str, int]] = []
+    For every number of parts and block of the period the runs of slots that its sources take, by rank: first rank,
+    first slot, and how many. A run ends where a block with an earlier deadline is released.
+    """
+    q = sum(p * n for p, n in alike.items())
+    future = [(0, p, 0) for p, n in alike.items() if n]
+    ready: list[tuple[int, int, int]] = []
     heapq.heapify(future)
-    slots: dict[str, list[int]] = {s: [] for s in parts}
-    for t in range(q):
+    runs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    used: dict[tuple[int, int], int] = {}
+    t = 0
+    while t < q:
         while future and future[0][0] <= t:
-            _, s, j = heapq.heappop(future)
-            heapq.heappush(ready, (-(-(j + 1) * q // parts[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        slots[s].append(t)
-        if j + 1 < parts[s]:
-            heapq.heappush(future, ((j + 1) * q // parts[s], s, j + 1))
-    return slots
-
-
-def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> dict[str, list[Phase]]:
-    """For each source its phases: first block, end, first slot, parts, period, slots in the period."""
-    left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    found: dict[str, list[Phase]] = {s: [] for s in left}
-    base = 0
-    while left:
-        now = {s: parts[s] for s in left}
-        q, slots = sum(now.values()), period(now)
-        last = min((n - 1) // now[s] * q + slots[s][(n - 1) % now[s]] for s, n in left.items())
-        for s in list(left):
-            full, rest = divmod(last + 1, q)
-            used = full * now[s] + sum(x < rest for x in slots[s])
-            found[s].append((done[s], done[s] + used, base, now[s], q, slots[s]))
-            done[s] += used
-            left[s] -= used
-            if not left[s]:
-                del left[s]
-        base += last + 1
-    return found
+            _, p, i = heapq.heappop(future)
+            heapq.heappush(ready, (-(-(i + 1) * q // p), p, i))
+            if i + 1 < p:
+                heapq.heappush(future, ((i + 1) * q // p, p, i + 1))
+        _, p, i = ready[0]
+        done = used.get((p, i), 0)
+        many = min(alike[p] - done, future[0][0] - t if future else q - t)
+        runs.setdefault((p, i), []).append((done, t, many))
+        used[p, i] = done + many
+        t += many
+        if used[p, i] == alike[p]:
+            heapq.heappop(ready)
+    return runs
+
+
+class Schedule:
+    """Slots of all blocks, from how many sources there are for each number of parts and of blocks.
+
+    Periods follow one another in stretches of alike ones; ``self.first`` has each stretch's first period, ``self.base``
+    that one's first slot, ``self.length`` the slots of a period, and ``self.kind`` the period's schedule.
+    """
+
+    def __init__(self, sizes: Mapping[tuple[int, int], int]):
+        change: dict[int, dict[int, int]] = {0: {}}  # how many more sources with p parts there are from a period on
+        lasts: dict[int, list[tuple[int, int]]] = {}
+        for (p, blocks), n in sizes.items():
+            full, rest = divmod(blocks, p)
+            lasts.setdefault(p, []).append((full, n))
+            for at, parts, more in ((0, p, n), (full, p, -n), (full, rest, n), (full + 1, rest, -n)):
+                if parts:
+                    here = change.setdefault(at, {})
+                    here[parts] = here.get(parts, 0) + more
+        starts = sorted(change)
+        stretches, runs = [], []
+        known: dict[tuple, int] = {}
+        now: dict[int, int] = {}
+        base = 0
+        for at, after in zip(starts, [*starts[1:], starts[-1]]):
+            for p, n in change[at].items():
+                now[p] = now.get(p, 0) + n
+            alike = {p: n for p, n in now.items() if n}
+            key, q = tuple(sorted(alike.items())), sum(p * n for p, n in alike.items())
+            if key not in known:
+                known[key] = len(known)
+                runs += [(known[key], p, i, *run) for (p, i), found in period(alike).items() for run in found]
+            stretches.append((at, base, q, known[key]))
+            base += q * (after - at)
+        self.first, self.base, self.length, self.kind = np.array(stretches, np.int64).T
+        kind, parts, i, self.rank, self.slot, _ = np.array(sorted(runs), np.int64).reshape(-1, 6).T
+        # a group is a kind, a number of parts and a block of the period; those of a kind and number lie together
+        self.most_parts, self.most_rank = 1 + int(parts.max(initial=0)), 1 + int(self.rank.max(initial=0))
+        new = np.ones(len(kind), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (parts[1:] != parts[:-1]) | (i[1:] != i[:-1])
+        group = np.cumsum(new) - 1
+        first = new & (i == 0)
+        self.pair, self.group = (kind * self.most_parts + parts)[first], group[first]
+        self.key = group * self.most_rank + self.rank
+        self.lasts = {}
+        for p, found in lasts.items():
+            at, n = np.array(sorted(found), np.int64).T
+            self.lasts[p] = at, np.concatenate([np.cumsum(n[::-1])[::-1], [0]])
+
+    def _whole(self, parts: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """How many sources of so many parts give all of them in a period."""
+        out = np.zeros(len(parts), np.int64)
+        for p in np.unique(parts):
+            if p in self.lasts:
+                at, beyond = self.lasts[p]
+                mine = parts == p
+                out[mine] = beyond[np.searchsorted(at, number[mine], "right")]
+        return out
+
+    def slots(self, parts: np.ndarray, blocks: np.ndarray, rank: np.ndarray, place: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The slot of each ``block`` of a source with ``parts`` and ``blocks`` in all.
+
+        ``rank`` is the source's place among those of its parts, most whole periods first; ``place`` that among the
+        sources which have as much left in the same last period.
+        """
+        number, i = np.divmod(block, parts)
+        whole = number < blocks // parts
+        mine = np.where(whole, parts, blocks % parts)
+        among = np.where(whole, rank, self._whole(mine, number) + place)
+        at = np.searchsorted(self.first, number, "right") - 1
+        group = self.group[np.searchsorted(self.pair, self.kind[at] * self.most_parts + mine)] + i
+        run = np.searchsorted(self.key, group * self.most_rank + np.minimum(among, self.most_rank - 1), "right") - 1
+        return self.base[at] + (number - self.first[at]) * self.length[at] + self.slot[run] + among - self.rank[run]
 
 
 def mix_sources(
@@ -71,8 +140,7 @@ def mix_sources(
     parts: Mapping[str, int],
     default_parts: int = 1,
     block_rows: int = BLOCK_ROWS,
-    buckets: int = BUCKETS,
-    most_sources: int = MOST_SOURCES,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """All rows and columns of ``docs`` (``doc_id``, ``source``) with ``block``, ``slot`` and ``in_block``.
 
@@ -80,13 +148,16 @@ def mix_sources(
     gives the stream. Blocks are filled in the order of hashed ids. ``parts`` holds positive whole weights; sources
     not named there get ``default_parts``. Rows without a source form one of their own (``(none)``). Rows of equal or
     null ids are numbered one after the other; an empty table gives no rows. Columns of ``docs`` named as the new ones
-    are replaced. Sources beyond ``most_sources`` raise an error, as the driver holds one count for each.
+    are replaced. There may be any number of sources.
 
-    A source's rows are numbered in ``buckets`` hash buckets with offsets, so that none is handled by one task.
+    A source's rows are numbered in hash buckets with offsets, more of them the more rows there are, so that none is
+    handled by one task.
     """
     if default_parts < 1 or any(p < 1 or p != int(p) for p in parts.values()):
         raise ValueError("weights are positive whole parts")
+    common = reduce(gcd, parts.values(), default_parts)
     spark = docs.sparkSession
+    buckets = max(64, 1 << (docs.count() // bucket_rows).bit_length())
     keyed = docs.drop("block", "slot", "in_block").withColumns(
         {
             "_source": F.coalesce(F.col("source"), F.lit(NO_SOURCE)),
@@ -95,30 +166,30 @@ def mix_sources(
         }
     )
     sizes = keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
-    totals = sizes.groupBy("_source").agg(F.sum("n").alias("n")).limit(most_sources + 1).collect()
-    if len(totals) > most_sources:
-        raise ValueError(f"more than {most_sources} sources")
-    plan = phases({r["_source"]: -(-r["n"] // block_rows) for r in totals}, {r["_source"]: parts.get(r["_source"], default_parts) for r in totals})
-    schedule = spark.createDataFrame(
-        list(plan.items()),
-        "_source string, _phases array<struct<first:bigint,end:bigint,base:bigint,parts:int,period:int,slots:array<int>>>",
-    )
+    weight = F.lit(default_parts // common).cast("long")
+    for name, p in parts.items():
+        weight = F.when(F.col("_source") == name, F.lit(p // common)).otherwise(weight)
+    sources = sizes.groupBy("_source").agg(F.sum("n").alias("n")).select("_source", F.ceil(F.col("n") / block_rows).alias("_blocks"), weight.alias("_parts"))
+    # one row a source: its place among those of its parts, and among those that have as much left in the same last period
+    whole, rest = F.floor(F.col("_blocks") / F.col("_parts")), F.col("_blocks") % F.col("_parts")
+    rank = F.row_number().over(W.partitionBy("_parts").orderBy(whole.desc(), "_source")) - 1
+    place = F.row_number().over(W.partitionBy(whole, rest).orderBy("_parts", "_source")) - 1
+    ranked = sources.withColumns({"_rank": rank, "_place": place})
+    alike = sources.groupBy("_parts", "_blocks").agg(F.count("*").alias("n")).collect()
+    schedule = spark.sparkContext.broadcast(Schedule({(r["_parts"], r["_blocks"]): r["n"] for r in alike}))
+
+    @F.pandas_udf("long")
+    def slot(parts: pd.Series, blocks: pd.Series, rank: pd.Series, place: pd.Series, block: pd.Series) -> pd.Series:
+        return pd.Series(schedule.value.slots(*(x.to_numpy(np.int64) for x in (parts, blocks, rank, place, block))))
+
     before = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_source", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    offsets = sizes.select("_source", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset")).join(ranked, "_source")
     number = F.row_number().over(W.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id")) - 1
     numbered = keyed.withColumn("_n", number).join(offsets, ["_source", "_bucket"]).withColumn("_n", F.col("_n") + F.col("_offset"))
-    # bounded by most_sources rows of at most as many phases
-    placed = numbered.join(F.broadcast(schedule), "_source").withColumn("block", F.floor(F.col("_n") / block_rows))
-    phase = F.get(F.filter("_phases", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["end"])), F.lit(0))
-    placed = placed.withColumn("_phase", phase).withColumn("_j", F.col("block") - F.col("_phase.first"))
-    slot = (
-        F.col("_phase.base")
-        + F.floor(F.col("_j") / F.col("_phase.parts")) * F.col("_phase.period")
-        + F.get(F.col("_phase.slots"), (F.col("_j") % F.col("_phase.parts")).cast("int"))
-    )
-    return placed.select(
+    blocked = numbered.withColumn("block", F.floor(F.col("_n") / block_rows))
+    return blocked.select(
         *[c for c in docs.columns if c not in ("block", "slot", "in_block")],
         "block",
-        slot.alias("slot"),
+        slot("_parts", "_blocks", "_rank", "_place", "block").alias("slot"),
         (F.col("_n") % block_rows).cast("int").alias("in_block"),
     )

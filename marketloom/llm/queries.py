@@ -10,7 +10,7 @@ from marketloom.llm import chats
 from marketloom.llm.common import shared_dir, table
 from marketloom.llm.jaccard import near_duplicates
 from marketloom.llm.licenses import scan_licenses
-from marketloom.llm.mixing import mix_sources
+from marketloom.llm.mixing import PARTS, mix_sources
 from marketloom.llm.neighbours import nearest
 from marketloom.llm.pieces import encode_decode
 from marketloom.llm.quality import score_quality
@@ -18,9 +18,6 @@ from marketloom.llm.secrets import joined_spans, scan_secrets
 from marketloom.llm.substrings import remove_repeats
 from marketloom.llm.tokens import Ledger, count_tokens
 
-#: Parts of the mix; sources not named have one part.
-PARTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
-
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
