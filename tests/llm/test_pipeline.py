@@ -49,6 +49,15 @@ def test_odd_rows(spark, sf):
     assert P.near_copies(spark, twice.unionByName(twice), sf).count() == 1
 
 
+def test_texts_of_one_id_are_kept_apart(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, None, "s", 1), (1, a, "de", "s", 1), (2, b, "en", "s", 1), (2, c, "en", "s", 1), (None, a, "en", "s", 1), (None, a, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        got = sorted(((r.doc_id, r.text, r.lang) for r in P.near_copies(spark, docs.repartition(parts), sf).collect()), key=str)
+        assert got == sorted([(1, a, None), (1, b, "en"), (2, c, "en"), (None, a, "en"), (None, a, "en")], key=str)
+
+
 def test_the_last_stage_shows_the_mix_of_several_files(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(P.COLUMNS)
     written = {r.doc_id: (r.slot, r.in_block) for r in mix_sources(docs, P.PARTS).collect()}
