@@ -2,10 +2,11 @@
 
 Ids come from the sentencepiece library. The spans come from a normaliser of our own, which applies the model's
 compiled character map by longest prefixes and records, for each byte of the normalised text, the original byte that
-it stems from; every piece is then projected back to the original bytes.
+it stems from; the pieces are laid along the normalised text, and every one is projected back to the original bytes.
 
 The compiled map is a little-endian 32-bit length, a double-array trie of 32-bit units of that length, and
-replacement strings that end in zero bytes.
+replacement strings that end in zero bytes. With an empty map, and spaces kept as they are, only spaces change: whole
+batches are then normalised and aligned at once, as arrays.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ from sentencepiece import sentencepiece_model_pb2
 
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
-MOST_CACHED, LONGEST_CACHED = 150_000, 48
+#: Characters of text that are encoded together.
+ROOM = 262_144
 
 
 class CharMap:
@@ -104,81 +107,54 @@ class Normaliser:
         return bytes(out), source
 
 
+    def aligned(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The original byte offset of every normalised byte and end, text after text, and how many there are of each."""
+        if self.map.units or self.kept or self.squeeze or not (self.prefix and self.escape):
+            sources = [np.asarray(self(t)[1] if t else [0], np.int64) for t in texts]
+            return np.concatenate([np.empty(0, np.int64), *sources]), np.array([len(x) for x in sources], np.int64)
+        # a space before each text, and one byte for its end
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(x for t in raw for x in ((b" " if t else b""), t, b"\0")), np.uint8)
+        size = np.array([len(t) for t in raw], np.int64)
+        laid = size + 1 + (size > 0)
+        first = np.cumsum(laid) - laid
+        offset = np.arange(len(data)) - np.repeat(first + (size > 0), laid)
+        width = np.where(data == 32, len(SPACE_BYTES), 1)
+        return np.repeat(np.maximum(offset, 0), width), np.add.reduceat(width, first) if len(first) else size
+
+
 class Codec:
     """Encoding with spans, and decoding, by one model."""
 
     def __init__(self, model_file: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         model = sentencepiece_model_pb2.ModelProto.FromString(open(model_file, "rb").read())
-        spec, trainer = model.normalizer_spec, model.trainer_spec
-        kept = [p.piece.encode() for p in model.pieces if p.type == p.USER_DEFINED]
-        self.normalise = Normaliser(spec, kept)
-        self.is_byte = [p.type == p.BYTE for p in model.pieces]
-        self.sizes = [1 if p.type == p.BYTE else len(p.piece.encode()) - (len(SPACE_BYTES) - 1) * p.piece.count(SPACE) for p in model.pieces]
-        self.unknown = trainer.unk_id
-        # With these settings no merge crosses the start of a run of spaces: what lies between is encoded by itself.
-        self.by_chunk = (
-            trainer.model_type == trainer.BPE
-            and trainer.byte_fallback
-            and not kept
-            and not spec.precompiled_charsmap
-            and spec.add_dummy_prefix
-            and spec.escape_whitespaces
-            and not spec.remove_extra_whitespaces
-            and not trainer.treat_whitespace_as_suffix
-            and not any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces)
-        )
-        self.cache: dict[str, tuple[list[int], list[int]]] = {}
-        self.space_id = self.sp.piece_to_id(SPACE)
-
-    def _chunk(self, chunk: str) -> tuple[list[int], list[int]]:
-        """Ids and original bytes a piece of one run of spaces (less one) and what follows it."""
-        found = self.cache.get(chunk)
-        if found is None:
-            ids = self.sp.encode(chunk) if chunk else [self.space_id]
-            found = ids, [self.sizes[i] for i in ids]
-            if len(chunk) <= LONGEST_CACHED:
-                if len(self.cache) >= MOST_CACHED:
-                    self.cache.clear()
-                self.cache[chunk] = found
-        return found
-
-    def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """Ids as the library gives them, and the start and end of each piece in the text's UTF-8 bytes.
+        self.normalise = Normaliser(model.normalizer_spec, [p.piece.encode() for p in model.pieces if p.type == p.USER_DEFINED])
+        #: Bytes of each piece in the normalised text; those of unknown pieces differ from place to place.
+        self.sizes = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in model.pieces], np.int64)
+        self.unknown = {i for i, p in enumerate(model.pieces) if p.type == p.UNKNOWN}
+
+    def _laid(self, text: str, ids: list[int]) -> np.ndarray:
+        """Sizes of a text's pieces in the normalised text."""
+        if self.unknown.isdisjoint(ids):
+            return self.sizes[ids]
+        shown = self.sp.encode(text, out_type=str)
+        return np.array([len(s.encode()) if i in self.unknown else self.sizes[i] for i, s in zip(ids, shown, strict=True)], np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """Ids of each text as the library gives them, and for all pieces, text after text, start and end in its bytes.
 
         Spans of neighbouring pieces share a bound; the prefix space that the model adds has no bytes of its own.
         """
-        if not text:
-            return [], [], []
-        if not self.by_chunk or SPACE in text:
-            return self._aligned(text)
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            chunks = [m[1:] for m in re.findall(" +[^ ]*", " " + text)]
-        else:
-            chunks = text.split(" ")
-        ids: list[int] = []
-        sizes: list[int] = []
-        for c in chunks:
-            i, n = self._chunk(c)
-            ids += i
-            sizes += n
-        sizes[0] -= 1
-        ends = np.cumsum(sizes)
-        return ids, np.concatenate([[0], ends[:-1]]), ends
-
-    def _aligned(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """The same for any model: pieces are laid along the normalised text and projected through its alignment."""
-        ids, pieces = self.sp.encode(text), self.sp.encode(text, out_type=str)
-        norm, source = self.normalise(text)
-        at, starts, ends = 0, [], []
-        for i, piece in zip(ids, pieces, strict=True):
-            n = 1 if self.is_byte[i] else len(piece.encode())
-            starts.append(source[min(at, len(norm))])
-            at += n
-            ends.append(source[min(at, len(norm))])
-        if at != len(norm):
+        ids = self.sp.encode(texts, num_threads=1)
+        source, laid = self.normalise.aligned(texts)
+        count = np.array([len(i) for i in ids], np.int64)
+        sizes = np.concatenate([self._laid(t, i) for t, i in zip(texts, ids) if i] or [np.empty(0, np.int64)])
+        text = np.repeat(np.arange(len(texts)), count)
+        ends = np.cumsum(sizes) + text  # every text before has one entry more, for its end
+        if (np.bincount(text, sizes, len(texts)) != laid - 1).any():
             raise ValueError("the pieces don't add up to the normalised text")
-        return ids, starts, ends
+        return ids, source[ends - sizes], source[ends]
 
 
 @lru_cache(maxsize=2)
@@ -186,6 +162,18 @@ def codec(model_file: str) -> Codec:
     return Codec(model_file)
 
 
+def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of groups of texts of about ``ROOM`` characters; a longer text is one by itself."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > at and size + len(t) > ROOM:
+            yield at, k
+            at, size = k, 0
+        size += len(t)
+    if texts:
+        yield at, len(texts)
+
+
 def encode_decode(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row of ``docs`` (``text``) with ``ids``, ``starts``, ``ends`` (arrays) and ``decoded``.
 
@@ -197,21 +185,16 @@ def encode_decode(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, starts, ends, decoded, offsets = [], [], [], [], [0]
-                for text in part.column(part.num_columns - 1).to_pylist():
-                    i, s, e = c.encode(text or "")
-                    ids += i
-                    starts.append(np.asarray(s, np.int32))
-                    ends.append(np.asarray(e, np.int32))
-                    offsets.append(len(ids))
-                    decoded.append(c.sp.decode(i) if i else "")
-                at_rows = pa.array(offsets, pa.int32())
-                columns = [np.asarray(ids, np.int32), np.concatenate(starts), np.concatenate(ends)]
-                arrays = [pa.ListArray.from_arrays(at_rows, pa.array(x, pa.int32())) for x in columns]
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            for at, end in groups(texts):
+                ids, starts, ends = c.encode(texts[at:end])
+                offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, len(starts))
+                arrays = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (flat, starts, ends)]
+                decoded = pa.array(c.sp.decode(ids, num_threads=1), pa.string())
+                part = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in range(part.num_columns - 1)), *arrays, pa.array(decoded, pa.string())],
+                    [*(part.column(k) for k in range(part.num_columns - 1)), *arrays, decoded],
                     [*keep, "ids", "starts", "ends", "decoded"],
                 )
 

@@ -1,10 +1,12 @@
 import struct
+import time
 
 import public_tokenizers
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from sentencepiece import sentencepiece_model_pb2
 
 from marketloom.llm.pieces import CharMap, Normaliser, encode_decode
 from marketloom.llm.pieces import codec as shared
@@ -18,17 +20,56 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\tabcé▁.=0"), st.characters(codec="utf-8")), max_size=60))
-def test_equals_the_library_and_spans_tile_the_text(text):
+TEXT = st.text(alphabet=st.one_of(st.sampled_from(" \n\tabzcé▁.=0\x00"), st.characters(codec="utf-8")), max_size=60)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXT, max_size=6))
+def test_equals_the_library_and_spans_tile_the_texts(texts):
     c = shared(MODEL)
-    ids, starts, ends = c.encode(text)
-    assert ids == c.sp.encode(text)
-    if text:
-        assert starts[0] == 0 and ends[-1] == len(text.encode()) and list(starts[1:]) == list(ends[:-1])
-    if text and c.by_chunk:
-        slow = c._aligned(text)
-        assert (list(slow[0]), list(slow[1]), list(slow[2])) == (list(ids), list(starts), list(ends))
+    ids, starts, ends = c.encode(texts)
+    assert ids == [c.sp.encode(t) for t in texts]
+    at = 0
+    for text, i in zip(texts, ids):
+        s, e = list(starts[at : at + len(i)]), list(ends[at : at + len(i)])
+        at += len(i)
+        assert s[:1] == [0][: len(i)] and e[-1:] == [len(text.encode())][: len(i)] and s[1:] == e[:-1]
+    # the arrays of a whole batch are what the normaliser gives text by text
+    source, laid = c.normalise.aligned(texts)
+    assert list(source) == [x for t in texts for x in (c.normalise(t)[1] if t else [0])] and laid.sum() == len(source)
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_a_model_with_a_character_map(tmp_path, squeeze):
+    model = sentencepiece_model_pb2.ModelProto.FromString(open(MODEL, "rb").read())
+    table = {b"a": b"1", b"ab": b"22", "é".encode(): b"e", b"\t": b" ", b"zz": b"", "日本".encode(): b"c c"}
+    model.normalizer_spec.precompiled_charsmap = compiled(table)
+    model.normalizer_spec.remove_extra_whitespaces = squeeze
+    path = tmp_path / "mapped.model"
+    path.write_bytes(model.SerializeToString())
+    c = shared(str(path))
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.text(alphabet="abzé\t 日本x▁", max_size=30), max_size=4))
+    def check(texts):
+        ids, starts, ends = c.encode(texts)
+        assert ids == [c.sp.encode(t) for t in texts]
+        at = 0
+        for text, i in zip(texts, ids):
+            for p in c.sp.encode(text, return_type="proto").pieces if i else ():
+                if not c.sp.is_byte(p.id):  # the library gives a character's bytes together
+                    assert (starts[at], ends[at]) == (p.begin, p.end), (text, p)
+                at += 1
+        assert at == len(starts)
+
+    check()
+
+
+def test_long_text_in_bounded_time(library):
+    text = "many words of a long text, again and again " * 200_000
+    began = time.monotonic()
+    ids, _, ends = shared(MODEL).encode([text])
+    assert ends[-1] == len(text) and time.monotonic() - began < 60
 
 
 def test_every_document(spark, sf, library):
