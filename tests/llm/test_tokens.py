@@ -35,14 +35,49 @@ def test_signed_batches(spark, ledger):
 
 def test_an_unfinished_batch_is_not_seen(spark, ledger, monkeypatch):
     events = spark.createDataFrame([(1, "insert", "a", "en", "t", 10)], EVENT)
-    committed = Ledger.signed
     ledger.commit("1", events)
-    events.select("doc_id", "source", "lang", "tokenizer").selectExpr("doc_id", "source", "lang", "tokenizer", "1 as sign", "5L as n_tokens").write.parquet(f"{ledger.root}/signed/batch=2")
-    assert committed and rows(ledger.totals()) == {("a", "en", "t", 1, 10)} and ledger.state().count() == 1
-    assert ledger.commit("2", events.selectExpr("2L as doc_id", "op", "source", "lang", "tokenizer", "n_tokens"))
+    monkeypatch.setattr(Ledger, "_claim", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    second = events.selectExpr("2L as doc_id", "op", "source", "lang", "tokenizer", "n_tokens")
+    with pytest.raises(RuntimeError):
+        ledger.commit("2", second)
+    monkeypatch.undo()
+    assert rows(ledger.totals()) == {("a", "en", "t", 1, 10)} and ledger.state().count() == 1
+    assert ledger.commit("2", second)
     assert rows(ledger.totals()) == {("a", "en", "t", 2, 20)}
 
 
+def test_two_writers_lose_nothing(spark, ledger, monkeypatch):
+    event = lambda i, op, n: spark.createDataFrame([(i, op, "a", "en", "t", n)], EVENT)
+    ledger.commit("0", event(1, "insert", 10))
+    other, claim, raced = Ledger(spark, ledger.root), Ledger._claim, []
+
+    def late(self, number, entry):
+        if not raced:  # another writer commits between this one's reading and its claim
+            raced.append(1)
+            assert other.commit("theirs", event(1, "revise", 7))
+        return claim(self, number, entry)
+
+    monkeypatch.setattr(Ledger, "_claim", late)
+    assert ledger.commit("mine", event(1, "revise", 3))
+    assert rows(ledger.totals()) == {("a", "en", "t", 1, 3)} == rows(other.totals()) and ledger.committed().count() == 3
+    raced.clear()
+    monkeypatch.setattr(Ledger, "_claim", lambda self, n, e: (raced or (raced.append(1), other.commit("same", event(2, "insert", 1)))) and claim(self, n, e))
+    assert not ledger.commit("same", event(2, "insert", 1)) and rows(ledger.totals()) == {("a", "en", "t", 2, 4)}
+
+
+def test_compaction_odd_names_and_rejected_events(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"), compact_every=2)
+    event = lambda i, op, n: spark.createDataFrame([(i, op, "a", "en", "t", n)], EVENT)
+    names = ["a/b=../c", "x y", "é?*", "'\"", ""]
+    for k, name in enumerate(names):
+        assert ledger.commit(name, event(k % 2, "revise", k + 1).unionByName(event(9, None if k else "odd", 5)))
+        assert not ledger.commit(name, event(5, "insert", 1))
+    assert rows(ledger.totals()) == {("a", "en", "t", 2, 9)} and {r.n_tokens for r in ledger.state().collect()} == {4, 5}
+    assert sum(e["kind"] == "compact" for e in ledger._log()) == 2 and len(ledger._parts(ledger._log())[1]) == 1
+    assert {r.batch for r in ledger.committed().collect()} == set(names)
+    assert sorted(str(r.op) for r in ledger.rejected().collect()) == ["None"] * 4 + ["odd"]
+
+
 def test_the_query_against_brute_force(spark, sf):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
