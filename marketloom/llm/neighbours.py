@@ -1,16 +1,23 @@
 """Approximate nearest neighbours by vantage-point trees, one in each shard.
 
-Largest inner product becomes smallest distance by one more coordinate: with ``m`` the longest norm in the shard, a
-vector ``x`` is extended by ``sqrt(m² - |x|²)`` and a query by 0; then ``|q - x|² = |q|² + m² - 2 q·x``.
+Largest inner product becomes smallest distance by one more coordinate: with ``m`` the longest norm, a vector ``x`` is
+extended by ``sqrt(m² - |x|²)`` and a query by 0; then ``|q - x|² = |q|² + m² - 2 q·x``.
 
-A node of a tree holds a vantage point and the median distance to it; the nearer half lies inside. A query goes to
-its side first and to the other one if ``gap <= factor * radius``, where ``gap`` is its distance to the boundary and
-``radius`` that to its k-th best so far. By the triangle inequality ``factor`` 1 loses nothing; smaller ones prune
-more. All queries of a block descend together, as arrays.
+1. Rows go to the nearest of some pivots; a pivot's rows are dealt to as many shards as they need, so that a shard is
+   bounded whatever its pivot attracts. Of each pivot the least and the greatest distance to its rows are known.
+2. Every shard's tree is built once and written. A node holds a vantage point and the median distance to it; the nearer
+   half lies inside. A query goes to its side first and to the other one if ``gap <= factor * radius``, where ``gap`` is
+   its distance to the boundary and ``radius`` that to its k-th best so far.
+3. Every query searches its own shard first. What it finds there bounds the rest: it goes to the shards of a pivot only
+   if its gap to their distances passes the same test. Shards read their tree once and the queries in blocks.
+
+By the triangle inequality ``factor`` 1 loses nothing; smaller ones prune more. All queries of a block descend together,
+as arrays.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import materialise
+
 SHARD_ROWS, QUERY_ROWS = 8192, 2048
+#: Pivots are a sample of so many rows, those of the smallest hashes, and the zero vector. Every row is indexed.
+PIVOTS = 128
 LEAF = 128
 FACTOR = 0.5
 K = 20
@@ -56,8 +67,14 @@ class Tree:
             near = np.arange(len(rows)) < len(rows) // 2
         return far, radius, self._build(rows[near]), self._build(rows[~near])
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and rows of each query's ``k`` best (score -inf: none), leaving out row ``own`` (-1: none)."""
+    def search(
+        self, queries: np.ndarray, own: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and rows of each query's ``k`` best (score -inf: none), leaving out row ``own`` (-1: none).
+
+        What scores less than ``floor`` is of no use and need not be found.
+        """
+        floor = np.full(len(queries), -np.inf) if floor is None else floor
         score = np.full((len(queries), k), -np.inf)
         row = np.full((len(queries), k), len(self.vectors))
         points = np.column_stack([queries, np.zeros(len(queries))])
@@ -80,7 +97,7 @@ class Tree:
                 mine = (d <= radius) == inside
                 visit(near if inside else rest, at[mine])
                 left = at[mine]
-                reach = np.sqrt(np.maximum(length[left] - 2 * score[left, -1], 0))
+                reach = np.sqrt(np.maximum(length[left] - 2 * np.maximum(score[left, -1], floor[left]), 0))
                 visit(rest if inside else near, left[np.abs(d[mine] - radius) <= factor * reach + 1e-9])
 
         visit(self.root, np.arange(len(queries)))
@@ -93,6 +110,34 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """The rows of a list column of equal lengths."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+class Pivots:
+    """Points by which rows of one length are parted, and the distances of rows and queries to them."""
+
+    def __init__(self, vectors: list[list[float]], size: int, most: float):
+        self.most = most  # square of the longest norm
+        self.vectors = np.vstack([np.zeros((1, size)), np.asarray(vectors, float).reshape(-1, size)])
+        self.more = self._more(self.vectors)
+
+    def _more(self, vectors: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.most - (vectors**2).sum(1), 0))
+
+    def of_rows(self, vectors: np.ndarray) -> np.ndarray:
+        common = vectors @ self.vectors.T + np.outer(self._more(vectors), self.more)
+        return np.sqrt(np.maximum(2 * self.most - 2 * common, 0))
+
+    def of_queries(self, vectors: np.ndarray) -> np.ndarray:
+        square = (vectors**2).sum(1)[:, None] + self.most - 2 * vectors @ self.vectors.T
+        return np.sqrt(np.maximum(square, 0))
+
+
+SHARD = ["size", "cell", "part"]
+
+
 def nearest(
     vectors: DataFrame,
     asks: Column,
@@ -102,59 +147,133 @@ def nearest(
     vector_col: str = "embedding",
     shard_rows: int = SHARD_ROWS,
     query_rows: int = QUERY_ROWS,
+    pivots: int = PIVOTS,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row for whose ``id`` ``asks`` holds, its ``k`` nearest found.
 
-    All rows are candidates but the query's own; nearness is the largest inner product in double precision, ties go
-    to the smaller id. Rows whose id or vector is null, or whose vector is empty, zero or has null or non-finite
-    components take no part. Of rows that repeat an id, the one with the smallest vector counts. Vectors of different
-    lengths are not comparable: a query sees those of its own length. Fewer candidates than ``k`` are all returned; an
-    empty table gives no rows.
-
-    Rows are dealt to shards and queries to blocks, both of bounded size; each pair of a shard and a block is one
-    unit of work, and Spark ranks the ``k`` of every shard.
+    All rows are candidates but the query's own, also those that repeat its id; nearness is the largest inner product in
+    double precision, ties go to the smaller id. Rows whose id or vector is null, or whose vector is empty, zero or has
+    null or non-finite components take no part. Vectors of different lengths are not comparable: a query sees those of
+    its own length. Fewer candidates than ``k`` are all returned; an empty table gives no rows. The driver holds the
+    pivots and a line for each pivot and length of vectors.
     """
     found = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    found = found.filter(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
-    found = found.withColumns({"size": F.size("v"), "asks": F.coalesce(asks, F.lit(False))})
-    n = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)).alias("asking")).first()
-    shards, blocks = (-(-n["rows"] // shard_rows) or 1), (-(-n["asking"] // query_rows) or 1)
-    deal = lambda name, parts: F.pmod(F.xxhash64("id", F.lit(name)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    rows = found.select("size", deal("shard", shards).alias("shard"), every(blocks).alias("block"), "id", "v", F.lit(False).alias("asks"))
-    asked = found.filter("asks").select("size", every(shards).alias("shard"), deal("block", blocks).alias("block"), "id", "v", "asks")
-
-    def search(group: list[tuple[int, list[float], bool]]) -> pa.RecordBatch:
-        mine = sorted((i, v) for i, v, asks in group if not asks)
-        theirs = sorted((i, v) for i, v, asks in group if asks)
-        ids = np.array([i for i, _ in mine], np.int64)
-        asking = np.array([i for i, _ in theirs], np.int64)
-        tree = Tree(np.array([v for _, v in mine]))
-        at = np.searchsorted(ids, asking)
-        own = np.where((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == asking), at, -1)
-        score, row = tree.search(np.array([v for _, v in theirs]), own, k, factor)
-        have = ~np.isneginf(score)
-        query = np.repeat(asking, have.sum(1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(query), pa.array(ids[row[have]]), pa.array(score[have])], ["query_id", "vec_id", "score"]
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = found.filter(F.col("id").isNotNull() & usable(F.col("v")))
+    found = found.withColumns({"row": F.monotonically_increasing_id(), "size": F.size("v"), "asks": F.coalesce(asks, F.lit(False))})
+    found = materialise(found, "vectors")  # numbered once
+    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
+    longest = {r["size"]: r["most"] for r in found.groupBy("size").agg(F.max(square).alias("most")).collect()}
+    sample = found.orderBy(F.xxhash64("id", "v"), "id", "row").limit(pivots).select("size", "v").collect()
+    points = {size: Pivots([r["v"] for r in sample if r["size"] == size], size, most) for size, most in longest.items()}
+
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            for s in np.unique(size):
+                part = batch.filter(pa.array(size == s))
+                d = points[s].of_rows(_matrix(part.column("v")))
+                cell = d.argmin(1)
+                yield part.append_column("cell", pa.array(cell, pa.int32())).append_column("d", pa.array(d[np.arange(len(d)), cell]))
+
+    fields = "id long, v array<double>, row long, size int, asks boolean"
+    cells = materialise(found.select("id", "v", "row", "size", "asks").mapInArrow(to_cells, f"{fields}, cell int, d double"), "cells")
+    counted = cells.groupBy("size", "cell").agg(F.count("*").alias("n"), F.min("d").alias("least"), F.max("d").alias("most")).collect()
+    shards: dict[int, dict[str, np.ndarray]] = {}
+    for s in longest:
+        mine = sorted((r for r in counted if r["size"] == s), key=lambda r: r["cell"])
+        shards[s] = {c: np.array([r[c] for r in mine]) for c in ("cell", "n", "least", "most")}
+        shards[s]["parts"] = -(-shards[s]["n"] // shard_rows)
+    parts = [(s, int(c), int(p)) for s, m in shards.items() for c, p in zip(m["cell"], m["parts"])]
+    many = vectors.sparkSession.createDataFrame(parts, "size int, cell int, parts int")
+    # as many rows as there are pivots and lengths
+    placed = cells.join(F.broadcast(many), ["size", "cell"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tree() -> pa.RecordBatch:
+            table = pa.Table.from_batches(group).combine_chunks().sort_by([("id", "ascending"), ("row", "ascending")])
+            ids, rows = table.column("id").to_numpy(), table.column("row").to_numpy()
+            made = pickle.dumps((ids, rows, Tree(_matrix(table.column("v").combine_chunks()))))
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in key), pa.array([made], pa.binary())], [*SHARD, "tree"])
+
         key, group = None, []
-        full = lambda: any(a for _, _, a in group) and not all(a for _, _, a in group)
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("size", "shard", "block", "id", "v", "asks")]
-            for *here, i, v, asks in zip(*columns, strict=True):
-                if here != key:
-                    if group and full():
-                        yield search(group)
-                    key, group = here, []
-                group.append((i, v, asks))
-        if group and full():
-            yield search(group)
-
-    by = ["size", "shard", "block"]
-    dealt = rows.unionByName(asked).repartition(*by).sortWithinPartitions(*by)
-    best = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            at = np.column_stack([batch.column(c).to_numpy() for c in SHARD])
+            bounds = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1), len(at)]
+            for a, b in zip(bounds, bounds[1:]):
+                if b > a and tuple(at[a]) != key:
+                    if group:
+                        yield tree()
+                    key, group = tuple(at[a]), []
+                if b > a:
+                    group.append(batch.slice(a, b - a))
+        if group:
+            yield tree()
+
+    rows = placed.select(*SHARD, "id", "row", "v").repartition(*SHARD).sortWithinPartitions(*SHARD)
+    trees = materialise(rows.mapInArrow(build, "size int, cell int, part int, tree binary"), "trees")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answers() -> pa.RecordBatch:
+            ids, rows, tree = shard
+            order = np.argsort(rows)
+            mine = np.array([q[0] for q in block], np.int64)
+            at = np.minimum(np.searchsorted(rows[order], mine), len(rows) - 1)
+            own = np.where(rows[order][at] == mine, order[at], -1)
+            floor = np.array([q[3] for q in block])
+            score, row = tree.search(np.array([q[2] for q in block]), own, k, factor, floor)
+            have = ~np.isneginf(score) & (score >= floor[:, None])
+            times = have.sum(1)
+            columns = [np.repeat(mine, times), np.repeat(np.array([q[1] for q in block], np.int64), times), ids[row[have]], score[have]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "query_id", "vec_id", "score"])
+
+        shard, block = None, []
+        for batch in batches:
+            for tree, row, i, v, floor in zip(*(batch.column(c).to_pylist() for c in ("tree", "row", "id", "v", "floor")), strict=True):
+                if block and (tree is not None or len(block) >= query_rows):
+                    yield answers()
+                    block = []
+                if tree is not None:
+                    shard = pickle.loads(tree)
+                else:
+                    block.append((row, i, v, floor))
+        if block:
+            yield answers()
+
+    def searched(queries: DataFrame) -> DataFrame:
+        none = lambda kind: F.lit(None).cast(kind)
+        blank = {"tree": "binary", "row": "long", "id": "long", "v": "array<double>", "floor": "double"}
+        columns = lambda df: df.select(*SHARD, *(F.col(c) if c in df.columns else none(t).alias(c) for c, t in blank.items()))
+        both = columns(trees).unionByName(columns(queries)).repartition(*SHARD).sortWithinPartitions(*SHARD, F.col("tree").isNull())
+        return both.mapInArrow(search, "row long, query_id long, vec_id long, score double")
+
+    asked = placed.filter("asks").select(*SHARD, "row", "id", "v")
+    first = materialise(searched(asked.withColumn("floor", F.lit(float("-inf")))), "first")
+    floors = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("floor"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            for s in np.unique(size):
+                part = batch.filter(pa.array(size == s))
+                v, m, p = _matrix(part.column("v")), shards[s], points[s]
+                d = p.of_queries(v)[:, m["cell"]]
+                gap = np.maximum(np.maximum(m["least"] - d, d - m["most"]), 0)
+                floor = part.column("floor").to_numpy()
+                reach = np.sqrt(np.maximum((v**2).sum(1) + p.most - 2 * floor, 0))
+                query, cell = np.nonzero(gap <= factor * reach[:, None] + 1e-9)
+                times = m["parts"][cell]
+                query, cell = np.repeat(query, times), np.repeat(m["cell"][cell], times)
+                begins = np.cumsum(times) - times
+                number = np.arange(len(query)) - np.repeat(begins, times)
+                other = (cell != part.column("cell").to_numpy()[query]) | (number != part.column("part").to_numpy()[query])
+                for at in range(0, len(query), query_rows):
+                    some = np.flatnonzero(other[at : at + query_rows]) + at
+                    sent = part.take(pa.array(query[some]))
+                    columns = [sent.column("size"), pa.array(cell[some], pa.int32()), pa.array(number[some], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*columns, *(sent.column(c) for c in ("row", "id", "v", "floor"))], [*SHARD, "row", "id", "v", "floor"])
+
+    bounded = asked.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    sent = bounded.mapInArrow(route, "size int, cell int, part int, row long, id long, v array<double>, floor double")
+    rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    best = first.unionByName(searched(sent)).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")

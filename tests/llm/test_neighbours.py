@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marketloom.llm.neighbours import Tree, inner, nearest
@@ -48,10 +51,41 @@ def test_odd_rows(spark):
     data += [(6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (40, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (2, [2.0, 1.0])]
     table = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<float>, rank string")
     found = rows(nearest(table, F.col("id") % 20 == 0))
-    assert found == {(0, 1, 2, 2.0), (0, 2, 1, 1.0), (0, 3, 20, 1.0), (20, 1, 2, 2.0), (20, 2, 0, 1.0), (20, 3, 1, 1.0)}
+    twos = {(q, r, 2, 2.0) for q in (0, 20) for r in (1, 2)}  # both rows of id 2 are candidates
+    assert found == twos | {(0, 3, 1, 1.0), (0, 4, 20, 1.0), (20, 3, 0, 1.0), (20, 4, 1, 1.0)}
     assert nearest(table.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_recall_of_every_hundredth_row(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no larger tables")
+    table = spark.read.parquet(path)
+    vectors = {r.vec_id: r.embedding for r in table.collect()}
+    want = brute(vectors, lambda i: i % 100 == 0)
+    found = rows(nearest(table, F.col("id") % 100 == 0, shard_rows=500))
+    assert len(found) == len(want) and len({x[::2] for x in found} & {x[::2] for x in want}) >= 0.9 * len(want)
+
+
+def test_rows_that_repeat_an_id(spark):
+    data = [(40, [1.0, 0.0]), (40, [0.0, 1.0]), (40, [1.0, 0.0]), (7, [2.0, 3.0])]
+    got = sorted(tuple(r) for r in nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("id") == 40, shard_rows=2, factor=1.0).collect())
+    # each of the three rows asks, and its own row alone is left out
+    assert got == sorted([(40, 1, 7, 2.0), (40, 2, 40, 1.0), (40, 3, 40, 0.0)] * 2 + [(40, 1, 7, 3.0), (40, 2, 40, 0.0), (40, 3, 40, 0.0)])
+
+
+def test_clusters(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6)) * 20
+    centres *= 40 / np.linalg.norm(centres, axis=1)[:, None]
+    points = {i: (centres[i % 12] + rng.normal(size=6) * 0.1).tolist() for i in range(900)}
+    table = spark.createDataFrame(list(points.items()), "vec_id long, embedding array<double>")
+    want = brute(points, lambda i: i % 20 == 0)
+    assert rows(nearest(table, F.col("id") % 20 == 0, factor=1.0, shard_rows=50, pivots=30)) == want
+    found = rows(nearest(table, F.col("id") % 20 == 0, shard_rows=50, pivots=30))
+    assert len({x[::2] for x in found} & {x[::2] for x in want}) >= 0.9 * len(want)
+
+
 def test_many_equal_vectors(spark):
     table = spark.createDataFrame([(i, [0.1, 0.2, 0.3]) for i in range(700)], "vec_id long, embedding array<double>")
     got = sorted((r.rank, r.vec_id) for r in nearest(table, F.col("id") == 40, shard_rows=200).collect())
