@@ -32,7 +32,7 @@ def province(df: DataFrame, text_col: str, locations: DataFrame, out: str = "pro
     key = match_text(text_col, markup)
     keyed = df.withColumn("_loc", key)
     distinct = keyed.select("_loc").distinct()
-    aliases = F.broadcast(locations.filter("alias <> ''").select("name", "alias", "entity_ord", "alias_ord"))
+    aliases = locations.filter("alias <> ''").select("name", "alias", "entity_ord", "alias_ord")
     found = distinct.join(aliases, F.col("_loc").contains(F.col("alias"))).groupBy("_loc")
     best = found.agg(F.min_by("name", F.struct("entity_ord", "alias_ord")).alias(out))
     return keyed.join(best, "_loc", "left").drop("_loc")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.operators.dedup import dedup_last
@@ -21,23 +22,45 @@ def active_jobs(jobs: DataFrame) -> DataFrame:
     return jobs
 
 
+def spread_median(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """``keys, median, n``: the exact median of ``value`` in each group, null keys alike; null values don't count.
+
+    Equal values are counted first, and only the counts are put in order, so that no group's values are gathered.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), value.cast("double").alias("_v")).filter("_v is not null").groupBy(*names, "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(*names).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    placed = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(W.partitionBy(*names))})
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    holds = lambda at: F.when((F.col("_upto") >= at) & (F.col("_upto") - F.col("_c") < at), F.col("_v"))
+    return placed.groupBy(*names).agg(((F.max(holds(low)) + F.max(holds(high))) / 2).alias("median"), F.max("_n").alias("n"))
+
+
+def _with_median(df: DataFrame, keys: list[str], median: DataFrame) -> DataFrame:
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(median[f"_k{i}"])
+    joined = df.join(median, same, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+    return joined.withColumnsRenamed({"median": "salary_median_vnd", "n": "salary_sample_size"}).withColumn("salary_sample_size", F.coalesce("salary_sample_size", F.lit(0)))
+
+
 def demand_summary(jobs: DataFrame, seq_col: str | None = None, keys: list[str] = DEMAND_KEYS) -> DataFrame:
     """A1. Postings, companies, median disclosed pay, confidence and dates for each career, place and mode.
 
-    Active jobs only, the last collected row of each posting; null places and modes are groups of their own.
+    Active jobs only, the last collected row of each posting, ties to the larger ``seq_col`` or else ``job_id``; null
+    places and modes are groups of their own.
     """
-    order = ["collected_at", *([seq_col] if seq_col else [])]
-    rows = dedup_last(active_jobs(jobs), ["source_id", "source_job_id"], order).filter(F.col("career_id").isNotNull())
+    rows = dedup_last(active_jobs(jobs), ["source_id", "source_job_id"], ["collected_at", seq_col or "job_id"]).filter(F.col("career_id").isNotNull())
     pay = F.when(F.coalesce("salary_disclosed", F.lit(False)), F.col("salary_mid_vnd"))
-    return rows.groupBy(*keys).agg(
+    groups = rows.groupBy(*keys).agg(
         F.count("job_id").alias("posting_count"),
         F.count_distinct("company_name").alias("unique_company_count"),
-        F.median(pay).alias("salary_median_vnd"),
-        F.count(pay).alias("salary_sample_size"),
         F.avg("overall_confidence").alias("average_confidence"),
         F.min("posted_at").alias("data_from"),
         F.max("posted_at").alias("data_to"),
     )
+    found = _with_median(groups, keys, spread_median(rows, keys, pay))
+    return found.select(*keys, "posting_count", "unique_company_count", "salary_median_vnd", "salary_sample_size", "average_confidence", "data_from", "data_to")
 
 
 def skill_matrix(skills: DataFrame, jobs: DataFrame | None = None, strict_parity: bool = True) -> DataFrame:
@@ -69,8 +92,8 @@ def rate(part: Column, whole: Column) -> Column:
     return F.round(F.try_divide(part, whole), 4)
 
 
-def quality_report(jobs: DataFrame) -> DataFrame:
-    """A4. One row: sizes, duplicates, mapped fields, pay and sources."""
+def quality_report(jobs: DataFrame, taxonomy_version: str | None = None) -> DataFrame:
+    """A4. One row: sizes, duplicates, mapped fields, pay, sources, and the versions of snapshot and taxonomy."""
     identity = F.struct("source_id", "source_job_id")
     return jobs.agg(
         F.count("*").alias("row_count"),
@@ -82,7 +105,8 @@ def quality_report(jobs: DataFrame) -> DataFrame:
         F.count_if(F.coalesce("salary_disclosed", F.lit(False))).alias("salary_disclosed"),
         F.round(F.avg("overall_confidence"), 3).alias("mean_confidence"),
         F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"),
-    )
+        F.array_join(F.array_sort(F.collect_set("snapshot_version")), ",").alias("snapshot_versions"),
+    ).withColumn("taxonomy_version", F.lit(taxonomy_version))
 
 
 def coverage(jobs: DataFrame, skills: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -108,26 +132,75 @@ def status_counts(state: DataFrame, col: str = "lifecycle_status") -> DataFrame:
     return state.groupBy(col).agg(F.count("*").alias("n"))
 
 
+def coverage_report(jobs: DataFrame, skills: DataFrame, lifecycle: DataFrame, collectors: DataFrame, taxonomy_version: str | None) -> DataFrame:
+    """A5. One row: the counts and rates of all current jobs, of their lifecycle, and of their sources.
+
+    ``lifecycle`` has ``lifecycle_status``; ``collectors`` has ``source_id`` and ``collector_version``. Distributions and
+    means by source are maps; versions are sorted lists.
+    """
+    mapped = skills.filter(F.col("job_id").isNotNull()).select("job_id").distinct().withColumn("_s", F.lit(True))
+    rows = jobs.join(mapped, "job_id", "left")
+    n, remote = F.count("*"), F.coalesce(F.col("work_mode") == "REMOTE", F.lit(False))
+    disclosed, described = F.coalesce("salary_disclosed", F.lit(False)), F.trim(F.coalesce("description_clean", F.lit(""))) != ""
+    one = rows.agg(
+        n.alias("total_current_jobs"),
+        F.count_distinct("company_name").alias("unique_companies"),
+        F.count_distinct("career_id").alias("unique_careers"),
+        F.count_distinct("province").alias("unique_provinces"),
+        F.count_if(remote).alias("remote_job_count"),
+        F.count_if(~remote & F.col("province").isNull()).alias("unknown_location_count"),
+        F.count_if(disclosed).alias("salary_available_count"),
+        rate(F.count_if(disclosed), n).alias("salary_available_rate"),
+        rate(F.count_if(described), n).alias("description_available_rate"),
+        rate(F.count("career_id"), n).alias("career_mapping_rate"),
+        rate(F.count_if(~remote & F.col("province").isNotNull()), F.count_if(~remote)).alias("location_mapping_rate_non_remote"),
+        F.count("_s").alias("jobs_with_mapped_skills"),
+        rate(F.count("_s"), n).alias("skill_mapping_rate"),
+        (n - F.count_distinct(F.struct("source_id", "source_job_id"))).alias("duplicate_count"),
+        F.round(F.avg("overall_confidence"), 4).alias("average_extraction_confidence"),
+        F.array_sort(F.collect_set("snapshot_version")).alias("snapshot_versions"),
+    )
+    status = F.col("lifecycle_status")
+    valid = F.coalesce(status != "invalid", F.lit(True))
+    states = lifecycle.agg(
+        F.count("*").alias("total_lifecycle_records"),
+        F.count_if(valid).alias("valid_lifecycle_records"),
+        F.count_if(~valid).alias("invalid_records_excluded"),
+        *(F.count_if(status == s).alias(f"{s}_jobs") for s in ("active", "missing_unconfirmed", "inactive")),
+    )
+    as_map = lambda key, value: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
+    per = jobs.filter(F.col("source_id").isNotNull()).groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.avg("overall_confidence"), 4).alias("c"))
+    sources = per.agg(as_map("source_id", "n").alias("source_distribution"), as_map("source_id", "c").alias("average_extraction_confidence_by_source"))
+    made = collectors.groupBy("source_id").agg(F.array_sort(F.collect_set("collector_version")).alias("v")).agg(as_map("source_id", "v").alias("collector_versions"))
+    # each side is one row
+    return one.crossJoin(states).crossJoin(sources).crossJoin(made).withColumn("taxonomy_version", F.lit(taxonomy_version))
+
+
 def tag_frequency(tags: DataFrame, skills: DataFrame) -> DataFrame:
-    """A7. How often each raw tag occurs and the skills it maps to (``tag, skill_id, skill_name``)."""
+    """A7. How often each raw tag occurs, its place by that, and the skills it maps to with their categories.
+
+    ``skills``: ``tag, skill_id, skill_name, category`` (null: ``unspecified``).
+    """
     counts = tags.filter(F.col("tag").isNotNull() & (F.col("tag") != "")).groupBy("tag").agg(F.count("*").alias("n"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " | ")
     known = skills.groupBy("tag").agg(
-        F.array_join(F.array_sort(F.collect_set("skill_id")), ",").alias("skill_ids"),
-        F.array_join(F.array_sort(F.collect_set("skill_name")), ",").alias("skill_names"),
+        listed("skill_id").alias("skill_ids"), listed("skill_name").alias("skill_names"), listed(F.coalesce("category", F.lit("unspecified"))).alias("skill_categories")
     )
     return counts.join(known, "tag", "left").withColumn("is_mapped", F.col("skill_ids").isNotNull())
 
 
 def taxonomy_gaps(jobs: DataFrame, tag_map: DataFrame, least_confidence: float = 0.9) -> DataFrame:
-    """A8. One row a gap: jobs without a sure career, with unmapped tags, or without a place though not remote.
+    """A8. ``job_id, gap, location_status``: jobs without a sure career, with unmapped tags, or without a place.
 
-    ``tag_map`` holds ``job_id, tag, is_mapped``.
+    A known career of unknown confidence is no gap. All jobs without a place are listed; ``location_status`` says whether
+    they are ``remote`` or the place is ``unknown``. ``tag_map`` holds ``job_id, tag, is_mapped``.
     """
-    gap = lambda df, kind: df.select("job_id", F.lit(kind).alias("gap"))
-    career = jobs.filter(F.col("career_id").isNull() | (F.coalesce("career_confidence", F.lit(0.0)) < least_confidence))
-    place = jobs.filter(F.col("province").isNull() & ~F.coalesce(F.col("work_mode").isin("REMOTE", "UNSPECIFIED"), F.lit(False)))
-    skill = tag_map.filter(~F.coalesce("is_mapped", F.lit(False))).select("job_id").distinct()
-    return gap(career, "career").unionByName(gap(place, "location")).unionByName(gap(skill, "skill"))
+    gap = lambda df, kind, status=F.lit(None).cast("string"): df.select("job_id", F.lit(kind).alias("gap"), status.alias("location_status"))
+    career = jobs.filter(F.col("career_id").isNull() | F.coalesce(F.col("career_confidence") < least_confidence, F.lit(False)))
+    place = jobs.filter(F.col("province").isNull())
+    skill = tag_map.filter(~F.coalesce("is_mapped", F.lit(False)) & (F.coalesce("tag", F.lit("")) != "")).select("job_id").distinct()
+    remote = F.when(F.coalesce(F.col("work_mode") == "REMOTE", F.lit(False)), "remote").otherwise("unknown")
+    return gap(career, "career").unionByName(gap(place, "location", remote)).unionByName(gap(skill, "skill"))
 
 
 def simple_matrix(skills: DataFrame) -> DataFrame:
@@ -138,26 +211,58 @@ def simple_matrix(skills: DataFrame) -> DataFrame:
     return per_skill.join(per_career, "career_id").withColumn("share", F.col("skill_jobs") / F.col("career_jobs"))
 
 
-def market_groups(demand: DataFrame, matrix: DataFrame, mapping: DataFrame, allowed: list[str]) -> DataFrame:
-    """A10. For each career group: summed postings, allowed foundation skills and the latest snapshot."""
-    grouped = demand.join(mapping, "career_id").groupBy("career_group_id")
-    sums = grouped.agg(F.sum("posting_count").alias("sample_size"), F.max("snapshot_version").alias("snapshot_version"))
-    found = matrix.join(mapping, "career_id").filter(F.col("skill_id").isin(allowed)).groupBy("career_group_id")
-    skills = found.agg(F.array_join(F.array_sort(F.collect_set("skill_id")), ",").alias("foundation_skill_ids"))
-    signal = F.when(F.col("sample_size") >= 5, "observed").otherwise("limited")
-    return sums.join(skills, "career_group_id", "left").withColumn("market_signal", signal)
+def market_groups(demand: DataFrame, matrix: DataFrame, jobs: DataFrame, job_skills: DataFrame, mapping: DataFrame, foundation: DataFrame, mapping_version: str) -> DataFrame:
+    """A10. The market of each career group: postings, foundation skills, snapshot and taxonomy.
 
+    ``mapping``: ``career_group_id, display_name, career_id``; ``foundation``: ``skill_id, foundation_skill_id``, the allowed
+    ones only. Skills are those of the matrix and of the jobs. A group without demand, without a foundation skill or
+    without a snapshot raises an error when it is read.
+    """
+    groups = mapping.groupBy("career_group_id", "display_name").agg(F.count("*").alias("_n")).drop("_n")
+    of = mapping.select("career_group_id", "career_id").distinct()
+    sums = demand.join(of, "career_id").groupBy("career_group_id").agg(
+        F.sum(F.coalesce("posting_count", F.lit(0))).alias("sample_size"),
+        F.max("snapshot_version").alias("_snapshot"),
+        F.array_join(F.array_sort(F.collect_set("career_id")), ", ").alias("_mapped"),
+    )
+    asked = matrix.select("career_id", "skill_id").union(job_skills.select("career_id", "skill_id")).distinct()
+    skills = asked.join(of, "career_id").join(foundation, "skill_id").groupBy("career_group_id").agg(F.array_sort(F.collect_set("foundation_skill_id")).alias("foundation_skill_ids"))
+    taxonomy = jobs.join(of, "career_id").groupBy("career_group_id").agg(F.max("taxonomy_version").alias("taxonomy_version"))
+    joined = groups.join(sums, "career_group_id", "left").join(skills, "career_group_id", "left").join(taxonomy, "career_group_id", "left")
+    need = lambda c, what: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit(f"{what} mapped for "), "career_group_id")))
+    n = need("sample_size", "no demand rows")
+    return joined.select(
+        "career_group_id",
+        "display_name",
+        # fixed value: the sentence that describes a group's market
+        F.concat(n.cast("string"), F.lit(" lượt tin trong snapshot; mapping từ "), "_mapped", F.lit(".")).alias("market_signal"),
+        n.alias("sample_size"),
+        need("foundation_skill_ids", "no foundation skills").alias("foundation_skill_ids"),
+        F.concat(need("_snapshot", "no snapshot version"), F.lit("|"), F.lit(mapping_version)).alias("snapshot_version"),
+        "taxonomy_version",
+    )
 
-def grade_tests(answers: DataFrame, questions: DataFrame, by: list[str]) -> DataFrame:
-    """A11. Score of each test in per cent (2 places) and how many of its gradable questions were wrong or unanswered.
 
-    Answers match if equal once trimmed and in lower case. ``answers`` have ``question_id, answer``, ``questions``
-    ``question_id, expected`` (null: not gradable).
+def grade_tests(tests: DataFrame, questions: DataFrame, answers: DataFrame, test: list[str], by: list[str]) -> DataFrame:
+    """A11. Score of each test in per cent (2 places), how many of its gradable questions were not right, and which.
+
+    ``tests`` has the columns ``by`` and ``test``, ``questions`` has ``test, question_id, prompt, expected`` (null: not
+    gradable), ``answers`` has ``by, question_id, answer``. Answers match if equal once trimmed and in lower case; a missing
+    one counts as empty. A test without gradable questions scores 0. ``skill_gaps`` maps questions to their prompts.
     """
-    same = F.lower(F.trim("answer")) == F.lower(F.trim("expected"))
-    graded = answers.join(questions.filter(F.col("expected").isNotNull()), "question_id")
-    right = F.coalesce(same, F.lit(False)).cast("int")
-    return graded.groupBy(*by).agg(F.round(100 * F.avg(right), 2).alias("score"), F.count_if(right == 0).alias("wrong"))
+    key = [*by, *(t for t in test if t not in by)]
+    plain = lambda c: F.lower(F.btrim(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" \t\n\r\f\v")))
+    gradable = questions.filter(F.col("expected").isNotNull())
+    asked = tests.select(*key).distinct().join(gradable, test, "left")
+    given = answers.groupBy(*by, "question_id").agg(F.max("answer").alias("answer"))
+    right = F.col("question_id").isNotNull() & (plain("answer") == plain("expected"))
+    missed = F.col("question_id").isNotNull() & ~right
+    rows = asked.join(given, [*by, "question_id"], "left")
+    return rows.groupBy(*key).agg(
+        F.coalesce(F.round(F.try_divide(100 * F.count_if(right), F.count("question_id")), 2), F.lit(0.0)).alias("score"),
+        F.count_if(missed).alias("wrong"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(missed, F.struct("question_id", "prompt"))))).alias("skill_gaps"),
+    )
 
 
 def unknown_questions(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -173,4 +278,4 @@ def evidence_summary(evidence: DataFrame) -> DataFrame:
 def salary_stats(jobs: DataFrame) -> DataFrame:
     """A13. Median disclosed pay and its sample for each career."""
     pay = F.when(F.coalesce("salary_disclosed", F.lit(False)), F.col("salary_mid_vnd"))
-    return jobs.groupBy("career_id").agg(F.median(pay).alias("salary_median_vnd"), F.count(pay).alias("salary_sample_size"))
+    return _with_median(jobs.select("career_id").distinct(), ["career_id"], spread_median(jobs, ["career_id"], pay))

@@ -130,15 +130,16 @@ def visible(conditions: DataFrame, answers: DataFrame) -> DataFrame:
     """F6. ``submission_id, question_id, is_visible``: all of a question's conditions on other answers hold.
 
     ``conditions``: ``question_id, depends_on, operator, operand`` (``equals``, ``not_equals``, ``in`` with values
-    joined by ``|``); ``answers``: ``submission_id, question_id, value``. An unanswered question meets ``not_equals`` only.
+    joined by ``|``); ``answers``: ``submission_id, question_id, value``. An unanswered question
+    meets no condition.
     """
     who = answers.select("submission_id").distinct()
     value = answers.select("submission_id", F.col("question_id").alias("depends_on"), "value")
-    asked = who.crossJoin(F.broadcast(conditions))  # conditions are a questionnaire's, some dozens
+    asked = who.crossJoin(conditions)  # conditions are a questionnaire's, some dozens
     joined = asked.join(value, ["submission_id", "depends_on"], "left")
     holds = (
         F.when(F.col("operator") == "equals", F.col("value") == F.col("operand"))
-        .when(F.col("operator") == "not_equals", ~F.col("value").eqNullSafe(F.col("operand")))
+        .when(F.col("operator") == "not_equals", (F.coalesce("value", F.lit("")) != "") & (F.col("value") != F.col("operand")))
         .when(F.col("operator") == "in", F.array_contains(F.split("operand", r"\|"), F.col("value")))
     )
     return joined.groupBy("submission_id", "question_id").agg(F.min(F.coalesce(holds, F.lit(False))).alias("is_visible"))
@@ -149,7 +150,7 @@ def submission(answers: DataFrame, questions: DataFrame, visibility: DataFrame)
     key = F.concat_ws("/", "submission_id", "question_id")
     unknown = answers.join(questions, "question_id", "left_anti")
     hidden = answers.join(visibility.filter(~F.col("is_visible")), ["submission_id", "question_id"], "left_semi")
-    needed = answers.select("submission_id").distinct().crossJoin(F.broadcast(questions.filter("required").select("question_id")))  # a questionnaire's, some dozens
+    needed = answers.select("submission_id").distinct().crossJoin(questions.filter("required").select("question_id"))  # a questionnaire's, some dozens
     shown = needed.join(visibility, ["submission_id", "question_id"], "left").filter(F.coalesce("is_visible", F.lit(True)))
     missing = shown.join(answers.filter(F.coalesce("value", F.lit("")) != ""), ["submission_id", "question_id"], "left_anti")
     return violation(unknown, "submission:unknown", key, F.lit("unknown question")).unionByName(violation(hidden, "submission:hidden", key, F.lit("answered but hidden"))).unionByName(
@@ -166,10 +167,17 @@ def report_reconciled(report: DataFrame, total: str, parts: list[str], rates: li
 
 
 # What generated text must not say.
+UNSAFE = [
+    "không phù hợp với nghề", "em quá kém", "em kém", "vô dụng", "chắc chắn sẽ thành công", "chắc chắn trở thành",
+    "chắc chắn phù hợp với nghề", "nên chọn nghề", "phải chọn nghề", "chẩn đoán", "tự làm hại", "mật khẩu", "số căn cước",
+    "chain of thought",
+]
+ENGINE_FIELDS = ["confidence", "gap priority", "outcome status", "max_score", "điểm số", "chấm điểm", "điểm tối đa"]
 POLICY = {
-    "technical_id": r"\b(?:SKILL|CAREER|GAP|EV|ACTIVITY|INTEREST)_[A-Z0-9_]+",
-    "promise": r"(?i)\b(?:guarantee[ds]?|chắc chắn đỗ|cam kết điểm)\b",
-    "score_promise": r"(?i)\b(?:will|sẽ)\b[^.\n]{0,40}\b(?:score|điểm)\b[^.\n]{0,20}\d",
+    "technical_id": r"(?iU)\b(?:EVIDENCE|SKILL|CAREER_GROUP)_[A-Za-z0-9_-]+\b",
+    "unsafe": "(?iu)" + "|".join(UNSAFE),
+    "engine_field": "(?iu)" + "|".join(ENGINE_FIELDS),
+    "score_promise": r"(?iU)\b\d+(?:[.,]\d+)?\s*điểm\b",
 }
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import block_key
@@ -15,19 +14,28 @@ def with_duplicate_count(df: DataFrame, hash_col: str = "content_hash") -> DataF
     return df.join(counts, df[hash_col].eqNullSafe(counts["_h"]), "left").drop("_h")
 
 
-def _ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+def _order(c: str) -> list[Column]:
+    """A column as keys of an order in which nulls come last either way."""
+    return [F.col(c).isNull().cast("int"), F.col(c)]
 
 
 def dedup_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """D2, D5. The last row of each key by ``order``, which must end in a unique column."""
-    return _ranked(df, keys, [F.col(c).desc_nulls_last() for c in order])
+    """D2, D5. The last row of each key by ``order``, nulls never if there is another, which must end in a unique column.
+
+    The best row is kept while rows are aggregated, so that a key's rows are neither gathered nor sorted.
+    """
+    by = F.struct(*(x.alias(f"_{i}_{j}") for i, c in enumerate(order) for j, x in enumerate([F.col(c).isNotNull().cast("int"), F.col(c)])))
+    return _best(df, keys, F.max_by(F.struct(*df.columns), by))
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """D4. The first row of each key by ``order``, which must end in a unique column."""
-    return _ranked(df, keys, [F.col(c).asc_nulls_last() for c in order])
+    """D4. The first row of each key by ``order``, nulls last, which must end in a unique column."""
+    by = F.struct(*(x.alias(f"_{i}_{j}") for i, c in enumerate(order) for j, x in enumerate(_order(c))))
+    return _best(df, keys, F.min_by(F.struct(*df.columns), by))
+
+
+def _best(df: DataFrame, keys: list[str], best: Column) -> DataFrame:
+    return df.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(best.alias("_row")).select("_row.*")
 
 
 def dedup_identity(df: DataFrame, seq_col: str = "ingest_seq") -> DataFrame:
@@ -64,23 +72,33 @@ def boilerplate_keys(blocks: DataFrame, id_col: str, group_col: str, share: floa
     return counts.join(docs, group_col).filter(F.col("n") >= F.ceil(F.col("docs") * share)).select(group_col, "key", "n", "docs")
 
 
-def split_boilerplate(blocks: DataFrame, keys: DataFrame, id_col: str, group_col: str) -> DataFrame:
-    """B2. For each document its own text and the boilerplate, in order, with counts and the share of blocks."""
-    marked = blocks.join(keys.select(group_col, "key", F.lit(True).alias("common")), [group_col, "key"], "left")
-    common = F.coalesce("common", F.lit(False))
-    row = F.struct("pos", "block")
-    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, row))), lambda x: x["block"]), "\n")
-    return marked.groupBy(id_col, group_col).agg(
-        joined(~common).alias("role_text"),
-        joined(common).alias("boilerplate_text"),
-        F.count("*").alias("block_count"),
-        F.count_if(common).alias("boilerplate_count"),
-        F.round(F.avg(common.cast("int")), 4).alias("boilerplate_ratio"),
+def split_boilerplate(df: DataFrame, keys: DataFrame, id_col: str, group_col: str, text_col: str) -> DataFrame:
+    """B2. For each document its own text and the boilerplate, in order, with counts and the share of blocks.
+
+    A key is in a large share of its group's documents, so a join on it would be the hottest there is. Instead the few
+    keys of a group are gathered in one row, and a document's lines are looked up there without leaving it. Documents
+    without a block are left out.
+    """
+    known = keys.groupBy(F.col(group_col).alias("_g")).agg(F.collect_set("key").alias("_keys"))  # at most 1 / share times a document's lines
+    lines = F.transform(F.split(text_col, "\n"), lambda x: F.struct(x.alias("block"), block_key(x).alias("key")))
+    cut = df.select(id_col, group_col, F.filter(lines, lambda x: x["key"] != "").alias("_b")).filter(F.size("_b") > 0)
+    joined = cut.join(known, F.col(group_col).eqNullSafe(F.col("_g")), "left").withColumn("_keys", F.coalesce("_keys", F.array().cast("array<string>")))
+    marked = joined.select(id_col, group_col, F.transform("_b", lambda x: F.struct(x["block"].alias("block"), F.array_contains("_keys", x["key"]).alias("common"))).alias("_b"))
+    text = lambda common: F.array_join(F.transform(F.filter("_b", lambda x: x["common"] == common), lambda x: x["block"]), "\n")
+    n = F.size(F.filter("_b", lambda x: x["common"]))
+    return marked.select(
+        id_col,
+        group_col,
+        text(F.lit(False)).alias("role_text"),
+        text(F.lit(True)).alias("boilerplate_text"),
+        F.size("_b").cast("long").alias("block_count"),
+        n.cast("long").alias("boilerplate_count"),
+        F.round(n / F.size("_b"), 4).alias("boilerplate_ratio"),
     )
 
 
 def boilerplate_stats(split: DataFrame, group_col: str) -> DataFrame:
-    """B3. Per group: documents, mean share of boilerplate, and lengths before and after."""
+    """B3. Per group: documents, mean share of boilerplate, lengths before and after, and quartiles of the latter."""
     after = F.length("role_text")
     before = after + F.length("boilerplate_text")
     return split.groupBy(group_col).agg(
@@ -89,4 +107,5 @@ def boilerplate_stats(split: DataFrame, group_col: str) -> DataFrame:
         F.max("boilerplate_ratio").alias("max_ratio"),
         F.sum(before).alias("chars_before"),
         F.sum(after).alias("chars_after"),
+        F.percentile_approx(after, [0.25, 0.5, 0.75], 10_000).alias("length_quartiles"),
     )

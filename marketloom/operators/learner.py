@@ -78,18 +78,23 @@ def evidence_self_report(reports: DataFrame) -> DataFrame:
 
 def evidence_activity(results: DataFrame, catalog: DataFrame) -> DataFrame:
     """E5. Completed activities with a rubric score, on the catalogue's skill. Unknown activities raise an error."""
-    known = results.join(F.broadcast(catalog.select("activity_id", "rubric_skill_id", F.lit(True).alias("_k"))), "activity_id", "left")
+    known = results.join(catalog.select("activity_id", "rubric_skill_id", F.lit(True).alias("_k")), "activity_id", "left")
     checked = known.filter(F.when(F.col("_k").isNull(), F.raise_error(F.concat(F.lit("unknown activity: "), "activity_id")).cast("boolean")).otherwise(True))
     done = checked.filter("completed and rubric_score is not null and rubric_skill_id is not null")
     return _evidence(done, "activity_result", "activity_result_id", F.col("rubric_skill_id"), F.try_divide("rubric_score", "max_score"), F.lit(1.0), "completed_at")
 
 
-def merge_evidence(*parts: DataFrame) -> DataFrame:
-    """E6. All items, equal ones once."""
+def merge_evidence(*parts: DataFrame, strict: bool = True) -> DataFrame:
+    """E6. All items, equal ones once. With ``strict``, an id that stands for different items is an error when read."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.distinct()
+    if not strict:
+        return every.distinct()
+    item = F.struct(*[c for c in every.columns if c != "evidence_id"])
+    once = every.groupBy("evidence_id").agg(F.min(item).alias("m"), F.max(item).alias("_last"))
+    same = F.when(F.col("m").eqNullSafe(F.col("_last")), True).otherwise(F.raise_error(F.concat(F.lit("conflicting evidence: "), "evidence_id")).cast("boolean"))
+    return once.filter(same).select("evidence_id", "m.*").select(*every.columns)
 
 
 def conflicting_evidence(evidence: DataFrame) -> DataFrame:
@@ -129,7 +134,7 @@ def academic_gaps(ability: DataFrame, students: DataFrame, thresholds: DataFrame
     ``thresholds``: ``skill_id, expected_level, importance, activity_minutes`` (null: no activity), a small table.
     ``students``: ``student_id, weekly_available_minutes, exam_week``.
     """
-    below = ability.join(F.broadcast(thresholds), "skill_id").filter(F.col("estimated_level") < F.col("expected_level")).join(students, "student_id")
+    below = ability.join(thresholds, "skill_id").filter(F.col("estimated_level") < F.col("expected_level")).join(students, "student_id")
     size = F.round(F.col("expected_level") - F.col("estimated_level"), 6)
     feasible = F.coalesce(F.col("activity_minutes") <= F.col("weekly_available_minutes"), F.lit(False))
     scored = below.withColumns({"gap_size": size, "feasible": feasible}).withColumn("score", priority_score(F.col("gap_size"), F.col("confidence"), F.coalesce("importance", F.lit(1.0)), F.coalesce("exam_week", F.lit(False)), F.col("feasible")))
@@ -154,7 +159,7 @@ def exploration_gaps(students: DataFrame, results: DataFrame, catalog: DataFrame
     """
     open_ = _interests(students).join(completed_groups(results), ["student_id", "career_group_id"], "left_anti")
     fits = F.coalesce(F.col("estimated_minutes") <= F.col("weekly_available_minutes"), F.lit(False))
-    return open_.join(F.broadcast(catalog), "career_group_id", "left").select("student_id", "career_group_id", "pos", "activity_id", F.when(fits, "high").otherwise("medium").alias("priority"))
+    return open_.join(catalog, "career_group_id", "left").select("student_id", "career_group_id", "pos", "activity_id", F.when(fits, "high").otherwise("medium").alias("priority"))
 
 
 def decision_gaps(students: DataFrame, results: DataFrame) -> DataFrame:
@@ -164,15 +169,26 @@ def decision_gaps(students: DataFrame, results: DataFrame) -> DataFrame:
     return sums.filter("interests >= 2 and explored < interests")
 
 
-def weekly_plan(students: DataFrame, academic: DataFrame, exploration: DataFrame, thresholds: DataFrame, catalog: DataFrame) -> DataFrame:
+def _open_academic(academic: DataFrame, thresholds: DataFrame, completed: DataFrame) -> DataFrame:
+    """High academic gaps with an activity that the student has not completed."""
+    acts = thresholds.filter("activity_id is not null").select("skill_id", "activity_id", "activity_minutes")
+    return academic.filter("priority = 'high'").join(acts, "skill_id").join(completed, ["student_id", "activity_id"], "left_anti")
+
+
+def _open_interests(exploration: DataFrame, completed: DataFrame) -> DataFrame:
+    """Interests with an open gap and an activity that the student has not completed."""
+    return exploration.filter("activity_id is not null").join(completed, ["student_id", "activity_id"], "left_anti")
+
+
+def weekly_plan(students: DataFrame, academic: DataFrame, exploration: DataFrame, thresholds: DataFrame, catalog: DataFrame, completed: DataFrame) -> DataFrame:
     """E13. Up to two tasks a student: the largest high academic gap whose activity fits, then the first open interest
-    if it fits the rest (not in an exam week)."""
+    if it fits the rest (not in an exam week). ``completed`` (``student_id, activity_id``) is not planned again."""
+    done = completed.select("student_id", "activity_id").distinct()
     budget = students.select("student_id", "weekly_available_minutes", F.coalesce("exam_week", F.lit(False)).alias("exam_week"))
-    high = academic.filter("priority = 'high'").join(F.broadcast(thresholds.select("skill_id", "activity_id", "activity_minutes")), "skill_id").join(budget, "student_id")
-    fitting = high.filter("activity_minutes <= weekly_available_minutes")
+    fitting = _open_academic(academic, thresholds, done).join(budget, "student_id").filter("activity_minutes <= weekly_available_minutes")
     first = fitting.groupBy("student_id").agg(F.min_by(F.struct("activity_id", F.col("activity_minutes").alias("minutes"), "gap_id"), F.struct(-F.col("gap_size"), "gap_id")).alias("a"))
-    interest = exploration.groupBy("student_id").agg(F.min_by(F.struct("activity_id", "career_group_id"), "pos").alias("i"))
-    times = F.broadcast(catalog.select(F.col("activity_id").alias("_id"), F.col("estimated_minutes").alias("_minutes")))
+    interest = _open_interests(exploration, done).groupBy("student_id").agg(F.min_by(F.struct("activity_id", "career_group_id"), "pos").alias("i"))
+    times = catalog.select(F.col("activity_id").alias("_id"), F.col("estimated_minutes").alias("_minutes"))
     both = budget.join(first, "student_id", "left").join(interest, "student_id", "left").join(times, F.col("i.activity_id") == F.col("_id"), "left")
     rest = F.col("weekly_available_minutes") - F.coalesce("a.minutes", F.lit(0))
     second = F.when(~F.col("exam_week") & (F.col("_minutes") <= rest), F.struct(F.lit(2).alias("task_no"), F.col("i.activity_id").alias("activity_id"), F.col("_minutes").alias("minutes")))
@@ -181,7 +197,7 @@ def weekly_plan(students: DataFrame, academic: DataFrame, exploration: DataFrame
 
 
 def outcome_status(delta: Column) -> Column:
-    return F.when(delta <= REGRESSION, "regression").when(delta < PARTIAL, "no_change").when(delta < MEANINGFUL, "partial_improvement").otherwise("meaningful_improvement")
+    return F.when(delta <= REGRESSION, "regression").when(delta < PARTIAL, "no_meaningful_change").when(delta < MEANINGFUL, "partial_improvement").otherwise("meaningful_improvement")
 
 
 def assessment_outcomes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -212,12 +228,13 @@ def interest_outcomes(results: DataFrame) -> DataFrame:
     return rows.withColumn("delta", F.round(F.col("after") - F.col("before"), 10)).withColumn("status", outcome_status(F.col("delta")))
 
 
-def next_step(students: DataFrame, academic: DataFrame, exploration: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """E17. One step a student: the first high academic gap with an activity, else the first open exploration, else none."""
-    act = academic.filter("priority = 'high'").join(F.broadcast(thresholds.filter("activity_id is not null").select("skill_id", "activity_id")), "skill_id")
-    one = act.select("student_id", F.lit(1).alias("tier"), F.col("gap_id").alias("tie"), "activity_id")
-    two = exploration.filter("activity_id is not null").select("student_id", F.lit(2).alias("tier"), F.lpad(F.col("pos").cast("string"), 6, "0").alias("tie"), "activity_id")
-    best = one.unionByName(two).groupBy("student_id").agg(F.min_by(F.struct("tier", "activity_id"), F.struct("tier", "tie")).alias("m"))
+def next_step(students: DataFrame, academic: DataFrame, exploration: DataFrame, thresholds: DataFrame, completed: DataFrame) -> DataFrame:
+    """E17. One step a student: the largest high academic gap with an activity not yet completed (``completed``:
+    ``student_id, activity_id``), else the first open interest with one, else none."""
+    done = completed.select("student_id", "activity_id").distinct()
+    one = _open_academic(academic, thresholds, done).select("student_id", F.lit(1).alias("tier"), (-F.col("gap_size")).alias("by"), F.col("gap_id").alias("tie"), "activity_id")
+    two = _open_interests(exploration, done).select("student_id", F.lit(2).alias("tier"), F.col("pos").cast("double").alias("by"), F.lit("").alias("tie"), "activity_id")
+    best = one.unionByName(two).groupBy("student_id").agg(F.min_by(F.struct("tier", "activity_id"), F.struct("tier", "by", "tie")).alias("m"))
     kind = F.when(F.col("m.tier") == 1, "academic").when(F.col("m.tier") == 2, "exploration").otherwise("none")
     return students.select("student_id").join(best, "student_id", "left").select("student_id", kind.alias("step"), F.col("m.activity_id").alias("activity_id"))
 
@@ -227,38 +244,55 @@ def evidence_warnings(evidence: DataFrame) -> DataFrame:
     base = ability_profile(evidence)
     v = F.col("normalized_value")
     spread = evidence.filter(~F.col("skill_id").startswith("INTEREST_")).groupBy("student_id", "skill_id").agg((F.max(v) - F.min(v)).alias("spread"))
-    tests = [(F.col("evidence_count") < MINIMUM_EVIDENCE, "INSUFFICIENT_EVIDENCE"), (F.col("spread") > CONFLICT, "CONFLICTING_EVIDENCE"), (F.col("confidence") < LOW_CONFIDENCE, "LOW_CONFIDENCE")]
+    tests = [(F.col("evidence_count") < MINIMUM_EVIDENCE, "insufficient_evidence"), (F.col("spread") > CONFLICT, "conflicting_evidence"), (F.col("confidence") < LOW_CONFIDENCE, "low_confidence_estimate")]
     codes = F.array_compact(F.array(*(F.when(t, F.lit(c)) for t, c in tests)))
-    return base.join(spread, ["student_id", "skill_id"]).select("student_id", F.explode(codes).alias("code"), F.col("skill_id").alias("field")).distinct()
-
-
-def initial_warnings(students: DataFrame, inputs: dict[str, DataFrame], groups: DataFrame, market: DataFrame, least_sample: int = 5) -> DataFrame:
-    """E19. Inputs that a student lacks, interests in unknown groups, groups with a small market sample."""
-    parts = [students.select("student_id").join(df.select("student_id").distinct(), "student_id", "left_anti").select("student_id", F.lit("MISSING_INPUT").alias("code"), F.lit(name).alias("field")) for name, df in inputs.items()]
-    named = students.select("student_id", F.explode("career_interest_ids").alias("career_group_id"))
-    parts.append(named.join(F.broadcast(groups), "career_group_id", "left_anti").select("student_id", F.lit("UNKNOWN_CAREER_GROUP").alias("code"), F.col("career_group_id").alias("field")))
-    small = F.broadcast(market.filter(F.col("sample_size") < least_sample).select("career_group_id"))
-    parts.append(named.join(small, "career_group_id").select("student_id", F.lit("SMALL_MARKET_SAMPLE").alias("code"), F.col("career_group_id").alias("field")))
+    field = F.concat(F.lit("ability_profile."), "skill_id")
+    return base.join(spread, ["student_id", "skill_id"]).select("student_id", F.explode(codes).alias("code"), field.alias("field")).distinct()
+
+
+def initial_warnings(students: DataFrame, optional: dict[str, DataFrame], evidence: DataFrame, catalog: DataFrame, market: DataFrame, least_sample: int = 5) -> DataFrame:
+    """E19. ``student_id, code, field``: optional inputs that a student lacks, fewer than two evidence items in all, the
+    warnings of E18, interests that market or activity catalogue don't know, and a small market sample."""
+    who = students.select("student_id")
+    parts = [who.join(df.select("student_id").distinct(), "student_id", "left_anti").select("student_id", F.lit("optional_data_missing").alias("code"), F.lit(name).alias("field")) for name, df in optional.items()]
+    items = who.join(evidence.groupBy("student_id").agg(F.count("*").alias("n")), "student_id", "left").filter(F.coalesce("n", F.lit(0)) < 2)
+    parts.append(items.select("student_id", F.lit("insufficient_evidence").alias("code"), F.lit("ability_profile").alias("field")))
+    parts.append(evidence_warnings(evidence.join(who, "student_id", "left_semi")))
+    named = students.select("student_id", F.posexplode("career_interest_ids").alias("pos", "career_group_id"))
+    known = market.select("career_group_id").intersect(catalog.select("career_group_id"))
+    odd = named.join(known, "career_group_id", "left_anti")
+    parts.append(odd.select("student_id", F.lit("unknown_career_group").alias("code"), F.concat(F.lit("student.career_interest_ids."), F.col("pos").cast("string")).alias("field")))
+    small = market.agg(F.coalesce(F.bool_or(F.col("sample_size") < least_sample), F.lit(False)).alias("small")).filter("small")
+    # every student beside one row at most
+    parts.append(who.crossJoin(small).select("student_id", F.lit("small_market_sample").alias("code"), F.lit("market_context").alias("field")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     return every.distinct()
 
 
-def followup_warnings(posttests: DataFrame, paired: DataFrame, overlap: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """E20. Posttests without a baseline or without a common skill, and profiles of an old version.
+def followup_warnings(posttests: DataFrame, paired: DataFrame, skills: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """E20. ``student_id, code, field``: posttests without a baseline or without a common skill, and profiles of another
+    version than expected.
 
-    ``overlap``: ``attempt_id, shared`` (number of skills in common); ``snapshots``: ``student_id, profile_version, latest_version``.
+    ``posttests``: ``student_id, attempt_id, idx`` (place in the student's list); ``paired``: ``posttest_id, baseline_id``;
+    ``skills``: ``attempt_id, skill_id``; ``snapshots``: ``student_id, current_version, expected_version``.
     """
-    none = posttests.join(paired.select(F.col("posttest_id").alias("attempt_id")), "attempt_id", "left_anti").select("student_id", F.lit("NO_BASELINE").alias("code"), F.col("attempt_id").cast("string").alias("field"))
-    apart = posttests.join(overlap.filter("shared = 0"), "attempt_id").select("student_id", F.lit("NO_OVERLAPPING_SKILL").alias("code"), F.col("attempt_id").cast("string").alias("field"))
-    stale = snapshots.filter("profile_version < latest_version").select("student_id", F.lit("STALE_PROFILE").alias("code"), F.lit("profile_version").alias("field"))
+    place = F.concat(F.lit("assessment_attempts.posttest."), F.col("idx").cast("string"))
+    pairs = posttests.join(paired.select(F.col("posttest_id").alias("attempt_id"), "baseline_id"), "attempt_id", "left")
+    none = pairs.filter("baseline_id is null").select("student_id", F.lit("baseline_not_found").alias("code"), place.alias("field"))
+    before = skills.select(F.col("attempt_id").alias("baseline_id"), "skill_id")
+    shared = pairs.join(skills, "attempt_id").join(before, ["baseline_id", "skill_id"]).select("attempt_id").distinct()
+    apart = pairs.filter("baseline_id is not null").join(shared, "attempt_id", "left_anti")
+    apart = apart.select("student_id", F.lit("assessment_scale_mismatch").alias("code"), F.concat(place, F.lit(".skill_scores")).alias("field"))
+    stale = snapshots.filter("coalesce(current_version, '') <> '' and coalesce(expected_version, '') <> '' and current_version <> expected_version")
+    stale = stale.select("student_id", F.lit("stale_profile_version").alias("code"), F.lit("student.schema_version").alias("field"))
     return none.unionByName(apart).unionByName(stale).distinct()
 
 
 def overlay_profile(previous: DataFrame, updated: DataFrame, outcomes: DataFrame) -> DataFrame:
     """E21. Updated estimates replace those before; an outcome overrides the trend."""
-    trends = {"meaningful_improvement": "improving", "partial_improvement": "improving", "no_change": "stable", "regression": "declining"}
+    trends = {"meaningful_improvement": "improving", "partial_improvement": "improving", "no_meaningful_change": "stable", "regression": "declining"}
     key = ["student_id", "skill_id"]
     u = updated.select(*key, F.col("estimated_level").alias("u_level"), F.col("trend").alias("u_trend"))
     o = outcomes.select(*key, "status")

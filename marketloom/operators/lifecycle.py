@@ -99,8 +99,8 @@ def lifecycle_replay(runs: DataFrame, key: str, run_col: str, hash_col: str, mis
     on: status, runs missed so far, whether it was changed or reactivated, without going through the runs one by one.
     """
     numbered = runs.select(run_col).distinct().withColumn("run_no", F.row_number().over(W.orderBy(run_col)))
-    seen = runs.join(F.broadcast(numbered), run_col).select(F.col(key).alias("key"), "run_no", F.col(hash_col).alias("hash"))
-    last_run = F.broadcast(numbered.agg(F.max("run_no").alias("last_run")))
+    seen = runs.join(numbered, run_col).select(F.col(key).alias("key"), "run_no", F.col(hash_col).alias("hash"))
+    last_run = numbered.agg(F.max("run_no").alias("last_run"))
     w = W.partitionBy("key").orderBy("run_no")
     stretch = seen.withColumns({"before": F.lag("run_no").over(w), "hash_before": F.lag("hash").over(w), "after": F.lead("run_no").over(w)})
     # one row before one of the last run: a cross join with a single row

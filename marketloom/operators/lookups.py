@@ -27,7 +27,7 @@ def search_catalog(df: DataFrame, name: str, text: str, term: str, n: int, activ
     rows = df.filter(F.col(active)) if active else df
     hits = rows.filter(fold_accents(text).contains(folded) | fold_accents(name).contains(folded))
     total = hits.agg(F.count("*").alias("total"))
-    return hits.orderBy(name).limit(n).crossJoin(F.broadcast(total))  # n rows beside one
+    return hits.orderBy(name).limit(n).crossJoin(total)  # n rows beside one
 
 
 def career_detail(careers: DataFrame, aliases: DataFrame, key: str, alias: str) -> DataFrame:
@@ -106,4 +106,4 @@ def sample_balanced(df: DataFrame, group: str, id_col: str, k: int, seed: int) -
     ranked = df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     sizes = ranked.groupBy(group).agg(F.count("*").alias("_n"))
     short = F.when(F.col("_n") < k, F.raise_error(F.concat(F.lit("too few rows: "), F.col(group).cast("string"))).cast("boolean")).otherwise(True)
-    return ranked.join(F.broadcast(sizes), group).filter(short).drop("_n")  # one row a group, at most k of each
+    return ranked.join(sizes, group).filter(short).drop("_n")  # one row a group, at most k of each

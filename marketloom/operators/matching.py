@@ -1,12 +1,14 @@
 """Titles to careers and texts to skills, by alias tables.
 
-Alias tables come from one versioned taxonomy of some hundred entries and are broadcast; their size is checked when
-they are built.
+Alias tables come from one versioned taxonomy of some hundred entries; their size is checked when they are built. An
+alias is looked for only where its longest word stands: texts and aliases meet in a hash join on words, and patterns run
+on what that finds.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,24 +43,41 @@ def whole_word(alias: Column) -> Column:
 def match_exact(titles: DataFrame, dim: DataFrame) -> DataFrame:
     """M1. Titles (``title``) that equal an alias; the first in the taxonomy's order."""
     best = F.min_by(F.struct("id", "name"), F.struct("entity_ord", "alias_ord")).alias("m")
-    return titles.join(F.broadcast(dim), F.col("title") == F.col("alias")).groupBy("title").agg(best).select("title", "m.id", "m.name", F.lit(1.0).alias("score"))
+    return titles.join(dim, F.col("title") == F.col("alias")).groupBy("title").agg(best).select("title", "m.id", "m.name", F.lit(1.0).alias("score"))
+
+
+def _meeting(texts: DataFrame, key: str, low: str, dim: DataFrame) -> DataFrame:
+    """``key`` and the columns of ``dim`` for texts (``low``, in lower case) that hold an alias's longest word as a word.
+
+    An alias between other characters than word characters has only whole words of the text. One without a word
+    character is compared with every text.
+    """
+    runs = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
+    longest = F.get(F.array_sort(F.transform(runs("alias"), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    keyed = dim.withColumn("_word", longest)
+    words = texts.select(key, F.explode(F.array_distinct(runs(low))).alias("_word"))
+    odd = keyed.filter("_word is null").drop("_word")
+    return words.join(keyed, "_word").drop("_word").unionByName(texts.select(key).crossJoin(odd))
 
 
 def match_contained(titles: DataFrame, dim: DataFrame, least_chars: int = 8) -> DataFrame:
     """M2. The longest alias of two words or more within a title, on word bounds."""
     long = dim.filter((F.length("alias") >= least_chars) & F.col("alias").contains(" ")).withColumn("pattern", whole_word(F.col("alias")))
-    hit = titles.join(F.broadcast(long), F.expr("contains(title, alias) AND rlike(title, pattern)"))
+    hit = _meeting(titles, "title", "title", long).filter(F.expr("contains(title, alias) AND rlike(title, pattern)"))
     best = F.min_by(F.struct("id", "name"), F.struct(-F.length("alias"), "entity_ord", "alias_ord")).alias("m")
     return hit.groupBy("title").agg(best).select("title", "m.id", "m.name", F.lit(0.96).alias("score"))
 
 
 def _common_subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one number."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for y in b:
+        met = row & places.get(y, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -82,27 +101,49 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(scores)
 
 
-def match_fuzzy(titles: DataFrame, dim: DataFrame, least: float = 0.90) -> DataFrame:
-    """M3. The alias most like a title by token-set ratio, of equally like ones the longest; from ``least`` on.
+class _Aliases:
+    """Aliases by their words and by length, so that a title meets those only that may be like it."""
+
+    def __init__(self, rows: list[tuple[str, str, str]], least: float):
+        self.rows, self.least = rows, least
+        self.by_word: dict[str, list[int]] = {}
+        for k, (alias, _, _) in enumerate(rows):
+            for word in set(alias.split()):
+                self.by_word.setdefault(word, []).append(k)
+        self.lengths = sorted((len(" ".join(sorted(set(alias.split())))), k) for k, (alias, _, _) in enumerate(rows))
 
-    Meant for the distinct titles that nothing else matched: each is compared with every alias within one batch.
+    def near(self, title: str) -> list[int]:
+        """Those with a word in common, and those of a length with which two strings can reach the score at all."""
+        words = set(title.split())
+        n, bound = len(" ".join(sorted(words))), self.least / (2 - self.least)
+        lo, hi = bisect_left(self.lengths, (n * bound, -1)), bisect_right(self.lengths, (n / bound, len(self.rows)))
+        return sorted({k for w in words for k in self.by_word.get(w, ())} | {k for _, k in self.lengths[lo:hi]})
+
+    def best(self, title: str) -> tuple[str, str, float] | None:
+        found = (0.0, 0, -1)
+        for k in self.near(title):
+            score, size = token_set_ratio(title, self.rows[k][0]), len(self.rows[k][0])
+            if (score, size) > found[:2]:
+                found = score, size, k
+        return (*self.rows[found[2]][1:], round(found[0], 3)) if found[0] >= self.least else None
+
+
+def match_fuzzy(titles: DataFrame, dim: DataFrame, least: float = 0.90, most: int = MOST_ALIASES) -> DataFrame:
+    """M3. The alias most like a title by token-set ratio, of equally like ones the longest, then the first; from ``least`` on.
+
+    Meant for the distinct titles that nothing else matched. At most ``most`` aliases are sent to the tasks; more are an error.
     """
-    rows = [tuple(r) for r in dim.orderBy("entity_ord", "alias_ord").select("alias", "id", "name").collect()]  # checked by alias_dim
+    rows = [tuple(r) for r in dim.orderBy("entity_ord", "alias_ord", "alias", "id").select("alias", "id", "name").limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} aliases")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        aliases = _Aliases(rows, least)
         for batch in batches:
-            found = []
-            for title in batch["title"]:
-                best = (0.0, 0, None, None)
-                for alias, id_, name in rows:
-                    score = token_set_ratio(title, alias)
-                    if (score, len(alias)) > best[:2]:
-                        best = (score, len(alias), id_, name)
-                if best[0] >= least:
-                    found.append((title, best[2], best[3], round(best[0], 3)))
+            found = [(t, *m) for t in batch["title"] if (m := aliases.best(t))]
             yield pd.DataFrame(found, columns=["title", "id", "name", "score"])
 
-    return titles.select("title").mapInPandas(run, "title string, id string, name string, score double")
+    return titles.select("title").filter("title is not null").mapInPandas(run, "title string, id string, name string, score double")
 
 
 def match_career(df: DataFrame, title_col: str, dim: DataFrame, markup: bool = True) -> DataFrame:
@@ -139,7 +180,8 @@ def extract_skills(df: DataFrame, id_col: str, text_col: str, dim: DataFrame, de
     if default not in ("required", "preferred", "mentioned"):
         raise ValueError("default must be required, preferred or mentioned")
     texts = df.select(F.col(id_col), extraction_text(text_col, markup).alias("_text")).withColumn("_low", F.lower("_text")).withColumn("_marks", F.translate("_low", ".;", "\n\n"))
-    hits = texts.join(F.broadcast(dim.withColumn("pattern", whole_word(F.col("alias")))), F.expr("contains(_low, alias) AND rlike(_low, pattern)"))
+    near = _meeting(texts, id_col, "_low", dim.withColumn("pattern", whole_word(F.col("alias"))))
+    hits = texts.join(near, id_col).filter(F.expr("contains(_low, alias) AND rlike(_low, pattern)"))
     # the text is split at the finds; one pass over the parts sums up where each find starts
     size = F.length("alias")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from marketloom.functions.text import block_key, col, document_metadata, id_from_url, text_or_empty
 
@@ -102,24 +104,47 @@ def extract_links(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return df.select(id_col, F.explode(F.array_distinct(hrefs)).alias("href")).withColumn("link_id", id_from_url("href"))
 
 
-# Marks of the lines of a posting's card, with the points each adds.
-CARD_SIGNS = [(r"(?U)\d+\s*(?:-\s*\d+\s*)?(?:triệu|tr\b|usd)|thỏa thuận|thoả thuận", 5), (r"\d{1,2}/\d{1,2}/\d{4}|hạn nộp", 4), (r"hà nội|hồ chí minh|tp\.?hcm|đà nẵng|remote|toàn quốc", 3), (r"công ty|company|jsc|tnhh", 2), (",", 1)]
+# How a card's lines show pay, deadline, company and place, and lines that say nothing; points of a card.
+SALARY_PATTERNS = [
+    r"(?iu)(\d+(?:[.,]\d+)?\s*[-–—]\s*\d+(?:[.,]\d+)?\s*(?:triệu|tr)\b)",
+    r"(?iu)((?:từ|đến|upto|up\s*to)\s*\d+(?:[.,]\d+)?\s*(?:triệu|tr)\b)",
+    r"(?iu)((?:thỏa|thoả)\s*thuận)",
+]
+DATE_PATTERN = r"\b\d{1,2}/\d{1,2}/\d{4}\b"
+COMPANY_PATTERN = r"(?iU)\b(công ty|cty|tnhh|cổ phần|tập đoàn|company|corporation|ltd|jsc|group|doanh nghiệp|xí nghiệp)\b"
+CARD_NOISE = ["gấp", "hot", "mới", "tin mới", "ưu tiên", "nổi bật", "ứng tuyển", "xem chi tiết", "lưu việc làm", "nộp đơn"]
+LOCATION_HINTS = [
+    "TPHCM", "TP.HCM", "Hồ Chí Minh", "Hà Nội", "Đà Nẵng", "Bình Dương", "Đồng Nai", "Bắc Ninh", "Hải Phòng", "Cần Thơ",
+    "Long An", "Bà Rịa - Vũng Tàu", "Vũng Tàu", "Toàn quốc",
+]
+CARD_POINTS = {"salary": 5, "date": 4, "place": 3, "company": 2, "comma": 1}
+
+
+def _any_pay(x: Column) -> Column:
+    return x.rlike(SALARY_PATTERNS[0]) | x.rlike(SALARY_PATTERNS[1]) | x.rlike(SALARY_PATTERNS[2])
+
+
+def _any_place(x: Column) -> Column:
+    return F.lower(x).rlike("|".join(re.escape(h.lower()) for h in LOCATION_HINTS))
 
 
 def score_card(text: Column) -> Column:
     """P3. Points of a card's text; null outside 40 to 3000 characters."""
-    low = F.lower(text)
-    points = sum((F.when(low.rlike(p), n).otherwise(0) for p, n in CARD_SIGNS[1:]), F.when(low.rlike(CARD_SIGNS[0][0]), CARD_SIGNS[0][1]).otherwise(0))
+    signs = {"salary": _any_pay(text), "date": text.rlike(DATE_PATTERN), "place": _any_place(text), "company": text.rlike(COMPANY_PATTERN), "comma": text.contains(",")}
+    points = F.lit(0)
+    for name, sign in signs.items():
+        points = points + F.when(sign, CARD_POINTS[name]).otherwise(0)
     return F.when(F.length(text).between(40, 3000), points)
 
 
 class _Cards(HTMLParser):
-    """Texts of all elements around each link."""
+    """Each link's own text, and the texts of all elements around it that hold no other link."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, list[str], list[str]]] = []
         self.cards: list[tuple[str, str]] = []
+        self.titles: dict[str, str] = {}
 
     def handle_starttag(self, tag, attrs):
         if tag not in ("br", "img", "meta", "link", "input", "hr"):
@@ -127,15 +152,19 @@ class _Cards(HTMLParser):
 
     def handle_data(self, data):
         if self.stack and self.stack[-1][0] not in ("script", "style") and data.strip():
-            self.stack[-1][1].append(data.strip())
+            self.stack[-1][1].append(re.sub(r"\s+", " ", data).strip())
 
     def handle_endtag(self, tag):
         if not any(s[0] == tag for s in self.stack):
             return
         while self.stack:
             name, parts, links = self.stack.pop()
+            once = list(dict.fromkeys(links))
+            if name == "a" and once and parts:
+                self.titles.setdefault(once[0], " ".join(parts))
             text = "\n".join(parts)
-            self.cards += [(h, text) for h in dict.fromkeys(links) if len(text) <= 3000]
+            if len(once) == 1 and name not in ("body", "html") and len(text) <= 3000:
+                self.cards.append((once[0], text))
             if self.stack:
                 self.stack[-1][1].extend(parts)
                 self.stack[-1][2].extend(links)
@@ -143,11 +172,33 @@ class _Cards(HTMLParser):
                 break
 
 
+def _card_fields(lines: Column, title: Column) -> list[Column]:
+    """Pay, deadline, place, company and skills from a card's lines; the title's own line tells nothing of them."""
+    low = F.lower
+    same = lambda x, *values: F.coalesce(low(x).isin(*[F.coalesce(low(v), F.lit("")) for v in values]), F.lit(False))
+    noise = lambda x: low(x).isin(CARD_NOISE)
+    first = lambda xs: F.get(xs, F.lit(0))
+    dated = lambda x: x.rlike(DATE_PATTERN)
+    others = F.filter(lines, lambda x: ~same(x, title))
+    paid = first(F.filter(others, _any_pay))
+    pay = F.coalesce(*(F.nullif(F.regexp_extract(paid, p, 1), F.lit("")) for p in SALARY_PATTERNS))
+    deadline = F.nullif(F.regexp_extract(first(F.filter(lines, dated)), DATE_PATTERN, 0), F.lit(""))
+    spots = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    place_of = lambda test: first(F.filter(spots, lambda s: ~same(s["x"], title) & test(s["x"])))["i"]
+    a, b = place_of(_any_pay), place_of(dated)
+    between = F.filter(F.slice(lines, a + 2, F.greatest(b - a - 1, F.lit(0))), lambda x: ~noise(x) & ~x.rlike(COMPANY_PATTERN) & F.length(x).between(2, 100))
+    place = F.coalesce(first(F.filter(others, _any_place)), F.when(b > a + 1, first(between)))
+    named = lambda p, d, w: F.filter(lines, lambda x: ~same(x, title, p, w, d) & ~noise(x) & ~dated(x) & ~_any_pay(x) & F.length(x).between(3, 240))
+    company = lambda xs: F.coalesce(first(F.filter(xs, lambda x: x.rlike(COMPANY_PATTERN))), first(xs))
+    return [pay, deadline, place, lambda p, d, w: company(named(p, d, w))]
+
+
 def parse_listing(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """P3. One row for each posting linked from a listing page: its best card, cut into lines, and fields picked from them.
 
-    The best card has most points, then most characters. ``title`` is its first line; pay, deadline, place and company
-    come from the first lines that look like them.
+    A card is an element around a link that holds no other link. The best one has most points, then most characters.
+    ``job_title_raw`` is the link's own text. Pay comes from a line other than the title; place from a line that names
+    one, else from the lines between pay and deadline; ``skills_raw`` from the lines after the deadline, at commas.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -157,40 +208,79 @@ def parse_listing(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
             for i, page in zip(batch["id"], batch["page"]):
                 parser = _Cards()
                 parser.feed(page or "")
-                rows += [(i, k, href, text) for k, (href, text) in enumerate(parser.cards)]
-            yield pd.DataFrame(rows, columns=["id", "pos", "href", "card"])
+                rows += [(i, k, href, parser.titles.get(href), text) for k, (href, text) in enumerate(parser.cards)]
+            yield pd.DataFrame(rows, columns=["id", "pos", "href", "title", "card"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("page"))
-    cards = source.mapInPandas(run, f"id {kind}, pos int, href string, card string").withColumn("points", score_card(F.col("card")))
-    best = cards.filter("points is not null").groupBy("id", "href").agg(F.max_by(F.struct("card", "points"), F.struct("points", F.length("card"), -F.col("pos"))).alias("m"))
-    lines = F.split("card", "\n")
-    first = lambda p: F.get(F.filter(lines, lambda x: F.lower(x).rlike(p)), F.lit(0))
-    return best.select(F.col("id").alias(id_col), "href", id_from_url("href").alias("source_job_id"), "m.*").select(
-        "*", F.get(lines, F.lit(0)).alias("job_title_raw"), first(CARD_SIGNS[0][0]).alias("salary_raw"), first(CARD_SIGNS[1][0]).alias("deadline_raw"), first(CARD_SIGNS[2][0]).alias("location_raw"), first(CARD_SIGNS[3][0]).alias("company_name_raw")
-    )
+    cards = source.mapInPandas(run, f"id {kind}, pos int, href string, title string, card string").withColumn("points", score_card(F.col("card")))
+    best = cards.filter("points is not null").groupBy("id", "href").agg(F.max_by(F.struct("title", "card", "points"), F.struct("points", F.length("card"), -F.col("pos"))).alias("m"))
+    every = F.filter(F.split("card", "\n"), lambda x: x != "")
+    spots = F.transform(every, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x")))
+    lines = F.transform(F.filter(spots, lambda s: F.array_position(F.transform(every, lambda y: F.lower(y)), s["k"]) == s["i"] + 1), lambda s: s["x"])
+    cut = best.select(F.col("id").alias(id_col), "href", id_from_url("href").alias("source_job_id"), F.col("m.title").alias("job_title_raw"), F.col("m.card").alias("card"), F.col("m.points").alias("points"))
+    cut = cut.withColumn("_lines", lines)
+    pay, deadline, place, company = _card_fields(F.col("_lines"), F.col("job_title_raw"))
+    cut = cut.withColumns({"salary_raw": pay, "deadline_raw": deadline, "location_raw": place})
+    cut = cut.withColumn("company_name_raw", company(F.col("salary_raw"), F.col("deadline_raw"), F.col("location_raw")))
+    known = [F.coalesce(F.lower(c), F.lit("")) for c in ("job_title_raw", "company_name_raw", "salary_raw", "location_raw", "deadline_raw")]
+    dated = F.get(F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(DATE_PATTERN)), F.lit(0))["i"]
+    after = F.slice("_lines", F.coalesce(dated + 2, F.lit(1)), F.size("_lines"))
+    told = F.filter(after, lambda x: ~F.lower(x).isin(*known))
+    parts = F.flatten(F.transform(told, lambda x: F.when(x.contains(","), F.split(F.replace(x, F.lit("...")), ",")).otherwise(F.array(x))))
+    clean = F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: F.length(x).between(2, 80) & ~F.lower(x).isin(CARD_NOISE))
+    keys = lambda xs: F.transform(xs, lambda y: F.lower(y))
+    once = F.filter(clean, lambda x, i: F.array_position(keys(clean), F.lower(x)) == i + 1)
+    return cut.withColumn("skills_raw", F.to_json(once)).drop("_lines")
 
 
 JSONLD = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
+def find_posting(value):
+    """The first object of type ``JobPosting`` in parsed JSON, itself first, then what it holds, in order."""
+    if isinstance(value, list):
+        return next((found for x in value if (found := find_posting(x))), None)
+    if not isinstance(value, dict):
+        return None
+    kind = value.get("@type")
+    if kind == "JobPosting" or isinstance(kind, list) and "JobPosting" in kind:
+        return value
+    return find_posting(list(value.values()))
+
+
+@F.pandas_udf(StringType())
+def _embedded(scripts: pd.Series) -> pd.Series:
+    def first(texts) -> str | None:
+        for text in texts if texts is not None else ():
+            try:
+                found = find_posting(json.loads(text))
+            except (json.JSONDecodeError, RecursionError):
+                continue
+            if found:
+                return json.dumps(found, ensure_ascii=False, separators=(",", ":"))
+        return None
+
+    return scripts.map(first)
+
+
 def extract_jsonld(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """P4. The embedded posting of each page as JSON, and its title; else the page's own title.
 
-    Postings are found at the top, in a list, or in a ``@graph``. ``parser_method`` says what was used.
+    Postings are found wherever they lie in a script's JSON, also where ``@type`` is a list; scripts that are no JSON are
+    passed over. ``parser_method`` says what was used. Pages without such a script never reach Python.
     """
-    found = F.transform(F.regexp_extract_all(text_or_empty(html_col), F.lit(JSONLD), F.lit(1)), lambda x: F.trim(x))
-    as_list = lambda x: F.when(x.startswith("["), x).otherwise(F.concat(F.lit("["), x, F.lit("]")))
-    items = F.flatten(F.transform(found, lambda x: F.coalesce(F.from_json(as_list(x), "array<string>"), F.array().cast("array<string>"))))
-    graph = F.flatten(F.transform(items, lambda x: F.coalesce(F.from_json(F.get_json_object(x, "$['@graph']"), "array<string>"), F.array().cast("array<string>"))))
-    postings = F.filter(F.concat(items, graph), lambda x: F.get_json_object(x, "$['@type']") == "JobPosting")
-    posting = F.get(postings, F.lit(0))
-    title = F.nullif(F.trim(F.regexp_extract(text_or_empty(html_col), r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-    return df.select(
+    scripts = F.regexp_extract_all(text_or_empty(html_col), F.lit(JSONLD), F.lit(1))
+    found = df.select(id_col, F.col(html_col).alias("_page"), scripts.alias("_scripts"))
+    none = F.lit(None).cast("string")
+    some = found.filter(F.size("_scripts") > 0).withColumn("posting", _embedded("_scripts"))
+    both = some.unionByName(found.filter(F.size("_scripts") == 0).withColumn("posting", none))
+    title = F.nullif(F.trim(F.regexp_extract(text_or_empty("_page"), r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    return both.select(
         id_col,
-        posting.alias("posting"),
-        F.coalesce(F.get_json_object(posting, "$.title"), title).alias("title"),
-        F.get_json_object(posting, "$.description").alias("description"),
-        F.when(posting.isNotNull(), "json_ld").when(title.isNotNull(), "page_title").otherwise("none").alias("parser_method"),
+        "posting",
+        F.coalesce(F.get_json_object("posting", "$.title"), title).alias("title"),
+        F.get_json_object("posting", "$.description").alias("description"),
+        F.when(F.col("posting").isNotNull(), "json_ld").when(title.isNotNull(), "page_title").otherwise("none").alias("parser_method"),
     )
 
 

@@ -36,15 +36,12 @@ def adapt_listing(df: DataFrame) -> DataFrame:
     return df.select("source", "source_id", "source_job_id", "source_url", F.col("job_title_raw").alias("title_raw"), "company_name_raw", F.coalesce(text, F.col("job_title_raw")).alias("description_raw"), "location_raw", none("work_mode_raw"), "salary_raw", none("experience_raw"), none("education_raw"), none("posted_at_raw"), F.col("fetched_at").cast("timestamp").alias("collected_at"))
 
 
-def user_segment(role, stage, current, target) -> Column:
-    """F7. One of five segments, by role, stage and whether career and goal agree."""
-    has = lambda c: text_or_empty(c) != ""
-    return (
-        F.when(F.lower(text_or_empty(role)).isin("student", "pupil"), F.when(has(target), "student_with_goal").otherwise("student_exploring"))
-        .when(has(current) & has(target) & (F.lower(col(current)) != F.lower(col(target))), "career_switcher")
-        .when(F.lower(text_or_empty(stage)).isin("junior", "entry", "fresher"), "early_career")
-        .otherwise("advancing")
-    )
+def user_segment(role, stage, major_career, career, target) -> Column:
+    """F7. One of five segments: by role and stage, and whether a student's major or a worker's career is the target."""
+    is_target = lambda c: F.coalesce((text_or_empty(c) != "") & (col(c) == col(target)), F.lit(False))
+    student = F.when(F.coalesce(col(stage) == "HIGH_SCHOOL", F.lit(False)), "HS_FOUNDATION").when(is_target(major_career), "SV_SAME_MAJOR").otherwise("SV_DIFF_MAJOR")
+    worker = F.when(is_target(career), "WORKER_SAME_FIELD").otherwise("WORKER_DIFF_FIELD")
+    return F.when(col(role) == "STUDENT", student).when(col(role) == "PROFESSIONAL", worker).otherwise("HS_FOUNDATION")
 
 
 def process_postings(raw: DataFrame, careers: DataFrame, skills: DataFrame, locations: DataFrame, snapshot_version: str, markup: bool = True) -> DataFrame:

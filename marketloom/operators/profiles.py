@@ -18,7 +18,7 @@ def career_evidence(jobs: DataFrame, occupations: DataFrame, tasks: DataFrame, c
     posting = active_jobs(jobs).filter("career_id is not null and trim(coalesce(description_raw, '')) <> ''")
     a = posting.select("career_id", F.lit("posting").alias("source_type"), F.col("job_id").alias("reference_id"), F.col("description_raw").alias("text"))
     lists = tasks.groupBy("onetsoc_code").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("task_id", "task"))), lambda t: t["task"]), "\n").alias("tasks"))
-    occupation = F.broadcast(code_map).join(occupations, "onetsoc_code").join(lists, "onetsoc_code", "left")
+    occupation = code_map.join(occupations, "onetsoc_code").join(lists, "onetsoc_code", "left")
     b = occupation.select("career_id", F.lit("occupation").alias("source_type"), F.col("onetsoc_code").alias("reference_id"), F.concat_ws("\n", "description", "tasks").alias("text"))
     return a.unionByName(b)
 
@@ -111,7 +111,7 @@ def career_profiles(careers: DataFrame, evidence: DataFrame, demand: DataFrame,
     market = demand.groupBy("career_id").agg(F.sum("posting_count").alias("market_postings"))
     joined = careers.join(counts, "career_id", "left").join(market, "career_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    status = F.when(F.coalesce("postings", F.lit(0)) > 0, "market_evidence").when(F.coalesce("references", F.lit(0)) > 0, "reference_only").otherwise("insufficient_evidence")
+    status = F.when(F.coalesce("postings", F.lit(0)) + F.coalesce("references", F.lit(0)) > 0, "available").otherwise("insufficient_evidence")
     return joined.select("career_id", "career_name", zero("postings"), zero("references"), zero("market_postings"), "overview", status.alias("status"), F.lit(version).alias("profile_version"))
 
 
@@ -132,8 +132,17 @@ def rank_careers(profile_skills: DataFrame, matrix: DataFrame) -> DataFrame:
     return counts.withColumn("rank", rank)
 
 
+def best_career(profile_skills: DataFrame, matrix: DataFrame) -> DataFrame:
+    """R1. The first career of each profile only: no ranking of all of them."""
+    asked = matrix.select("career_id", "skill_id").distinct()
+    counts = profile_skills.select("profile_id", "skill_id").distinct().join(asked, "skill_id").groupBy("profile_id", "career_id").agg(F.count("*").alias("matched"))
+    best = counts.groupBy("profile_id").agg(F.min(F.struct((-F.col("matched")).alias("m"), "career_id")).alias("b"))
+    return best.select("profile_id", F.col("b.career_id").alias("career_id"), (-F.col("b.m")).alias("matched"))
+
+
 def sample_jobs(best: DataFrame, jobs: DataFrame, n: int = 3) -> DataFrame:
     """R1. The first active jobs of each profile's best career."""
     rank = F.row_number().over(W.partitionBy("career_id").orderBy("job_id"))
     few = active_jobs(jobs).select("career_id", "job_id").withColumn("job_rank", rank).filter(F.col("job_rank") <= n)
-    return best.filter("rank = 1").join(few, "career_id")
+    first = best.filter("rank = 1") if "rank" in best.columns else best
+    return first.join(few, "career_id")

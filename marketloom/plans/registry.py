@@ -79,34 +79,62 @@ def _(r):
 @query("A4_quality_report", f"""
 select count(*) as row_count, count(distinct content_hash) as distinct_hashes, count(*) - count(distinct (source_id, source_job_id)) as duplicate_identities, count(career_id) as mapped_careers,
        count(province) as mapped_locations, count(*) filter (work_mode = 'REMOTE') as remote_jobs, count(*) filter (salary_disclosed) as salary_disclosed, round(avg(overall_confidence), 3) as mean_confidence,
-       string_agg(distinct source_id, ',' order by source_id) as sources from ({JOBS}) j""")
+       string_agg(distinct source_id, ',' order by source_id) as sources, string_agg(distinct snapshot_version, ',' order by snapshot_version) as snapshot_versions, '0.4.0' as taxonomy_version from ({JOBS}) j""")
 def _(r):
-    return A.quality_report(r["jobs"])
+    return A.quality_report(r["jobs"], "0.4.0")
 
 
 COVERAGE = """count(*) as job_count, count(*) filter (work_mode = 'REMOTE') as remote_count, round(count(career_id) / count(*), 4) as career_rate,
        round(count(*) filter (work_mode <> 'REMOTE' and province is not null) / nullif(count(*) filter (work_mode <> 'REMOTE'), 0), 4) as location_rate,
        round(count(*) filter (s.job_id is not null) / count(*), 4) as skill_rate, round(count(*) filter (salary_disclosed) / count(*), 4) as salary_rate, round(avg(overall_confidence), 4) as mean_confidence"""
-WITH_SKILL = f"({JOBS}) j left join (select distinct job_id from ({SKILLS}) x where requirement_level = 'preferred') s on j.job_id = s.job_id"
+WITH_SKILL = f"({JOBS}) j left join (select distinct job_id from ({SKILLS}) x) s on j.job_id = s.job_id"
 
 
 @query("A5_coverage", f"select {COVERAGE} from {WITH_SKILL}")
 def _(r):
-    return A.coverage(r["jobs"], r["skills"].filter("requirement_level = 'preferred'"))
+    return A.coverage(r["jobs"], r["skills"])
 
 
 @query("A6_coverage_by_source", f"select source_id, {COVERAGE} from {WITH_SKILL} group by source_id")
 def _(r):
-    return A.coverage(r["jobs"], r["skills"].filter("requirement_level = 'preferred'"), ["source_id"])
+    return A.coverage(r["jobs"], r["skills"], ["source_id"])
 
 
-@query("A7_tag_frequency", """
-with t as (select p_name as tag from part), s as (select distinct p_name as tag, p_brand as skill_id, 'Skill ' || p_brand as skill_name from part where p_size > 25 and p_partkey % 7 = 0)
-select tag, n, skill_ids, skill_names, skill_ids is not null as is_mapped from (select tag, count(*) as n from t group by tag) c
-left join (select tag, string_agg(distinct skill_id, ',' order by skill_id) as skill_ids, string_agg(distinct skill_name, ',' order by skill_name) as skill_names from s group by tag) k using (tag)""")
+STATES = "select case event_type when 'view' then 'active' when 'click' then 'missing_unconfirmed' when 'error' then 'invalid' when 'signup' then 'inactive' end as lifecycle_status from events"
+COLLECTORS = "select distinct l_linestatus as source_id, l_returnflag as collector_version from lineitem"
+DESCRIBED = f"select j.*, case when seq % 4 = 0 then ' ' else company_name end as description_clean from ({JOBS}) j"
+
+
+@query("A5_coverage_report", f"""
+with j as ({DESCRIBED}), w as (select j.*, s.job_id is not null as has_skill from j left join (select distinct job_id from ({SKILLS}) x) s on j.job_id = s.job_id), e as ({STATES}),
+b as (select source_id, count(*) as n, round(avg(overall_confidence), 4) as c from j group by 1), v as (select source_id, string_agg(collector_version, '/' order by collector_version) as v from ({COLLECTORS}) k group by 1)
+select count(*) as total_current_jobs, count(distinct company_name) as unique_companies, count(distinct career_id) as unique_careers, count(distinct province) as unique_provinces, count(*) filter (work_mode = 'REMOTE') as remote_job_count,
+       count(*) filter (work_mode <> 'REMOTE' and province is null) as unknown_location_count, count(*) filter (salary_disclosed) as salary_available_count, round(count(*) filter (salary_disclosed) / count(*), 4) as salary_available_rate,
+       round(count(*) filter (trim(description_clean) <> '') / count(*), 4) as description_available_rate, round(count(career_id) / count(*), 4) as career_mapping_rate,
+       round(count(*) filter (work_mode <> 'REMOTE' and province is not null) / count(*) filter (work_mode <> 'REMOTE'), 4) as location_mapping_rate_non_remote, count(*) filter (has_skill) as jobs_with_mapped_skills,
+       round(count(*) filter (has_skill) / count(*), 4) as skill_mapping_rate, count(*) - count(distinct (source_id, source_job_id)) as duplicate_count, round(avg(overall_confidence), 4) as average_extraction_confidence,
+       string_agg(distinct snapshot_version, ',' order by snapshot_version) as snapshot_versions, (select count(*) from e) as total_lifecycle_records, (select count(*) from e where lifecycle_status is distinct from 'invalid') as valid_lifecycle_records,
+       (select count(*) from e where lifecycle_status = 'invalid') as invalid_records_excluded, (select count(*) from e where lifecycle_status = 'active') as active_jobs, (select count(*) from e where lifecycle_status = 'missing_unconfirmed') as missing_unconfirmed_jobs,
+       (select count(*) from e where lifecycle_status = 'inactive') as inactive_jobs, (select string_agg(source_id || '=' || n, ',' order by source_id) from b) as source_distribution, (select round(sum(c), 4) from b) as confidence_by_source,
+       (select string_agg(source_id || '=' || v, ',' order by source_id) from v) as collector_versions, '0.4.0' as taxonomy_version from w""")
+def _(r):
+    shown = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"], F.array_join(x["value"], "/") if c == "collector_versions" else x["value"].cast("string"))), ",")
+    found = A.coverage_report(r.sql(DESCRIBED), r["skills"], r.sql(STATES), r.sql(COLLECTORS), "0.4.0")
+    means = F.aggregate(F.map_values("average_extraction_confidence_by_source"), F.lit(0.0), lambda acc, x: acc + x)
+    found = found.withColumns({"snapshot_versions": F.array_join("snapshot_versions", ","), "confidence_by_source": F.round(means, 4)})
+    return found.withColumns({c: shown(c) for c in ("source_distribution", "collector_versions")}).drop("average_extraction_confidence_by_source")
+
+
+TAG_SKILLS = "select distinct p_name as tag, p_brand as skill_id, 'Skill ' || p_brand as skill_name, case when p_type <> 'SMALL' then p_type end as category from part where p_type in ('PROMO', 'SMALL')"
+
+
+@query("A7_tag_frequency", f"""
+with t as (select p_name as tag from part), s as ({TAG_SKILLS})
+select tag, n, skill_ids, skill_names, skill_categories, skill_ids is not null as is_mapped from (select tag, count(*) as n from t group by tag) c
+left join (select tag, string_agg(distinct skill_id, ' | ' order by skill_id) as skill_ids, string_agg(distinct skill_name, ' | ' order by skill_name) as skill_names,
+                  string_agg(distinct coalesce(category, 'unspecified'), ' | ' order by coalesce(category, 'unspecified')) as skill_categories from s group by tag) k using (tag)""")
 def _(r):
-    skills = r.sql("select distinct p_name as tag, p_brand as skill_id, 'Skill ' || p_brand as skill_name from part where p_size > 25 and p_partkey % 7 = 0")
-    return A.tag_frequency(r.sql("select p_name as tag from part"), skills)
+    return A.tag_frequency(r.sql("select p_name as tag from part"), r.sql(TAG_SKILLS))
 
 
 GAP_JOBS = "select j.*, case when overall_confidence > 0.9 then null else overall_confidence end as career_confidence from ({}) j"
@@ -114,9 +142,9 @@ GAP_JOBS = "select j.*, case when overall_confidence > 0.9 then null else overal
 
 @query("A8_taxonomy_gaps", f"""
 with j as ({GAP_JOBS.format(JOBS)}), m as (select job_id, skill_name as tag, requirement_level <> 'not_required' as is_mapped from ({SKILLS}) s)
-select job_id, 'career' as gap from j where career_id is null or coalesce(career_confidence, 0) < 0.9
-union all select job_id, 'location' from j where province is null and work_mode not in ('REMOTE', 'UNSPECIFIED')
-union all select distinct job_id, 'skill' from m where not is_mapped""")
+select job_id, 'career' as gap, null as location_status from j where career_id is null or career_confidence < 0.9
+union all select job_id, 'location', case when work_mode = 'REMOTE' then 'remote' else 'unknown' end from j where province is null
+union all select distinct job_id, 'skill', null from m where not is_mapped and tag <> ''""")
 def _(r):
     tags = r["skills"].select("job_id", F.col("skill_name").alias("tag"), (F.col("requirement_level") != "not_required").alias("is_mapped"))
     return A.taxonomy_gaps(r.sql(GAP_JOBS.format(JOBS)), tags)
@@ -129,27 +157,36 @@ def _(r):
     return rounded(A.simple_matrix(r["skills"]))
 
 
-MAPPING = "select distinct c_mktsegment as career_id, case when c_mktsegment < 'F' then 'G1' else 'G2' end as career_group_id from customer"
+MAPPING = "select distinct c_mktsegment as career_id, case when c_mktsegment < 'F' then 'G1' else 'G2' end as career_group_id, case when c_mktsegment < 'F' then 'First' else 'Second' end as display_name from customer"
+FOUNDATION = "select distinct p_brand as skill_id, 'F_' || p_type as foundation_skill_id from part where p_type in ('PROMO', 'LARGE')"
+VERSIONED = f"select j.*, case source_id when 'F' then '0.4.0' else '0.3.9' end as taxonomy_version from ({JOBS}) j"
 
 
 @query("A10_market_groups", f"""
-with m as ({MAPPING})
-select career_group_id, sample_size, snapshot_version, foundation_skill_ids, case when sample_size >= 5 then 'observed' else 'limited' end as market_signal from
-(select career_group_id, cast(sum(posting_count) as bigint) as sample_size, max(snapshot_version) as snapshot_version from ({DEMAND}) d join m using (career_id) group by 1) a
-left join (select career_group_id, string_agg(distinct skill_id, ',' order by skill_id) as foundation_skill_ids from ({MATRIX}) x join m using (career_id) where skill_id in ('Brand#1', 'Brand#12', 'Brand#7') group by 1) b using (career_group_id)""")
+with m as ({MAPPING}), d as (select * from ({DEMAND}) x join m using (career_id)), k as (select career_id, skill_id from ({MATRIX}) x union select career_id, skill_id from ({SKILLS}) s)
+select career_group_id, display_name, n || ' lượt tin trong snapshot; mapping từ ' || ids || '.' as market_signal, n as sample_size, foundation_skill_ids, v || '|map-1' as snapshot_version, taxonomy_version
+from (select career_group_id, display_name, cast(sum(posting_count) as bigint) as n, max(snapshot_version) as v, string_agg(distinct career_id, ', ' order by career_id) as ids from d group by 1, 2) a
+join (select career_group_id, string_agg(distinct foundation_skill_id, ',' order by foundation_skill_id) as foundation_skill_ids from k join m using (career_id) join ({FOUNDATION}) f using (skill_id) group by 1) b using (career_group_id)
+join (select career_group_id, max(taxonomy_version) as taxonomy_version from ({VERSIONED}) j join m using (career_id) group by 1) t using (career_group_id)""")
 def _(r):
-    return A.market_groups(A.demand_summary(r["jobs"], "seq"), A.skill_matrix(r["skills"]), r.sql(MAPPING), ["Brand#1", "Brand#12", "Brand#7"])
+    found = A.market_groups(A.demand_summary(r["jobs"], "seq"), A.skill_matrix(r["skills"]), r.sql(VERSIONED), r["skills"], r.sql(MAPPING), r.sql(FOUNDATION), "map-1")
+    return found.withColumn("foundation_skill_ids", F.array_join("foundation_skill_ids", ","))
 
 
-ANSWERS = "select user_id, event_id % 20 as question_id, event_type || case when event_id % 2 = 0 then ' ' else '' end as answer from events"
-QUESTIONS = "select distinct event_id % 20 as question_id, case event_id % 20 when 3 then null when 4 then 'VIEW' else 'click' end as expected from events"
+ANSWERS = "select user_id, event_id % 20 as question_id, max(event_type || case when event_id % 2 = 0 then ' ' else '' end) as answer from events group by 1, 2"
+QUESTIONS = "select distinct event_id % 4 as career_id, event_id % 20 as question_id, 'Question ' || event_id % 20 as prompt, case event_id % 20 when 3 then null when 4 then ' VIEW' else 'click' end as expected from events"
+TAKEN = "select distinct user_id, event_id % 4 as career_id from events"
 
 
 @query("A11_grade_tests", f"""
-select user_id, round(100 * avg(case when lower(trim(answer)) = lower(trim(expected)) then 1 else 0 end), 2) as score, count(*) filter (lower(trim(answer)) <> lower(trim(expected))) as wrong
-from ({ANSWERS}) a join ({QUESTIONS}) q using (question_id) where expected is not null group by user_id""")
+with q as (select * from ({QUESTIONS}) x where expected is not null), a as (
+  select t.user_id, t.career_id, q.question_id, q.prompt, coalesce(lower(trim(a.answer)), '') = lower(trim(q.expected)) as good
+  from ({TAKEN}) t left join q on t.career_id = q.career_id left join ({ANSWERS}) a on a.user_id = t.user_id and a.question_id = q.question_id)
+select user_id, career_id, coalesce(round(100 * count(*) filter (good) / nullif(count(question_id), 0), 2), 0) as score, count(*) filter (not good) as wrong,
+       coalesce(string_agg(question_id || ':' || prompt, ',' order by question_id) filter (not good), '') as skill_gaps from a group by 1, 2""")
 def _(r):
-    return A.grade_tests(r.sql(ANSWERS), r.sql(QUESTIONS), ["user_id"])
+    found = A.grade_tests(r.sql(TAKEN), r.sql(QUESTIONS), r.sql(ANSWERS), ["career_id"], ["user_id"])
+    return found.withColumn("skill_gaps", F.array_join(F.transform(F.map_entries("skill_gaps"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"])), ","))
 
 
 @query("A12_evidence_summary", f"select source_type, count(*) as n from ({EVIDENCE}) e group by 1")
@@ -230,15 +267,13 @@ def _(r):
     return r.table("documents").select("doc_id", *(c.alias(k) if k != "preview" else F.md5(c.cast("binary")).alias(k) for k, c in meta.items()))
 
 
-U1_HOSTS = ["viec.example"]
-
-
-@query("U1_canonical_url", "select page_id, case when page_id % 3 = 0 then null else 'https://viec.example/viec-lam/job-' || page_id || '.html' end as url from pages")
+@query("U1_canonical_url", r"""
+with u as (select page_id, regexp_replace(url, '[?#].*$', '') as bare from pages), h as (select page_id, lower(regexp_extract(bare, '^https?://([^/]+)', 1)) as host, regexp_extract(bare, '^https?://[^/]+(/.*)$', 1) as path from u)
+select page_id, case when host like '%.example.net' and path not like '%/de/%' and regexp_matches(path, '^/[a-z]+/[0-9]+$') then 'https://' || host || path end as url from h""")
 def _(r):
-    pid = F.col("page_id").cast("string")
-    raw = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/danh-muc-x/a-"), pid, F.lit(".html"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/viec-lam/job-"), pid, F.lit(".html?ref=1#x")))
-    raw = raw.otherwise(F.concat(F.lit("http://VIEC.example/viec-lam/job-"), pid, F.lit(".html")))
-    return r.table("pages").select("page_id", T.canonical_job_url(raw, "https://viec.example", U1_HOSTS).alias("url"))
+    hosts = F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
+    net = [x["h"] for x in r.table("pages").select(hosts.alias("h")).distinct().filter("h like '%.example.net'").collect()]  # hosts to allow, a setting
+    return r.table("pages").select("page_id", T.canonical_job_url("url", "https://www.example.net", net, category="/de/", path=r"^/[a-z]+/[0-9]+$").alias("url"))
 
 
 @query("U2_id_from_url", r"select page_id, coalesce(nullif(regexp_extract(url, '/(\d+)\.html$', 1), ''), nullif(regexp_extract(url, '-j(\d+)\.html$', 1), ''), sha256(url)[1:16]) as url_id from pages")
@@ -310,13 +345,17 @@ def _(r):
     return r.table("pages").select("page_id", P.is_challenge("html").alias("challenge"))
 
 
-@query("F7_user_segment", """
-select c_custkey, case when c_custkey % 4 = 0 then case when c_custkey % 8 = 0 then 'student_with_goal' else 'student_exploring' end when c_mktsegment <> 'BUILDING' and c_custkey % 4 = 1 then 'career_switcher'
-       when c_custkey % 4 = 2 then 'early_career' else 'advancing' end as segment from customer""")
+PEOPLE = """
+select c_custkey, case c_mktsegment when 'BUILDING' then 'STUDENT' when 'FURNITURE' then 'STUDENT' when 'MACHINERY' then 'TEACHER' when 'HOUSEHOLD' then null else 'PROFESSIONAL' end as role,
+       case when c_acctbal < 3000 then 'HIGH_SCHOOL' when c_acctbal < 8000 then 'UNIVERSITY' end as stage, case when c_acctbal > 4000 then 'C' || cast(c_nationkey % 3 as string) end as major, 'C' || cast(c_nationkey % 4 as string) as career, 'C' || cast(c_custkey % 3 as string) as target from customer
+"""
+
+
+@query("F7_user_segment", f"""
+select c_custkey, case when role = 'STUDENT' and stage = 'HIGH_SCHOOL' then 'HS_FOUNDATION' when role = 'STUDENT' and major = target then 'SV_SAME_MAJOR' when role = 'STUDENT' then 'SV_DIFF_MAJOR'
+       when role = 'PROFESSIONAL' and career = target then 'WORKER_SAME_FIELD' when role = 'PROFESSIONAL' then 'WORKER_DIFF_FIELD' else 'HS_FOUNDATION' end as segment from ({PEOPLE}) p""")
 def _(r):
-    k = F.col("c_custkey")
-    target = F.when(k % 8 == 0, "x").when(k % 4 == 1, "building")
-    return r.table("customer").select("c_custkey", J.user_segment(F.when(k % 4 == 0, "Student"), F.when(k % 4 == 2, "junior"), "c_mktsegment", target).alias("segment"))
+    return r.sql(PEOPLE).select("c_custkey", J.user_segment("role", "stage", "major", "career", "target").alias("segment"))
 
 
 @query("N1_province", """
@@ -401,10 +440,18 @@ def _(r):
     return P.parse_listing(r.table("pages"), "page_id", "html")
 
 
-@query("P4_extract_jsonld", r"""select page_id, cast(null as varchar) as posting, nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1)), '') as title, cast(null as varchar) as description,
-       case when nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1)), '') is not null then 'page_title' else 'none' end as parser_method from pages""")
+EMBEDDED = """
+select page_id, case when url like '%/en/%' then '<script type="application/ld+json">{broken</script><script type="application/ld+json">{"@context":"x","@graph":[{"a":{"b":[{"@type":["Thing","JobPosting"],"title":"Job ' || page_id || '","description":"D"}]}}]}</script>'
+                     when url like '%utm_source%' then '<script type="application/ld+json">[{"@type":"Organization"},{"@type":"JobPosting","title":"Top ' || page_id || '"}]</script>' else '' end || html as html from pages
+"""
+
+
+@query("P4_extract_jsonld", rf"""
+select page_id, case kind when 1 then '{{"@type":["Thing","JobPosting"],"title":"Job ' || page_id || '","description":"D"}}' when 2 then '{{"@type":"JobPosting","title":"Top ' || page_id || '"}}' end as posting,
+       case kind when 1 then 'Job ' || page_id when 2 then 'Top ' || page_id else t end as title, case kind when 1 then 'D' end as description, case when kind > 0 then 'json_ld' when t is not null then 'page_title' else 'none' end as parser_method
+from (select page_id, case when url like '%/en/%' then 1 when url like '%utm_source%' then 2 else 0 end as kind, nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1)), '') as t from pages) p""")
 def _(r):
-    return P.extract_jsonld(r.table("pages"), "page_id", "html")
+    return P.extract_jsonld(r.sql(EMBEDDED), "page_id", "html")
 
 
 @query("P5_typical_tasks")
@@ -443,18 +490,26 @@ def _titles(r: Roles) -> DataFrame:
     return r["posts"].select(T.match_text("title", markup=False).alias("title")).distinct()
 
 
+#: Aliases of two words that begin titles, so that every tier has something to find.
+PAIRS = rf"select alias, min(doc_id) as entity_ord from (select split_part(t, ' ', 1) || ' ' || split_part(t, ' ', 2) as alias, doc_id from (select doc_id, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) as t from ({POSTS}) p) x where split_part(t, ' ', 2) <> '') y where length(alias) >= 8 group by alias"
 TITLES = rf"(select distinct lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) as title from ({POSTS}) p)"
 
 
-@query("M1_match_exact", "with d as (select distinct lower(p_name) as alias, p_name as name from part where p_size < 3) select lower(p_name) as title, min(name) as id, min(name) as name, 1.0 as score from (select distinct p_name from part) t join d on lower(p_name) = alias group by 1")
+@query("M1_match_exact", "with d as (select distinct lower(p_name) as alias, p_name as name from part where p_type = 'PROMO') select lower(p_name) as title, min(name) as id, min(name) as name, 1.0 as score from (select distinct p_name from part) p join d on lower(p_name) = alias group by 1")
 def _(r):
-    dim = r.sql("select p_name as id, p_name as name, lower(p_name) as alias, 0 as entity_ord, 0 as alias_ord from (select distinct p_name from part where p_size < 3)")
+    dim = r.sql("select p_name as id, p_name as name, lower(p_name) as alias, 0 as entity_ord, 0 as alias_ord from (select distinct p_name from part where p_type = 'PROMO')")
     return M.match_exact(r.sql("select distinct lower(p_name) as title from part"), dim)
 
 
-@query("M2_match_contained", f"with d as ({DIM_SQL}) select title, min_by(id, (-length(alias), entity_ord)) as id, min_by(name, (-length(alias), entity_ord)) as name, 0.96 as score from {TITLES} t join d on length(alias) >= 8 and contains(alias, ' ') and contains(title, alias) and regexp_matches(title, {BOUND}) group by title")
+@query("M2_match_contained", rf"""
+with d as ({PAIRS}), t as (select title, string_split(title, ' ') as w from {TITLES} x),
+h as (select distinct t.title, d.alias, d.entity_ord from t, lateral (select unnest(range(1, len(w))) as i) k join d on contains(t.title, d.alias) and d.alias[1:1] is not null where contains(d.alias, w[k.i]) or contains(w[k.i], split_part(d.alias, ' ', 1)))
+select title, min_by(alias, (-length(alias), entity_ord)) as id, min_by(alias, (-length(alias), entity_ord)) as name, 0.96 as score
+from h where regexp_matches(title, '(^|[^\p{{L}}\p{{N}}\p{{M}}_])' || regexp_escape(alias) || '($|[^\p{{L}}\p{{N}}\p{{M}}_])') group by title""")
 def _(r):
-    return M.match_contained(_titles(r), _dim(r))
+    pairs = r["posts"].select("doc_id", F.split(T.match_text("title", markup=False), " ").alias("w")).filter("size(w) > 1 and w[1] <> ''")
+    alias = pairs.select(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("alias"), "doc_id").filter("length(alias) >= 8").groupBy("alias").agg(F.min("doc_id").alias("entity_ord"))
+    return M.match_contained(_titles(r), alias.select(F.col("alias").alias("id"), F.col("alias").alias("name"), "alias", "entity_ord", F.lit(0).alias("alias_ord")))
 
 
 @query("M3_match_fuzzy")
@@ -561,47 +616,17 @@ def _(r):
 
 @query("B2_split_boilerplate", f"select * replace (md5(role_text) as role_text, md5(boilerplate_text) as boilerplate_text) from ({SPLIT}) s")
 def _(r):
-    split = D.split_boilerplate(*_boilerplate(r), "doc_id", "source")
+    split = D.split_boilerplate(r.table("documents"), _boilerplate(r)[1], "doc_id", "source", "text")
     return split.withColumns({c: F.md5(F.col(c).cast("binary")) for c in ("role_text", "boilerplate_text")})
 
 
 @query("B3_boilerplate_stats", f"select source, count(*) as docs, round(avg(boilerplate_ratio), 4) as mean_ratio, max(boilerplate_ratio) as max_ratio, cast(sum(length(role_text) + length(boilerplate_text)) as bigint) as chars_before, cast(sum(length(role_text)) as bigint) as chars_after from ({SPLIT}) s group by 1")
 def _(r):
-    return D.boilerplate_stats(D.split_boilerplate(*_boilerplate(r), "doc_id", "source"), "source")
+    return D.boilerplate_stats(D.split_boilerplate(r.table("documents"), _boilerplate(r)[1], "doc_id", "source", "text"), "source").drop("length_quartiles")
 
 
 # lifecycle --------------------------------------------------------------------------------------------------------------------
 
-CRAWL = "select cast(user_id as string) as source_job_id, 'e' as source_id, max_by(event_type, event_id) as content_hash, max(ts) as collected_at from events where {} group by user_id"
-FIRST, SECOND = CRAWL.format("cast(ts as date) <= date '2024-01-02'"), CRAWL.format("cast(ts as date) = date '2024-01-03'")
-
-
-def _two_runs(r: Roles) -> DataFrame:
-    at = lambda day: F.lit(day).cast("timestamp")
-    as_crawl = lambda sql: r.sql(sql).withColumn("collected_at", F.col("collected_at").cast("timestamp"))
-    state = L.lifecycle_merge(as_crawl(FIRST), L.empty_state(r.spark), at("2024-01-02"))
-    return L.lifecycle_merge(as_crawl(SECOND), state, at("2024-01-03"))
-
-
-LIFECYCLE = f"""
-with a as ({FIRST}), b as ({SECOND})
-select coalesce(a.source_job_id, b.source_job_id) as source_job_id, coalesce(b.content_hash, a.content_hash) as content_hash, case when b.source_job_id is null then 1 else 0 end as consecutive_missing_runs,
-       true as is_active, coalesce(a.content_hash <> b.content_hash, false) as content_changed, case when a.content_hash <> b.content_hash then a.content_hash end as previous_content_hash,
-       case when b.source_job_id is null then 'missing_unconfirmed' when a.source_job_id is null then 'new' else 'seen' end as lifecycle_status, false as reactivated
-from a full join b on a.source_job_id = b.source_job_id
-"""
-
-
-@query("L3_lifecycle_merge", LIFECYCLE)
-def _(r):
-    return _two_runs(r).select("source_job_id", "content_hash", "consecutive_missing_runs", "is_active", "content_changed", "previous_content_hash", "lifecycle_status", "reactivated")
-
-
-@query("L5_status_counts", f"select lifecycle_status, count(*) as n from ({LIFECYCLE}) x group by 1")
-def _(r):
-    return A.status_counts(_two_runs(r))
-
-
 #: Runs of equal length that the whole of ``events`` is dealt into.
 WHOLE_RUNS = 6
 
@@ -625,6 +650,33 @@ def _all_runs(r: Roles, invalid: bool = False) -> DataFrame:
     return state
 
 
+#: Every key's runs, and the last state that they lead to.
+LIFECYCLE = f"""
+with b as (select epoch_us(min(ts)) as lo, (epoch_us(max(ts)) - epoch_us(min(ts))) // {WHOLE_RUNS} + 1 as step from events),
+k as (select cast(user_id as string) as source_job_id, (epoch_us(ts) - lo) // step as run, max_by(event_type, event_id) as h from events, b group by 1, 2),
+w as (select *, lag(run) over (partition by source_job_id order by run) as before, lag(h) over (partition by source_job_id order by run) as h_before from k),
+s as (select source_job_id, max(run) as run, max_by(h, run) as h, max_by(before, run) as before, max_by(h_before, run) as h_before, count(*) as runs from w group by 1)
+select source_job_id, h as content_hash, cast({WHOLE_RUNS} - 1 - run as int) as consecutive_missing_runs, {WHOLE_RUNS} - 1 - run < 3 as is_active, runs > 1 and run = {WHOLE_RUNS} - 1 and h <> h_before as content_changed,
+       case when runs > 1 and h <> h_before then h_before end as previous_content_hash, case when run = {WHOLE_RUNS} - 1 and runs = 1 then 'new' when run = {WHOLE_RUNS} - 1 then 'seen' when {WHOLE_RUNS} - 1 - run >= 3 then 'inactive' else 'missing_unconfirmed' end as lifecycle_status,
+       runs > 1 and run = {WHOLE_RUNS} - 1 and run - before > 3 as reactivated from s
+"""
+
+
+@query("L3_lifecycle_merge", LIFECYCLE)
+def _(r):
+    return _all_runs(r).select("source_job_id", "content_hash", "consecutive_missing_runs", "is_active", "content_changed", "previous_content_hash", "lifecycle_status", "reactivated")
+
+
+@query("L4_mark_invalid", f"select source_job_id, case when cast(source_job_id as int) % 3 = 0 then 'invalid' else lifecycle_status end as lifecycle_status, cast(source_job_id as int) % 3 <> 0 and is_active as is_active from ({LIFECYCLE}) x")
+def _(r):
+    return _all_runs(r, invalid=True).select("source_job_id", "lifecycle_status", "is_active")
+
+
+@query("L5_status_counts", f"select lifecycle_status, count(*) as n from ({LIFECYCLE}) x group by 1")
+def _(r):
+    return A.status_counts(_all_runs(r))
+
+
 @query("L3_lifecycle_merge_whole")
 def _(r):
     return _all_runs(r).select("source_job_id", "content_hash", "consecutive_missing_runs", "is_active", "content_changed", "previous_content_hash", "lifecycle_status", "reactivated", "inactive_at")
@@ -686,6 +738,9 @@ from ({INTERESTS}) i left join {ACTS_SQL} using (career_group_id) where not exis
 """
 
 
+DONE = f"select distinct student_id, activity_id from ({RESULTS}) r where completed"
+
+
 def _limits(r: Roles) -> DataFrame:
     return r.spark.createDataFrame(LIMITS, "skill_id string, expected_level double, importance double, activity_id string, activity_minutes int")
 
@@ -770,14 +825,16 @@ def _(r):
 
 
 @query("E13_weekly_plan", f"""
-with a as (select g.student_id, first(l.activity_id order by gap_size desc, gap_id) as activity_id, first(activity_minutes order by gap_size desc, gap_id) as minutes from ({GAPS}) g join {LIMITS_SQL.replace(') t(', ') l(')} using (skill_id) join ({STUDENTS}) s on g.student_id = s.student_id
-           where priority = 'high' and activity_minutes <= weekly_available_minutes group by g.student_id),
-i as (select student_id, first(activity_id order by pos) as activity_id from ({EXPLORATION}) x group by 1)
+with done as ({DONE}), a as (
+  select g.student_id, first(l.activity_id order by gap_size desc, gap_id) as activity_id, first(activity_minutes order by gap_size desc, gap_id) as minutes
+  from ({GAPS}) g join {LIMITS_SQL.replace(') t(', ') l(')} using (skill_id) join ({STUDENTS}) b on b.student_id = g.student_id where priority = 'high' and activity_minutes <= weekly_available_minutes
+  and not exists (select 1 from done where done.student_id = g.student_id and done.activity_id = l.activity_id) group by g.student_id),
+i as (select student_id, first(activity_id order by pos) as activity_id from ({EXPLORATION}) x where activity_id is not null and not exists (select 1 from done where done.student_id = x.student_id and done.activity_id = x.activity_id) group by 1)
 select student_id, 1 as task_no, activity_id, minutes from a
 union all select s.student_id, 2, i.activity_id, estimated_minutes from ({STUDENTS}) s join i using (student_id) join {ACTS_SQL} on t.activity_id = i.activity_id left join a on a.student_id = s.student_id
 where not exam_week and estimated_minutes <= weekly_available_minutes - coalesce(a.minutes, 0)""")
 def _(r):
-    return E.weekly_plan(r["students"], _gaps(r), _exploration(r), _limits(r), _acts(r))
+    return E.weekly_plan(r["students"], _gaps(r), _exploration(r), _limits(r), _acts(r), r.sql(DONE))
 
 
 ASOF = {k: f"select user_id, event_type, ts as at, event_id as attempt_id, value from events where event_type = '{k}'" for k in ("view", "purchase")}
@@ -786,7 +843,7 @@ select user_id, posttest_id, after, baseline_id, before from (
   select p.user_id, p.attempt_id as posttest_id, p.value as after, b.attempt_id as baseline_id, b.value as before, row_number() over (partition by p.attempt_id order by b.at desc, b.attempt_id desc) as k
   from ({ASOF['purchase']}) p join ({ASOF['view']}) b on p.user_id = b.user_id and b.at <= p.at) x where k = 1
 """
-STATUS = "case when delta <= -0.05 then 'regression' when delta < 0.05 then 'no_change' when delta < 0.2 then 'partial_improvement' else 'meaningful_improvement' end"
+STATUS = "case when delta <= -0.05 then 'regression' when delta < 0.05 then 'no_meaningful_change' when delta < 0.2 then 'partial_improvement' else 'meaningful_improvement' end"
 
 
 def _asof(r: Roles) -> DataFrame:
@@ -810,21 +867,62 @@ def _(r):
 
 
 @query("E17_next_step", f"""
-with a as (select student_id, 1 as tier, gap_id as tie, l.activity_id from ({GAPS}) g join {LIMITS_SQL.replace(') t(', ') l(')} using (skill_id) where priority = 'high' and l.activity_id is not null),
-b as (select student_id, 2 as tier, lpad(cast(pos as string), 6, '0') as tie, activity_id from ({EXPLORATION}) x where activity_id is not null),
-m as (select student_id, first(tier order by tier, tie) as tier, first(activity_id order by tier, tie) as activity_id from (select * from a union all select * from b) u group by 1)
+with done as ({DONE}), a as (select student_id, 1 as tier, -gap_size as k, gap_id as tie, l.activity_id from ({GAPS}) g join {LIMITS_SQL.replace(') t(', ') l(')} using (skill_id) where priority = 'high' and l.activity_id is not null),
+b as (select student_id, 2 as tier, cast(pos as double) as k, '' as tie, activity_id from ({EXPLORATION}) x where activity_id is not null),
+m as (select student_id, first(tier order by tier, k, tie) as tier, first(activity_id order by tier, k, tie) as activity_id from (select * from a union all select * from b) u
+      where not exists (select 1 from done where done.student_id = u.student_id and done.activity_id = u.activity_id) group by 1)
 select student_id, case tier when 1 then 'academic' when 2 then 'exploration' else 'none' end as step, activity_id from ({STUDENTS}) s left join m using (student_id)""")
 def _(r):
-    return E.next_step(r["students"], _gaps(r), _exploration(r), _limits(r))
+    return E.next_step(r["students"], _gaps(r), _exploration(r), _limits(r), r.sql(DONE))
 
 
-@query("E18_evidence_warnings", f"""
-select student_id, 'INSUFFICIENT_EVIDENCE' as code, skill_id as field from ({ABILITY}) a where evidence_count < 2
-union all select student_id, 'CONFLICTING_EVIDENCE', skill_id from ({ABILITY}) a where spread > 0.35 union all select student_id, 'LOW_CONFIDENCE', skill_id from ({ABILITY}) a where confidence < 0.55""")
+WARNED = f"""
+select student_id, 'insufficient_evidence' as code, 'ability_profile.' || skill_id as field from ({ABILITY}) a where evidence_count < 2
+union all select student_id, 'conflicting_evidence', 'ability_profile.' || skill_id from ({ABILITY}) a where spread > 0.35 union all select student_id, 'low_confidence_estimate', 'ability_profile.' || skill_id from ({ABILITY}) a where confidence < 0.55
+"""
+
+
+@query("E18_evidence_warnings", WARNED)
 def _(r):
     return E.evidence_warnings(r["evidence"])
 
 
+MARKET = [("G0", 9), ("G1", 4), ("G3", 20)]
+MARKET_SQL = "(values " + ", ".join(f"('{g}', {n})" for g, n in MARKET) + ") m(career_group_id, sample_size)"
+REPORTS = "select cast(user_id as string) as student_id from events where event_type = 'purchase'"
+
+
+@query("E19_initial_warnings", f"""
+select student_id, 'optional_data_missing' as code, 'self_report' as field from ({STUDENTS}) s where student_id not in ({REPORTS})
+union all select s.student_id, 'insufficient_evidence', 'ability_profile' from ({STUDENTS}) s left join (select student_id, count(*) as n from ({EVIDENCE}) e group by 1) e using (student_id) where coalesce(n, 0) < 2
+union all {WARNED}
+union all select student_id, 'unknown_career_group', 'student.career_interest_ids.' || pos from ({INTERESTS}) i where career_group_id not in (select career_group_id from {MARKET_SQL} join {ACTS_SQL} using (career_group_id))
+union all select student_id, 'small_market_sample', 'market_context' from ({STUDENTS}) s""")
+def _(r):
+    market = r.spark.createDataFrame(MARKET, "career_group_id string, sample_size int")
+    return E.initial_warnings(_students(r), {"self_report": r.sql(REPORTS)}, r["evidence"], _acts(r), market)
+
+
+TRIES = {k: f"select user_id, event_type, ts as at, event_id as attempt_id, value from events where event_type = '{k}'" for k in ("signup", "purchase")}
+TRY_SKILLS = "select event_id as attempt_id, 'S' || event_id % 3 as skill_id from events union all select event_id, 'S' || (event_id + 1) % 3 from events where value > 100"
+VERSIONS = "select cast(user_id as string) as student_id, case when min(event_id) % 3 = 0 then '1' else '2' end as current_version, case when max(event_id) % 5 > 0 then '2' end as expected_version from events group by user_id"
+PAIRED = f"""
+select p.user_id, p.attempt_id, p.idx, b.attempt_id as baseline_id from (select *, row_number() over (partition by x.user_id order by x.at, x.attempt_id) - 1 as idx from ({TRIES['purchase']}) x) p
+left join ({TRIES['signup']}) b on p.user_id = b.user_id and b.at <= p.at qualify row_number() over (partition by p.attempt_id order by b.at desc nulls last, b.attempt_id desc) = 1
+"""
+
+
+@query("E20_followup_warnings", f"""
+with p as ({PAIRED}), k as ({TRY_SKILLS})
+select cast(user_id as string) as student_id, 'baseline_not_found' as code, 'assessment_attempts.posttest.' || idx as field from p where baseline_id is null
+union all select cast(user_id as string), 'assessment_scale_mismatch', 'assessment_attempts.posttest.' || idx || '.skill_scores' from p where baseline_id is not null and not exists (select 1 from k x join k y on x.skill_id = y.skill_id where x.attempt_id = p.attempt_id and y.attempt_id = p.baseline_id)
+union all select student_id, 'stale_profile_version', 'student.schema_version' from ({VERSIONS}) v where current_version <> expected_version""")
+def _(r):
+    posts = r.sql(f"select cast(user_id as string) as student_id, attempt_id, row_number() over (partition by x.user_id order by x.at, x.attempt_id) - 1 as idx from ({TRIES['purchase']}) x")
+    paired = E.asof_baseline(r.sql(TRIES["purchase"]), r.sql(TRIES["signup"]), ["user_id"])
+    return E.followup_warnings(posts, paired, r.sql(TRY_SKILLS), r.sql(VERSIONS))
+
+
 @query("E21_overlay_profile", f"with c as ({ABILITY}), p as ({ability_sql(TREND_OLD.format(EVIDENCE))}) select student_id, skill_id, coalesce(c.estimated_level, p.estimated_level) as estimated_level, case when skill_id = 'SKILL_1' then 'declining' when c.skill_id is not null then 'stable' else 'unknown' end as trend from p full join c using (student_id, skill_id)")
 def _(r):
     now = E.ability_profile(r["evidence"]).withColumn("trend", F.lit("stable"))
@@ -889,6 +987,11 @@ def _(r):
     return C.rank_careers(r.sql(PROFILES), A.skill_matrix(r["skills"]).filter("skill_posting_count > 3"))
 
 
+@query("R1_best_career", f"select profile_id, arg_min(career_id, (-matched, career_id)) as career_id, max(matched) as matched from (select profile_id, career_id, count(distinct skill_id) as matched from ({PROFILES}) p join (select distinct career_id, skill_id from ({MATRIX}) m) m using (skill_id) group by 1, 2) x group by 1")
+def _(r):
+    return C.best_career(r.sql(PROFILES), A.skill_matrix(r["skills"]))
+
+
 # lookups --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -915,10 +1018,10 @@ def _(r):
     return Q.recent_per_key(r.table("orders"), ["o_custkey"], "o_orderdate", "o_orderkey", 10).select("o_custkey", "o_orderkey", "rank")
 
 
-@query("Q5_match_results", "select o_orderkey, o_custkey % 7 as career_id, n_name as career_name from orders left join nation on o_custkey % 7 = n_nationkey and n_nationkey < 5")
+@query("Q5_match_results", "select o_orderkey, o_custkey % 40 as career_id, n_name as career_name from orders left join nation on o_custkey % 40 = n_nationkey")
 def _(r):
-    rows = r.table("orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("career_id"))
-    return Q.match_results(rows, r.table("nation").filter("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("career_id"), F.col("n_name").alias("career_name")))
+    rows = r.table("orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("career_id"))
+    return Q.match_results(rows, r.table("nation").select(F.col("n_nationkey").cast("long").alias("career_id"), F.col("n_name").alias("career_name")))
 
 
 @query("Q6_roster", "select c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey and c_custkey % 3 = s_suppkey % 3")
@@ -934,9 +1037,9 @@ def _(r):
     return Q.interval_join(points, spans, ["k"], "l_shipdate", "starts_at", "ends_at").select(F.col("k").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("Q8_latest_status", "select c_custkey, coalesce(status, 'not_started') as status from customer left join (select o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) as status from orders where o_custkey % 4 <> 0 group by 1) o on c_custkey = o_custkey")
+@query("Q8_latest_status", "select c_custkey, coalesce(status, 'not_started') as status from customer left join (select o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) as status from orders group by 1) o on c_custkey = o_custkey")
 def _(r):
-    orders = r.table("orders").filter("o_custkey % 4 <> 0").withColumnRenamed("o_custkey", "c_custkey")
+    orders = r.table("orders").withColumnRenamed("o_custkey", "c_custkey")
     return Q.latest_status(r.table("customer"), orders, "c_custkey", "o_orderdate", "o_orderkey", "o_orderstatus").select("c_custkey", "status")
 
 
@@ -1009,9 +1112,21 @@ def _(r):
     return V.reconciled(jobs, off, seq_col="seq")
 
 
-@query("V13_text_policy", r"select 'text_policy' as rule, conv_id || '/' || turn as key, 'the' as detail from conversations where regexp_matches(text, '\bthe\b') union all select 'text_policy', conv_id || '/' || turn, 'long' from conversations where regexp_matches(text, '[a-z]{20}')")
+#: Whole documents, with a sentence by language and one by source, so that every rule meets texts that break it.
+SAID = """
+select doc_id, text || case lang when 'de' then ' See skill_TRIG-1.' when 'fr' then ' Em KÉM lắm' when 'es' then ' your Gap Priority' else '' end || case source when 'src1' then ' and 9,5 Điểm' when 'src2' then ' MY_SKILL_X' else '' end as text from documents
+"""
+SAID_LOWER = " or ".join("contains(lower(text), '{}')".format(w) for w in V.UNSAFE), " or ".join("contains(lower(text), '{}')".format(w) for w in V.ENGINE_FIELDS)
+
+
+@query("V13_text_policy", rf"""
+with d as ({SAID})
+select 'text_policy' as rule, cast(doc_id as varchar) as key, 'technical_id' as detail from d where regexp_matches(text, '(?i)\b(EVIDENCE|SKILL|CAREER_GROUP)_[A-Za-z0-9_-]+\b')
+union all select 'text_policy', cast(doc_id as varchar), 'unsafe' from d where {SAID_LOWER[0]}
+union all select 'text_policy', cast(doc_id as varchar), 'engine_field' from d where {SAID_LOWER[1]}
+union all select 'text_policy', cast(doc_id as varchar), 'score_promise' from d where regexp_matches(text, '(?i)\b\d+([.,]\d+)?\s*điểm\b')""")
 def _(r):
-    return V.text_policy(r.table("conversations"), F.concat_ws("/", "conv_id", "turn"), "text", {"the": r"\bthe\b", "long": "[a-z]{20}"})
+    return V.text_policy(r.sql(SAID), F.col("doc_id"), "text")
 
 
 @query("V15_plan_invariant", f"select 'delta' as rule, activity_result_id as key, '0.0' as detail from ({RESULTS}) r where completed and interest_after > 0.000001")
@@ -1034,7 +1149,7 @@ def _(r):
 
 # more of profiles, learners, sources ------------------------------------------------------------------------------------------
 
-CODES = "select distinct c_mktsegment as career_id, n_name as onetsoc_code from customer join nation on c_nationkey = n_nationkey where c_nationkey < 4"
+CODES = "select distinct c_mktsegment as career_id, n_name as onetsoc_code from customer join nation on c_nationkey = n_nationkey"
 TEXTS = f"select j.*, company_name as description_raw from ({JOBS}) j"
 EVIDENCE_TEXTS = f"""
 select career_id, 'posting' as source_type, job_id as reference_id, description_raw as text from ({TEXTS}) j where is_active and career_id is not null and trim(description_raw) <> ''
@@ -1104,7 +1219,7 @@ with c as (select distinct c_mktsegment as career_id from customer union all sel
 e as (select career_id, count(*) filter (source_type = 'posting') as postings, count(*) filter (source_type = 'occupation') as refs, min_by(text, (case when source_type = 'occupation' then 0 else 1 end, reference_id)) as overview from ({EVIDENCE_TEXTS}) x group by 1),
 m as (select career_id, cast(sum(posting_count) as bigint) as n from ({DEMAND}) d group by 1)
 select career_id, career_id as career_name, coalesce(postings, 0) as postings, coalesce(refs, 0) as "references", coalesce(n, 0) as market_postings, overview,
-       case when postings > 0 then 'market_evidence' when refs > 0 then 'reference_only' else 'insufficient_evidence' end as status, 'v1' as profile_version from c left join e using (career_id) left join m using (career_id)""")
+       case when postings > 0 or refs > 0 then 'available' else 'insufficient_evidence' end as status, 'v1' as profile_version from c left join e using (career_id) left join m using (career_id)""")
 def _(r):
     careers = r.sql("select distinct c_mktsegment as career_id, c_mktsegment as career_name from customer union all select 'NONE', 'NONE'")
     return C.career_profiles(careers, _evidence_texts(r), A.demand_summary(r["jobs"], "seq"), "v1")
@@ -1133,7 +1248,7 @@ def _(r):
 
 @query("F6_display_if", """
 with a as (select user_id as submission_id, 'q' || cast(event_id % 3 as string) as question_id, max(event_type) as value from events group by 1, 2), w as (select distinct submission_id from a),
-h as (select w.submission_id, coalesce(q1.value = 'view', false) as eq, q1.value is distinct from 'view' as ne, coalesce(q2.value in ('view', 'signup'), false) as isin from w left join a q1 on q1.submission_id = w.submission_id and q1.question_id = 'q1' left join a q2 on q2.submission_id = w.submission_id and q2.question_id = 'q2')
+h as (select w.submission_id, coalesce(q1.value = 'view', false) as eq, coalesce(q1.value <> 'view' and q1.value <> '', false) as ne, coalesce(q2.value in ('view', 'signup'), false) as isin from w left join a q1 on q1.submission_id = w.submission_id and q1.question_id = 'q1' left join a q2 on q2.submission_id = w.submission_id and q2.question_id = 'q2')
 select submission_id, 'x' as question_id, eq and isin as is_visible from h union all select submission_id, 'y', ne from h""")
 def _(r):
     answers = r.sql("select user_id as submission_id, 'q' || cast(event_id % 3 as string) as question_id, max(event_type) as value from events group by 1, 2")
@@ -1141,13 +1256,6 @@ def _(r):
     return V.visible(r.spark.createDataFrame(rows, "question_id string, depends_on string, operator string, operand string"), answers)
 
 
-@query("L4_mark_invalid", f"select source_job_id, case when cast(source_job_id as int) % 3 = 0 then 'invalid' else 'new' end as lifecycle_status, cast(source_job_id as int) % 3 <> 0 as is_active from ({FIRST}) f")
-def _(r):
-    at = F.lit("2024-01-02").cast("timestamp")
-    good, bad = L.mark_invalid(r.sql(FIRST).withColumn("collected_at", F.col("collected_at").cast("timestamp")), F.col("source_job_id").cast("int") % 3 == 0, at)
-    return L.with_invalid(L.lifecycle_merge(good, L.empty_state(r.spark), at), bad).select("source_job_id", "lifecycle_status", "is_active")
-
-
 @query("V7_one_version", "select distinct 'one_version:v' as rule, 'orders' as key, o_orderstatus as detail from orders union all select distinct 'one_version:v', 'lineitem', l_linestatus from lineitem")
 def _(r):
     return V.one_version({"orders": r.sql("select o_orderstatus as v from orders"), "lineitem": r.sql("select l_linestatus as v from lineitem")}, "v")

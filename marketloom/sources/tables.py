@@ -134,10 +134,24 @@ def jsonify_complex(df: DataFrame) -> DataFrame:
 
 
 def overwrite_if_nonempty(df: DataFrame, path: str) -> bool:
-    """S12. Replace a snapshot, but never by an empty one."""
-    if df.isEmpty():
+    """S12. Replace a snapshot, but never by an empty one.
+
+    The new snapshot is written beside the old one, which is moved away only then: a failed write leaves it as it was,
+    and ``df`` may read from it.
+    """
+    fresh, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = {p: hadoop.Path(p) for p in (fresh, old, path)}
+    fs = place[path].getFileSystem(spark._jsc.hadoopConfiguration())
+    if spark.read.schema(df.schema).parquet(fresh).isEmpty():
+        fs.delete(place[fresh], True)
         return False
-    df.write.mode("overwrite").parquet(path)
+    if fs.exists(place[path]):
+        fs.rename(place[path], place[old])
+    fs.rename(place[fresh], place[path])
+    fs.delete(place[old], True)
     return True
 
 

@@ -16,7 +16,7 @@ def lifecycle_batch(root: str, misses: int = MISSES, key: list[str] = KEY):
     """A function for ``foreachBatch``: merges a crawl into the state of the batch before.
 
     The state after batch ``n`` is a folder of its own, written from that of ``n - 1``, so a repeated batch writes the
-    same again. A crawl's time is its latest ``collected_at``.
+    same again. A crawl's time is its latest ``collected_at``; an empty batch is no crawl and leaves the state as it is.
     """
 
     def run(crawl: DataFrame, batch_id: int) -> None:
@@ -24,6 +24,9 @@ def lifecycle_batch(root: str, misses: int = MISSES, key: list[str] = KEY):
         before = spark.read.parquet(state_path(root, batch_id - 1)) if batch_id else empty_state(spark)
         newest = crawl.groupBy(*key).agg(F.max_by("content_hash", "collected_at").alias("content_hash"), F.max("collected_at").alias("collected_at"))
         at = crawl.agg(F.max("collected_at")).first()[0]
+        if at is None:  # no crawl: nothing is missing for that
+            before.write.mode("overwrite").parquet(state_path(root, batch_id))
+            return
         lifecycle_merge(newest, before, F.lit(at).cast("timestamp"), misses, key).write.mode("overwrite").parquet(state_path(root, batch_id))
 
     return run

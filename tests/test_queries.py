@@ -1,18 +1,18 @@
-"""Every registered query against DuckDB on the smallest tables; those without SQL must give rows of a stable schema."""
+"""Every registered query against DuckDB on the smallest tables; those without SQL against what tests/test_plain.py works out."""
 
 import pytest
 
 from marketloom.plans.registry import QUERIES, SQL
 from tests.oracle import difference
+from tests.test_plain import CHECKED
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, name):
-    df = QUERIES[name](spark, sf)
     if name in SQL:
-        assert difference(df, sf, SQL[name]) is None
+        assert difference(QUERIES[name](spark, sf), sf, SQL[name]) is None
     else:
-        assert df.schema == QUERIES[name](spark, sf).schema and df.count() >= 0
+        assert name in CHECKED
 
 
 def test_flagship_gives_rows(spark):
