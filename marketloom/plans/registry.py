@@ -738,7 +738,7 @@ from ({INTERESTS}) i left join {ACTS_SQL} using (career_group_id) where not exis
 """
 
 
-DONE = f"select distinct student_id, activity_id from ({RESULTS}) r where completed"
+DONE = f"select distinct student_id, activity_id from ({RESULTS}) r where completed and rubric_score >= 0.9 * max_score"
 
 
 def _limits(r: Roles) -> DataFrame:
