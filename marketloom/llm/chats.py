@@ -33,9 +33,8 @@ def with_prefixes(conversations: DataFrame) -> DataFrame:
     fresh = lambda ts: F.filter(ts, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(ts, i - 1)))
     grouped = grouped.select("conv_id", let(F.col("turns"), fresh).alias("turns"))
 
-    def add(before: Column, x: Column) -> tuple[Column, Column]:
-        here = _turn_hash(before, x)
-        return here, F.array(here)
+    def add(before: Column, x: Column) -> Column:
+        return let(_turn_hash(before, x), lambda here: F.struct(here.alias("at"), F.array(here).alias("more")))
 
     return grouped.withColumn("prefixes", running(F.col("turns"), F.lit(""), "string", add))
 

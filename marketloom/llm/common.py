@@ -34,14 +34,13 @@ RUN_BLOCK = 256
 def running(items: Column, zero: Column, kind: str, step) -> Column:
     """The array of what a left-to-right pass over ``items`` gives out.
 
-    ``step(state, item)`` returns the next state and an array (of SQL type ``kind``) to append. As appending copies
+    ``step(state, item)`` returns a struct of the next state ``at`` and an array ``more`` (of SQL type ``kind``) to append. As appending copies
     what is there already, the pass goes by blocks, so that its cost stays linear.
     """
     empty = lambda depth: F.array().cast("array<" * depth + kind + ">" * depth)
 
     def within(acc: Column, x: Column) -> Column:
-        at, more = step(acc["at"], x)
-        return let(F.struct(at.alias("at"), more.alias("more")), lambda s: F.struct(s["at"].alias("at"), F.concat(acc["out"], s["more"]).alias("out")))
+        return let(step(acc["at"], x), lambda s: F.struct(s["at"].alias("at"), F.concat(acc["out"], s["more"]).alias("out")))
 
     def over(array: Column) -> Column:
         def block(acc: Column, k: Column) -> Column:

@@ -73,12 +73,12 @@ def _matches(shadow: Column, kind: str, pattern: str, groups: int, guard: str) -
     marked = F.regexp_replace(shadow, F.lit(pattern), F.lit("".join([MARK, "$0", *[f"{MARK}$2"] * (groups - 1), MARK])))
 
     def spans(parts: Column) -> Column:
-        def add(at: Column, i: Column) -> tuple[Column, Column]:
+        def add(at: Column, i: Column) -> Column:
             text = F.get(parts, step * i + 1)
             start = at + F.length(F.get(parts, step * i))
             end = start + F.length(text)
             one = F.struct(start.alias("start"), end.alias("end"), F.length(F.get(parts, step * i + groups)).alias("value"), text.alias("text"))
-            return end, F.array(one)
+            return F.struct(end.alias("at"), F.array(one).alias("more"))
 
         n = F.floor(F.size(parts) / step).cast("int")
         return running(F.sequence(F.lit(0), n - 1), F.lit(0), MATCHED, add)
@@ -113,7 +113,7 @@ def _hot(run: Column, start: Column, least_bits: Column, window: int) -> Column:
     def over(c: Column) -> Column:
         count = lambda first, size, x: size - F.size(F.array_remove(F.slice(c, first, size), x))
 
-        def step(at: Column, i: Column) -> tuple[Column, Column]:
+        def step(at: Column, i: Column) -> Column:
             full = i >= window
             size = F.least(i, F.lit(window))  # characters before this one
             come, gone = F.get(c, i), F.get(c, i - window)
@@ -124,10 +124,9 @@ def _hot(run: Column, start: Column, least_bits: Column, window: int) -> Column:
 
             def judged(total: Column) -> Column:
                 hot = (i >= window - 1) & (F.lit(math.log2(window)) - total / window >= least_bits)
-                return F.struct(total.alias("s"), F.when(hot, F.array(here)).otherwise(F.array().cast(f"array<{PLACE}>")).alias("w"))
+                return F.struct(total.alias("at"), F.when(hot, F.array(here)).otherwise(F.array().cast(f"array<{PLACE}>")).alias("more"))
 
-            both = let(s, judged)
-            return both["s"], both["w"]
+            return let(s, judged)
 
         return running(F.sequence(F.lit(0), F.size(c) - 1), F.lit(0.0), PLACE, step)
 
@@ -208,10 +207,11 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     Pieces between the stretches are read from parts of the text, so that none is reached from the text's start.
     """
 
-    def gap(at: Column, x: Column) -> tuple[Column, Column]:
+    def gap(at: Column, x: Column) -> Column:
         fresh = (x["start"] > at) | (at < 0)
         piece = F.array(F.struct(F.greatest(at, F.lit(0).cast("long")).alias("start"), x["start"].alias("end")))
-        return F.greatest(at, x["end"]), F.when(fresh, piece).otherwise(F.array().cast(f"array<{PLACE}>"))
+        more = F.when(fresh, piece).otherwise(F.array().cast(f"array<{PLACE}>"))
+        return F.struct(F.greatest(at, x["end"]).alias("at"), more.alias("more"))
 
     def cut(parts: Column) -> Column:
         def read(g: Column) -> Column:
