@@ -20,7 +20,7 @@ from marketloom.operators import pages as P
 from marketloom.operators import postings as J
 from marketloom.operators import profiles as C
 from marketloom.plans.demo import Roles, role_sql
-from marketloom.sources.tables import jsonify_complex, split_jobs_skills
+from marketloom.sources.tables import career_code_map, jsonify_complex, read_snapshot, split_jobs_skills
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1271,3 +1271,29 @@ def _(r):
 @query("S10_jsonify_complex", """select user_id, '{"first":' || min(event_id) || ',"last":' || max(event_id) || '}' as span from events group by user_id""")
 def _(r):
     return jsonify_complex(r.table("events").groupBy("user_id").agg(F.struct(F.min("event_id").alias("first"), F.max("event_id").alias("last")).alias("span")))
+
+
+@query("S1_read_snapshot", "select doc_id, lang, source from documents")
+def _(r):
+    return read_snapshot(r.spark, f"{r.sf_dir}/documents.parquet", ["doc_id", "lang", "source"]).select("doc_id", "lang", "source")
+
+
+@query("S6_career_code_map", "select distinct c_mktsegment as career_id, 'N' || c_nationkey as onetsoc_code from customer")
+def _(r):
+    return career_code_map(r.sql("select c_mktsegment as career_id, array_agg('N' || c_nationkey) as codes from customer group by c_mktsegment, c_acctbal > 0"))
+
+
+@query("L1_prepare_keys", "select event_id, event_type as source_id, cast(user_id as string) as source_job_id from events")
+def _(r):
+    return L.prepare_keys(r.sql("select event_id, '  ' || event_type || ' ' as source_id, user_id as source_job_id from events"))
+
+
+@query("L2_observed_at", "select strftime(max(ts), '%Y-%m-%d %H:%M:%S') as observed_at from events")
+def _(r):
+    return L.observed_at(r.sql("select ts as collected_at from events")).select(F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss").alias("observed_at"))
+
+
+@query("P6_extract_documents", "select doc_id, case when lang = 'de' or trim(text) = '' then 'failed' else 'completed' end as status, case when lang = 'de' then 'unsupported type' when trim(text) = '' then 'empty document' end as error, case when lang <> 'de' and trim(text) <> '' then length(text) end as character_count from documents")
+def _(r):
+    files = r.sql("select doc_id, cast(text as binary) as content, case lang when 'de' then 'a.pdf' else 'a.TXT' end as name from documents")
+    return P.extract_documents(files, "doc_id", "content", "name").select("doc_id", "status", "error", "character_count")
