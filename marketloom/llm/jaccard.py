@@ -232,8 +232,11 @@ def near_duplicates(
     mine = dealt.groupBy("node").agg(F.collect_list(own).alias("mine"))  # as many as bands at most
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    asked = mine.join(classes.select("node", "copies", F.col("head.doc_id").alias("doc_id")), "node")
-    sets = _sets(texts.join(asked, "doc_id").select("text", "node", "copies", "mine"), n)
+    # written first, so that the size of its ids is known: Spark broadcasts them if they are few, and the texts that no bucket
+    # holds are not shuffled; if they are many, both joins share one shuffle of the texts
+    asked = materialise(mine.join(classes.select("node", "copies", F.col("head.doc_id").alias("doc_id")), "node"), "asked")
+    held = texts.join(asked.select("doc_id"), "doc_id", "left_semi")
+    sets = _sets(held.join(asked.hint("merge"), "doc_id").select("text", "node", "copies", "mine"), n)
     placed = sets.select("node", "copies", "mine", "ngrams", F.explode("mine").alias("at"))
     pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("at.nb") - 1))).select(
         "at.band", F.least("at.block", "with").alias("lo"), F.greatest("at.block", "with").alias("hi"), "node", "copies", "mine", "ngrams"
