@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from sentencepiece import sentencepiece_model_pb2
 
 SPACE = "▁"
 SPACE_BYTES = SPACE.encode()
-#: Characters of text that are encoded together.
+#: Bytes of text that are encoded together.
 ROOM = 262_144
 
 
@@ -162,16 +163,16 @@ def codec(model_file: str) -> Codec:
     return Codec(model_file)
 
 
-def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of groups of texts of about ``ROOM`` characters; a longer text is one by itself."""
+def groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of groups of texts of about ``ROOM`` bytes; a longer text is one by itself."""
     at, size = 0, 0
-    for k, t in enumerate(texts):
-        if k > at and size + len(t) > ROOM:
+    for k, n in enumerate(sizes):
+        if k > at and size + n > ROOM:
             yield at, k
             at, size = k, 0
-        size += len(t)
-    if texts:
-        yield at, len(texts)
+        size += n
+    if sizes:
+        yield at, len(sizes)
 
 
 def encode_decode(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -185,9 +186,10 @@ def encode_decode(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for at, end in groups(texts):
-                ids, starts, ends = c.encode(texts[at:end])
+            text = batch.column(batch.num_columns - 1)
+            # only one group's texts are Python strings at a time
+            for at, end in groups(pc.fill_null(pc.binary_length(text), 0).to_pylist()):
+                ids, starts, ends = c.encode([t or "" for t in text.slice(at, end - at).to_pylist()])
                 offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, len(starts))
                 arrays = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (flat, starts, ends)]
