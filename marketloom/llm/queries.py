@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import chats
+from marketloom.llm.byte_pairs import encode_bytes
 from marketloom.llm.common import shared_dir, table
 from marketloom.llm.jaccard import near_duplicates
 from marketloom.llm.licenses import scan_licenses
@@ -117,6 +118,17 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = encode_bytes(table(spark, sf_dir, "documents"), rank_file, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -128,6 +140,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_token_counts": op9_token_counts,
     "op10_license_scans": op10_license_scans,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 SQL: dict[str, str] = {"op8_chat_formatting": chats.SQL}
