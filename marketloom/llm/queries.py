@@ -18,6 +18,7 @@ from marketloom.llm.quality import score_quality
 from marketloom.llm.secrets import joined_spans, scan_secrets
 from marketloom.llm.substrings import remove_repeats
 from marketloom.llm.tokens import Ledger, count_tokens
+from marketloom.llm.whitening import whiten
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +130,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -141,6 +146,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_license_scans": op10_license_scans,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 SQL: dict[str, str] = {"op8_chat_formatting": chats.SQL}
