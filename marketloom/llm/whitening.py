@@ -28,8 +28,8 @@ from marketloom.llm.common import materialise
 SCALE, SHIFT = 64, 1_000_000
 #: Lanczos goes through all dimensions, up to this many; beyond, it ends when the wanted components have converged.
 ALL_DIMENSIONS = 512
-#: Sums that travel in one row.
-CHUNK = 64
+#: Vectors of sums that the driver adds up.
+MOST_SUMS = 64
 #: Share of a vector that may be left before it is orthogonalised again, and under which it counts as nothing.
 LITTLE, NOTHING = 0.5, 1e-12
 
@@ -48,38 +48,35 @@ def integer_vectors(vectors: DataFrame, id_column: str, column: str) -> DataFram
     return vectors.filter(F.coalesce(F.col(column).isNotNull() & fine, F.lit(False))).select(F.col(id_column).cast("long").alias("id"), x.alias("x"))
 
 
-def summed(parts: DataFrame) -> np.ndarray:
-    """The sum of all vectors of rows ``chunk, v0, v1, ...`` (``CHUNK`` numbers each)."""
-    sums = parts.groupBy("chunk").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(CHUNK)]).orderBy("chunk").collect()
-    return np.array([[r[f"v{i}"] for i in range(CHUNK)] for r in sums]).reshape(-1)
+def pass_over(rows: DataFrame, dims: int, tasks: int, kind: str, part) -> np.ndarray:
+    """The sum of ``part(x)`` over all batches ``x`` of the rows' vectors: one vector, summed within tasks.
 
+    Where there are many ``tasks``, others add up what these give, so that the driver gets ``MOST_SUMS`` vectors at most.
+    """
 
-def pass_over(rows: DataFrame, dims: int, kind: str, part) -> np.ndarray:
-    """The sum of ``part(x)`` over all batches ``x`` of the rows' vectors: one vector, summed within tasks and by Spark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                here = part(_matrix(batch, dims))
+                here = of(batch)
                 total = here if total is None else total + here
         if total is not None:
-            sums = np.zeros(-(-len(total) // CHUNK) * CHUNK, total.dtype)
-            sums[: len(total)] = total
-            sums = sums.reshape(-1, CHUNK)
-            arrays = [pa.array(np.arange(len(sums), dtype=np.int32)), *(pa.array(np.ascontiguousarray(s)) for s in sums.T)]
-            yield pa.RecordBatch.from_arrays(arrays, ["chunk", *(f"v{i}" for i in range(CHUNK))])
+            yield pa.RecordBatch.from_arrays([pa.array([total])], ["sums"])
 
-    schema = ", ".join(["chunk int", *(f"v{i} {kind}" for i in range(CHUNK))])
-    return summed(rows.select("x").mapInArrow(run, schema))
+    schema = f"sums array<{kind}>"
+    vectors = lambda batch: np.stack([v.values.to_numpy() for v in batch.column(0)]).sum(axis=0)
+    sums = rows.select("x").mapInArrow(lambda b: add(b, lambda batch: part(_matrix(batch, dims))), schema)
+    if tasks > MOST_SUMS:
+        sums = sums.repartition(MOST_SUMS).mapInArrow(lambda b: add(b, vectors), schema)
+    return np.sum([r["sums"] for r in sums.collect()], axis=0)
 
 
 class Centre:
     """Exact sums of all vectors; ``of(x)`` gives centred rows, ``exact(x)`` these times the number of rows."""
 
-    def __init__(self, rows: DataFrame, dims: int):
+    def __init__(self, rows: DataFrame, dims: int, tasks: int):
         # sums of what lies above the shift and of squares stay small and exact
-        found = pass_over(rows, dims, "long", lambda x: np.concatenate([[len(x)], (x - SHIFT).sum(axis=0)]))
+        found = pass_over(rows, dims, tasks, "long", lambda x: np.concatenate([[len(x)], (x - SHIFT).sum(axis=0)]))
         self.n, self.sums = int(found[0]), found[1 : 1 + dims]
 
     def exact(self, x: np.ndarray) -> np.ndarray:
@@ -89,7 +86,7 @@ class Centre:
         return self.exact(x) / self.n
 
 
-def bidiagonalise(rows: DataFrame, centre: Centre, dims: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+def bidiagonalise(rows: DataFrame, centre: Centre, dims: int, tasks: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (columns) of the centred rows and their singular values, largest first, ``wanted`` or more."""
     rng = np.random.default_rng(11)
     v, y, across = np.empty((dims, 0)), np.empty((dims, 0)), np.empty((dims, 0))  # all v; all y; X' u of each u
@@ -105,7 +102,7 @@ def bidiagonalise(rows: DataFrame, centre: Centre, dims: int, wanted: int) -> tu
             w = x @ z
             return np.concatenate([(x @ y).T @ w, np.zeros(dims - y.shape[1]), x.T @ w, [w @ w]])
 
-        found = pass_over(rows, dims, "double", part)
+        found = pass_over(rows, dims, tasks, "double", part)
         return found[: y.shape[1]], found[dims : 2 * dims], float(found[2 * dims])
 
     def orthogonal(new: np.ndarray) -> np.ndarray:
@@ -169,16 +166,17 @@ def whiten(vectors: DataFrame, components: int = 32, id_column: str = "vec_id",
     """
     schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
     rows = materialise(integer_vectors(vectors, id_column, column), "whitening")
-    lengths = rows.agg(F.min(F.size("x")), F.max(F.size("x"))).first()
-    if lengths[0] != lengths[1]:
-        raise ValueError(f"vectors of {lengths[0]} to {lengths[1]} dimensions")
-    dims = lengths[0]
+    sized = rows.select(F.size("x").alias("dims"), F.spark_partition_id().alias("task"))
+    least, dims, last = sized.agg(F.min("dims"), F.max("dims"), F.max("task")).first()
+    if least != dims:
+        raise ValueError(f"vectors of {least} to {dims} dimensions")
     if not dims:
         return vectors.sparkSession.createDataFrame([], schema)
-    centre = Centre(rows, dims)
+    tasks = last + 1
+    centre = Centre(rows, dims, tasks)
     count = min(components, dims)
-    right, singular = bidiagonalise(rows, centre, dims, count)
-    trace = float(pass_over(rows, dims, "double", lambda x: np.array([(centre.of(x) ** 2).sum()]))[0])
+    right, singular = bidiagonalise(rows, centre, dims, tasks, count)
+    trace = float(pass_over(rows, dims, tasks, "double", lambda x: np.array([(centre.of(x) ** 2).sum()]))[0])
     right, singular = right[:, :count], singular[:count]
     held = singular > NOTHING * 10 * max(singular[0], 1e-300)
     scaled = right * np.where(held, np.sqrt(centre.n) / np.where(held, singular, 1.0), 0.0)
@@ -188,7 +186,7 @@ def whiten(vectors: DataFrame, components: int = 32, id_column: str = "vec_id",
         z = centre.of(x) @ scaled
         return np.concatenate([z.sum(axis=0), (z.T @ z).reshape(-1)])
 
-    moments = pass_over(rows, dims, "double", covariance)[: count + count * count] / centre.n
+    moments = pass_over(rows, dims, tasks, "double", covariance)[: count + count * count] / centre.n
     mean, square = moments[:count], moments[count:].reshape(count, count)
     off = np.abs(square - np.outer(mean, mean) - np.eye(count))[np.ix_(held, held)]
     identity_error = float(off.max(initial=0.0))

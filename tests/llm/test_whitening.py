@@ -105,6 +105,13 @@ def test_ends_when_the_wanted_components_have_converged(spark, monkeypatch):
     assert len(passes) < 36
 
 
+def test_sums_of_many_tasks_are_added_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "MOST_SUMS", 2)
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(c) for c in rng.standard_normal(4)]) for i in range(60)]
+    check(whiten(frame(spark, vectors).repartition(7)).collect(), vectors)
+
+
 def test_large_deviations_are_exact(spark):
     vectors = [(1, [3e7 / 64]), (2, [-1e7 / 64 + 0.02])]
     rows = whiten(frame(spark, vectors)).collect()
