@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import chats
+from marketloom.llm.alignment import align_tokenizers
 from marketloom.llm.byte_pairs import encode_bytes
 from marketloom.llm.common import shared_dir, table
 from marketloom.llm.jaccard import near_duplicates
@@ -134,6 +135,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokenizers(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -147,6 +153,7 @@ QUERIES = {
     "op10_license_scans": op10_license_scans,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 SQL: dict[str, str] = {"op8_chat_formatting": chats.SQL}
