@@ -1,15 +1,14 @@
-"""Titles to careers and texts to skills, by alias tables.
+"""Titles to careers and texts to skills, by alias tables of any size.
 
-Alias tables come from one versioned taxonomy of some hundred entries; their size is checked when they are built. An
-alias is looked for only where its longest word stands: texts and aliases meet in a hash join on words, and patterns run
-on what that finds.
+An alias is looked for only where its longest word stands: texts and aliases meet in a join on words, and patterns run on
+what that finds. Titles meet the aliases they may be like in a set-similarity join by prefixes of rare words and pairs of
+letters.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from math import log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.text import clean_title, extraction_text, match_text, text_or_empty
 
-MOST_ALIASES = 20_000
+#: So many words of aliases at most are compared with a text's words in its row.
+MOST_WORDS = 5_000
 # Marks of a sentence that takes a requirement back or softens it.
 NEGATIONS = ["không bắt buộc", "không yêu cầu", "không cần", "not required"]
 PREFERENCES = ["là lợi thế", "ưu tiên", "preferred", "nice to have"]
@@ -26,13 +26,10 @@ PRIORITY = ["not_required", "mentioned", "preferred", "required"]
 META = r"([\\.\[\]{}()*+?^$|\-/&#~])"
 
 
-def alias_dim(entities: DataFrame, most: int = MOST_ALIASES) -> DataFrame:
+def alias_dim(entities: DataFrame) -> DataFrame:
     """S5. ``id, name, alias, entity_ord, alias_ord`` from ``id, name, aliases, entity_ord``; blank aliases go."""
     flat = entities.select("id", "name", "entity_ord", F.posexplode("aliases").alias("alias_ord", "raw"))
-    dim = flat.select("id", "name", match_text("raw", markup=False).alias("alias"), "entity_ord", "alias_ord").filter("alias <> ''")
-    if dim.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} aliases")
-    return dim
+    return flat.select("id", "name", match_text("raw", markup=False).alias("alias"), "entity_ord", "alias_ord").filter("alias <> ''")
 
 
 def whole_word(alias: Column) -> Column:
@@ -46,24 +43,29 @@ def match_exact(titles: DataFrame, dim: DataFrame) -> DataFrame:
     return titles.join(dim, F.col("title") == F.col("alias")).groupBy("title").agg(best).select("title", "m.id", "m.name", F.lit(1.0).alias("score"))
 
 
-def _meeting(texts: DataFrame, key: str, low: str, dim: DataFrame) -> DataFrame:
-    """``key`` and the columns of ``dim`` for texts (``low``, in lower case) that hold an alias's longest word as a word.
+def _meeting(texts: DataFrame, low: str, dim: DataFrame) -> DataFrame:
+    """Rows of ``texts`` with those of ``dim`` whose alias's longest word stands in ``low`` (in lower case) as a word.
 
     An alias between other characters than word characters has only whole words of the text. One without a word
-    character is compared with every text.
+    character meets the texts that have its first character. If the aliases have ``MOST_WORDS`` different longest words
+    at most, a text's words are compared with them in its row; more are joined.
     """
-    runs = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
-    longest = F.get(F.array_sort(F.transform(runs("alias"), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
-    keyed = dim.withColumn("_word", longest)
-    words = texts.select(key, F.explode(F.array_distinct(runs(low))).alias("_word"))
-    odd = keyed.filter("_word is null").drop("_word")
-    return words.join(keyed, "_word").drop("_word").unionByName(texts.select(key).crossJoin(odd))
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
+    longest = F.get(F.array_sort(F.transform(words("alias"), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    keyed = dim.withColumn("_word", F.coalesce(longest, F.substring("alias", 1, 1)))
+    keys = [r["_word"] for r in keyed.select("_word").distinct().limit(MOST_WORDS + 1).collect()]
+    said = words(low)
+    if any(not re.match(r"\w", k) for k in keys) or len(keys) > MOST_WORDS:
+        said = F.concat(said, F.regexp_extract_all(low, F.lit(r"(?U)[^\w\s]"), F.lit(0)))
+    if len(keys) <= MOST_WORDS:
+        said = F.array_intersect(said, F.lit(keys).cast("array<string>"))
+    return texts.withColumn("_word", F.explode(F.array_distinct(said))).join(keyed, "_word").drop("_word")
 
 
 def match_contained(titles: DataFrame, dim: DataFrame, least_chars: int = 8) -> DataFrame:
     """M2. The longest alias of two words or more within a title, on word bounds."""
     long = dim.filter((F.length("alias") >= least_chars) & F.col("alias").contains(" ")).withColumn("pattern", whole_word(F.col("alias")))
-    hit = _meeting(titles, "title", "title", long).filter(F.expr("contains(title, alias) AND rlike(title, pattern)"))
+    hit = _meeting(titles.select("title"), "title", long).filter(F.expr("contains(title, alias) AND rlike(title, pattern)"))
     best = F.min_by(F.struct("id", "name"), F.struct(-F.length("alias"), "entity_ord", "alias_ord")).alias("m")
     return hit.groupBy("title").agg(best).select("title", "m.id", "m.name", F.lit(0.96).alias("score"))
 
@@ -101,49 +103,83 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(scores)
 
 
-class _Aliases:
-    """Aliases by their words and by length, so that a title meets those only that may be like it."""
+def word_set(text: str) -> Column:
+    """The different words of a text, in order."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")))
 
-    def __init__(self, rows: list[tuple[str, str, str]], least: float):
-        self.rows, self.least = rows, least
-        self.by_word: dict[str, list[int]] = {}
-        for k, (alias, _, _) in enumerate(rows):
-            for word in set(alias.split()):
-                self.by_word.setdefault(word, []).append(k)
-        self.lengths = sorted((len(" ".join(sorted(set(alias.split())))), k) for k, (alias, _, _) in enumerate(rows))
 
-    def near(self, title: str) -> list[int]:
-        """Those with a word in common, and those of a length with which two strings can reach the score at all."""
-        words = set(title.split())
-        n, bound = len(" ".join(sorted(words))), self.least / (2 - self.least)
-        lo, hi = bisect_left(self.lengths, (n * bound, -1)), bisect_right(self.lengths, (n / bound, len(self.rows)))
-        return sorted({k for w in words for k in self.by_word.get(w, ())} | {k for _, k in self.lengths[lo:hi]})
+def _grams(text: Column) -> Column:
+    """Pairs of neighbouring letters of every word, with a space before and after it: the same in any order of the words."""
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: padded.substr(i, F.lit(2))))
 
-    def best(self, title: str) -> tuple[str, str, float] | None:
-        found = (0.0, 0, -1)
-        for k in self.near(title):
-            score, size = token_set_ratio(title, self.rows[k][0]), len(self.rows[k][0])
-            if (score, size) > found[:2]:
-                found = score, size, k
-        return (*self.rows[found[2]][1:], round(found[0], 3)) if found[0] >= self.least else None
 
+def _prefixes(rows: DataFrame, key: str, parts: Column, counts: DataFrame, most: Column) -> DataFrame:
+    """``key, n, part``: the rarest parts of each row, as many as ``most`` (an expression of ``n``, its length) and one."""
+    flat = rows.select(key, "n", F.explode(parts).alias("part")).join(counts, "part")
+    ordered = flat.groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("count", "part"))).alias("parts"))
+    return ordered.select(key, "n", F.explode(F.slice("parts", 1, most + 1)).alias("p")).select(key, "n", F.col("p.part").alias("part"))
 
-def match_fuzzy(titles: DataFrame, dim: DataFrame, least: float = 0.90, most: int = MOST_ALIASES) -> DataFrame:
+
+def candidate_pairs(titles: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
+    """``title, alias``: all pairs whose token-set ratio may reach ``least`` (over 0.5), and some others.
+
+    ``titles`` and ``aliases`` are tables of different strings with a word each. A pair gets there in one of two ways:
+
+    * Its common words make up so much of one of the two that the other's words don't matter, or all of it. So the rarest
+      words of that side, up to the length that may be missing, hold a common word; all words of the other are asked.
+    * The words, common ones first, are alike as strings. Then at most ``2 D + I`` pairs of letters of a string are not in
+      the other, after ``D`` deletions and ``I`` insertions; so both sides' rarest pairs of letters, as many as may be
+      missing and one, have one in common, and the lengths are close.
+    """
+    bound = least / (2 - least)
+    sides = [df.select(c, F.array_join(word_set(c), " ").alias("s")).withColumn("n", F.length("s")) for df, c in ((titles, "title"), (aliases, "alias"))]
+    out = None
+    words = [(df, c, F.split("s", " ")) for df, c in zip(sides, ("title", "alias"))]
+    every = [df.select(c, F.explode(parts).alias("part")) for df, c, parts in words]
+    counts = every[0].select("part").unionAll(every[1].select("part")).groupBy("part").agg(F.count("*").alias("count"))
+    for this in (0, 1):
+        df, c, parts = words[this]
+        # words in order of rarity, until those before are longer than what may be missing
+        flat = df.select(c, "n", F.explode(parts).alias("part")).join(counts, "part")
+        before = F.sum(F.length("part") + 1).over(W.partitionBy(c).orderBy("count", "part").rowsBetween(W.unboundedPreceding, -1))
+        rare = flat.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= (1 - bound) * F.col("n") + 1e-9).select(c, "part")
+        met = rare.join(every[1 - this], "part").select("title", "alias")
+        out = met if out is None else out.unionAll(met)
+    # of a string of n letters, the other of m: 2 D + I = 2 n + m - 3 L, with L >= least (n + m) / 2 and bound n <= m <= n / bound
+    slope = 1 - 1.5 * least
+    missing = F.floor(F.col("n") * (1 + slope + slope * (bound if slope < 0 else 1 / bound)) + 1e-9).cast("int")
+    grams = [df.select(c, "n", "s") for df, c in zip(sides, ("title", "alias"))]
+    counts = grams[0].select("s").unionAll(grams[1].select("s")).select(F.explode(_grams(F.col("s"))).alias("part")).groupBy("part").agg(F.count("*").alias("count"))
+    left, right = (_prefixes(df, c, _grams(F.col("s")), counts, missing) for df, c in zip(grams, ("title", "alias")))
+    # lengths by steps in which they may differ: those of neighbouring steps meet
+    step = F.floor(F.log("n") / log(1 / bound) + 1e-9) if bound < 1 else F.col("n")
+    near = F.explode(F.array(*(step + d for d in (-1, 0, 1)))) if bound < 1 else step
+    left, right = left.withColumnRenamed("n", "_n").withColumn("n", F.col("_n")).withColumn("step", near).drop("n"), right.withColumn("step", step)
+    alike = left.join(right, ["part", "step"]).filter((F.least("_n", "n") + 1e-9) >= bound * F.greatest("_n", "n"))
+    return out.unionAll(alike.select("title", "alias")).distinct()
+
+
+def match_fuzzy(titles: DataFrame, dim: DataFrame, least: float = 0.90) -> DataFrame:
     """M3. The alias most like a title by token-set ratio, of equally like ones the longest, then the first; from ``least`` on.
 
-    Meant for the distinct titles that nothing else matched. At most ``most`` aliases are sent to the tasks; more are an error.
+    Meant for the distinct titles that nothing else matched. Neither titles nor aliases are gathered anywhere: pairs that
+    may be alike meet in joins (``candidate_pairs``), and only these are compared.
     """
-    rows = [tuple(r) for r in dim.orderBy("entity_ord", "alias_ord", "alias", "id").select("alias", "id", "name").limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError(f"more than {most} aliases")
+    if not 0.5 < least <= 1:
+        raise ValueError("least must be over 0.5, and 1 at most")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aliases = _Aliases(rows, least)
-        for batch in batches:
-            found = [(t, *m) for t in batch["title"] if (m := aliases.best(t))]
-            yield pd.DataFrame(found, columns=["title", "id", "name", "score"])
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    return titles.select("title").filter("title is not null").mapInPandas(run, "title string, id string, name string, score double")
+    worded = lambda df, c: df.select(c).filter(F.size(word_set(c)) > 0).distinct()
+    pairs = candidate_pairs(worded(titles, "title"), worded(dim, "alias"), least)
+    alike = pairs.withColumn("score", ratio("title", "alias")).filter(F.col("score") >= least)
+    first = dim.groupBy("alias").agg(F.min(F.struct("entity_ord", "alias_ord", "alias", "id", "name")).alias("e"))
+    order = F.struct((-F.col("score")).alias("s"), (-F.length("alias")).alias("n"), "e")
+    best = alike.join(first, "alias").groupBy("title").agg(F.min(order).alias("m"))
+    return best.select("title", F.col("m.e.id").alias("id"), F.col("m.e.name").alias("name"), F.round(-F.col("m.s"), 3).alias("score"))
 
 
 def match_career(df: DataFrame, title_col: str, dim: DataFrame, markup: bool = True) -> DataFrame:
@@ -180,8 +216,8 @@ def extract_skills(df: DataFrame, id_col: str, text_col: str, dim: DataFrame, de
     if default not in ("required", "preferred", "mentioned"):
         raise ValueError("default must be required, preferred or mentioned")
     texts = df.select(F.col(id_col), extraction_text(text_col, markup).alias("_text")).withColumn("_low", F.lower("_text")).withColumn("_marks", F.translate("_low", ".;", "\n\n"))
-    near = _meeting(texts, id_col, "_low", dim.withColumn("pattern", whole_word(F.col("alias"))))
-    hits = texts.join(near, id_col).filter(F.expr("contains(_low, alias) AND rlike(_low, pattern)"))
+    near = _meeting(texts, "_low", dim.withColumn("pattern", whole_word(F.col("alias"))))
+    hits = near.filter(F.expr("contains(_low, alias) AND rlike(_low, pattern)"))
     # the text is split at the finds; one pass over the parts sums up where each find starts
     size = F.length("alias")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))

@@ -113,7 +113,7 @@ def test_fuzzy_titles(spark, sf):
         assert M.indel_ratio(a, b) == pytest.approx(ratio(a, b))
     assert SequenceMatcher(None, "abcd", "abcd").ratio() == M.indel_ratio("abcd", "abcd")
     with pytest.raises(ValueError):
-        M.match_fuzzy(dim.select(F.col("alias").alias("title")), dim, most=2)
+        M.match_fuzzy(dim.select(F.col("alias").alias("title")), dim, least=0.4)
 
 
 def test_career_of_titles_and_postings(spark, sf):
