@@ -122,24 +122,27 @@ def experience_years(description, markup: bool = True) -> Column:
     return F.array_min(F.transform(found, lambda x: x.cast("double")))
 
 
-POSTING_JSON = (
-    "baseSalary struct<currency string, value struct<minValue double, maxValue double, value double, unitText string>>, "
-    "jobLocation array<struct<address struct<streetAddress string, addressLocality string, addressRegion string, addressCountry string>>>"
-)
+ADDRESS = ("streetAddress", "addressLocality", "addressRegion", "addressCountry")
 
 
 def posting_salary_location(json) -> dict[str, Column]:
-    """N8. Pay and places of an embedded posting; a single place may stand for a list of one."""
-    text = F.regexp_replace(text_or_empty(json), r'("jobLocation"\s*:\s*)(\{(?:[^{}]|\{[^{}]*\})*\})', "$1[$2]")
-    p = F.from_json(text, POSTING_JSON)
-    value = p["baseSalary"]["value"]
-    place = lambda x: F.array_join(F.array_compact(F.array(*(x["address"][k] for k in ("streetAddress", "addressLocality", "addressRegion", "addressCountry")))), ", ")
-    places = F.filter(F.array_distinct(F.transform(p["jobLocation"], place)), lambda x: x != "")
+    """N8. Pay and places of an embedded posting; a single place may stand for a list of one, a text or an object with a
+    name for a part of an address or the whole of it. Broken JSON, and values of any other shape, give nulls.
+    """
+    posting = F.try_parse_json(text_or_empty(json))
+    got = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    # objects and lists read as text would give their JSON
+    plain = lambda v, path: F.when(~F.schema_of_variant(got(v, path, "variant")).rlike("^(OBJECT|ARRAY)"), F.nullif(F.trim(got(v, path)), F.lit("")))
+    part = lambda x, k: F.coalesce(plain(x, f"$.address.{k}"), plain(x, f"$.address.{k}.name"))
+    place = lambda x: F.coalesce(plain(x, "$.address"), F.array_join(F.array_compact(F.array(*(part(x, k) for k in ADDRESS))), ", "))
+    listed = F.coalesce(got(posting, "$.jobLocation", "array<variant>"), F.array(got(posting, "$.jobLocation", "variant")))
+    places = F.filter(F.array_distinct(F.transform(F.array_compact(listed), place)), lambda x: x != "")
+    pay = lambda k, kind="double": F.coalesce(got(posting, f"$.baseSalary.value.{k}", kind), got(posting, "$.baseSalary.value.value", kind))
     return {
-        "currency": p["baseSalary"]["currency"],
-        "salary_min": F.coalesce(value["minValue"], value["value"]),
-        "salary_max": F.coalesce(value["maxValue"], value["value"]),
-        "salary_unit": value["unitText"],
+        "currency": plain(posting, "$.baseSalary.currency"),
+        "salary_min": pay("minValue"),
+        "salary_max": pay("maxValue"),
+        "salary_unit": plain(posting, "$.baseSalary.value.unitText"),
         "location": F.nullif(F.array_join(places, " | "), F.lit("")),
     }
 

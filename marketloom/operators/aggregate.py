@@ -177,16 +177,16 @@ def coverage_report(jobs: DataFrame, skills: DataFrame, lifecycle: DataFrame, co
 
 
 def tag_frequency(tags: DataFrame, skills: DataFrame) -> DataFrame:
-    """A7. How often each raw tag occurs, its place by that, and the skills it maps to with their categories.
+    """A7. How often each raw tag occurs, and the skills it maps to: ids in order, their names beside them, and categories.
 
     ``skills``: ``tag, skill_id, skill_name, category`` (null: ``unspecified``).
     """
     counts = tags.filter(F.col("tag").isNotNull() & (F.col("tag") != "")).groupBy("tag").agg(F.count("*").alias("n"))
-    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " | ")
-    known = skills.groupBy("tag").agg(
-        listed("skill_id").alias("skill_ids"), listed("skill_name").alias("skill_names"), listed(F.coalesce("category", F.lit("unspecified"))).alias("skill_categories")
-    )
-    return counts.join(known, "tag", "left").withColumn("is_mapped", F.col("skill_ids").isNotNull())
+    named = skills.groupBy("tag", "skill_id").agg(F.min("skill_name").alias("skill_name"), F.collect_set(F.coalesce("category", F.lit("unspecified"))).alias("categories"))
+    known = named.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("skill_id", "skill_name"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("categories")))).alias("c"))
+    listed = lambda field: F.array_join(F.transform("s", lambda x: F.coalesce(x[field], F.lit(""))), " | ")
+    shown = known.select("tag", listed("skill_id").alias("skill_ids"), listed("skill_name").alias("skill_names"), F.array_join("c", " | ").alias("skill_categories"))
+    return counts.join(shown, "tag", "left").withColumn("is_mapped", F.col("skill_ids").isNotNull())
 
 
 def taxonomy_gaps(jobs: DataFrame, tag_map: DataFrame, least_confidence: float = 0.9) -> DataFrame:

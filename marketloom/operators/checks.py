@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +147,24 @@ def visible(conditions: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.groupBy("submission_id", "question_id").agg(F.min(F.coalesce(holds, F.lit(False))).alias("is_visible"))
 
 
+def visible_chained(conditions: DataFrame, answers: DataFrame) -> DataFrame:
+    """F6. As ``visible``, but an answer to a hidden question counts as none, so that hidden questions hide others.
+
+    A question is visible if its own conditions hold and those of all questions that it depends on, directly or not. The
+    graph is that of the questionnaire, whose conditions are some dozens. Questions that depend on one another in a circle
+    are visible if all their conditions hold.
+    """
+    above = conditions.select("question_id", F.col("depends_on").alias("by")).distinct()
+    closure, known = above, -1
+    while (n := closure.count()) > known:
+        known = n
+        further = closure.join(above.select(F.col("question_id").alias("by"), F.col("by").alias("next")), "by").select("question_id", F.col("next").alias("by"))
+        closure = closure.unionByName(further).distinct()
+    whole = closure.unionByName(conditions.select("question_id", F.col("question_id").alias("by"))).distinct()
+    own = visible(conditions, answers).withColumnRenamed("question_id", "by")
+    return own.join(whole, "by").groupBy("submission_id", "question_id").agg(F.min("is_visible").alias("is_visible"))
+
+
 def submission(answers: DataFrame, questions: DataFrame, visibility: DataFrame) -> DataFrame:
     """V11. Answers to unknown questions, answers to hidden ones, and required visible ones without an answer."""
     key = F.concat_ws("/", "submission_id", "question_id")
@@ -166,6 +186,32 @@ def report_reconciled(report: DataFrame, total: str, parts: list[str], rates: li
     return out
 
 
+def report_differences(left: DataFrame, right: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """V12. Where two reports of one row each differ: ``rule, key, detail``, the values as ``left/right``.
+
+    ``fields`` maps columns of ``left`` to those of ``right``. Maps are compared entry by entry (``key`` is then the entry's);
+    null equals null, numbers are equal up to 1e-9. A report without its row differs in every field.
+    """
+    pairs = [(F.col(f"l.{a}").alias(f"_l{i}"), F.col(f"r.{b}").alias(f"_r{i}")) for i, (a, b) in enumerate(fields.items())]
+    one = left.limit(1).withColumn("_one", F.lit(1)).alias("l")
+    both = one.join(right.limit(1).withColumn("_one", F.lit(1)).alias("r"), "_one", "full_outer").select(*(c for pair in pairs for c in pair))  # one row beside one row
+    out = None
+    for i, name in enumerate(fields):
+        a, b, kinds = F.col(f"_l{i}"), F.col(f"_r{i}"), dict(both.dtypes)
+        if kinds[f"_l{i}"].startswith("map"):
+            keys = F.array_union(F.coalesce(F.map_keys(a), F.array().cast("array<string>")), F.coalesce(F.map_keys(b), F.array().cast("array<string>")))
+            rows = both.select(F.explode(keys).alias("key"), a.alias("a"), b.alias("b")).select("key", F.try_element_at("a", F.col("key")).alias("a"), F.try_element_at("b", F.col("key")).alias("b"))
+        else:
+            rows = both.select(F.lit("").alias("key"), a.alias("a"), b.alias("b"))
+        a, b = F.col("a"), F.col("b")
+        number = all(re.match("int|bigint|double|float|decimal", k) for k in (dict(rows.dtypes)["a"], dict(rows.dtypes)["b"]))
+        same = a.eqNullSafe(b) | F.coalesce(F.abs(a.cast("double") - b.cast("double")) <= 1e-9, F.lit(False)) if number else a.cast("string").eqNullSafe(b.cast("string"))
+        shown = F.concat_ws("/", *(F.coalesce(c.cast("string"), F.lit("null")) for c in (a, b)))
+        found = violation(rows.filter(~same), f"differs:{name}", F.col("key"), shown)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # What generated text must not say.
 UNSAFE = [
     "không phù hợp với nghề", "em quá kém", "em kém", "vô dụng", "chắc chắn sẽ thành công", "chắc chắn trở thành",

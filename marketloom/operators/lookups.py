@@ -107,3 +107,37 @@ def sample_balanced(df: DataFrame, group: str, id_col: str, k: int, seed: int) -
     sizes = ranked.groupBy(group).agg(F.count("*").alias("_n"))
     short = F.when(F.col("_n") < k, F.raise_error(F.concat(F.lit("too few rows: "), F.col(group).cast("string"))).cast("boolean")).otherwise(True)
     return ranked.join(sizes, group).filter(short).drop("_n")  # one row a group, at most k of each
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str], cut=None) -> DataFrame:
+    """Q13. The rows that stay when they are taken in ``order`` and a row goes if one *kept* before shares any of ``keys``.
+
+    No single window gives this: a row that goes for one key hides nothing by its other ones. In each round the rows that
+    come first in all their keys' groups are kept, and rows that share a key with one of them go; the first of all that are
+    left is always kept, so it ends. Rounds are as many as the longest chain of rows of which each hides the next.
+    Rows equal in ``order`` and ``keys`` count once; other ties in ``order`` are settled by ``keys``. A null key is shared
+    with nothing. ``cut`` writes a round's rows and reads them back, so that plans stay short.
+    """
+    if cut is None:
+        from marketloom.sources.versions import work_dir
+
+        def cut(rows: DataFrame) -> DataFrame:
+            path = work_dir(df.sparkSession, "keep-first")
+            rows.write.parquet(path)
+            return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+    place = F.struct(*order, *keys)
+    left = cut(df.select(*order, *keys).distinct().withColumn("_place", place))
+    kept = None
+    while not left.isEmpty():
+        first = F.lit(True)
+        for k in keys:
+            first = first & (F.col(k).isNull() | (F.min("_place").over(W.partitionBy(k)) == F.col("_place")))
+        now = cut(left.filter(F.lit(True)).withColumn("_first", first))
+        chosen = now.filter("_first").drop("_first")
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        left = now.filter("not _first").drop("_first")
+        for k in keys:
+            left = left.join(chosen.select(k).filter(F.col(k).isNotNull()).distinct(), k, "left_anti")
+        left = cut(left)
+    return (left if kept is None else kept).select(*order, *keys)

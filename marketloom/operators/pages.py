@@ -137,18 +137,43 @@ def score_card(text: Column) -> Column:
     return F.when(F.length(text).between(40, 3000), points)
 
 
+# Addresses of postings, and of category pages that look like them.
+JOB_PATH = r"(?i)^/viec-lam/.+-\d+\.html$"
+CATEGORY_PATH = "/viec-lam/danh-muc-"
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+
+
+def job_path(href: str, path: str = JOB_PATH, hosts: tuple[str, ...] = ()) -> str | None:
+    """The path of a posting's address, without query and fragment; None for any other address.
+
+    Absolute addresses count if their host is one of ``hosts``, or whatever it is if none are given.
+    """
+    m = re.match(r"(?:(?:https?:)?//([^/?#]+))?(/[^?#]*)", href.strip(), re.IGNORECASE)
+    if not m or m[1] and hosts and m[1].lower() not in hosts:
+        return None
+    bare = m[2].rstrip("/")
+    return bare if not bare.lower().startswith(CATEGORY_PATH) and re.match(path, bare) else None
+
+
 class _Cards(HTMLParser):
-    """Each link's own text, and the texts of all elements around it that hold no other link."""
+    """The tree of a page's elements: the own text of each posting's link, and the texts of all elements around it.
+
+    An element is a card of a posting if no other posting is linked within it; links that lead elsewhere, as to a company
+    or from a logo, don't matter.
+    """
 
-    def __init__(self):
+    def __init__(self, path: str, hosts: tuple[str, ...]):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, list[str], list[str]]] = []
+        self.path, self.hosts = path, hosts
+        self.stack: list[tuple[str, list[str], set[str], str | None]] = []
         self.cards: list[tuple[str, str]] = []
         self.titles: dict[str, str] = {}
 
     def handle_starttag(self, tag, attrs):
-        if tag not in ("br", "img", "meta", "link", "input", "hr"):
-            self.stack.append((tag, [], [v for k, v in attrs if tag == "a" and k == "href" and v]))
+        if tag not in VOID:
+            href = next((v for k, v in attrs if k == "href" and v), None) if tag == "a" else None
+            job = job_path(href, self.path, self.hosts) if href else None
+            self.stack.append((tag, [], {job} if job else set(), job))
 
     def handle_data(self, data):
         if self.stack and self.stack[-1][0] not in ("script", "style") and data.strip():
@@ -158,16 +183,16 @@ class _Cards(HTMLParser):
         if not any(s[0] == tag for s in self.stack):
             return
         while self.stack:
-            name, parts, links = self.stack.pop()
-            once = list(dict.fromkeys(links))
-            if name == "a" and once and parts:
-                self.titles.setdefault(once[0], " ".join(parts))
-            text = "\n".join(parts)
-            if len(once) == 1 and name not in ("body", "html") and len(text) <= 3000:
-                self.cards.append((once[0], text))
+            name, parts, jobs, own = self.stack.pop()
+            if own and parts:
+                self.titles.setdefault(own, " ".join(parts))
+            if len(jobs) == 1 and name not in ("body", "html"):
+                text = "\n".join(parts)
+                if len(text) <= 3000:
+                    self.cards.append((*jobs, text))
             if self.stack:
                 self.stack[-1][1].extend(parts)
-                self.stack[-1][2].extend(links)
+                self.stack[-1][2].update(jobs)
             if name == tag:
                 break
 
@@ -193,10 +218,11 @@ def _card_fields(lines: Column, title: Column) -> list[Column]:
     return [pay, deadline, place, lambda p, d, w: company(named(p, d, w))]
 
 
-def parse_listing(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def parse_listing(df: DataFrame, id_col: str, html_col: str, path: str = JOB_PATH, hosts: tuple[str, ...] = ()) -> DataFrame:
     """P3. One row for each posting linked from a listing page: its best card, cut into lines, and fields picked from them.
 
-    A card is an element around a link that holds no other link. The best one has most points, then most characters.
+    A card is an element around a posting's link that holds no link to another posting. The best one has most points,
+    then most characters. Links to postings are those whose path is like ``path`` (``job_path``); ``href`` is that path.
     ``job_title_raw`` is the link's own text. Pay comes from a line other than the title; place from a line that names
     one, else from the lines between pay and deadline; ``skills_raw`` from the lines after the deadline, at commas.
     """
@@ -206,7 +232,7 @@ def parse_listing(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
         for batch in batches:
             rows = []
             for i, page in zip(batch["id"], batch["page"]):
-                parser = _Cards()
+                parser = _Cards(path, hosts)
                 parser.feed(page or "")
                 rows += [(i, k, href, parser.titles.get(href), text) for k, (href, text) in enumerate(parser.cards)]
             yield pd.DataFrame(rows, columns=["id", "pos", "href", "title", "card"])

@@ -440,6 +440,35 @@ def _(r):
     return P.parse_listing(r.table("pages"), "page_id", "html")
 
 
+#: Every page as a listing of two cards and a banner: links to a category, to companies and from logos beside those to postings.
+LISTING = r"""
+select page_id, '<html><body><ul><li><a href="/viec-lam/danh-muc-9.html">All jobs</a></li></ul><section>'
+  || '<div class="card"><a class="logo" href="/cong-ty/c-' || page_id || '.html"><img src="x.png"></a><h3><a href="https://viecoi.vn/viec-lam/viec-' || page_id || '.html?utm_source=x">Posting ' || page_id || ' at ' || host || '</a></h3>'
+  || '<div><a href="/cong-ty/c-' || page_id || '.html">Cty ' || host || '</a></div><p>' || (5 + length(host)) || ' - ' || (9 + length(host)) || ' triệu</p><p>Hà Nội</p><p>HOT</p><p>12/03/2026</p><p>' || tags || '</p><a href="/viec-lam/viec-' || page_id || '.html#apply">Nộp đơn</a></div>'
+  || '<div class="card"><h3><a href="/viec-lam/other-' || (page_id + 1000000) || '.html">Other ' || page_id || '</a></h3><div>Nhóm ' || host || ' (<a href="/cong-ty/all">all</a>)</div><p>Thỏa thuận</p><p>Tây Nguyên</p><p>1/2/2026</p><p>Excel...</p></div></section></body></html>' as html
+from (select page_id, split_part(split_part(url, '://', 2), '/', 1) as host, array_to_string(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), ', ') as tags from pages) p
+"""
+
+
+@query("P3_parse_listing_cards", r"""
+with p as (select page_id, split_part(split_part(url, '://', 2), '/', 1) as host, array_to_string(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), ', ') as tags from pages),
+t as (select *, list_filter(list_transform(string_split(replace(replace(replace(tags, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ','), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) between 2 and 80 and lower(x) not in ('gấp', 'hot', 'mới', 'hà nội')) as ts from p)
+select page_id, '/viec-lam/viec-' || page_id || '.html' as href, 'Posting ' || page_id || ' at ' || host as job_title_raw, 'Cty ' || host as company_name_raw, (5 + length(host)) || ' - ' || (9 + length(host)) || ' triệu' as salary_raw, 'Hà Nội' as location_raw, '12/03/2026' as deadline_raw,
+       cast(to_json(list_filter(ts, lambda x, i: list_position(list_transform(ts, lambda y: lower(y)), lower(x)) = i)) as varchar) as skills_raw, 14 + cast(contains(tags, ',') as int) as points from t
+union all
+select page_id, '/viec-lam/other-' || (page_id + 1000000) || '.html', 'Other ' || page_id, 'Nhóm ' || host || ' (', 'Thỏa thuận', 'Tây Nguyên', '1/2/2026', '["Excel..."]', 9 from t""")
+def _(r):
+    listing = r.table("pages").select(
+        "page_id",
+        F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"),
+        F.array_join(F.regexp_extract_all("html", F.lit(r'<li><a href="[^"]*">([^<]*)</a>'), F.lit(1)), ", ").alias("tags"),
+    )
+    listing.createOrReplaceTempView("listing_parts")
+    body = LISTING[: LISTING.index("from (select page_id")] + "from listing_parts"
+    found = P.parse_listing(r.spark.sql(body), "page_id", "html", hosts=("viecoi.vn",))
+    return found.select("page_id", "href", "job_title_raw", "company_name_raw", "salary_raw", "location_raw", "deadline_raw", "skills_raw", "points")
+
+
 EMBEDDED = """
 select page_id, case when url like '%/en/%' then '<script type="application/ld+json">{broken</script><script type="application/ld+json">{"@context":"x","@graph":[{"a":{"b":[{"@type":["Thing","JobPosting"],"title":"Job ' || page_id || '","description":"D"}]}}]}</script>'
                      when url like '%utm_source%' then '<script type="application/ld+json">[{"@type":"Organization"},{"@type":"JobPosting","title":"Top ' || page_id || '"}]</script>' else '' end || html as html from pages
@@ -523,6 +552,19 @@ def _(r):
     return M.match_career(r["posts"].select("doc_id", "title"), "title", _dim(r), markup=False)
 
 
+#: Titles of documents labelled good, and beginnings of the others': copies equal them, others hold them, near copies are like them.
+LABELLED_TITLES = f"""
+select title as id, title as name, array(title) as aliases, cast(min(doc_id) as int) as entity_ord from ({POSTS}) p where doc_id in (select doc_id from labels where quality = 1) group by title
+union all select alias, alias, array(alias), cast(1000000 + min(doc_id) as int) from (select doc_id, split_part(title, ' ', 1) || ' ' || split_part(title, ' ', 2) as alias from ({POSTS}) p where doc_id in (select doc_id from labels where quality = 0)) a group by alias
+"""
+
+
+@query("M4_match_career_tiers")
+def _(r):
+    found = M.match_career(r["posts"].select("doc_id", "title"), "title", M.alias_dim(r.sql(LABELLED_TITLES)), markup=False)
+    return found.select("doc_id", F.md5(F.col("career_id").cast("binary")).alias("career_md5"), "career_confidence")
+
+
 @query("M5_extract_skills", named("doc_id", "t", "(select doc_id, lower(text) as t from documents) d"))
 def _(r):
     return M.extract_skills(r.table("documents"), "doc_id", "text", _dim(r), markup=False).select("doc_id", "skill_id")
@@ -1200,7 +1242,7 @@ def _(r):
 
 @query("C8_career_tasks", """
 with t as (select c_mktsegment as career_id, 0 as tier, c_custkey as ord, 'Call ' || c_nationkey as task from customer where c_custkey % 2 = 0 union all select c_mktsegment, case when c_custkey % 3 = 0 then 1 else 2 end, c_custkey, 'call: ' || c_nationkey % 30 from customer),
-k as (select career_id, min(struct_pack(tier := tier, ord := ord, task := task)) as m from t group by career_id, regexp_replace(lower(task), '[^a-z0-9]+', '', 'g'))
+k as (select career_id, min(struct_pack(tier := tier, ord := ord, task := task)) as m from t group by career_id, trim(regexp_replace(lower(task), '[^\\p{L}\\p{N}_]+', ' ', 'g')))
 select career_id, row_number() over (partition by career_id order by m) as rank, m.task as task, case when m.tier = 0 then 'posting' else 'occupation' end as origin from k qualify rank <= 10""")
 def _(r):
     a = r.sql("select c_mktsegment as career_id, c_custkey as ord, 'Call ' || c_nationkey as task from customer where c_custkey % 2 = 0")
@@ -1297,3 +1339,6 @@ def _(r):
 def _(r):
     files = r.sql("select doc_id, cast(text as binary) as content, case lang when 'de' then 'a.pdf' else 'a.TXT' end as name from documents")
     return P.extract_documents(files, "doc_id", "content", "name").select("doc_id", "status", "error", "character_count")
+
+
+from marketloom.plans import landing, questionnaires  # noqa: E402, F401  they register their queries too

@@ -37,28 +37,49 @@ def read_snapshot(spark: SparkSession, path: str, required: list[str], schema: s
     return need_columns(reader.parquet(path), required)
 
 
+def landing(spark: SparkSession, path: str, schema: str, required: list[str], multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """JSON files under a fixed schema: the good rows, and the bad ones as ``file, reason, record``.
+
+    A row is bad if its line (with ``multi_line`` its whole file) is no JSON of the schema, or if a required column is null or
+    blank. A file may hold objects or arrays of them. Columns that the schema does not name are left out.
+    """
+    reader = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").option("multiLine", multi_line)
+    rows = reader.json(path)
+    names = [c for c in rows.columns if c != "_corrupt"]
+    lacking = F.array_compact(F.array(*(F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(c)) for c in required)))
+    told = rows.select(*names, "_corrupt", lacking.alias("_lacking"), F.col("_metadata.file_name").alias("_file"))
+    broken, short = F.col("_corrupt").isNotNull(), F.size("_lacking") > 0
+    reason = F.when(broken, "not JSON of this schema").otherwise(F.concat(F.lit("missing: "), F.array_join("_lacking", ", ")))
+    record = F.coalesce("_corrupt", F.to_json(F.struct(*names)))
+    return told.filter(~broken & ~short).select(*names), told.filter(broken | short).select(F.col("_file").alias("file"), reason.alias("reason"), record.alias("record"))
+
+
 def read_raw_postings(spark: SparkSession, path: str) -> DataFrame:
     """S2. JSON arrays of raw postings."""
     return spark.read.schema(RAW_POSTING).option("multiLine", True).json(path)
 
 
-BOARD = "jobs array<string>"
-BOARD_JOB = "id string, title string, absolute_url string, content string, updated_at string, location string, departments array<struct<name string>>"
+def land_raw_postings(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S2. Raw postings, and the rows that are none: broken ones, and those without source, id or title."""
+    return landing(spark, path, RAW_POSTING, ["source", "source_job_id", "title_raw"], multi_line)
 
 
 def flatten_board_payload(df: DataFrame, payload: str, source: str = "board_api") -> DataFrame:
     """S3. One row for each job of a board's payload, the first of equal ids.
 
     ``df`` has ``source_id``, ``fetched_at`` and the payload as JSON text. A location is an object with a name, or a
-    text; departments are joined; the job's JSON is hashed.
+    text; the names of departments (objects or texts) are joined; the job's JSON, its fields in order, is hashed. Broken
+    payloads, and those without a list of jobs, give no rows.
     """
-    raw = df.select("source_id", "fetched_at", F.posexplode(F.from_json(F.col(payload), BOARD)["jobs"]).alias("pos", "raw"))
-    j = F.from_json("raw", BOARD_JOB)
-    place = F.coalesce(F.get_json_object("raw", "$.location.name"), F.get_json_object("raw", "$.location"))
-    names = F.filter(F.transform(j["departments"], lambda d: F.trim(d["name"])), lambda x: x != "")
+    raw = df.select("source_id", "fetched_at", F.posexplode(F.try_variant_get(F.try_parse_json(F.col(payload)), "$.jobs", "array<variant>")).alias("pos", "job"))
+    got = lambda path, kind="string", of="job": F.try_variant_get(F.col(of) if isinstance(of, str) else of, path, kind)
+    text = lambda path, of="job": F.when(~F.schema_of_variant(got(path, "variant", of)).rlike("^(OBJECT|ARRAY)"), got(path, "string", of))
+    place = F.coalesce(text("$.location.name"), text("$.location"))
+    names = F.transform(got("$.departments", "array<variant>"), lambda d: F.trim(F.coalesce(text("$.name", d), text("$", d))))
     rows = raw.select(
-        F.lit(source).alias("source"), "source_id", j["id"].alias("source_job_id"), j["absolute_url"].alias("source_url"), j["title"].alias("title_raw"), j["content"].alias("description_raw"),
-        place.alias("location_raw"), F.array_join(names, " | ").alias("industry_raw"), j["updated_at"].alias("source_updated_at"), "fetched_at", F.sha2(F.col("raw").cast("binary"), 256).alias("content_hash_sha256"), "pos",
+        F.lit(source).alias("source"), "source_id", text("$.id").alias("source_job_id"), text("$.absolute_url").alias("source_url"), text("$.title").alias("title_raw"), text("$.content").alias("description_raw"),
+        place.alias("location_raw"), F.coalesce(F.array_join(F.filter(names, lambda x: x != ""), " | "), F.lit("")).alias("industry_raw"), text("$.updated_at").alias("source_updated_at"), "fetched_at",
+        F.sha2(F.to_json("job").cast("binary"), 256).alias("content_hash_sha256"), "pos",
     )
     rank = F.row_number().over(W.partitionBy("source", "source_id", "source_job_id").orderBy("fetched_at", "pos"))
     return rows.withColumn("_r", rank).filter("_r = 1").drop("_r", "pos")
@@ -69,6 +90,16 @@ def read_reference_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(f"row array<struct<{REFERENCE[kind].replace(' string', ': string').replace(' double', ': double')}>>").option("multiLine", True).json(path).select(F.inline("row"))
 
 
+def land_reference_rows(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """S4. Rows of reference files ``{"row": [...]}``; files that are none, and rows without a code."""
+    row = f"row array<struct<{REFERENCE[kind].replace(' string', ': string').replace(' double', ': double')}>>"
+    whole, bad = landing(spark, path, row, ["row"], multi_line=True)
+    rows = whole.select(F.inline("row"))
+    lacking = F.trim(F.coalesce("onetsoc_code", F.lit(""))) == ""
+    short = rows.filter(lacking).select(F.lit(None).cast("string").alias("file"), F.lit("missing: onetsoc_code").alias("reason"), F.to_json(F.struct("*")).alias("record"))
+    return rows.filter(~lacking), bad.unionByName(short)
+
+
 def read_taxonomy(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """S5. ``id, name, aliases, entity_ord, taxonomy_version`` of the taxonomy's skills, careers or locations."""
     id_, name = {"skills": ("skill_id", "canonical_name"), "careers": ("career_id", "canonical_name"), "locations": ("province", "province")}[kind]
