@@ -20,13 +20,17 @@ from math import gcd
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import materialise
+
 BLOCK_ROWS = 16
 #: Rows that are numbered by one task, about.
 BUCKET_ROWS = 65_536
+#: A bucket of so many times that is dealt out again, row by row: it holds rows without an id, or of one id.
+HOT_BUCKET = 4
 NO_SOURCE = "(none)"
 #: Parts of the mix of the registered query and of the pipeline; sources not named have one part.
 PARTS = {"src0": 6, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
@@ -135,6 +139,27 @@ class Schedule:
         return self.base[at] + (number - self.first[at]) * self.length[at] + self.slot[run] + among - self.rank[run]
 
 
+def _weights(spark: SparkSession, parts: Mapping[str, int], common: int) -> DataFrame:
+    """``_source, _named``: one row for each source that has a weight of its own."""
+    rows = pd.DataFrame({"_source": list(parts), "_named": [p // common for p in parts.values()]})
+    return spark.createDataFrame(rows, "_source string, _named long")
+
+
+def _ranked(sources: DataFrame, group: list[str], order: list[Column], buckets: int, name: str) -> DataFrame:
+    """``name``: the place of each source in its group, in ``order``, then in that of hashes.
+
+    Sources are numbered in hash buckets with offsets, so that a group of any size is no task's alone. What stands in
+    ``order`` takes few values.
+    """
+    ordered = sources.withColumns({f"_o{i}": c for i, c in enumerate(order)}).withColumn("_b", F.pmod(F.xxhash64("_source"), F.lit(buckets)))
+    keys = [*group, *(f"_o{i}" for i in range(len(order))), "_b"]
+    sizes = ordered.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*group).orderBy(*keys[len(group) :]).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.row_number().over(W.partitionBy(*keys).orderBy("_source")) - 1
+    return ordered.withColumn("_i", number).join(offsets, keys).withColumn(name, F.col("_before") + F.col("_i")).drop(*keys[len(group) :], "_before", "_i")
+
+
 def mix_sources(
     docs: DataFrame,
     parts: Mapping[str, int],
@@ -148,35 +173,43 @@ def mix_sources(
     gives the stream. Blocks are filled in the order of hashed ids. ``parts`` holds positive whole weights; sources
     not named there get ``default_parts``. Rows without a source form one of their own (``(none)``). Rows of equal or
     null ids are numbered one after the other; an empty table gives no rows. Columns of ``docs`` named as the new ones
-    are replaced. There may be any number of sources.
+    are replaced, all others stay as they are, whatever their names. The named weights are a table that is joined; sources
+    that are not named may be any number.
 
-    A source's rows are numbered in hash buckets with offsets, more of them the more rows there are, so that none is
-    handled by one task.
+    Rows and sources are numbered in hash buckets with offsets, more of them the more there are, so that none is handled
+    by one task. Where a bucket is filled by rows without an id or of one id, all rows are written with a number of their
+    own first, and buckets are dealt by that too.
     """
     if default_parts < 1 or any(p < 1 or p != int(p) for p in parts.values()):
         raise ValueError("weights are positive whole parts")
     common = reduce(gcd, parts.values(), default_parts)
     spark = docs.sparkSession
-    buckets = max(64, 1 << (docs.count() // bucket_rows).bit_length())
-    keyed = docs.drop("block", "slot", "in_block").withColumns(
-        {
-            "_source": F.coalesce(F.col("source"), F.lit(NO_SOURCE)),
-            "_hash": F.xxhash64("doc_id"),
-            "_bucket": F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).cast("int"),
-        }
-    )
+    rows = docs.count()
+    buckets = max(64, 1 << (rows // bucket_rows).bit_length())
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns if c not in ("block", "slot", "in_block")]
+
+    def dealt(df: DataFrame, row: Column, own: list[str]) -> DataFrame:
+        """The row's columns as one, beside the names used here."""
+        hashed = F.xxhash64("doc_id", *own)
+        bucket = F.pmod(F.xxhash64("doc_id", *own, F.lit("bucket")), F.lit(buckets)).cast("int")
+        return df.select(row.alias("_row"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("_source"), hashed.alias("_hash"), bucket.alias("_bucket"), F.col("doc_id").alias("_id"))
+
+    row = F.struct(*quoted)
+    keyed = dealt(docs, row, [])
     sizes = keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
-    weight = F.lit(default_parts // common).cast("long")
-    for name, p in parts.items():
-        weight = F.when(F.col("_source") == name, F.lit(p // common)).otherwise(weight)
-    sources = sizes.groupBy("_source").agg(F.sum("n").alias("n")).select("_source", F.ceil(F.col("n") / block_rows).alias("_blocks"), weight.alias("_parts"))
-    # one row a source: its place among those of its parts, and among those that have as much left in the same last period
-    whole, rest = F.floor(F.col("_blocks") / F.col("_parts")), F.col("_blocks") % F.col("_parts")
-    rank = F.row_number().over(W.partitionBy("_parts").orderBy(whole.desc(), "_source")) - 1
-    place = F.row_number().over(W.partitionBy(whole, rest).orderBy("_parts", "_source")) - 1
-    ranked = sources.withColumns({"_rank": rank, "_place": place})
+    if (sizes.agg(F.max("n")).first()[0] or 0) > HOT_BUCKET * bucket_rows:
+        numbered = materialise(docs.select(row.alias("_row"), "source", "doc_id", F.monotonically_increasing_id().alias("_own")), "mixing")
+        keyed = dealt(numbered, F.col("_row"), ["_own"])
+        sizes = keyed.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
+    weight = F.coalesce("_named", F.lit(default_parts // common).cast("long"))
+    sources = sizes.groupBy("_source").agg(F.sum("n").alias("n"))
+    sources = sources.join(_weights(spark, parts, common), "_source", "left").select("_source", F.ceil(F.col("n") / block_rows).alias("_blocks"), weight.alias("_parts"))
     alike = sources.groupBy("_parts", "_blocks").agg(F.count("*").alias("n")).collect()
     schedule = spark.sparkContext.broadcast(Schedule({(r["_parts"], r["_blocks"]): r["n"] for r in alike}))
+    # one row a source: its place among those of its parts, and among those that have as much left in the same last period
+    several = 1 << (sum(r["n"] for r in alike) // bucket_rows).bit_length()
+    left = sources.withColumns({"_whole": F.floor(F.col("_blocks") / F.col("_parts")), "_rest": F.col("_blocks") % F.col("_parts")})
+    ranked = _ranked(_ranked(left, ["_parts"], [-F.col("_whole")], several, "_rank"), ["_whole", "_rest"], [F.col("_parts")], several, "_place")
 
     @F.pandas_udf("long")
     def slot(parts: pd.Series, blocks: pd.Series, rank: pd.Series, place: pd.Series, block: pd.Series) -> pd.Series:
@@ -184,12 +217,12 @@ def mix_sources(
 
     before = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("_source", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset")).join(ranked, "_source")
-    number = F.row_number().over(W.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id")) - 1
+    number = F.row_number().over(W.partitionBy("_source", "_bucket").orderBy("_hash", "_id")) - 1
     numbered = keyed.withColumn("_n", number).join(offsets, ["_source", "_bucket"]).withColumn("_n", F.col("_n") + F.col("_offset"))
-    blocked = numbered.withColumn("block", F.floor(F.col("_n") / block_rows))
+    blocked = numbered.withColumn("_block", F.floor(F.col("_n") / block_rows))
     return blocked.select(
-        *[c for c in docs.columns if c not in ("block", "slot", "in_block")],
-        "block",
-        slot("_parts", "_blocks", "_rank", "_place", "block").alias("slot"),
+        *(F.col(f"_row.{c}") for c in quoted),
+        F.col("_block").alias("block"),
+        slot("_parts", "_blocks", "_rank", "_place", "_block").alias("slot"),
         (F.col("_n") % block_rows).cast("int").alias("in_block"),
     )

@@ -88,3 +88,41 @@ def test_odd_rows(spark):
     assert mix_sources(empty_docs(spark), {}).count() == 0
     with pytest.raises(ValueError):
         mix_sources(docs, {"a": 0})
+
+
+def test_thousands_of_named_sources(spark):
+    parts = {f"n{i}": 1 + i % 7 for i in range(5000)}
+    docs = spark.range(12_000).selectExpr("id as doc_id", "'n' || id % 6000 as source")
+    rows = mix_sources(docs, parts, block_rows=1).collect()
+    assert sorted(r.slot for r in rows) == list(range(12_000))
+    # in the first period every source gives as many blocks as it has parts, or both that it has
+    first = sorted(rows, key=lambda r: r.slot)[: sum(min(2, parts.get(f"n{i}", 1)) for i in range(6000))]
+    given = {}
+    for r in first:
+        given[r.source] = given.get(r.source, 0) + 1
+    assert all(n == min(2, parts.get(s, 1)) for s, n in given.items()) and len(given) == 6000
+
+
+def test_many_rows_without_an_id_or_of_one_are_dealt_out(spark):
+    docs = spark.range(60_000).selectExpr("if(id % 3 = 0, id, if(id % 3 = 1, null, 7)) as doc_id", "if(id % 2 = 0, 'a', 'b') as source")
+    mixed = mix_sources(docs, {"a": 2}, block_rows=8, bucket_rows=200).cache()
+    places = [(r.slot, r.in_block) for r in mixed.select("slot", "in_block").collect()]
+    assert len(set(places)) == 60_000 and max(places)[0] == 60_000 // 8 - 1
+    assert mixed.filter("doc_id is null").count() == 20_000
+    plan = mixed._jdf.queryExecution().toString()
+    assert "mixing-" in plan  # rows are numbered in a written table
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_n", "_parts", "_source", "_hash", "_bucket", "_offset", "_blocks", "_rank", "_place", "_row", "_id", "_block", "_own", "a.b", "c`d"]
+    docs = spark.createDataFrame([(i, "s", *range(i, i + len(names))) for i in range(40)], ["doc_id", "source", *names])
+    mixed = mix_sources(docs, {"s": 3})
+    assert mixed.columns == [*docs.columns, "block", "slot", "in_block"]
+    assert {tuple(r)[: len(docs.columns)] for r in mixed.collect()} == {tuple(r) for r in docs.collect()}
+
+
+def test_ranks_of_sources_in_several_buckets(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "'s' || id % 900 as source")
+    rows = mix_sources(docs, {"s1": 3, "s2": 2}, block_rows=2, bucket_rows=64).collect()
+    blocks = {(r.source, r.block): r.slot for r in rows}
+    assert sorted(blocks.values()) == list(range(len(blocks)))
