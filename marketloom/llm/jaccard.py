@@ -18,6 +18,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import materialise
@@ -161,7 +162,7 @@ def _verified(blocks: DataFrame, threshold: Fraction) -> DataFrame:
         seen = _seen(rows, band, split)
         if seen.all():
             return None
-        near = _linked([np.frombuffer(r["ngrams"], np.uint64) for r in rows], split, threshold) & ~seen
+        near = _linked([r["ngrams"] for r in rows], split, threshold) & ~seen
         copies = np.array([r["copies"] for r in rows], np.int64)
         if split:
             links = np.concatenate([near @ copies[split:], near.T @ copies[:split]])
@@ -181,13 +182,19 @@ def _verified(blocks: DataFrame, threshold: Fraction) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                here = (r["band"], r["lo"], r["hi"])
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "lo", "hi")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for at, end in zip([0, *cuts], [*cuts, batch.num_rows]) if batch.num_rows else ():
+                here = tuple(keys[:, at].tolist())
                 if here != key:
                     if rows and (out := decide(rows, *key)) is not None:
                         yield out
                     key, rows = here, []
-                rows.append({k: r[k] for k in ("node", "copies", "mine", "ngrams")})
+                # only these rows become Python objects; their n-grams stay where the batch has them
+                part = batch.slice(at, end - at)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("ngrams")]
+                values = zip(*(part.column(c).to_pylist() for c in ("node", "copies", "mine")), sets, strict=True)
+                rows += [dict(zip(("node", "copies", "mine", "ngrams"), v)) for v in values]
         if rows and (out := decide(rows, *key)) is not None:
             yield out
 
@@ -231,12 +238,16 @@ def near_duplicates(
     own = F.struct("band", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("block"))
     mine = dealt.groupBy("node").agg(F.collect_list(own).alias("mine"))  # as many as bands at most
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     # written first, so that the size of its ids is known: Spark broadcasts them if they are few, and the texts that no bucket
     # holds are not shuffled; if they are many, both joins share one shuffle of the texts
-    asked = materialise(mine.join(classes.select("node", "copies", F.col("head.doc_id").alias("doc_id")), "node"), "asked")
-    held = texts.join(asked.select("doc_id"), "doc_id", "left_semi")
-    sets = _sets(held.join(asked.hint("merge"), "doc_id").select("text", "node", "copies", "mine"), n)
+    asked = materialise(mine.join(classes.select("node", "copies", "head.*"), "node"), "asked")
+    key = ["doc_id", "text_hash"]
+    held = texts.join(asked.select(key), key, "left_semi").join(asked.hint("merge"), key)
+    # rows that repeat id and text are one, as they come sorted by both out of the join
+    once = held.withColumn("_again", F.row_number().over(W.partitionBy(key).orderBy(key))).filter("_again = 1")
+    sets = _sets(once.select("text", "node", "copies", "mine"), n)
     placed = sets.select("node", "copies", "mine", "ngrams", F.explode("mine").alias("at"))
     pairs = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("at.nb") - 1))).select(
         "at.band", F.least("at.block", "with").alias("lo"), F.greatest("at.block", "with").alias("hi"), "node", "copies", "mine", "ngrams"

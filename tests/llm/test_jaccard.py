@@ -111,3 +111,14 @@ def test_odd_rows(spark):
     assert all(r.group_id is None and r.n_links == 0 for r in rows if r.doc_id is None)
     assert near_duplicates(empty_docs(spark)).count() == 0
     assert near_duplicates(odd_docs(spark), threshold=Fraction(1, 2)).count() == len(rows)
+
+
+def test_many_texts_and_repeated_rows_under_one_id(spark):
+    """Near copies that share an id are told apart by their texts; rows that repeat both are one set, and copies of each other."""
+    common = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, f"{common} tail{k}") for k in range(40)] * 3 + [(8, f"{common} tail0"), (9, "another text of some six words")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    near = [r for r in found if r["doc_id"] != 9]
+    assert len(found) == len(rows) and {r["n_links"] for r in near} == {120} and {r["group_id"] for r in near} == {7}
+    assert len({r["text_hash"] for r in near if r["stays"]}) == 1
+    assert [(r["n_links"], r["stays"]) for r in found if r["doc_id"] == 9] == [(0, True)]
