@@ -23,17 +23,26 @@ def any_of(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words))
 
 
+#: So many first characters of a location's alias are looked up in a text.
+KEY_CHARS = 3
+
+
 def province(df: DataFrame, text_col: str, locations: DataFrame, out: str = "province", markup: bool = True) -> DataFrame:
     """N1. The first location, in the taxonomy's order, one of whose aliases is in the text.
 
-    ``locations`` is an alias table (``name, alias, entity_ord, alias_ord``) of one taxonomy, a few hundred rows.
-    Distinct texts are matched, not rows.
+    ``locations`` is an alias table (``name, alias, entity_ord, alias_ord``) of one taxonomy. Distinct texts are matched,
+    not rows; a text meets the aliases that begin with characters in a row of it, in a join on these, and no others.
     """
     key = match_text(text_col, markup)
     keyed = df.withColumn("_loc", key)
     distinct = keyed.select("_loc").distinct()
-    aliases = locations.filter("alias <> ''").select("name", "alias", "entity_ord", "alias_ord")
-    found = distinct.join(aliases, F.col("_loc").contains(F.col("alias"))).groupBy("_loc")
+    size = F.least(F.length("alias"), F.lit(KEY_CHARS))
+    aliases = locations.filter("alias <> ''").select("name", "alias", "entity_ord", "alias_ord", F.expr(f"substring(alias, 1, {KEY_CHARS})").alias("_gram"))
+    sizes = sorted(r["n"] for r in aliases.select(size.alias("n")).distinct().collect())  # KEY_CHARS numbers at most
+    rows = lambda n: F.when(F.length("_loc") >= n, F.transform(F.sequence(F.lit(1), F.length("_loc") - n + 1), lambda i: F.col("_loc").substr(i, F.lit(n))))
+    grams = F.flatten(F.array_compact(F.array(*map(rows, sizes)))) if sizes else F.array().cast("array<string>")
+    met = distinct.select("_loc", F.explode(F.array_distinct(grams)).alias("_gram")).join(aliases, "_gram")
+    found = met.filter(F.col("_loc").contains(F.col("alias"))).groupBy("_loc")
     best = found.agg(F.min_by("name", F.struct("entity_ord", "alias_ord")).alias(out))
     return keyed.join(best, "_loc", "left").drop("_loc")
 
@@ -113,6 +122,7 @@ def posted_date(raw, collected_at, markup: bool = True) -> Column:
 def experience_years(description, markup: bool = True) -> Column:
     """N7. The smallest number of years asked for."""
     text = match_text(description, markup)
+    # fixed values: how years of experience are written
     patterns = [
         r"(?U)(\d+(?:\.\d+)?)\s*\+?\s*(?:years?|yrs?)\b",
         r"(?U)(?:at least|minimum|min)\s*(\d+(?:\.\d+)?)\s*(?:years?|yrs?)\b",

@@ -177,15 +177,18 @@ def document_metadata(c: str | Column, preview_lines: int = 20) -> dict[str, Col
     }
 
 
-def canonical_job_url(c: str | Column, base: str, hosts: list[str], category: str = "/danh-muc-", path: str = r"^/viec-lam/[^?#]*-\d+\.html$") -> Column:
-    """U1. Absolute address of a posting on an allowed host, without query and fragment; else null."""
+def canonical_job_url(c: str | Column, base: str, hosts: list[str] | str, category: str = "/danh-muc-", path: str = r"^/viec-lam/[^?#]*-\d+\.html$") -> Column:
+    """U1. Absolute address of a posting on an allowed host, without query and fragment; else null.
+
+    ``hosts`` is a list, or a pattern that an allowed host (in lower case) matches somewhere.
+    """
     raw = F.trim(text_or_empty(c))
     full = F.when(raw.rlike("^https?://"), raw).when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).otherwise(
         F.concat(F.lit(base.rstrip("/")), F.when(raw.startswith("/"), raw).otherwise(F.concat(F.lit("/"), raw)))
     )
     bare = F.regexp_replace(full, r"[?#].*$", "")
     host, where = F.lower(F.regexp_extract(bare, r"^https?://([^/]+)", 1)), F.regexp_extract(bare, r"^https?://[^/]+(/.*)$", 1)
-    good = host.isin(hosts) & ~F.lower(where).contains(category) & where.rlike(path)
+    good = (host.rlike(hosts) if isinstance(hosts, str) else host.isin(hosts)) & ~F.lower(where).contains(category) & where.rlike(path)
     return F.when((raw != "") & good, F.concat(F.lit("https://"), host, where))
 
 

@@ -50,7 +50,9 @@ def demand_summary(jobs: DataFrame, seq_col: str | None = None, keys: list[str]
     Active jobs only, the last collected row of each posting, ties to the larger ``seq_col`` or else ``job_id``; null
     places and modes are groups of their own.
     """
-    rows = dedup_last(active_jobs(jobs), ["source_id", "source_job_id"], ["collected_at", seq_col or "job_id"]).filter(F.col("career_id").isNotNull())
+    identity, order = ["source_id", "source_job_id"], ["collected_at", seq_col or "job_id"]
+    used = list(dict.fromkeys([*identity, *order, *keys, "career_id", "job_id", "company_name", "salary_disclosed", "salary_mid_vnd", "overall_confidence", "posted_at"]))
+    rows = dedup_last(active_jobs(jobs).select(*used), identity, order).filter(F.col("career_id").isNotNull())
     pay = F.when(F.coalesce("salary_disclosed", F.lit(False)), F.col("salary_mid_vnd"))
     groups = rows.groupBy(*keys).agg(
         F.count("job_id").alias("posting_count"),
@@ -93,8 +95,13 @@ def rate(part: Column, whole: Column) -> Column:
 
 
 def quality_report(jobs: DataFrame, taxonomy_version: str | None = None) -> DataFrame:
-    """A4. One row: sizes, duplicates, mapped fields, pay, sources, and the versions of snapshot and taxonomy."""
+    """A4. One row: sizes, duplicates, mapped fields, pay, sources, and the versions of snapshot and taxonomy.
+
+    Sources are those of ``source`` where jobs have it, else of ``source_id``. Taxonomy versions are read from the jobs where
+    they have them and none is given.
+    """
     identity = F.struct("source_id", "source_job_id")
+    held = F.array_join(F.array_sort(F.collect_set("taxonomy_version")), ",") if taxonomy_version is None and "taxonomy_version" in jobs.columns else F.max(F.lit(taxonomy_version))
     return jobs.agg(
         F.count("*").alias("row_count"),
         F.count_distinct("content_hash").alias("distinct_hashes"),
@@ -104,9 +111,10 @@ def quality_report(jobs: DataFrame, taxonomy_version: str | None = None) -> Data
         F.count_if(F.col("work_mode") == "REMOTE").alias("remote_jobs"),
         F.count_if(F.coalesce("salary_disclosed", F.lit(False))).alias("salary_disclosed"),
         F.round(F.avg("overall_confidence"), 3).alias("mean_confidence"),
-        F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"),
+        F.array_join(F.array_sort(F.collect_set("source" if "source" in jobs.columns else "source_id")), ",").alias("sources"),
         F.array_join(F.array_sort(F.collect_set("snapshot_version")), ",").alias("snapshot_versions"),
-    ).withColumn("taxonomy_version", F.lit(taxonomy_version))
+        held.alias("taxonomy_version"),
+    )
 
 
 def coverage(jobs: DataFrame, skills: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import block_key
@@ -14,28 +15,21 @@ def with_duplicate_count(df: DataFrame, hash_col: str = "content_hash") -> DataF
     return df.join(counts, df[hash_col].eqNullSafe(counts["_h"]), "left").drop("_h")
 
 
-def _order(c: str) -> list[Column]:
-    """A column as keys of an order in which nulls come last either way."""
-    return [F.col(c).isNull().cast("int"), F.col(c)]
-
-
 def dedup_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """D2, D5. The last row of each key by ``order``, nulls never if there is another, which must end in a unique column.
 
-    The best row is kept while rows are aggregated, so that a key's rows are neither gathered nor sorted.
+    A task passes on one row of each key only, so that a hot key's rows do not meet.
     """
-    by = F.struct(*(x.alias(f"_{i}_{j}") for i, c in enumerate(order) for j, x in enumerate([F.col(c).isNotNull().cast("int"), F.col(c)])))
-    return _best(df, keys, F.max_by(F.struct(*df.columns), by))
+    return _first(df, keys, [F.col(c).desc_nulls_last() for c in order])
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """D4. The first row of each key by ``order``, nulls last, which must end in a unique column."""
-    by = F.struct(*(x.alias(f"_{i}_{j}") for i, c in enumerate(order) for j, x in enumerate(_order(c))))
-    return _best(df, keys, F.min_by(F.struct(*df.columns), by))
+    return _first(df, keys, [F.col(c).asc_nulls_last() for c in order])
 
 
-def _best(df: DataFrame, keys: list[str], best: Column) -> DataFrame:
-    return df.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(best.alias("_row")).select("_row.*")
+def _first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    return df.withColumn("_dedup_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_dedup_rank = 1").drop("_dedup_rank")
 
 
 def dedup_identity(df: DataFrame, seq_col: str = "ingest_seq") -> DataFrame:

@@ -102,17 +102,21 @@ def conflicting_evidence(evidence: DataFrame) -> DataFrame:
     return evidence.distinct().groupBy("evidence_id").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def ability_profile(evidence: DataFrame) -> DataFrame:
-    """E7. Level and confidence of each student's skills, from weighted evidence; interests are left out."""
+def ability_profile(evidence: DataFrame, with_ids: bool = False) -> DataFrame:
+    """E7. Level and confidence of each student's skills, from weighted evidence; interests are left out.
+
+    ``with_ids`` adds ``evidence_ids``, the ids of what an estimate rests on, in order: one learner's items of one skill.
+    """
     rows = evidence.filter(~F.col("skill_id").startswith("INTEREST_")).withColumn("w", lookup(SOURCE_WEIGHTS, F.col("source_type")) * F.col("confidence"))
     v = F.col("normalized_value")
     sums = rows.groupBy("student_id", "skill_id").agg(
-        F.sum(v * F.col("w")).alias("vw"), F.sum("w").alias("w"), F.count("*").alias("n"), F.min("source_type").alias("a"), F.max("source_type").alias("b"), (F.max(v) - F.min(v)).alias("spread")
+        F.sum(v * F.col("w")).alias("vw"), F.sum("w").alias("w"), F.count("*").alias("n"), F.min("source_type").alias("a"), F.max("source_type").alias("b"), (F.max(v) - F.min(v)).alias("spread"),
+        *([F.sort_array(F.collect_list("evidence_id")).alias("evidence_ids")] if with_ids else []),
     )
     one = F.when((F.col("n") == 1) & (F.col("a") == "self_report"), SELF_REPORT_FACTOR).when((F.col("n") > 1) & (F.col("a") == F.col("b")), ONE_SOURCE_FACTOR).otherwise(1.0)
     agree = F.when(F.col("spread") > CONFLICT, F.greatest(F.lit(0.25), 1 - (F.col("spread") - CONFLICT) / (1 - CONFLICT))).otherwise(1.0)
     sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("w") / MINIMUM_EVIDENCE) * one * agree))
-    return sums.select("student_id", "skill_id", F.round(F.try_divide("vw", "w"), 6).alias("estimated_level"), F.round(sure, 6).alias("confidence"), F.col("n").alias("evidence_count"))
+    return sums.select("student_id", "skill_id", F.round(F.try_divide("vw", "w"), 6).alias("estimated_level"), F.round(sure, 6).alias("confidence"), F.col("n").alias("evidence_count"), *(["evidence_ids"] if with_ids else []))
 
 
 def ability_trend(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -132,14 +136,18 @@ def academic_gaps(ability: DataFrame, students: DataFrame, thresholds: DataFrame
     """E9, E10. Skills below their threshold, with size and priority; low confidence caps it at medium.
 
     ``thresholds``: ``skill_id, expected_level, importance, activity_minutes`` (null: no activity), a small table.
-    ``students``: ``student_id, weekly_available_minutes, exam_week``.
+    ``students``: ``student_id, weekly_available_minutes, exam_week``. If estimates carry ``evidence_ids``, so do gaps, with a
+    ``reason`` that names them.
     """
     below = ability.join(thresholds, "skill_id").filter(F.col("estimated_level") < F.col("expected_level")).join(students, "student_id")
     size = F.round(F.col("expected_level") - F.col("estimated_level"), 6)
     feasible = F.coalesce(F.col("activity_minutes") <= F.col("weekly_available_minutes"), F.lit(False))
     scored = below.withColumns({"gap_size": size, "feasible": feasible}).withColumn("score", priority_score(F.col("gap_size"), F.col("confidence"), F.coalesce("importance", F.lit(1.0)), F.coalesce("exam_week", F.lit(False)), F.col("feasible")))
     band = F.when((F.col("score") >= HIGH) & (F.col("confidence") >= LOW_CONFIDENCE), "high").when(F.col("score") >= MEDIUM, "medium").otherwise("low")
-    return scored.select("student_id", stable_id("GAP", F.lit("academic"), "skill_id").alias("gap_id"), "skill_id", "estimated_level", "expected_level", "gap_size", "score", band.alias("priority"))
+    # fixed value: the sentence that says what a gap rests on
+    reason = F.concat(F.lit("Mức hiện tại dưới ngưỡng; dựa trên evidence: "), F.array_join("evidence_ids", ", "), F.lit("."))
+    proof = ["evidence_ids", reason.alias("reason")] if "evidence_ids" in ability.columns else []
+    return scored.select("student_id", stable_id("GAP", F.lit("academic"), "skill_id").alias("gap_id"), "skill_id", "estimated_level", "expected_level", "gap_size", "score", band.alias("priority"), *proof)
 
 
 def completed_groups(results: DataFrame) -> DataFrame:

@@ -200,3 +200,23 @@ def sample_jobs(best: DataFrame, jobs: DataFrame, n: int = 3) -> DataFrame:
     few = active_jobs(jobs).select("career_id", "job_id").withColumn("job_rank", rank).filter(F.col("job_rank") <= n)
     first = best.filter("rank = 1") if "rank" in best.columns else best
     return first.join(few, "career_id")
+
+
+def career_handoff(profile_skills: DataFrame, matrix: DataFrame, demand: DataFrame, jobs: DataFrame, n: int = 3) -> DataFrame:
+    """R1. Each profile's best career with what its market says.
+
+    ``profile_id, career_id, matched_skill_ids`` (in order), ``market_posting_count`` and ``snapshot_version`` of its demand
+    rows (null where these are of several snapshots), and ``sample_job_ids``, its first ``n`` active jobs. Profiles that no
+    career asks for are left out.
+    """
+    best = best_career(profile_skills, matrix).select("profile_id", "career_id")
+    asked = matrix.select("career_id", "skill_id").distinct()
+    skills = profile_skills.select("profile_id", "skill_id").distinct().join(best, "profile_id").join(asked, ["career_id", "skill_id"])
+    matched = skills.groupBy("profile_id", "career_id").agg(F.sort_array(F.collect_list("skill_id")).alias("matched_skill_ids"))
+    market = demand.groupBy("career_id").agg(
+        F.sum("posting_count").alias("market_posting_count"), F.when(F.min("snapshot_version") == F.max("snapshot_version"), F.min("snapshot_version")).alias("snapshot_version")
+    )
+    rank = F.row_number().over(W.partitionBy("career_id").orderBy("job_id"))
+    few = active_jobs(jobs).select("career_id", "job_id").withColumn("_n", rank).filter(F.col("_n") <= n)
+    samples = few.groupBy("career_id").agg(F.sort_array(F.collect_list("job_id")).alias("sample_job_ids"))
+    return matched.join(market, "career_id", "left").join(samples, "career_id", "left").select("profile_id", "career_id", "matched_skill_ids", "market_posting_count", "sample_job_ids", "snapshot_version")

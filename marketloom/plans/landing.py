@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import normalize as N
 from marketloom.operators import aggregate as A
+from marketloom.operators import learner as E
+from marketloom.operators import matching as M
+from marketloom.operators import postings as J
 from marketloom.operators import profiles as C
 from marketloom.plans.demo import Roles, role_sql
-from marketloom.plans.registry import DEMAND, LIFECYCLE, WHOLE_RUNS, query
+from marketloom.plans.registry import DEMAND, GAPS, LIFECYCLE, LIMITS, MATRIX, PROFILES, WHOLE_RUNS, query
 from marketloom.sources import tables as S
 from marketloom.sources.versions import Conflict, EmptySnapshot, Warehouse, work_dir
 from marketloom.streaming.lifecycle import lifecycle_view, sightings_stream
@@ -185,3 +188,89 @@ def _(r: Roles) -> DataFrame:
     scores = F.array_join(F.transform(F.map_entries("riasec_scores"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
     shown = {"top_skills": F.array_join(F.transform("top_skills", lambda x: x["name"]), ","), "work_modes": F.array_join("work_modes", ","), "provinces": F.array_join("provinces", ","), "market_breakdown": F.array_join(row, ","), "riasec_scores": scores}
     return found.withColumns(shown | {"salary_median_vnd": F.round("salary_median_vnd", 6)}).drop("title", "aliases", "typical_tasks")
+
+
+# taxonomy, reports, market snapshot, adapters ----------------------------------------------------------------------------------
+
+
+@query("S5_alias_dimension", """
+with b as (select p_brand, row_number() over (order by p_brand) - 1 as k from (select distinct p_brand from part) x), a as (select p_brand, unnest([' ' || upper(p_brand) || ' ', 'the  ' || p_brand, ' ']) as raw, unnest([0, 1, 2]) as n from b)
+select p_brand as id, 'Skill ' || p_brand as name, lower(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) as alias, k as entity_ord, n as alias_ord from a join b using (p_brand) where trim(raw) <> ''""")
+def _(r: Roles) -> DataFrame:
+    """A taxonomy file of all brands, read and flattened."""
+    path = work_dir(r.spark, "taxonomy")
+    brands = r.sql("select p_brand as skill_id, concat('Skill ', p_brand) as canonical_name, array(concat(' ', upper(p_brand), ' '), concat('the  ', p_brand), ' ') as aliases from (select distinct p_brand from part) x")
+    whole = brands.agg(F.to_json(F.struct(F.lit("0.4.0").alias("taxonomy_version"), F.sort_array(F.collect_list(F.struct("skill_id", "canonical_name", "aliases"))).alias("skills"))).alias("j"))
+    whole.write.text(path)
+    dim = M.alias_dim(S.read_taxonomy(r.spark, path, "skills"))
+    return dim.select("id", "name", "alias", "entity_ord", "alias_ord")
+
+
+@query("S8_report_sinks", f"select fmt, count(*) as n, cast(sum(k) as bigint) as skills, min(ids) as first from (select unnest(['json', 'csv']) as fmt, job_id, count(*) as k, '[\"' || string_agg(distinct skill_id, '\",\"' order by skill_id) || '\"]' as ids from ({SKILLS}) s group by job_id) x group by fmt")
+def _(r: Roles) -> DataFrame:
+    """A report with a nested column as JSON and as CSV, read back."""
+    report = r["skills"].groupBy("job_id").agg(F.count("*").alias("k"), F.sort_array(F.collect_set("skill_id")).alias("ids"))
+    out = None
+    for fmt in ("json", "csv"):
+        path = work_dir(r.spark, fmt)
+        S.write_report(report, path, fmt)
+        back = r.spark.read.schema("job_id string, k long, ids string").option("header", True).option("escape", "\\").format(fmt).load(path)
+        row = back.agg(F.lit(fmt).alias("fmt"), F.count("*").alias("n"), F.sum("k").alias("skills"), F.min("ids").alias("first"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("S13_market_snapshot", f"""
+select 'observed' as data_mode, career_id, cast(sum(posting_count) as bigint) as sample_size from ({DEMAND}) d group by career_id
+union all select 'fallback', c_mktsegment, count(*) from customer group by c_mktsegment""")
+def _(r: Roles) -> DataFrame:
+    """The published table where it is there and whole, the fallback where a column is missing."""
+    path = work_dir(r.spark, "market")
+    A.demand_summary(r["jobs"], "seq").write.parquet(path)
+    fallback = r.sql("select c_mktsegment as career_id, count(*) as posting_count from customer group by c_mktsegment")
+    every = [S.market_snapshot(r.spark, path, ["career_id", *more], fallback) for more in (["posting_count"], ["growth"])]
+    rows = every[0].select("data_mode", "career_id", "posting_count").unionByName(every[1].select("data_mode", "career_id", "posting_count"))
+    return rows.groupBy("data_mode", "career_id").agg(F.sum("posting_count").alias("sample_size"))
+
+
+@query("F1_adapt_listing", """
+select source, cast(doc_id as varchar) as source_job_id, lang as title_raw, case when length(trim(card)) > 0 then trim(card) || chr(10) || 'Kỹ năng:' || chr(10) || source || chr(10) || lang else 'Kỹ năng:' || chr(10) || source || chr(10) || lang end as description_raw, source as company_name_raw, cast('2026-01-02' as timestamp) as collected_at
+from (select *, case when n_chars > 900 then '' else split_part(text, chr(10), 1) end as card from documents) d""")
+def _(r: Roles) -> DataFrame:
+    listed = r.sql("""
+        select source, source as source_id, cast(doc_id as string) as source_job_id, cast(null as string) as source_url, lang as job_title_raw, source as company_name_raw, cast(null as string) as location_raw, cast(null as string) as salary_raw,
+               to_json(array(source, ' ', lang)) as skills_raw, case when n_chars > 900 then '' else split_part(text, chr(10), 1) end as card_text_raw, '2026-01-02 00:00:00' as fetched_at from documents""")
+    return J.adapt_listing(listed).select("source", "source_job_id", "title_raw", "description_raw", "company_name_raw", "collected_at")
+
+
+# lineage and handoff --------------------------------------------------------------------------------------------------------------
+
+
+@query("E7_ability_evidence", f"select student_id, skill_id, string_agg(evidence_id, ',' order by evidence_id) as evidence_ids from ({role_sql('evidence')}) e where skill_id not like 'INTEREST%' group by 1, 2")
+def _(r: Roles) -> DataFrame:
+    return E.ability_profile(r["evidence"], with_ids=True).select("student_id", "skill_id", F.array_join("evidence_ids", ",").alias("evidence_ids"))
+
+
+@query("E9_gap_evidence", f"""
+with e as (select student_id, skill_id, string_agg(evidence_id, ', ' order by evidence_id) as ids from ({role_sql('evidence')}) e group by 1, 2)
+select student_id, gap_id, priority, 'Mức hiện tại dưới ngưỡng; dựa trên evidence: ' || ids || '.' as reason from ({GAPS}) g join e using (student_id, skill_id)""")
+def _(r: Roles) -> DataFrame:
+    limits = r.spark.createDataFrame(LIMITS, "skill_id string, expected_level double, importance double, activity_id string, activity_minutes int")
+    return E.academic_gaps(E.ability_profile(r["evidence"], with_ids=True), r["students"], limits).select("student_id", "gap_id", "priority", "reason")
+
+
+@query("R1_career_handoff", f"""
+with m as (select distinct career_id, skill_id from ({MATRIX}) m), k as (select profile_id, career_id, count(distinct skill_id) as n, string_agg(distinct skill_id, ',' order by skill_id) as ids from ({PROFILES}) p join m using (skill_id) group by 1, 2),
+b as (select profile_id, arg_min(career_id, (-n, career_id)) as career_id from k group by 1), d as (select career_id, cast(sum(posting_count) as bigint) as n, case when min(snapshot_version) = max(snapshot_version) then min(snapshot_version) end as v from ({DEMAND}) d group by 1),
+j as (select career_id, string_agg(job_id, ',' order by job_id) as jobs from (select career_id, job_id from ({JOBS}) j where is_active qualify row_number() over (partition by career_id order by job_id) <= 3) x group by 1)
+select profile_id, b.career_id, k.ids as matched_skill_ids, d.n as market_posting_count, j.jobs as sample_job_ids, d.v as snapshot_version from b join k using (profile_id, career_id) left join d on d.career_id = b.career_id left join j on j.career_id = b.career_id""")
+def _(r: Roles) -> DataFrame:
+    found = C.career_handoff(r.sql(PROFILES), A.skill_matrix(r["skills"]), A.demand_summary(r["jobs"], "seq"), r["jobs"])
+    return found.withColumns({c: F.array_join(c, ",") for c in ("matched_skill_ids", "sample_job_ids")})
+
+
+@query("A4_quality_report_versions", f"select count(*) as row_count, string_agg(distinct 'board ' || source_id, ',' order by 'board ' || source_id) as sources, string_agg(distinct work_mode, ',' order by work_mode) as taxonomy_version from ({JOBS}) j")
+def _(r: Roles) -> DataFrame:
+    """Sources and taxonomy versions as the postings have them."""
+    jobs = r["jobs"].withColumns({"source": F.concat(F.lit("board "), "source_id"), "taxonomy_version": F.col("work_mode")})
+    return A.quality_report(jobs).select("row_count", "sources", "taxonomy_version")

@@ -117,3 +117,37 @@ def _(r: Roles) -> DataFrame:
         "total_lifecycle_records": "valid",
     }
     return V.report_differences(report, metrics, fields)
+
+
+# structure of tables ---------------------------------------------------------------------------------------------------------
+
+
+@query("V1_required_columns", "select 'required_column' as rule, c as key, 'missing' as detail from (select unnest(['doc_id', 'title', 'text', 'url']) as c) x where c not in (select column_name from (describe select * from documents))")
+def _(r: Roles) -> DataFrame:
+    return V.required_columns(r.table("documents"), ["doc_id", "title", "text", "url"])
+
+
+@query("V8_taxonomy_structure", """
+with e as (select case when p_size > 48 then 'X' else 'SKILL_' end || p_partkey // 2 as id, case when p_size = 1 then ' ' else p_name end as name, case when p_size = 2 then [] when p_size = 3 then [p_name, upper(p_name) || ' '] when p_size = 4 then [p_name, ''] else [p_name, p_brand] end as aliases from part)
+select 'unique:id' as rule, id as key, cast(count(*) as varchar) as detail from e group by id having count(*) > 1
+union all select 'taxonomy:prefix', id, 'SKILL_' from e where not starts_with(id, 'SKILL_')
+union all select 'not_blank:name', id, 'null or blank' from e where trim(name) = ''
+union all select 'taxonomy:no_alias', id, 'no alias' from e where len(aliases) = 0
+union all select 'taxonomy:blank_alias', id, 'blank' from (select id, unnest(aliases) as a from e) x where trim(a) = ''
+union all select 'taxonomy:repeated_alias', id, a from (select id, lower(trim(unnest(aliases))) as a from e) x group by id, a having count(*) > 1""")
+def _(r: Roles) -> DataFrame:
+    aliases = "case when p_size = 2 then cast(array() as array<string>) when p_size = 3 then array(p_name, upper(p_name) || ' ') when p_size = 4 then array(p_name, '') else array(p_name, p_brand) end"
+    entities = r.sql(f"select case when p_size > 48 then 'X' else 'SKILL_' end || cast(p_partkey div 2 as string) as id, case when p_size = 1 then ' ' else p_name end as name, {aliases} as aliases from part")
+    return V.taxonomy_structure(entities, "SKILL_")
+
+
+@query("V9_learner_profile", """
+with p as (select c_custkey as id, 'Brand#' || (c_custkey % 40) as skill, c_mktsegment as mode, n_name from customer join nation on c_nationkey = n_nationkey)
+select 'profile:skill' as rule, cast(id as varchar) as key, skill as detail from p where skill not in (select p_brand from part)
+union all select 'profile:province', cast(id as varchar), ' ' || upper(n_name) from p where n_name not in (select n_name from nation join region on n_regionkey = r_regionkey where r_regionkey < 3)
+union all select 'domain:mode', cast(id as varchar), mode from p where mode not in ('BUILDING', 'MACHINERY')""")
+def _(r: Roles) -> DataFrame:
+    profiles = r.sql("select c_custkey as id, array('Brand#' || cast(c_custkey % 40 as string)) as skill_ids, array(' ' || upper(n_name)) as provinces, c_mktsegment as mode from customer join nation on c_nationkey = n_nationkey")
+    skills = r.sql("select distinct p_brand as id, lower(p_brand) as alias from part")
+    places = r.sql("select n_name as id, lower(n_name) as alias from nation join region on n_regionkey = r_regionkey where r_regionkey < 3")
+    return V.learner_profile(profiles, skills, places, ["BUILDING", "MACHINERY"])

@@ -271,9 +271,7 @@ def _(r):
 with u as (select page_id, regexp_replace(url, '[?#].*$', '') as bare from pages), h as (select page_id, lower(regexp_extract(bare, '^https?://([^/]+)', 1)) as host, regexp_extract(bare, '^https?://[^/]+(/.*)$', 1) as path from u)
 select page_id, case when host like '%.example.net' and path not like '%/de/%' and regexp_matches(path, '^/[a-z]+/[0-9]+$') then 'https://' || host || path end as url from h""")
 def _(r):
-    hosts = F.lower(F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
-    net = [x["h"] for x in r.table("pages").select(hosts.alias("h")).distinct().filter("h like '%.example.net'").collect()]  # hosts to allow, a setting
-    return r.table("pages").select("page_id", T.canonical_job_url("url", "https://www.example.net", net, category="/de/", path=r"^/[a-z]+/[0-9]+$").alias("url"))
+    return r.table("pages").select("page_id", T.canonical_job_url("url", "https://www.example.net", r"\.example\.net$", category="/de/", path=r"^/[a-z]+/[0-9]+$").alias("url"))
 
 
 @query("U2_id_from_url", r"select page_id, coalesce(nullif(regexp_extract(url, '/(\d+)\.html$', 1), ''), nullif(regexp_extract(url, '-j(\d+)\.html$', 1), ''), sha256(url)[1:16]) as url_id from pages")
