@@ -9,7 +9,11 @@ extended by ``sqrt(m² - |x|²)`` and a query by 0; then ``|q - x|² = |q|² + m
    half lies inside. A query goes to its side first and to the other one if ``gap <= factor * radius``, where ``gap`` is
    its distance to the boundary and ``radius`` that to its k-th best so far.
 3. Every query searches its own shard first. What it finds there bounds the rest: it goes to the shards of a pivot only
-   if its gap to their distances passes the same test. Shards read their tree once and the queries in blocks.
+   if its gap to their distances passes the same test. Shards read their tree once and the queries in blocks; where there
+   are many queries, a shard's are dealt to several tasks, each with the tree.
+
+There are as many pivots as cells of ``CELL_ROWS`` rows need, so that trees have inner nodes and a query is sent to few
+shards.
 
 By the triangle inequality ``factor`` 1 loses nothing; smaller ones prune more. All queries of a block descend together,
 as arrays.
@@ -29,8 +33,11 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import materialise
 
 SHARD_ROWS, QUERY_ROWS = 8192, 2048
-#: Pivots are a sample of so many rows, those of the smallest hashes, and the zero vector. Every row is indexed.
-PIVOTS = 128
+#: Pivots are a sample of rows, those of the smallest hashes, one for so many rows and ``PIVOTS`` at most, and the zero vector.
+#: Every row is indexed.
+CELL_ROWS, PIVOTS = 4096, 4096
+#: Queries that one task takes to a shard at most, about.
+SLOT_QUERIES = 65_536
 LEAF = 128
 FACTOR = 0.5
 K = 20
@@ -147,7 +154,8 @@ def nearest(
     vector_col: str = "embedding",
     shard_rows: int = SHARD_ROWS,
     query_rows: int = QUERY_ROWS,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
+    slot_queries: int = SLOT_QUERIES,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row for whose ``id`` ``asks`` holds, its ``k`` nearest found.
 
@@ -162,7 +170,11 @@ def nearest(
     found = found.withColumns({"row": F.monotonically_increasing_id(), "size": F.size("v"), "asks": F.coalesce(asks, F.lit(False))})
     found = materialise(found, "vectors")  # numbered once
     square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    longest = {r["size"]: r["most"] for r in found.groupBy("size").agg(F.max(square).alias("most")).collect()}
+    sizes = found.groupBy("size").agg(F.max(square).alias("most"), F.count("*").alias("n"), F.count_if("asks").alias("asks")).collect()
+    longest = {r["size"]: r["most"] for r in sizes}
+    if pivots is None:
+        pivots = min(PIVOTS, sum(r["n"] for r in sizes) // CELL_ROWS)
+    slots = max(1, -(-sum(r["asks"] for r in sizes) // slot_queries))
     sample = found.orderBy(F.xxhash64("id", "v"), "id", "row").limit(pivots).select("size", "v").collect()
     points = {size: Pivots([r["v"] for r in sample if r["size"] == size], size, most) for size, most in longest.items()}
 
@@ -243,7 +255,8 @@ def nearest(
         none = lambda kind: F.lit(None).cast(kind)
         blank = {"tree": "binary", "row": "long", "id": "long", "v": "array<double>", "floor": "double"}
         columns = lambda df: df.select(*SHARD, *(F.col(c) if c in df.columns else none(t).alias(c) for c, t in blank.items()))
-        both = columns(trees).unionByName(columns(queries)).repartition(*SHARD).sortWithinPartitions(*SHARD, F.col("tree").isNull())
+        slotted = columns(trees).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).unionByName(columns(queries).withColumn("slot", F.pmod(F.xxhash64("row"), F.lit(slots)).cast("int")))
+        both = slotted.repartition(*SHARD, "slot").sortWithinPartitions(*SHARD, "slot", F.col("tree").isNull()).drop("slot")
         return both.mapInArrow(search, "row long, query_id long, vec_id long, score double")
 
     asked = placed.filter("asks").select(*SHARD, "row", "id", "v")

@@ -90,3 +90,48 @@ def test_many_equal_vectors(spark):
     table = spark.createDataFrame([(i, [0.1, 0.2, 0.3]) for i in range(700)], "vec_id long, embedding array<double>")
     got = sorted((r.rank, r.vec_id) for r in nearest(table, F.col("id") == 40, shard_rows=200).collect())
     assert got == [(k + 1, k) for k in range(20)]
+
+
+def visited(tree, queries, k, factor):
+    """Leaves that a search looks into, of all leaves."""
+    leaves, seen = [], set()
+
+    def walk(node):
+        if isinstance(node, np.ndarray):
+            leaves.append(node)
+        else:
+            walk(node[2])
+            walk(node[3])
+
+    walk(tree.root)
+    for q in queries:
+        before = inner
+        looked = []
+        globals_ = Tree.search.__globals__
+        globals_["inner"] = lambda a, b: looked.append(len(b)) or before(a, b)
+        try:
+            tree.search(q[None, :], np.array([-1]), k, factor)
+        finally:
+            globals_["inner"] = before
+        seen.add(len(looked))
+    return len(leaves), seen
+
+
+def test_inner_nodes_are_visited_and_prune():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(16, 8)) * 9
+    points = centres[rng.integers(0, 16, 4000)] + rng.normal(size=(4000, 8)) * 0.3
+    leaves, looked = visited(Tree(points, 64), points[:40], 10, 0.5)
+    assert leaves > 30 and max(looked) < leaves and min(looked) < leaves / 4
+
+
+def test_shards_hold_whole_trees_and_queries_are_dealt_to_several_tasks(spark, sf, monkeypatch):
+    from marketloom.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 250)
+    table = spark.read.parquet(f"{sf}/embeddings.parquet")
+    vectors = {r.vec_id: r.embedding for r in table.collect()}
+    tree = Tree(np.array([v for v in vectors.values() if v is not None and None not in v], float))
+    assert not isinstance(tree.root, np.ndarray)
+    want = brute(vectors, lambda i: i % 20 == 0)
+    assert rows(nearest(table, F.col("id") % 20 == 0, factor=1.0, slot_queries=4)) == want
