@@ -65,7 +65,11 @@ def count_tokens(docs: DataFrame, tokenizers: Mapping[str, tuple[str, str] | Non
 
 
 class Ledger:
-    """Committed batches of signed counts below ``root``, a folder that driver and executors share."""
+    """Committed batches of signed counts below ``root``, a folder that driver and executors share.
+
+    An entry of the log is a file that is renamed into it, which the file system has to do at once and only if no file of
+    that name is there: HDFS does, object stores do not. The log is reached by the session's JVM, so a classic session is needed.
+    """
 
     def __init__(self, spark: SparkSession, root: str, compact_every: int = 16):
         self.spark, self.root, self.compact_every = spark, root.rstrip("/"), compact_every
