@@ -98,7 +98,7 @@ COUNTS = "count(*) as n, count(*) filter (salary_disclosed) as paid, count(*) fi
 
 
 @query("V12_report_differences", f"""
-with w as (select {COUNTS.format(SKILLS)} from ({JOBS}) j), a as (select {COUNTS.format(SKILLS)} from ({JOBS}) j where is_active),
+with w as (select {COUNTS.format(SKILLS)} from ({JOBS}) j), a as (select {COUNTS.format(SKILLS).replace('count(*) filter (job_id', 'count(distinct job_id) filter (job_id')} from ({JOBS}) j where is_active),
 d as (select source_id, count(*) as n, count(*) filter (is_active) as m from ({JOBS}) j group by 1)
 select 'differs:' || f as rule, '' as key, x || '/' || y as detail from (
   select unnest(['salary_available_count', 'remote_job_count', 'jobs_with_mapped_skills', 'total_current_jobs']) as f, unnest([w.paid, w.remote, w.skilled, w.n]) as x, unnest([a.paid, a.remote, a.skilled, a.n]) as y from w, a) t where x <> y

@@ -14,6 +14,7 @@ from marketloom.plans.registry import QUERIES
 
 CHECKED = {
     "T1_clean_text", "T2_match_text", "T8_extraction_text", "P1_html_blocks", "P3_parse_listing", "P5_typical_tasks", "M3_match_fuzzy", "M4_match_career",
+    "M4_match_career_tiers", "Q13_distinct_questions",  # in test_profiles.py and test_versions.py
     "M9_process_postings", "E22_snapshot", "Q13_sample_balanced", "V12_report_reconciled", "L3_lifecycle_merge_whole", "L4_mark_invalid_whole", "L5_status_counts_whole",
 }
 
