@@ -60,6 +60,7 @@ def work_mode(work_mode_raw, location_raw, description_raw=None, markup: bool =
 def salary(raw, markup: bool = True) -> Column:
     """N3. Struct of ``min_vnd, max_vnd, mid_vnd, disclosed`` from millions: a range, a least, a most or one figure."""
     text = F.replace(match_text(raw, markup), F.lit(","), F.lit("."))
+    # fixed values: how pay is written
     number, unit = r"(\d+(?:\.\d+)?)", r"(?:triệu|tr|m)"
     amount = lambda p, k: (F.nullif(F.regexp_extract(text, p, k), F.lit("")).cast("double") * 1_000_000).cast("bigint")
     both = rf"(?U){number}\s*{unit}?\s*[-–—]\s*{number}\s*{unit}"

@@ -129,6 +129,7 @@ def squeezed_or_null(c: str | Column) -> Column:
 def extraction_text(c: str | Column, markup: bool = True) -> Column:
     """T8. Like T1, but lines stay: tags become line ends and spaces collapse within lines."""
     bare = _without_markup(text_or_empty(c), "\n") if markup else text_or_empty(c)
+    # fixed values: white space within and around lines
     spaced = F.regexp_replace(F.replace(bare, F.lit("​"), F.lit(" ")), r"(?U)[^\S\r\n]+", " ")
     return F.btrim(F.regexp_replace(spaced, r"(?U)\s*\n\s*", "\n"), F.lit(" \n\r\t"))
 
@@ -136,6 +137,7 @@ def extraction_text(c: str | Column, markup: bool = True) -> Column:
 def clean_title(c: str | Column, markup: bool = True) -> Column:
     """T9. The role in a posting's title, without tags in brackets, calls, head counts and pay."""
     title = match_text(c, markup)
+    # fixed values: what is taken out of a title, in this order
     for pattern, by in (
         (r"^\s*\[[^\]]+\]\s*", ""),
         (r"(?U)^(?:(?:gấp|tuyển dụng|tuyển|cần)\s+)+", ""),
