@@ -168,7 +168,8 @@ PHONE = r"(?:\+84|0)[0-9]{9,10}"
 def document_metadata(c: str | Column, preview_lines: int = 20) -> dict[str, Column]:
     """T11. Sorted distinct e-mails and phones, counts of non-blank lines and characters, first lines."""
     text = text_or_empty(c)
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    # not F.trim itself: transform would hand it the line's number as the characters to trim
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     found = lambda p: F.array_join(F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))), ",")
     return {
         "emails": found(EMAIL),

@@ -48,6 +48,12 @@ def test_keys_and_lines(spark):
     assert one(spark, T.distinct_lines, "a\nB\n A \n\nb\nc", None) == ["a\nB\nc", ""]
 
 
+def test_metadata_trims_spaces_only(spark):
+    made = T.document_metadata("x")
+    df = spark.createDataFrame([("0 first 0\n  1 second 1 \n \nthird",), (None,)], "x string")
+    assert [tuple(r) for r in df.select(made["line_count"], made["preview"]).collect()] == [(3, "0 first 0\n1 second 1\nthird"), (0, "")]
+
+
 def test_urls(spark):
     canonical = lambda c: T.canonical_job_url(c, "https://viec.vn/", ["viec.vn", "www.viec.vn"])
     got = one(spark, canonical, "/viec-lam/ke-toan-12.html?x=1#y", "//www.viec.vn/viec-lam/a-9.html", "https://other.vn/viec-lam/a-9.html", "/danh-muc-x/viec-lam/a-9.html", "/viec-lam/no.html", None)
