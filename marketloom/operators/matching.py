@@ -1,8 +1,8 @@
 """Titles to careers and texts to skills, by alias tables of any size.
 
-An alias is looked for only where its longest word stands: texts and aliases meet in a join on words, and patterns run on
-what that finds. Titles meet the aliases they may be like in a set-similarity join by prefixes of rare words and pairs of
-letters.
+An alias is looked for only where its longest word, or pair of words, stands: aliases go to the texts if they are few, and
+else meet the hashes of the texts' words in a join; patterns run on what that finds. Titles whose words hold an alias's, or
+are held by them, meet it by the rarest word; the others meet by prefixes of rare words, and in blocks of alike lengths.
 """
 
 from __future__ import annotations
@@ -10,15 +10,21 @@ from __future__ import annotations
 import re
 from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import clean_title, extraction_text, match_text, text_or_empty
+from marketloom.sources.versions import kept
 
 #: So many words of aliases at most are compared with a text's words in its row.
 MOST_WORDS = 5_000
+#: Aliases of so many characters at most in all are sent to every task.
+SENT_CHARS = 5_000_000
+#: So many characters of titles or aliases are compared with one another in one block, about.
+BLOCK_CHARS = 1_000_000
 # Marks of a sentence that takes a requirement back or softens it.
 NEGATIONS = ["không bắt buộc", "không yêu cầu", "không cần", "not required"]
 PREFERENCES = ["là lợi thế", "ưu tiên", "preferred", "nice to have"]
@@ -43,23 +49,36 @@ def match_exact(titles: DataFrame, dim: DataFrame) -> DataFrame:
     return titles.join(dim, F.col("title") == F.col("alias")).groupBy("title").agg(best).select("title", "m.id", "m.name", F.lit(1.0).alias("score"))
 
 
+def _few(dim: DataFrame) -> bool:
+    return (dim.agg(F.sum(F.length("alias"))).first()[0] or 0) <= SENT_CHARS
+
+
 def _meeting(texts: DataFrame, low: str, dim: DataFrame) -> DataFrame:
     """Rows of ``texts`` with those of ``dim`` whose alias's longest word stands in ``low`` (in lower case) as a word.
 
     An alias between other characters than word characters has only whole words of the text. One without a word
-    character meets the texts that have its first character. If the aliases have ``MOST_WORDS`` different longest words
-    at most, a text's words are compared with them in its row; more are joined.
+    character meets the texts that have its first character. If the aliases are few (``SENT_CHARS``) and have
+    ``MOST_WORDS`` different longest words at most, they are sent to the texts. More of them meet hashes of the texts'
+    words, or of two neighbouring words if they have two, in a join; the texts come to what was found, once.
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
-    longest = F.get(F.array_sort(F.transform(words("alias"), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
-    keyed = dim.withColumn("_word", F.coalesce(longest, F.substring("alias", 1, 1)))
+    longest = lambda c: F.get(F.array_sort(F.transform(c, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+    keyed = dim.withColumn("_word", F.coalesce(longest(words("alias")), F.substring("alias", 1, 1)))
     keys = [r["_word"] for r in keyed.select("_word").distinct().limit(MOST_WORDS + 1).collect()]
     said = words(low)
-    if any(not re.match(r"\w", k) for k in keys) or len(keys) > MOST_WORDS:
-        said = F.concat(said, F.regexp_extract_all(low, F.lit(r"(?U)[^\w\s]"), F.lit(0)))
-    if len(keys) <= MOST_WORDS:
+    odd = F.regexp_extract_all(low, F.lit(r"(?U)[^\w\s]"), F.lit(0))
+    if len(keys) <= MOST_WORDS and _few(dim):
+        if any(not re.match(r"\w", k) for k in keys):
+            said = F.concat(said, odd)
         said = F.array_intersect(said, F.lit(keys).cast("array<string>"))
-    return texts.withColumn("_word", F.explode(F.array_distinct(said))).join(keyed, "_word").drop("_word")
+        return texts.withColumn("_word", F.explode(F.array_distinct(said))).join(F.broadcast(keyed), "_word").drop("_word")
+    pairs = lambda c: F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
+    # the last word has none after it: it is then a pair by itself, which meets aliases of one word only
+    keyed = dim.withColumn("_word", F.xxhash64(F.coalesce(F.when(F.size(words("alias")) > 1, longest(F.slice(pairs(words("alias")), 1, F.size(words("alias")) - 1))), longest(words("alias")), F.substring("alias", 1, 1))))
+    marked = texts.withColumn("_at", F.md5(low))
+    hashed = F.transform(F.array_distinct(F.concat(said, pairs(said), odd)), lambda x: F.xxhash64(x))
+    met = marked.select("_at", F.explode(hashed).alias("_word")).join(keyed, "_word").groupBy("_at").agg(F.collect_set(F.struct(*dim.columns)).alias("_met"))
+    return marked.join(met, "_at").drop("_at").select(*texts.columns, F.inline("_met"))
 
 
 def match_contained(titles: DataFrame, dim: DataFrame, least_chars: int = 8) -> DataFrame:
@@ -108,63 +127,93 @@ def word_set(text: str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")))
 
 
-def _grams(text: Column) -> Column:
-    """Pairs of neighbouring letters of every word, with a space before and after it: the same in any order of the words."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: padded.substr(i, F.lit(2))))
+def _worded(df: DataFrame, c: str) -> DataFrame:
+    """``id, c, words, n``: different strings with a word, their words in order, and the length of these with spaces."""
+    rows = df.select(c, word_set(c).alias("words")).filter("size(words) > 0").dropDuplicates([c])
+    return rows.select(F.unhex(F.md5(c)).alias("id"), c, "words", F.length(F.array_join("words", " ")).alias("n"))
+
 
+def _rare(words: DataFrame, counts: DataFrame, share: float) -> DataFrame:
+    """``id, word``: each id's rarest words, until those before are longer than ``share`` of its length ``n``."""
+    before = F.sum(F.length("word") + 1).over(W.partitionBy("id").orderBy("count", "word").rowsBetween(W.unboundedPreceding, -1))
+    flat = words.join(counts, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return flat.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") <= share * F.col("n") + 1e-9).select("id", "word")
 
-def _prefixes(rows: DataFrame, key: str, parts: Column, counts: DataFrame, most: Column) -> DataFrame:
-    """``key, n, part``: the rarest parts of each row, as many as ``most`` (an expression of ``n``, its length) and one."""
-    flat = rows.select(key, "n", F.explode(parts).alias("part")).join(counts, "part")
-    ordered = flat.groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("count", "part"))).alias("parts"))
-    return ordered.select(key, "n", F.explode(F.slice("parts", 1, most + 1)).alias("p")).select(key, "n", F.col("p.part").alias("part"))
 
+def _with_words(pairs: DataFrame, titles: DataFrame, aliases: DataFrame, sent) -> DataFrame:
+    """Pairs ``id, alias_id`` with the words and lengths of both (``words, n, _words, _n``) and the alias's place in order."""
+    named = aliases.select(F.col("id").alias("alias_id"), "alias", F.col("words").alias("_words"), F.col("n").alias("_n"), "entity_ord", "alias_ord")
+    return pairs.distinct().join(sent(named), "alias_id").join(titles.select("id", "words", "n"), "id")
 
-def candidate_pairs(titles: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
-    """``title, alias``: all pairs whose token-set ratio may reach ``least`` (over 0.5), and some others.
 
-    ``titles`` and ``aliases`` are tables of different strings with a word each. A pair gets there in one of two ways:
+def _holding(titles: DataFrame, words: DataFrame, aliases: DataFrame, alias_words: DataFrame, counts: DataFrame, sent) -> DataFrame:
+    """Pairs of which one's words hold all of the other's: the rarest word of the one is a word of the other.
 
-    * Its common words make up so much of one of the two that the other's words don't matter, or all of it. So the rarest
-      words of that side, up to the length that may be missing, hold a common word; all words of the other are asked.
-    * The words, common ones first, are alike as strings. Then at most ``2 D + I`` pairs of letters of a string are not in
-      the other, after ``D`` deletions and ``I`` insertions; so both sides' rarest pairs of letters, as many as may be
-      missing and one, have one in common, and the lengths are close.
+    Of a title's words only those are looked at that aliases have; a title with another word is in no alias.
+    """
+    rarest = lambda df: df.join(sent(counts), "word").groupBy("id", "n", "size").agg(F.min(F.struct("count", "word")).alias("m"), F.count("*").alias("known"))
+    of_alias = rarest(alias_words).select(F.col("id").alias("alias_id"), "m.word")
+    of_title = rarest(words).filter("known = size").select("id", "m.word")
+    met = words.join(sent(of_alias), "word").select("id", "alias_id").unionAll(of_title.join(sent(alias_words.select(F.col("id").alias("alias_id"), "word")), "word").select("id", "alias_id"))
+    none = lambda a, b: F.size(F.array_except(a, b)) == 0
+    both = _with_words(met, titles, aliases, sent)
+    return both.filter(none("words", "_words") | none("_words", "words")).select("id", "alias_id", F.lit(1.0).alias("score"), "alias", "entity_ord", "alias_ord")
+
+
+def letter_counts(texts: list[str], kinds: int = 64) -> np.ndarray:
+    """How often characters occur in each text, characters of equal remainder by ``kinds`` alike."""
+    out = np.zeros((len(texts), kinds), dtype=np.int32)
+    for i, t in enumerate(texts):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % kinds, minlength=kinds)
+    return out
+
+
+def _alike(titles: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
+    """``id, alias_id, score``: pairs that are alike as strings, compared in blocks of lengths that are close.
+
+    Of strings of ``n`` and ``m`` letters that reach ``least``, the lengths differ by ``bound`` at most, and the counts of
+    letters by ``(1 - least) (n + m)`` in all, whatever the order of the words. The ratio is worked out where both hold.
     """
     bound = least / (2 - least)
-    sides = [df.select(c, F.array_join(word_set(c), " ").alias("s")).withColumn("n", F.length("s")) for df, c in ((titles, "title"), (aliases, "alias"))]
-    out = None
-    words = [(df, c, F.split("s", " ")) for df, c in zip(sides, ("title", "alias"))]
-    every = [df.select(c, F.explode(parts).alias("part")) for df, c, parts in words]
-    counts = every[0].select("part").unionAll(every[1].select("part")).groupBy("part").agg(F.count("*").alias("count"))
-    for this in (0, 1):
-        df, c, parts = words[this]
-        # words in order of rarity, until those before are longer than what may be missing
-        flat = df.select(c, "n", F.explode(parts).alias("part")).join(counts, "part")
-        before = F.sum(F.length("part") + 1).over(W.partitionBy(c).orderBy("count", "part").rowsBetween(W.unboundedPreceding, -1))
-        rare = flat.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") <= (1 - bound) * F.col("n") + 1e-9).select(c, "part")
-        met = rare.join(every[1 - this], "part").select("title", "alias")
-        out = met if out is None else out.unionAll(met)
-    # of a string of n letters, the other of m: 2 D + I = 2 n + m - 3 L, with L >= least (n + m) / 2 and bound n <= m <= n / bound
-    slope = 1 - 1.5 * least
-    missing = F.floor(F.col("n") * (1 + slope + slope * (bound if slope < 0 else 1 / bound)) + 1e-9).cast("int")
-    grams = [df.select(c, "n", "s") for df, c in zip(sides, ("title", "alias"))]
-    counts = grams[0].select("s").unionAll(grams[1].select("s")).select(F.explode(_grams(F.col("s"))).alias("part")).groupBy("part").agg(F.count("*").alias("count"))
-    left, right = (_prefixes(df, c, _grams(F.col("s")), counts, missing) for df, c in zip(grams, ("title", "alias")))
+    step = F.floor(F.log("n") / log(1 / bound) + 1e-9)
+    rows = lambda df: df.select("id", "n", F.array_join("words", " ").alias("s"))
     # lengths by steps in which they may differ: those of neighbouring steps meet
-    step = F.floor(F.log("n") / log(1 / bound) + 1e-9) if bound < 1 else F.col("n")
-    near = F.explode(F.array(*(step + d for d in (-1, 0, 1)))) if bound < 1 else step
-    left, right = left.withColumnRenamed("n", "_n").withColumn("n", F.col("_n")).withColumn("step", near).drop("n"), right.withColumn("step", step)
-    alike = left.join(right, ["part", "step"]).filter((F.least("_n", "n") + 1e-9) >= bound * F.greatest("_n", "n"))
-    return out.unionAll(alike.select("title", "alias")).distinct()
+    left = rows(titles).withColumn("step", F.explode(F.array(*(step + d for d in (-1, 0, 1)))))
+    right = rows(aliases).withColumn("step", step)
+    blocks = [df.groupBy("step").agg(F.ceil(F.sum("n") / BLOCK_CHARS).alias(c)) for df, c in ((left, "_nl"), (right, "_nr"))]
+    blocks = F.broadcast(blocks[0].join(blocks[1], "step"))  # one row a step
+    dealt = lambda df, own, other: df.join(blocks, "step").select("id", "n", "s", "step", F.pmod(F.xxhash64("id"), own).alias(f"_b{own[2:]}"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(f"_b{other[2:]}"))
+    key = ["step", "_bl", "_br"]
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(a) and len(b):
+            b = b.sort_values("n")
+            n, ids, texts = b["n"].to_numpy(), b["id"].to_list(), b["s"].to_list()
+            ours, theirs = letter_counts(a["s"].to_list()), letter_counts(texts)
+            for i, m, s, mine in zip(a["id"], a["n"], a["s"], ours):
+                lo, hi = np.searchsorted(n, m * bound - 1e-6), np.searchsorted(n, m / bound + 1e-6, "right")
+                apart = np.abs(theirs[lo:hi] - mine).sum(axis=1)
+                for k in lo + np.flatnonzero(apart <= (1 - least) * (n[lo:hi] + m) + 1e-6):
+                    score = token_set_ratio(s, texts[k])
+                    if score >= least:
+                        found.append((i, ids[k], score))
+        return pd.DataFrame(found, columns=["id", "alias_id", "score"])
+
+    met = dealt(left, "_nl", "_nr").groupBy(*key).cogroup(dealt(right, "_nr", "_nl").groupBy(*key))
+    return met.applyInPandas(compare, "id binary, alias_id binary, score double")
 
 
 def match_fuzzy(titles: DataFrame, dim: DataFrame, least: float = 0.90) -> DataFrame:
     """M3. The alias most like a title by token-set ratio, of equally like ones the longest, then the first; from ``least`` on.
 
-    Meant for the distinct titles that nothing else matched. Neither titles nor aliases are gathered anywhere: pairs that
-    may be alike meet in joins (``candidate_pairs``), and only these are compared.
+    Meant for the distinct titles that nothing else matched. Neither titles nor aliases are gathered anywhere. The ratio is
+    1 just where one's words hold the other's, so these pairs come first and settle their titles. For the others, a pair
+    reaches ``least`` in one of two ways:
+
+    * Its common words make up so much of one of the two that the other's words don't matter. So the rarest words of that
+      side, up to the length that may be missing, hold a common word; all words of the other are asked.
+    * The words, common ones first, are alike as strings (``_alike``).
     """
     if not 0.5 < least <= 1:
         raise ValueError("least must be over 0.5, and 1 at most")
@@ -173,22 +222,44 @@ def match_fuzzy(titles: DataFrame, dim: DataFrame, least: float = 0.90) -> DataF
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    worded = lambda df, c: df.select(c).filter(F.size(word_set(c)) > 0).distinct()
-    pairs = candidate_pairs(worded(titles, "title"), worded(dim, "alias"), least)
-    alike = pairs.withColumn("score", ratio("title", "alias")).filter(F.col("score") >= least)
-    first = dim.groupBy("alias").agg(F.min(F.struct("entity_ord", "alias_ord", "alias", "id", "name")).alias("e"))
-    order = F.struct((-F.col("score")).alias("s"), (-F.length("alias")).alias("n"), "e")
-    best = alike.join(first, "alias").groupBy("title").agg(F.min(order).alias("m"))
-    return best.select("title", F.col("m.e.id").alias("id"), F.col("m.e.name").alias("name"), F.round(-F.col("m.s"), 3).alias("score"))
+    bound = least / (2 - least)
+    asked = kept(_worded(titles.filter("title is not null"), "title"), "titles")
+    first = dim.groupBy("alias").agg(F.min(F.struct("entity_ord", "alias_ord", "id", "name")).alias("e"))
+    aliases = kept(_worded(dim.filter("alias is not null"), "alias").join(first, "alias").select("id", "alias", "words", "n", F.col("e.entity_ord").alias("entity_ord"), F.col("e.alias_ord").alias("alias_ord"), F.col("e.id").alias("entity"), F.col("e.name").alias("name")), "aliases")
+    sent = F.broadcast if _few(aliases) else lambda df: df
+    flat = lambda df: df.select("id", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
+    alias_words, words = flat(aliases), flat(asked)
+    known = words.join(sent(alias_words.select("word").distinct()), "word", "left_semi")
+    counts = kept(known.select("word").unionAll(alias_words.select("word")).groupBy("word").agg(F.count("*").alias("count")), "words")
+    order = F.struct((-F.col("score")).alias("s"), (-F.length("alias")).alias("n"), "entity_ord", "alias_ord", "alias", "alias_id")
+    best = lambda df: df.groupBy("id").agg(F.min(order).alias("m"))
+    settled = kept(best(_holding(asked, known, aliases, alias_words, counts, sent)), "settled")
+    found = settled
+    if least < 1:
+        rest = kept(asked.join(settled, "id", "left_anti"), "rest")
+        rest_words = flat(rest)
+        named = lambda df: df.select(F.col("id").alias("alias_id"), "word")
+        of_alias = _rare(alias_words, sent(counts), 1 - bound)
+        met = rest_words.join(sent(named(of_alias)), "word").select("id", "alias_id")
+        met = met.unionAll(_rare(rest_words, sent(counts), 1 - bound).join(sent(named(alias_words)), "word").select("id", "alias_id"))
+        pairs = _with_words(met, rest, aliases, sent)
+        common = F.length(F.array_join(F.array_intersect("words", "_words"), " "))
+        holding = pairs.filter(common + 1e-6 >= bound * F.least("n", "_n")).withColumn("score", ratio(F.array_join("words", " "), F.array_join("_words", " "))).filter(F.col("score") >= least)
+        place = aliases.select(F.col("id").alias("alias_id"), "alias", "entity_ord", "alias_ord")
+        alike = _alike(rest, aliases, least).join(sent(place), "alias_id")
+        columns = ["id", "alias_id", "score", "alias", "entity_ord", "alias_ord"]
+        found = found.unionAll(best(holding.select(*columns).unionAll(alike.select(*columns))))
+    placed = found.select("id", "m.alias_id", F.round(-F.col("m.s"), 3).alias("score")).join(asked.select("id", "title"), "id").drop("id")
+    return placed.join(sent(aliases.select(F.col("id").alias("alias_id"), F.col("entity").alias("id"), "name")), "alias_id").select("title", "id", "name", "score")
 
 
 def match_career(df: DataFrame, title_col: str, dim: DataFrame, markup: bool = True) -> DataFrame:
     """M4. ``career_id, career_name, career_confidence``: exact, then contained, then fuzzy, by distinct title."""
     keyed = df.withColumn("_title", clean_title(title_col, markup))
-    titles = keyed.select(F.col("_title").alias("title")).distinct()
+    titles = kept(keyed.select(F.col("_title").alias("title")).distinct(), "titles")
     exact = match_exact(titles, dim)
     rest = titles.join(exact, "title", "left_anti")
-    contained = match_contained(rest, dim)
+    contained = kept(match_contained(rest, dim), "contained")
     fuzzy = match_fuzzy(rest.join(contained, "title", "left_anti"), dim)
     found = exact.unionByName(contained).unionByName(fuzzy)
     named = found.select(F.col("title").alias("_title"), F.col("id").alias("career_id"), F.col("name").alias("career_name"), F.col("score").alias("career_confidence"))

@@ -110,6 +110,22 @@ def test_set_similarity_join_loses_no_pair(spark, least):
     assert {r.title: (by_id[r.id], r.score) for r in found.collect()} == all_pairs(titles, aliases, least)
 
 
+def test_many_blocks_and_aliases_that_are_not_sent(spark, monkeypatch):
+    """Titles too long for prefixes of letters to tell apart, in blocks of a few, without anything broadcast."""
+    monkeypatch.setattr(M, "BLOCK_CHARS", 2_000)
+    monkeypatch.setattr(M, "SENT_CHARS", 0)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    aliases = list(dict.fromkeys(" ".join(rng.sample(words, rng.randint(30, 60))) for _ in range(40)))
+    titles = {" ".join(w[:-1] + "z" if rng.random() < 0.3 else w for w in a.split()) for a in aliases[:20]} | {" ".join([*a.split(), "more"]) for a in aliases[20:25]}
+    dim = spark.createDataFrame([(f"I{k}", f"N{k}", a, k, 0) for k, a in enumerate(aliases)], "id string, name string, alias string, entity_ord int, alias_ord int")
+    found = {r.title: (aliases[int(r.id[1:])], r.score) for r in M.match_fuzzy(spark.createDataFrame([(t,) for t in titles], "title string"), dim).collect()}
+    assert found == all_pairs(titles, aliases, 0.9) and len(found) >= 20
+    inside = spark.createDataFrame([(f"x {' '.join(a.split()[:5])} y",) for a in aliases[:3]] + [(words[0],)], "title string")
+    short = dim.selectExpr("id", "name", "substring_index(alias, ' ', 5) as alias", "entity_ord", "alias_ord")
+    assert {r.title: r.id for r in M.match_contained(inside, short).collect()} == {f"x {' '.join(a.split()[:5])} y": f"I{k}" for k, a in enumerate(aliases[:3])}
+
+
 def test_no_cap_on_aliases(spark):
     dim = spark.range(30_000).selectExpr("cast(id as string) as id", "cast(id as string) as name", "'role ' || hex(id) || ' of ' || hex(id * 7919) as alias", "cast(id as int) as entity_ord", "0 as alias_ord")
     titles = spark.createDataFrame([(f"rolle {i:X} of {i * 7919:X}",) for i in (12345, 29_999)] + [("nothing",)], "title string")
