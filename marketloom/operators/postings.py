@@ -9,6 +9,7 @@ from marketloom.functions import normalize as N
 from marketloom.functions.text import clean_text, col, content_hash, cross_source_key, dedup_group_id, job_id, text_or_empty
 from marketloom.operators.dedup import with_duplicate_count
 from marketloom.operators.matching import extract_skills, match_career
+from marketloom.sources.versions import kept
 
 
 def parse_tags(tags: str | Column) -> Column:
@@ -45,20 +46,29 @@ def user_segment(role, stage, major_career, career, target) -> Column:
 
 
 def process_postings(raw: DataFrame, careers: DataFrame, skills: DataFrame, locations: DataFrame, snapshot_version: str, markup: bool = True) -> DataFrame:
-    """M9. Cleaned postings with keys, normalised fields, career and nested skills."""
+    """M9. Cleaned postings with keys, normalised fields, career and nested skills.
+
+    What a posting's text decides is worked out in its row, and skills where the text is read; the rows that are joined have
+    no text. A posting has the skills of its own text: rows of one ``job_id`` share them if they share the content hash.
+    """
     hash_ = content_hash("title_raw", "company_name_raw", "location_raw", "description_raw", markup)
-    rows = raw.select(*RAW).withColumn("content_hash", hash_)
-    rows = rows.withColumns({"job_id": job_id("source", "source_job_id", "source_url", "content_hash"), "dedup_group_id": dedup_group_id("content_hash")})
+    hashed = raw.select(*RAW).withColumn("content_hash", hash_).withColumn("job_id", job_id("source", "source_job_id", "source_url", "content_hash"))
+    rows = kept(hashed.select(
+        "job_id", "content_hash", "source", "source_id", "source_job_id", "source_url", "title_raw", "company_name_raw", "location_raw", "collected_at", dedup_group_id("content_hash").alias("dedup_group_id"),
+        N.work_mode("work_mode_raw", "location_raw", "description_raw", markup).alias("work_mode"), N.salary("salary_raw", markup).alias("_pay"),
+        N.seniority(F.coalesce(F.nullif(F.col("experience_raw"), F.lit("")), F.col("description_raw")), markup).alias("seniority_level"), N.experience_years("description_raw", markup).alias("experience_min_years"),
+        N.education("education_raw", markup).alias("education_level"), N.posted_date("posted_at_raw", "collected_at", markup).alias("posted_at"), F.substring(text_or_empty("description_raw"), 1, 1).alias("_said"),
+    ), "postings")
     placed = N.province(match_career(rows, "title_raw", careers, markup), "location_raw", locations, "province", markup)
-    found = extract_skills(placed.select("job_id", "description_raw").dropDuplicates(["job_id"]), "job_id", "description_raw", skills, "required", markup)
-    nested = found.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("skill_id", "skill_name", "raw_mention", "requirement_level", "confidence"))).alias("skills"))
-    joined = with_duplicate_count(placed.join(nested, "job_id", "left"), "content_hash")
-    pay = N.salary("salary_raw", markup)
-    return joined.withColumn("_pay", pay).select(
+    found = extract_skills(hashed.select(F.struct("job_id", "content_hash").alias("_key"), "description_raw"), "_key", "description_raw", skills, "required", markup)
+    nested = found.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("skill_id", "skill_name", "raw_mention", "requirement_level", "confidence"))).alias("skills"))
+    nested = nested.select("_key.job_id", "_key.content_hash", "skills")
+    joined = with_duplicate_count(placed.join(nested, ["job_id", "content_hash"], "left"), "content_hash")
+    return joined.select(
         "job_id", "source", "source_id", "source_job_id", "source_url", F.col("title_raw").alias("job_title_raw"), clean_text("company_name_raw").alias("company_name") if markup else F.col("company_name_raw").alias("company_name"),
-        "career_id", "career_name", "career_confidence", "province", N.work_mode("work_mode_raw", "location_raw", "description_raw", markup).alias("work_mode"),
+        "career_id", "career_name", "career_confidence", "province", "work_mode",
         F.col("_pay.min_vnd").alias("salary_min_vnd"), F.col("_pay.max_vnd").alias("salary_max_vnd"), F.col("_pay.mid_vnd").alias("salary_mid_vnd"), F.col("_pay.disclosed").alias("salary_disclosed"),
-        N.seniority(F.coalesce(F.nullif(F.col("experience_raw"), F.lit("")), F.col("description_raw")), markup).alias("seniority_level"), N.experience_years("description_raw", markup).alias("experience_min_years"), N.education("education_raw", markup).alias("education_level"),
-        N.posted_date("posted_at_raw", "collected_at", markup).alias("posted_at"), "collected_at", "content_hash", "dedup_group_id", cross_source_key("company_name_raw", "title_raw", "province", markup).alias("cross_source_key"), "duplicate_count",
-        N.overall_confidence("career_confidence", "province", F.size("skills"), "description_raw").alias("overall_confidence"), N.source_confidence("source").alias("source_confidence"), "skills", F.lit(snapshot_version).alias("snapshot_version"), F.lit(True).alias("is_active"),
+        "seniority_level", "experience_min_years", "education_level",
+        "posted_at", "collected_at", "content_hash", "dedup_group_id", cross_source_key("company_name_raw", "title_raw", "province", markup).alias("cross_source_key"), "duplicate_count",
+        N.overall_confidence("career_confidence", "province", F.size("skills"), "_said").alias("overall_confidence"), N.source_confidence("source").alias("source_confidence"), "skills", F.lit(snapshot_version).alias("snapshot_version"), F.lit(True).alias("is_active"),
     )

@@ -110,6 +110,19 @@ def test_set_similarity_join_loses_no_pair(spark, least):
     assert {r.title: (by_id[r.id], r.score) for r in found.collect()} == all_pairs(titles, aliases, least)
 
 
+def test_postings_have_their_own_skills_and_texts_are_not_shuffled(spark):
+    from marketloom.operators import postings as J
+
+    raw = spark.createDataFrame([("s", "1", "Clerk", "sql needed"), ("s", "1", "Clerk", "nothing"), ("s", "2", "Clerk", None)], "source string, source_job_id string, title_raw string, description_raw string")
+    raw = raw.select("*", *(F.lit(None).cast("timestamp" if c == "collected_at" else "string").alias(c) for c in J.RAW if c not in raw.columns))
+    dim = spark.createDataFrame([("S", "SQL", "sql", 0, 0)], "id string, name string, alias string, entity_ord int, alias_ord int")
+    done = J.process_postings(raw, dim, dim, dim, "v", markup=False)
+    assert sorted((r.source_job_id, [x.skill_id for x in r.skills or []], r.overall_confidence) for r in done.collect()) == [("1", [], 0.425), ("1", ["S"], 0.6), ("2", [], 0.175)]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    shuffles = M.extract_skills(raw, "source_job_id", "description_raw", dim, markup=False)._jdf.queryExecution().sparkPlan().toString()
+    assert "description_raw" not in "".join(line for line in plan.split("\n") if "Join" in line or "Exchange" in line) and "SortMergeJoin" not in shuffles and "BroadcastHashJoin" in shuffles
+
+
 def test_many_blocks_and_aliases_that_are_not_sent(spark, monkeypatch):
     """Titles too long for prefixes of letters to tell apart, in blocks of a few, without anything broadcast."""
     monkeypatch.setattr(M, "BLOCK_CHARS", 2_000)
