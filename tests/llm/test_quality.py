@@ -108,3 +108,18 @@ def test_bad_documents_go_and_clean_ones_stay(spark, size):
     rows = score_quality(docs, labels, threshold=None).join(labels, "doc_id").select("quality", "kept", "base_failed").collect()
     bad, clean = [r.kept for r in rows if r.quality == 0], [r.kept for r in rows if r.quality == 1 and not r.base_failed]
     assert sum(bad) <= 0.02 * len(bad) and sum(clean) >= 0.98 * len(clean)
+
+
+def test_all_trusted_documents_count(spark):
+    from pyspark.sql import functions as F
+
+    from marketloom.llm.quality import bin_counts, trusted_cut, trusted_ids
+
+    labels = spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert trusted_ids(labels).count() == 25_000
+    docs = spark.range(101).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 30), i -> concat('w', i * id)), ' ')").alias("text"))
+    trusted = trusted_ids(labels)
+    counts = bin_counts(docs, trusted, buckets=50)
+    counts = spark.createDataFrame(counts.collect(), counts.schema)
+    cuts = [trusted_cut(docs, trusted, counts, 50, share) for share in (0.0, 0.25, 0.255, 0.5, 1.0)]
+    assert cuts == sorted(cuts) and len(set(cuts)) == 5
