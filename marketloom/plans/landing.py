@@ -48,8 +48,9 @@ def _(r: Roles) -> DataFrame:
 def _warehouse(r: Roles) -> Warehouse:
     """Three versions: all postings; then two publishers that both start from the first, of which one has to start again."""
     house = Warehouse(r.spark, work_dir(r.spark, "warehouse"))
-    jobs, skills = r["jobs"], r["skills"]
-    house.publish({"jobs_clean": jobs, "job_skills": skills}, 0)
+    house.publish({"jobs_clean": r["jobs"], "job_skills": r["skills"]}, 0)
+    # later versions are made from what the first one holds, not worked out from the source tables again
+    jobs, skills = house.table("jobs_clean", 1), house.table("job_skills", 1)
     active = {"jobs_clean": jobs.filter("is_active"), "job_skills": skills}
     house.publish(active, 1, filled=["jobs_clean"])
     try:
