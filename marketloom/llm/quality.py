@@ -27,6 +27,8 @@ THRESHOLD = -0.1
 #: Without a fixed threshold: so many of the trusted documents that pass the base rules lie below the cut.
 CUT_SHARE = 0.01
 WINDOW = 8
+#: Bits that say which hashes of ids are trusted ones' (2 MB).
+SLOTS = 1 << 24
 SYMBOLS = "#*$%&|<>"
 RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"]
 
@@ -101,24 +103,30 @@ def trusted_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
     return ids if most is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def bin_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """One row: ``c``, the raw and target counts of every bin in order, and their sums ``n_raw`` and ``n_target``.
+def trusted_texts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Text of every row of ``docs`` whose id is in ``trusted`` (distinct ids).
 
-    Raw counts cover all of ``docs``; target counts cover those whose id is in ``trusted``. The ids are sent to the texts
-    while Spark takes them for small (``autoBroadcastJoinThreshold``).
+    Texts whose id hashes to no trusted one stay where they are: one bit a hash value, ``SLOTS`` in all whatever the number of
+    ids, is sent to the texts. The rest meet the ids in a join that keeps the ids of a part in memory and sorts no texts.
     """
-    spark = docs.sparkSession
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
-        trusted.select(F.col(trusted.columns[0]).alias("_id"), F.lit(1).alias("_t")), "_id", "left"
-    )
-    counts = (
-        marked.select(F.explode_outer(_with_hashes(F.col("_text"), lambda w, h, p: F.concat(h, p))).alias("hash"), "_t")
-        .filter(F.col("hash").isNotNull())
-        .groupBy(F.pmod("hash", F.lit(buckets)).cast("int").alias("bin"))
-        .agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
-    )
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left")
-    return every.agg(
+    ids = trusted.select(F.col(trusted.columns[0]).cast(docs.schema[id_col].dataType).alias("_id")).distinct()
+    slot = F.pmod(F.xxhash64("_id"), F.lit(SLOTS))
+    longs = ids.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("bits"))
+    every = docs.sparkSession.range(SLOTS // 64).select(F.col("id").alias("at")).join(longs, "at", "left")
+    bits = every.agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("s"))
+    held = F.getbit(F.get(bits.select(F.col("s.bits")).scalar(), F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int"))
+    likely = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter(held == 1)
+    return likely.join(ids.hint("shuffle_hash"), "_id", "left_semi").select("text")
+
+
+def _bin_counts(texts: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
+    """``bin_counts`` of the texts of all documents and of the trusted ones."""
+    counts = []
+    for df, name in ((texts, "raw"), (target, "target")):
+        hashes = df.select(F.explode(_with_hashes(F.col("text"), lambda w, h, p: F.concat(h, p))).alias("hash"))
+        counts.append(hashes.groupBy(F.pmod("hash", F.lit(buckets)).cast("int").alias("bin")).agg(F.count("*").alias(name)))
+    every = texts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts[0], "bin", "left").join(counts[1], "bin", "left").agg(
         F.sort_array(
             F.collect_list(F.struct("bin", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))
         ).alias("c"),
@@ -127,6 +135,14 @@ def bin_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     )
 
 
+def bin_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """One row: ``c``, the raw and target counts of every bin in order, and their sums ``n_raw`` and ``n_target``.
+
+    Raw counts cover all of ``docs``; target counts cover those whose id is in ``trusted``.
+    """
+    return _bin_counts(docs.select(F.col(text_col).alias("text")), trusted_texts(docs, trusted, id_col, text_col), buckets)
+
+
 def ratio_weights(counts: DataFrame, buckets: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
     """One row, one array: the log likelihood ratio of every bin. Without trusted documents every weight is 0."""
     ratio = F.transform(
@@ -180,9 +196,14 @@ def trusted_cut(docs: DataFrame, trusted: DataFrame, counts: DataFrame, buckets:
 
     The exact quantile, read from the two scores beside it in order. If there are no such documents, every score passes.
     """
-    mine = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text")).join(trusted.select("doc_id"), "doc_id", "left_semi")
-    ready = mine.select(
-        "_text",
+    return _cut(trusted_texts(docs, trusted), counts, buckets, share)
+
+
+def _cut(texts: DataFrame, counts: DataFrame, buckets: int, share: float = CUT_SHARE) -> float:
+    """``trusted_cut`` of the texts of the trusted documents."""
+    # the scores are written before any filter, which Spark would work out below the join as well, for other documents too
+    ready = texts.select(
+        F.coalesce(F.col("text"), F.lit("")).alias("_text"),
         counts.select(F.col("c.target")).scalar().alias("_target"),
         counts.select(F.transform("c.raw", lambda x: F.log(x + ALPHA))).scalar().alias("_raw_log"),
     )
@@ -192,7 +213,7 @@ def trusted_cut(docs: DataFrame, trusted: DataFrame, counts: DataFrame, buckets:
         score = own_score(h, p, F.col("_target"), F.col("_raw_log"), tuple(scale), buckets)
         return let(F.struct(*[c.alias(name) for name, c in base_counts(F.col("_text"), w, p).items()]), lambda c: F.when(~_base_failed(c), score))
 
-    own = materialise(ready.select(_with_hashes(F.col("_text"), judged).alias("own")).filter("own is not null"), "trusted-scores")
+    own = materialise(ready.select(_with_hashes(F.col("_text"), judged).alias("own")), "trusted-scores").filter("own is not null")
     n = own.count()
     if not n:
         return -math.inf
@@ -223,11 +244,15 @@ def score_quality(
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     trusted = trusted_ids(labels, target_docs)
-    counts = bin_counts(docs, trusted, buckets=buckets)
+    target = trusted_texts(docs, trusted)
+    if threshold is None:
+        # read twice, for counts and cut
+        target = materialise(target, "trusted-texts")
+    counts = _bin_counts(docs.select("text"), target, buckets)
     if threshold is None:
         # one row of ``buckets`` bins, counted once for cut and weights
         counts = docs.sparkSession.createDataFrame(counts.collect(), counts.schema)
-        threshold = trusted_cut(docs, trusted, counts, buckets)
+        threshold = _cut(target, counts, buckets)
     weights = ratio_weights(counts, buckets).scalar()
 
     def judged(w: Column, h: Column, p: Column) -> Column:

@@ -123,3 +123,18 @@ def test_all_trusted_documents_count(spark):
     counts = spark.createDataFrame(counts.collect(), counts.schema)
     cuts = [trusted_cut(docs, trusted, counts, 50, share) for share in (0.0, 0.25, 0.255, 0.5, 1.0)]
     assert cuts == sorted(cuts) and len(set(cuts)) == 5
+
+
+def test_texts_of_documents_not_trusted_stay_where_they_are(spark):
+    from pyspark.sql import functions as F
+
+    from marketloom.llm.quality import trusted_texts
+
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.unionByName(docs.filter("doc_id = 30")).unionByName(docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    trusted = spark.range(0, 2000, 10).select(F.col("id").cast("int").alias("doc_id"))
+    mine = trusted_texts(docs, trusted)
+    assert sorted(r.text for r in mine.collect()) == sorted([f"text {i}" for i in range(0, 1000, 10)] + ["text 30"])
+    plan = mine._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join LeftSemi") :]
+    assert "getbit" in below and "shuffle_hash" in below
