@@ -146,27 +146,56 @@ def coverage_report(jobs: DataFrame, skills: DataFrame, lifecycle: DataFrame, co
     ``lifecycle`` has ``lifecycle_status``; ``collectors`` has ``source_id`` and ``collector_version``. Distributions and
     means by source are maps; versions are sorted lists.
     """
-    mapped = skills.filter(F.col("job_id").isNotNull()).select("job_id").distinct().withColumn("_s", F.lit(True))
-    rows = jobs.join(mapped, "job_id", "left")
-    n, remote = F.count("*"), F.coalesce(F.col("work_mode") == "REMOTE", F.lit(False))
+    remote = F.coalesce(F.col("work_mode") == "REMOTE", F.lit(False))
     disclosed, described = F.coalesce("salary_disclosed", F.lit(False)), F.trim(F.coalesce("description_clean", F.lit(""))) != ""
-    one = rows.agg(
+    conf = F.col("overall_confidence").cast("double")
+    # few groups, which the tasks add up; then one row a source, then one row
+    few = jobs.groupBy("source_id", "career_id", "province", "snapshot_version").agg(
+        F.count("*").alias("n"),
+        F.count_if(remote).alias("remote"),
+        F.count_if(disclosed).alias("disclosed"),
+        F.count_if(described).alias("described"),
+        F.sum(conf).alias("conf"),
+        F.count(conf).alias("n_conf"),
+    )
+    non_remote = F.col("n") - F.col("remote")
+    counts = {
+        "n": F.col("n"), "remote": F.col("remote"), "disclosed": F.col("disclosed"), "described": F.col("described"), "conf": F.col("conf"), "n_conf": F.col("n_conf"), "non_remote": non_remote,
+        "unplaced": F.when(F.col("province").isNull(), non_remote).otherwise(0), "mapped": F.when(F.col("career_id").isNotNull(), F.col("n")).otherwise(0),
+    }
+    sets = ["career_id", "province", "snapshot_version"]
+    per = few.groupBy("source_id").agg(*(F.sum(c).alias(k) for k, c in counts.items()), *(F.collect_set(c).alias(c) for c in sets))
+    of_source = lambda value: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("source_id").isNotNull(), F.struct("source_id", value.alias("v"))))))
+    sums = per.agg(
+        *(F.sum(k).alias(k) if k == "conf" else F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counts),
+        *(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in sets),
+        of_source(F.col("n")).alias("by_n"),
+        of_source(F.round(F.col("conf") / F.nullif(F.col("n_conf"), F.lit(0)), 4)).alias("by_conf"),
+    )
+    # apart from the counts and from one another, so that rows keep the order in which companies and identities lie together
+    companies = jobs.agg(F.count_distinct("company_name").alias("companies"), F.count_distinct(F.struct("source_id", "source_job_id")).alias("identities"))
+    skilled = jobs.filter(F.col("job_id").isNotNull()).select("job_id").join(skills.select("job_id"), "job_id", "left_semi").agg(F.count("*").alias("n"))
+    found = sums.withColumns({"_u": companies.select(F.struct("companies", "identities")).scalar(), "_s": skilled.scalar()})
+    n = F.col("n")
+    one = found.select(
         n.alias("total_current_jobs"),
-        F.count_distinct("company_name").alias("unique_companies"),
-        F.count_distinct("career_id").alias("unique_careers"),
-        F.count_distinct("province").alias("unique_provinces"),
-        F.count_if(remote).alias("remote_job_count"),
-        F.count_if(~remote & F.col("province").isNull()).alias("unknown_location_count"),
-        F.count_if(disclosed).alias("salary_available_count"),
-        rate(F.count_if(disclosed), n).alias("salary_available_rate"),
-        rate(F.count_if(described), n).alias("description_available_rate"),
-        rate(F.count("career_id"), n).alias("career_mapping_rate"),
-        rate(F.count_if(~remote & F.col("province").isNotNull()), F.count_if(~remote)).alias("location_mapping_rate_non_remote"),
-        F.count("_s").alias("jobs_with_mapped_skills"),
-        rate(F.count("_s"), n).alias("skill_mapping_rate"),
-        (n - F.count_distinct(F.struct("source_id", "source_job_id"))).alias("duplicate_count"),
-        F.round(F.avg("overall_confidence"), 4).alias("average_extraction_confidence"),
-        F.array_sort(F.collect_set("snapshot_version")).alias("snapshot_versions"),
+        F.col("_u.companies").alias("unique_companies"),
+        F.size("career_id").cast("long").alias("unique_careers"),
+        F.size("province").cast("long").alias("unique_provinces"),
+        F.col("remote").alias("remote_job_count"),
+        F.col("unplaced").alias("unknown_location_count"),
+        F.col("disclosed").alias("salary_available_count"),
+        rate(F.col("disclosed"), n).alias("salary_available_rate"),
+        rate(F.col("described"), n).alias("description_available_rate"),
+        rate(F.col("mapped"), n).alias("career_mapping_rate"),
+        rate(F.col("non_remote") - F.col("unplaced"), F.col("non_remote")).alias("location_mapping_rate_non_remote"),
+        F.col("_s").alias("jobs_with_mapped_skills"),
+        rate(F.col("_s"), n).alias("skill_mapping_rate"),
+        (n - F.col("_u.identities")).alias("duplicate_count"),
+        F.round(F.col("conf") / F.nullif(F.col("n_conf"), F.lit(0)), 4).alias("average_extraction_confidence"),
+        F.array_sort("snapshot_version").alias("snapshot_versions"),
+        F.col("by_n").alias("source_distribution"),
+        F.col("by_conf").alias("average_extraction_confidence_by_source"),
     )
     status = F.col("lifecycle_status")
     valid = F.coalesce(status != "invalid", F.lit(True))
@@ -177,11 +206,11 @@ def coverage_report(jobs: DataFrame, skills: DataFrame, lifecycle: DataFrame, co
         *(F.count_if(status == s).alias(f"{s}_jobs") for s in ("active", "missing_unconfirmed", "inactive")),
     )
     as_map = lambda key, value: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
-    per = jobs.filter(F.col("source_id").isNotNull()).groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.avg("overall_confidence"), 4).alias("c"))
-    sources = per.agg(as_map("source_id", "n").alias("source_distribution"), as_map("source_id", "c").alias("average_extraction_confidence_by_source"))
     made = collectors.groupBy("source_id").agg(F.array_sort(F.collect_set("collector_version")).alias("v")).agg(as_map("source_id", "v").alias("collector_versions"))
     # each side is one row
-    return one.crossJoin(states).crossJoin(sources).crossJoin(made).withColumn("taxonomy_version", F.lit(taxonomy_version))
+    maps = ["source_distribution", "average_extraction_confidence_by_source"]
+    rows = one.crossJoin(states).crossJoin(made)
+    return rows.select(*(c for c in one.columns if c not in maps), *states.columns, *maps, "collector_versions", F.lit(taxonomy_version).alias("taxonomy_version"))
 
 
 def tag_frequency(tags: DataFrame, skills: DataFrame) -> DataFrame:

@@ -169,3 +169,23 @@ def test_empty_batches_and_safe_overwrites(spark, tmp_path):
     assert S.overwrite_if_nonempty(spark.read.parquet(path).filter("id > 2"), path) and spark.read.parquet(path).count() == 2
     assert not S.overwrite_if_nonempty(spark.read.parquet(path).filter("id > 9"), path) and spark.read.parquet(path).count() == 2
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith("snap")] == ["snap"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_coverage_report_shuffles_no_jobs_for_their_skills(spark):
+    rows = [("1", "a", "x", "C", "HN", "ONSITE", "K", True, 0.5, "v1", "text"), ("2", "a", "x", "D", None, "ONSITE", "K", None, None, "v2", " "), (None, "b", "y", None, "HN", "REMOTE", None, False, 1.0, "v1", None), ("4", None, None, None, None, None, "L", True, 0.25, None, "t")]
+    columns = "job_id string, source_id string, source_job_id string, career_id string, province string, work_mode string, company_name string, salary_disclosed boolean, overall_confidence double, snapshot_version string, description_clean string"
+    jobs, skills = spark.createDataFrame(rows, columns), spark.createDataFrame([("1",), ("1",), (None,), ("4",)], "job_id string")
+    states, made = spark.createDataFrame([("active",), (None,)], "lifecycle_status string"), spark.createDataFrame([("a", "2"), ("a", "1")], "source_id string, collector_version string")
+    report = A.coverage_report(jobs, skills, states, made, "t")
+    r = report.first()
+    assert (r.total_current_jobs, r.unique_companies, r.unique_careers, r.unique_provinces, r.duplicate_count, r.jobs_with_mapped_skills) == (4, 2, 2, 1, 1, 2)
+    assert (r.remote_job_count, r.unknown_location_count, r.salary_available_count, r.description_available_rate, r.location_mapping_rate_non_remote) == (1, 2, 2, 0.5, 0.3333)
+    assert (r.average_extraction_confidence, r.snapshot_versions, r.source_distribution) == (0.5833, ["v1", "v2"], {"a": 2, "b": 1})
+    assert r.average_extraction_confidence_by_source == {"a": 0.5, "b": 1.0} and r.collector_versions == {"a": ["1", "2"]}
+    none = A.coverage_report(jobs.limit(0), skills, states, made, "t").first()
+    assert (none.total_current_jobs, none.salary_available_rate, none.average_extraction_confidence, none.source_distribution, none.snapshot_versions) == (0, None, None, {}, [])
+    assert "LeftOuter" not in plan_of(report)
