@@ -44,24 +44,38 @@ def _with_median(df: DataFrame, keys: list[str], median: DataFrame) -> DataFrame
     return joined.withColumnsRenamed({"median": "salary_median_vnd", "n": "salary_sample_size"}).withColumn("salary_sample_size", F.coalesce("salary_sample_size", F.lit(0)))
 
 
+def _demand_rows(jobs: DataFrame, seq_col: str | None, keys: list[str]) -> DataFrame:
+    identity, order = ["source_id", "source_job_id"], ["collected_at", seq_col or "job_id"]
+    used = list(dict.fromkeys([*identity, *order, *keys, "career_id", "company_name", "salary_disclosed", "salary_mid_vnd", "overall_confidence", "posted_at"]))
+    # postings are counted by whether they have an id: the ids themselves would be most of what is shuffled
+    rows = active_jobs(jobs).select(*used, F.col("job_id").isNotNull().alias("_has_id"))
+    return dedup_last(rows, identity, order).filter(F.col("career_id").isNotNull())
+
+
+def _demand_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.count_if("_has_id").alias("posting_count"),
+        F.count_distinct("company_name").alias("unique_company_count"),
+        F.avg("overall_confidence").alias("average_confidence"),
+        F.min("posted_at").alias("data_from"),
+        F.max("posted_at").alias("data_to"),
+    )
+
+
+def demand_counts(jobs: DataFrame, seq_col: str | None = None, keys: list[str] = DEMAND_KEYS) -> DataFrame:
+    """The rows of ``demand_summary`` without pay, whose medians need the postings once more."""
+    return _demand_groups(_demand_rows(jobs, seq_col, keys), keys)
+
+
 def demand_summary(jobs: DataFrame, seq_col: str | None = None, keys: list[str] = DEMAND_KEYS) -> DataFrame:
     """A1. Postings, companies, median disclosed pay, confidence and dates for each career, place and mode.
 
     Active jobs only, the last collected row of each posting, ties to the larger ``seq_col`` or else ``job_id``; null
     places and modes are groups of their own.
     """
-    identity, order = ["source_id", "source_job_id"], ["collected_at", seq_col or "job_id"]
-    used = list(dict.fromkeys([*identity, *order, *keys, "career_id", "job_id", "company_name", "salary_disclosed", "salary_mid_vnd", "overall_confidence", "posted_at"]))
-    rows = dedup_last(active_jobs(jobs).select(*used), identity, order).filter(F.col("career_id").isNotNull())
+    rows = _demand_rows(jobs, seq_col, keys)
     pay = F.when(F.coalesce("salary_disclosed", F.lit(False)), F.col("salary_mid_vnd"))
-    groups = rows.groupBy(*keys).agg(
-        F.count("job_id").alias("posting_count"),
-        F.count_distinct("company_name").alias("unique_company_count"),
-        F.avg("overall_confidence").alias("average_confidence"),
-        F.min("posted_at").alias("data_from"),
-        F.max("posted_at").alias("data_to"),
-    )
-    found = _with_median(groups, keys, spread_median(rows, keys, pay))
+    found = _with_median(_demand_groups(rows, keys), keys, spread_median(rows, keys, pay))
     return found.select(*keys, "posting_count", "unique_company_count", "salary_median_vnd", "salary_sample_size", "average_confidence", "data_from", "data_to")
 
 
@@ -264,7 +278,9 @@ def market_groups(demand: DataFrame, matrix: DataFrame, jobs: DataFrame, job_ski
     )
     asked = matrix.select("career_id", "skill_id").union(job_skills.select("career_id", "skill_id")).distinct()
     skills = asked.join(of, "career_id").join(foundation, "skill_id").groupBy("career_group_id").agg(F.array_sort(F.collect_set("foundation_skill_id")).alias("foundation_skill_ids"))
-    taxonomy = jobs.join(of, "career_id").groupBy("career_group_id").agg(F.max("taxonomy_version").alias("taxonomy_version"))
+    # one row a career first, as all jobs would be shuffled by their few careers
+    newest = jobs.groupBy("career_id").agg(F.max("taxonomy_version").alias("taxonomy_version"))
+    taxonomy = newest.join(of, "career_id").groupBy("career_group_id").agg(F.max("taxonomy_version").alias("taxonomy_version"))
     joined = groups.join(sums, "career_group_id", "left").join(skills, "career_group_id", "left").join(taxonomy, "career_group_id", "left")
     need = lambda c, what: F.coalesce(F.col(c), F.raise_error(F.concat(F.lit(f"{what} mapped for "), "career_group_id")))
     n = need("sample_size", "no demand rows")

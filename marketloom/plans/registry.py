@@ -21,6 +21,7 @@ from marketloom.operators import postings as J
 from marketloom.operators import profiles as C
 from marketloom.plans.demo import Roles, role_sql
 from marketloom.sources.tables import career_code_map, jsonify_complex, read_snapshot, split_jobs_skills
+from marketloom.sources.versions import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,7 +170,8 @@ from (select career_group_id, display_name, cast(sum(posting_count) as bigint) a
 join (select career_group_id, string_agg(distinct foundation_skill_id, ',' order by foundation_skill_id) as foundation_skill_ids from k join m using (career_id) join ({FOUNDATION}) f using (skill_id) group by 1) b using (career_group_id)
 join (select career_group_id, max(taxonomy_version) as taxonomy_version from ({VERSIONED}) j join m using (career_id) group by 1) t using (career_group_id)""")
 def _(r):
-    found = A.market_groups(A.demand_summary(r["jobs"], "seq"), A.skill_matrix(r["skills"]), r.sql(VERSIONED), r["skills"], r.sql(MAPPING), r.sql(FOUNDATION), "map-1")
+    skills = kept(r["skills"].drop("job_id"), "skills")  # read by the matrix and beside it
+    found = A.market_groups(A.demand_counts(r["jobs"], "seq"), A.skill_matrix(skills), r.sql(VERSIONED), skills, r.sql(MAPPING), r.sql(FOUNDATION), "map-1")
     return found.withColumn("foundation_skill_ids", F.array_join("foundation_skill_ids", ","))
 
 

@@ -189,3 +189,16 @@ def test_the_coverage_report_shuffles_no_jobs_for_their_skills(spark):
     none = A.coverage_report(jobs.limit(0), skills, states, made, "t").first()
     assert (none.total_current_jobs, none.salary_available_rate, none.average_extraction_confidence, none.source_distribution, none.snapshot_versions) == (0, None, None, {}, [])
     assert "LeftOuter" not in plan_of(report)
+
+
+def test_market_groups_need_no_medians_and_demand_no_ids(spark, sf):
+    from marketloom.plans.registry import QUERIES
+
+    assert "_upto" not in plan_of(QUERIES["A10_market_groups"](spark, sf))
+    jobs = spark.createDataFrame([(None, "s", "1", "C"), ("2", "s", "2", "C"), ("3", "s", "2", "C")], "job_id string, source_id string, source_job_id string, career_id string")
+    jobs = jobs.selectExpr("*", "career_id as career_name", "'P' as province", "'M' as work_mode", "'v' as snapshot_version", "'K' as company_name", "true as salary_disclosed", "5D as salary_mid_vnd", "1D as overall_confidence", "current_date() as posted_at", "1 as collected_at", "cast(source_job_id as int) + coalesce(cast(job_id as int), 0) as seq")
+    found = A.demand_summary(jobs, "seq")
+    assert [(r.posting_count, r.salary_sample_size) for r in found.collect()] == [(1, 2)]
+    windows = [line for line in plan_of(found).split("\n") if "Window [row_number" in line]
+    assert windows and all("job_id#" not in line.replace("source_job_id#", "") for line in windows)
+    assert "isnotnull(job_id" in plan_of(found)
