@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from marketloom.operators.aggregate import DEMAND_KEYS, demand_summary
 
@@ -195,21 +196,26 @@ def report_differences(left: DataFrame, right: DataFrame, fields: dict[str, str]
     pairs = [(F.col(f"l.{a}").alias(f"_l{i}"), F.col(f"r.{b}").alias(f"_r{i}")) for i, (a, b) in enumerate(fields.items())]
     one = left.limit(1).withColumn("_one", F.lit(1)).alias("l")
     both = one.join(right.limit(1).withColumn("_one", F.lit(1)).alias("r"), "_one", "full_outer").select(*(c for pair in pairs for c in pair))  # one row beside one row
-    out = None
-    for i, name in enumerate(fields):
-        a, b, kinds = F.col(f"_l{i}"), F.col(f"_r{i}"), dict(both.dtypes)
-        if kinds[f"_l{i}"].startswith("map"):
-            keys = F.array_union(F.coalesce(F.map_keys(a), F.array().cast("array<string>")), F.coalesce(F.map_keys(b), F.array().cast("array<string>")))
-            rows = both.select(F.explode(keys).alias("key"), a.alias("a"), b.alias("b")).select("key", F.try_element_at("a", F.col("key")).alias("a"), F.try_element_at("b", F.col("key")).alias("b"))
-        else:
-            rows = both.select(F.lit("").alias("key"), a.alias("a"), b.alias("b"))
-        a, b = F.col("a"), F.col("b")
-        number = all(re.match("int|bigint|double|float|decimal", k) for k in (dict(rows.dtypes)["a"], dict(rows.dtypes)["b"]))
-        same = a.eqNullSafe(b) | F.coalesce(F.abs(a.cast("double") - b.cast("double")) <= 1e-9, F.lit(False)) if number else a.cast("string").eqNullSafe(b.cast("string"))
+    number = lambda kind: re.match("int|bigint|double|float|decimal", kind)
+
+    def difference(name: str, key: Column, a: Column, b: Column, kinds: tuple[str, str]) -> Column:
+        close = F.coalesce(F.abs(a.cast("double") - b.cast("double")) <= 1e-9, F.lit(False))
+        same = a.eqNullSafe(b) | close if all(map(number, kinds)) else a.cast("string").eqNullSafe(b.cast("string"))
         shown = F.concat_ws("/", *(F.coalesce(c.cast("string"), F.lit("null")) for c in (a, b)))
-        found = violation(rows.filter(~same), f"differs:{name}", F.col("key"), shown)
-        out = found if out is None else out.unionByName(found)
-    return out
+        return F.when(~same, F.struct(F.lit(f"differs:{name}").alias("rule"), key.cast("string").alias("key"), shown.alias("detail")))
+
+    def differences(i: int, name: str) -> Column:
+        a, b = F.col(f"_l{i}"), F.col(f"_r{i}")
+        kinds = tuple(both.schema[c].dataType for c in (f"_l{i}", f"_r{i}"))
+        if not isinstance(kinds[0], MapType):
+            return F.array(difference(name, F.lit(""), a, b, tuple(k.simpleString() for k in kinds)))
+        keys = F.array_union(*(F.coalesce(F.map_keys(m), F.array().cast("array<string>")) for m in (a, b)))
+        values = tuple(k.valueType.simpleString() for k in kinds)
+        return F.transform(keys, lambda k: difference(name, k, F.try_element_at(a, k), F.try_element_at(b, k), values))
+
+    # all fields from one row: a union of them would work the reports out once a field
+    every = F.flatten(F.array(*(differences(i, name) for i, name in enumerate(fields))))
+    return both.select(F.inline(F.filter(every, lambda x: x.isNotNull())))
 
 
 # What generated text must not say.

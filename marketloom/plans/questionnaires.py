@@ -11,6 +11,7 @@ from marketloom.operators import checks as V
 from marketloom.operators import lookups as Q
 from marketloom.plans.demo import Roles, role_sql
 from marketloom.plans.registry import query
+from marketloom.sources.versions import kept
 
 JOBS, SKILLS = role_sql("jobs"), role_sql("skills")
 
@@ -19,8 +20,8 @@ JOBS, SKILLS = role_sql("jobs"), role_sql("skills")
 def _(r: Roles) -> DataFrame:
     """Turns of conversations in their order: one goes if a kept one before has its conversation or its text."""
     turns = r.table("conversations").select("conv_id", "turn", F.lower(F.coalesce(T.squeezed_or_null("text"), F.lit(""))).alias("prompt"))
-    kept = Q.keep_first(turns, ["conv_id", "prompt"], ["turn"])
-    return kept.select("conv_id", "turn", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+    first = Q.keep_first(turns, ["conv_id", "prompt"], ["turn"])
+    return first.select("conv_id", "turn", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
 # answers made of events: each user's events of a kind of question are the answers ----------------------------------------
@@ -107,10 +108,13 @@ def _(r: Roles) -> DataFrame:
     """The coverage report of all postings against figures worked out from the active ones."""
     collectors = r.sql("select distinct l_linestatus as source_id, l_returnflag as collector_version from lineitem")
     states = r.sql("select 'active' as lifecycle_status from events")
-    report = A.coverage_report(r.sql(f"select j.*, company_name as description_clean from ({JOBS}) j"), r["skills"], states, collectors, "0.4.0")
-    active = r["jobs"].filter("is_active")
+    used = ["job_id", "source_id", "source_job_id", "career_id", "province", "snapshot_version", "work_mode", "company_name", "salary_disclosed", "overall_confidence", "is_active"]
+    # both reports read them several times, and would join the source tables again each time
+    jobs, skills = kept(r["jobs"].select(*used), "jobs"), kept(r["skills"].select("job_id"), "skills")
+    report = A.coverage_report(jobs.withColumn("description_clean", F.col("company_name")), skills, states, collectors, "0.4.0")
+    active = jobs.filter("is_active")
     per = active.groupBy("source_id").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("source_id", "n"))).alias("sources"))
-    metrics = V.production_metrics(active, r["skills"].join(active.select("job_id").distinct(), "job_id", "left_semi")).withColumn("taxonomy", F.lit("0.4.0")).crossJoin(per)  # one row beside one row
+    metrics = V.production_metrics(active, skills.join(active.select("job_id"), "job_id", "left_semi")).withColumn("taxonomy", F.lit("0.4.0")).crossJoin(per)  # one row beside one row
     metrics = metrics.withColumn("valid", F.lit(r.table("events").count()))
     fields = {
         "salary_available_count": "salary_disclosed", "remote_job_count": "remote", "jobs_with_mapped_skills": "jobs_with_skill", "total_current_jobs": "job_count", "source_distribution": "sources", "taxonomy_version": "taxonomy",

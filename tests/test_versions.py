@@ -151,3 +151,16 @@ def test_hidden_questions_hide_others(spark):
     circle = spark.createDataFrame([("a", "b", "equals", "1"), ("b", "a", "equals", "1")], "question_id string, depends_on string, operator string, operand string")
     both = spark.createDataFrame([("s", "a", "1"), ("s", "b", "1"), ("t", "a", "1")], "submission_id string, question_id string, value string")
     assert {(r.submission_id, r.question_id) for r in V.visible_chained(circle, both).filter("is_visible").collect()} == {("s", "a"), ("s", "b")}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reports_are_worked_out_once_for_all_fields(spark):
+    from pyspark.sql import functions as F
+
+    left, right = (spark.range(n).agg(F.sum("id").alias("a"), F.max("id").alias("b"), F.min("id").alias("c")) for n in (10, 9))
+    found = V.report_differences(left, right, {"a": "a", "b": "b", "c": "c"})
+    assert plan_of(found).count("Range (") == 2
+    assert {tuple(r) for r in found.collect()} == {("differs:a", "", "45/36"), ("differs:b", "", "9/8")}
