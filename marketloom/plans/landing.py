@@ -14,7 +14,7 @@ from marketloom.operators import profiles as C
 from marketloom.plans.demo import Roles, role_sql
 from marketloom.plans.registry import DEMAND, GAPS, LIFECYCLE, LIMITS, MATRIX, PROFILES, WHOLE_RUNS, query
 from marketloom.sources import tables as S
-from marketloom.sources.versions import Conflict, EmptySnapshot, Warehouse, work_dir
+from marketloom.sources.versions import Conflict, EmptySnapshot, Warehouse, kept, work_dir
 from marketloom.streaming.lifecycle import lifecycle_view, sightings_stream
 
 JOBS, SKILLS = role_sql("jobs"), role_sql("skills")
@@ -210,7 +210,7 @@ def _(r: Roles) -> DataFrame:
 @query("S8_report_sinks", f"select fmt, count(*) as n, cast(sum(k) as bigint) as skills, min(ids) as first from (select unnest(['json', 'csv']) as fmt, job_id, count(*) as k, '[\"' || string_agg(distinct skill_id, '\",\"' order by skill_id) || '\"]' as ids from ({SKILLS}) s group by job_id) x group by fmt")
 def _(r: Roles) -> DataFrame:
     """A report with a nested column as JSON and as CSV, read back."""
-    report = r["skills"].groupBy("job_id").agg(F.count("*").alias("k"), F.sort_array(F.collect_set("skill_id")).alias("ids"))
+    report = kept(r["skills"].groupBy("job_id").agg(F.count("*").alias("k"), F.sort_array(F.collect_set("skill_id")).alias("ids")), "report")
     out = None
     for fmt in ("json", "csv"):
         path = work_dir(r.spark, fmt)

@@ -202,3 +202,13 @@ def test_market_groups_need_no_medians_and_demand_no_ids(spark, sf):
     windows = [line for line in plan_of(found).split("\n") if "Window [row_number" in line]
     assert windows and all("job_id#" not in line.replace("source_job_id#", "") for line in windows)
     assert "isnotnull(job_id" in plan_of(found)
+
+
+def test_a_report_is_worked_out_once_for_all_sinks(spark, sf, monkeypatch):
+    from marketloom.plans import landing
+    from marketloom.plans.registry import QUERIES
+
+    seen, write = [], landing.S.write_report
+    monkeypatch.setattr(landing.S, "write_report", lambda df, path, fmt: (seen.append(plan_of(df)), write(df, path, fmt)))
+    QUERIES["S8_report_sinks"](spark, sf).collect()
+    assert len(seen) == 2 and not any("Aggregate" in p for p in seen)
