@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import record_hash
-from marketloom.operators.aggregate import active_jobs, salary_stats
+from marketloom.operators.aggregate import active_jobs, spread_median
 
 # Dimensions of interest in their order.
 DIMENSIONS = ["Realistic", "Investigative", "Artistic", "Social", "Enterprising", "Conventional"]
@@ -143,7 +143,8 @@ def whole_profiles(careers: DataFrame, jobs: DataFrame, demand: DataFrame, skill
         F.array_sort(F.collect_set("work_mode")).alias("work_modes"),
         F.array_sort(F.collect_set("province")).alias("provinces"),
     )
-    paid = salary_stats(mine)
+    # careers without pay are filled below
+    paid = spread_median(mine, ["career_id"], pay).select(F.col("_k0").alias("career_id"), F.col("median").alias("salary_median_vnd"), F.col("n").alias("salary_sample_size"))
     top = skills.groupBy("career_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name", "origin"))).alias("top_skills"))
     said = F.struct("rank", "task", "origin", *(["text_vi"] if "text_vi" in tasks.columns else []))
     typical = tasks.groupBy("career_id").agg(F.sort_array(F.collect_list(said)).alias("typical_tasks"))

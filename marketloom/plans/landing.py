@@ -183,8 +183,11 @@ from c left join k using (career_id) left join b using (career_id) left join s u
 def _(r: Roles) -> DataFrame:
     careers = r.sql("select distinct c_mktsegment as career_id, c_mktsegment as career_name, cast(null as array<string>) as aliases from customer union all select 'NONE', 'NONE', null")
     tasks = r.spark.createDataFrame([], "career_id string, rank int, task string, origin string")
-    proof = r["jobs"].filter("province is null").select("career_id")
-    found = C.whole_profiles(careers, r["jobs"], A.demand_summary(r["jobs"], "seq"), r.sql(TOLD), tasks, r.sql(SCORED), r.sql(DESCRIBED), proof, "0.4.0", "2026-01-02")
+    used = ["job_id", "source_id", "source_job_id", "collected_at", "seq", *A.DEMAND_KEYS, "company_name", "salary_disclosed", "salary_mid_vnd", "overall_confidence", "posted_at", "is_active"]
+    # read by five parts of a profile, each of which would join the source tables again
+    jobs = kept(r["jobs"].select(*used), "jobs")
+    proof = jobs.filter("province is null").select("career_id")
+    found = C.whole_profiles(careers, jobs, A.demand_summary(jobs, "seq"), r.sql(TOLD), tasks, r.sql(SCORED), r.sql(DESCRIBED), proof, "0.4.0", "2026-01-02")
     row = F.transform("market_breakdown", lambda x: F.concat_ws("/", F.coalesce(x["province"], F.lit("-")), x["work_mode"], *(x[c].cast("string") for c in ("posting_count", "unique_company_count", "salary_sample_size"))))
     scores = F.array_join(F.transform(F.map_entries("riasec_scores"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
     shown = {"top_skills": F.array_join(F.transform("top_skills", lambda x: x["name"]), ","), "work_modes": F.array_join("work_modes", ","), "provinces": F.array_join("provinces", ","), "market_breakdown": F.array_join(row, ","), "riasec_scores": scores}

@@ -204,6 +204,15 @@ def test_market_groups_need_no_medians_and_demand_no_ids(spark, sf):
     assert "isnotnull(job_id" in plan_of(found)
 
 
+def test_whole_profiles_read_written_postings(spark, sf):
+    from marketloom.plans import landing  # noqa: F401
+    from marketloom.plans.registry import QUERIES
+
+
+    plan = plan_of(QUERIES["C11_whole_profiles"](spark, sf))
+    assert "l_orderkey" not in plan
+
+
 def test_a_report_is_worked_out_once_for_all_sinks(spark, sf, monkeypatch):
     from marketloom.plans import landing
     from marketloom.plans.registry import QUERIES
