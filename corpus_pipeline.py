@@ -19,6 +19,8 @@ from marketloom.llm.quality import score_quality
 from marketloom.llm.secrets import redacted, secret_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document's place in the mix.
+PLACE = ["slot", "in_block"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,20 +52,26 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return masked.select("doc_id", F.col("_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
+def placed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of ``mixing`` with their places, as ``run`` hands them on."""
+    return mix_sources(docs, PARTS).orderBy("slot", "in_block").select(*COLUMNS, *PLACE)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixed stream (operator 7): its files, in the order of their names, are the mix."""
-    return mix_sources(docs, PARTS).orderBy("slot", "in_block").select(COLUMNS)
+    return placed(spark, docs, sf_dir).select(COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and byte spans of every document (operator 1), with its place in the mix.
 
-    Files are read in an order of their sizes, so the place is worked out again: it depends on ids and sources only.
-    Sorted by ``slot`` and ``in_block``, the rows are the mix.
+    The places are those that ``docs`` has. Where it has none they are worked out again, as files are read in an order of
+    their sizes. Sorted by ``slot`` and ``in_block``, the rows are the mix.
     """
-    keep = ("doc_id", "lang", "source", "slot", "in_block")
+    keep = ("doc_id", "lang", "source", *PLACE)
     # written first: places and pieces are then not worked out by two Python workers a task at once
-    found = encode_decode(materialise(mix_sources(docs, PARTS), "placed"), public_tokenizers.path("piece_bpe_32k.model"), keep=keep)
+    mixed = docs if set(PLACE) <= set(docs.columns) else materialise(mix_sources(docs, PARTS), "placed")
+    found = encode_decode(mixed, public_tokenizers.path("piece_bpe_32k.model"), keep=keep)
     return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends", "slot", "in_block")
 
 
@@ -75,6 +83,9 @@ STAGES = [
     ("pieces", pieces),
 ]
 
+#: What ``run`` calls in a stage's stead: the stage with more columns for the next one.
+HANDED = {"mixing": placed}
+
 #: Hashed n-grams, MinHash and sentence pieces have no form in SQL: the tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -83,5 +94,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the whole of ``documents``."""
     docs = table(spark, sf_dir, "documents").select(COLUMNS)
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialise(HANDED.get(name, stage)(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -1,5 +1,6 @@
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from marketloom.llm.mixing import mix_sources
@@ -71,3 +72,14 @@ def test_the_last_stage_shows_the_mix_of_several_files(spark, sf, tmp_path):
     finally:
         P.PARTS = alike
     assert other != written
+
+
+def test_the_last_stage_takes_its_places_from_the_mix(spark, sf, monkeypatch):
+    docs = odd_docs(spark).select(P.COLUMNS)
+    monkeypatch.setattr(P, "table", lambda *_: docs)
+    monkeypatch.setattr(P, "STAGES", P.STAGES[3:])
+    wanted = {(r.doc_id, r.slot, r.in_block) for r in mix_sources(docs, P.PARTS).collect()}
+    # places that only the mix can have given
+    monkeypatch.setitem(P.HANDED, "mixing", lambda *args: P.placed(*args).withColumn("slot", -1 - F.col("slot")))
+    got = {(r.doc_id, -1 - r.slot, r.in_block) for r in P.run(spark, sf).collect()}
+    assert got == wanted
