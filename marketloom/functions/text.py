@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,11 +50,23 @@ def visible_text(value: str, between: str) -> str:
     return unicodedata.normalize("NFC", between.join(parser.parts))
 
 
+#: Rows that are Python objects at a time: a batch may hold thousands of whole pages.
+SLICE_ROWS = 64
+
+
+def by_slices(values: pa.Array, between: str) -> pa.Array:
+    """``visible_text`` of every value."""
+    done = [pa.array([], pa.string())]
+    for k in range(0, len(values), SLICE_ROWS):
+        done.append(pa.array([None if v is None else visible_text(v, between) for v in values.slice(k, SLICE_ROWS).to_pylist()], pa.string()))
+    return pa.concat_arrays(done)
+
+
 def _stripped(between: str):
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
-            yield values.map(lambda v: None if v is None else visible_text(v, between))
+            yield by_slices(values, between)
 
     return run
 

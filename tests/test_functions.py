@@ -108,3 +108,13 @@ def test_hashes(spark):
 @pytest.mark.parametrize("a,b,low,high", [("data analyst", "analyst data", 1, 1), ("senior data analyst", "data analyst", 1, 1), ("data analyst", "data analysts", 0.95, 1), ("kế toán", "lập trình", 0, 0.6), ("", "x", 0, 0)])
 def test_token_set_ratio(a, b, low, high):
     assert low <= token_set_ratio(a, b) <= high and indel_ratio(a, a) == 1
+
+
+def test_pages_are_stripped_by_slices_of_a_batch():
+    import pyarrow as pa
+
+    from marketloom.functions import text
+
+    got = text.by_slices(pa.array(["<p>a</p>", None, "b &amp; <i>c</i>"] * 70), " ")
+    assert got.to_pylist() == ["a", None, "b &  c"] * 70 and text.SLICE_ROWS < 210
+    assert text.by_slices(pa.array([], pa.string()), " ").to_pylist() == []
