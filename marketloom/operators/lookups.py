@@ -47,9 +47,30 @@ def match_results(results: DataFrame, careers: DataFrame) -> DataFrame:
     return results.join(careers.select("career_id", "career_name"), "career_id", "left")
 
 
+#: Q6. Parts that a key's users are dealt to, and lists that its profiles come in.
+ROSTER_SLOTS, ROSTER_LISTS = 32, 16
+
+
 def roster(users: DataFrame, profiles: DataFrame, by: list[str]) -> DataFrame:
-    """Q6. Users and profiles of the same tenant and class."""
-    return users.join(profiles, by)
+    """Q6. Users and profiles of the same tenant and class.
+
+    There is a row for every pair, however few bytes the inputs have: so a key's users are dealt to ``ROSTER_SLOTS`` parts
+    and these to all shuffle partitions, and they meet the key's profiles in lists, which are taken apart afterwards.
+    """
+
+    def dealt(df: DataFrame, parts: int) -> Column:
+        plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+        return F.pmod(F.xxhash64(*plain), F.lit(parts)).cast("int")
+
+    tasks = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    others = [F.col(c) for c in profiles.columns if c not in by]
+    lists = profiles.groupBy(*by, dealt(profiles, ROSTER_LISTS).alias("_list")).agg(F.collect_list(F.struct(*others or [F.lit(0)])).alias("_profiles"))
+    lists = lists.drop("_list").withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(ROSTER_SLOTS - 1))))
+    left = users.withColumn("_slot", dealt(users, ROSTER_SLOTS))
+    # a stated number of partitions, as adaptive execution would merge them by their few bytes; merge: nothing is broadcast once a slot
+    left, right = (df.repartition(tasks, *by, "_slot") for df in (left, lists))
+    pairs = left.join(right.hint("merge"), [*by, "_slot"]).drop("_slot").withColumn("_profiles", F.explode("_profiles"))
+    return pairs.select(*by, *(c for c in users.columns if c not in by), *(["_profiles.*"] if others else []))
 
 
 def removed(profiles: DataFrame, class_col: str) -> DataFrame:

@@ -7,6 +7,7 @@ from marketloom.operators import aggregate as A
 from marketloom.operators import checks as V
 from marketloom.operators import learner as E
 from marketloom.operators import lifecycle as L
+from marketloom.operators import lookups as Q
 from marketloom.operators import pages as P
 from marketloom.operators.postings import adapt_listing, process_postings
 from marketloom.operators.matching import alias_dim, extract_skills
@@ -178,3 +179,17 @@ def test_sources(spark, tmp_path):
     assert S.read_reference_rows(spark, str(tmp_path / "ref.json"), "occupation").first().title == "t"
     (tmp_path / "tax.json").write_text('{"taxonomy_version":"1","skills":[{"skill_id":"S","canonical_name":"N","aliases":["a"]}]}')
     assert tuple(S.read_taxonomy(spark, str(tmp_path / "tax.json"), "skills").first()) == ("S", "N", ["a"], 0, "1")
+
+
+def test_a_roster_deals_the_pairs_of_one_key_to_several_tasks(spark):
+    users = spark.range(400).select(F.col("id").alias("u"), F.lit(1).alias("t"), F.lit("a").alias("c")).coalesce(1)
+    odd = spark.createDataFrame([(None, 1, "a"), (None, 1, "a"), (-1, None, "a"), (-2, 1, None), (-3, 9, "a")], "u long, t int, c string")
+    users = users.unionByName(odd).coalesce(1)
+    profiles = spark.createDataFrame([(1, "a", 7, None), (1, "a", 7, None), (1, "a", None, "x"), (None, "a", 1, "x"), (8, "a", 1, "x")], "t int, c string, p int, n string")
+    got = Q.roster(users, profiles, ["t", "c"])
+    want = users.join(profiles, ["t", "c"])
+    assert got.schema == want.schema and got.count() == 402 * 3 and not got.exceptAll(want).count() and not want.exceptAll(got).count()
+    held = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(held) < 0.6 * sum(held)
+    keys = Q.roster(users, profiles.select("t", "c"), ["t", "c"])
+    assert keys.columns == ["t", "c", "u"] and keys.count() == 402 * 3
