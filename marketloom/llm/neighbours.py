@@ -44,7 +44,12 @@ K = 20
 
 
 def inner(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products summed coordinate by coordinate, so that equal vectors have equal products to the last bit."""
+    """Inner products summed coordinate by coordinate, so that equal vectors have equal products to the last bit.
+
+    ``vectors`` are the same for all queries (two axes) or each query's own (three).
+    """
+    if vectors.ndim == 3:
+        return (queries[:, None, :] * vectors).cumsum(2)[:, :, -1] + 0.0  # sums in the same order; no negative zero
     out = np.zeros((len(queries), len(vectors)))
     for d in range(queries.shape[1]):
         out += queries[:, d, None] * vectors[None, :, d]
@@ -85,15 +90,44 @@ class Tree:
         score = np.full((len(queries), k), -np.inf)
         row = np.full((len(queries), k), len(self.vectors))
         points = np.column_stack([queries, np.zeros(len(queries))])
-        length = self.most + (queries**2).sum(1)
+        square = (queries**2).sum(1)
+        length = self.most + square
+        # more than sums of products in two orders can differ by, twice
+        slack = 4 * queries.shape[1] * np.finfo(float).eps * np.sqrt(square * self.most) + np.finfo(float).tiny
+
+        def hopeful(node: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Those of ``at`` that a leaf may better, and for each the rows that may (to the right: none), or for all the leaf.
+
+            A matrix product is cheap and tells them up to rounding; only they are scored by ``inner``.
+            """
+            rough = queries[at] @ self.vectors[node].T
+            rough[own[at, None] == node[None, :]] = -np.inf
+            bar = np.maximum(score[at, -1], floor[at])
+            new = np.isneginf(bar)
+            if len(node) > k and new.any():
+                bar[new] = np.partition(rough[new], -k, axis=1)[:, -k]
+            near = ~(rough < (bar - slack[at])[:, None])
+            times = near.sum(1)
+            some = np.flatnonzero(times)
+            if 4 * times.sum() > len(some) * len(node):  # many equal rows
+                return at[some], node
+            query, place = np.nonzero(near[some])
+            begins = np.cumsum(times[some]) - times[some]
+            rows = np.full((len(some), times.max(initial=0)), len(self.vectors))
+            rows[query, np.arange(len(query)) - begins[query]] = node[place]
+            return at[some], rows
 
         def visit(node, at: np.ndarray) -> None:
             if not len(at):
                 return
             if isinstance(node, np.ndarray):
-                s = inner(queries[at], self.vectors[node])
-                s[own[at, None] == node[None, :]] = -np.inf
-                every, rows = np.hstack([score[at], s]), np.hstack([row[at], np.broadcast_to(node, s.shape)])
+                at, rows = hopeful(node, at)
+                s = inner(queries[at], self.vectors.take(rows, axis=0, mode="clip"))
+                if not len(at):
+                    return
+                rows = np.broadcast_to(rows, s.shape)
+                s[(rows == own[at, None]) | (rows == len(self.vectors))] = -np.inf
+                every, rows = np.hstack([score[at], s]), np.hstack([row[at], rows])
                 rows = np.where(np.isneginf(every), len(self.vectors), rows)
                 best = np.lexsort((rows, -every))[:, :k]
                 score[at], row[at] = np.take_along_axis(every, best, 1), np.take_along_axis(rows, best, 1)

@@ -135,3 +135,21 @@ def test_shards_hold_whole_trees_and_queries_are_dealt_to_several_tasks(spark, s
     assert not isinstance(tree.root, np.ndarray)
     want = brute(vectors, lambda i: i % 20 == 0)
     assert rows(nearest(table, F.col("id") % 20 == 0, factor=1.0, slot_queries=4)) == want
+
+
+def test_few_rows_of_a_leaf_are_scored_coordinate_by_coordinate(monkeypatch):
+    from marketloom.llm import neighbours
+
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(4000, 32))  # random directions, where leaves are not pruned
+    points[3000:3100] = points[0]  # equal rows tie to the last bit and come by their places
+    want = inner(points[:60], points)
+    want[np.arange(60), np.arange(60)] = -np.inf
+    order = np.argsort(-want, axis=1, kind="stable")[:, :20]
+    scored = []
+    monkeypatch.setattr(neighbours, "inner", lambda a, b: scored.append(len(a) * b.shape[-2]) or inner(a, b))
+    for floor in (None, np.take_along_axis(want, order, 1)[:, -1]):
+        scored.clear()
+        score, row = Tree(points).search(points[:60], np.arange(60), 20, 1.0, floor)
+        assert (row == order).all() and (score == np.take_along_axis(want, order, 1)).all()
+        assert sum(scored) < 0.2 * 60 * 4000
