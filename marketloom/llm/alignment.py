@@ -37,8 +37,9 @@ from marketloom.llm.byte_pairs import json_codec
 from marketloom.llm.common import materialise
 from marketloom.llm.pieces import SPACE, groups
 
-#: Bytes of text of a block (a longer text is a block by itself).
+#: Bytes of text of a block (a longer text is a block by itself), and what a document counts for besides its text.
 BLOCK_BYTES = 8 << 20
+DOC_BYTES = 128
 #: A pair of ids as one number.
 ID_BITS = 24
 DOC = "struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,n_group_links:bigint,groups_sha256:string,n_pairs:bigint>"
@@ -212,7 +213,7 @@ def blocks_of(docs: DataFrame, tokenizer_file: str, pattern: str, model_file: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = aligner(tokenizer_file, pattern, model_file)
         number = count(TaskContext.get().partitionId() << 32)
-        rows: list[dict] = []
+        rows: list[pa.StructArray] = []
         pairs: list[np.ndarray] = []
         times: list[np.ndarray] = []
         size = 0
@@ -223,34 +224,31 @@ def blocks_of(docs: DataFrame, tokenizer_file: str, pattern: str, model_file: st
             distinct, at, held = np.unique(each, return_inverse=True, return_counts=True)
             found = [distinct, held, np.diff(at, prepend=0), np.concatenate([np.empty(0, np.int64), *times])]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            out = pa.RecordBatch.from_pylist(
-                [{"block": next(number), "docs": list(rows)}], pa.schema([("block", pa.int64()), ("docs", pa.list_(struct))])
-            )
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind)) for x, kind in zip(found, kinds)]
+            columns = [pa.concat_arrays(rows), *(pa.array(x, kind) for x, kind in zip(found, kinds))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in columns]
             for held_list in (rows, pairs, times):
                 held_list.clear()
             size = 0
-            return pa.RecordBatch.from_arrays([*out.columns, *lists], ["block", "docs", "pairs", "held", "at", "times"])
+            return pa.RecordBatch.from_arrays([pa.array([next(number)]), *lists], ["block", "docs", "pairs", "held", "at", "times"])
 
         for batch in batches:
             text = batch.column(1)
             sizes = pc.fill_null(pc.binary_length(text), 0).to_pylist()
             for at, end in groups(sizes):
-                if rows and size + sum(sizes[at:end]) > BLOCK_BYTES:
+                more = sum(sizes[at:end]) + DOC_BYTES * (end - at)
+                if rows and size + more > BLOCK_BYTES:
                     yield block()
                 found = lines.align(text.slice(at, end - at).to_pylist())
-                size += sum(sizes[at:end])
-                digests = [hashlib.sha256(g).hexdigest() if g else "" for g in found.groups]
-                numbers = zip(found.n_a, found.n_b, found.n_groups, found.n_links, found.n_group_links, digests, found.n_pairs)
-                rows += [dict(zip(struct.names, (i, *map(plain, ns)))) for i, ns in zip(batch.column(0).slice(at, end - at).to_pylist(), numbers)]
+                size += more
+                digests = pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in found.groups], pa.string())
+                numbers = [pa.array(x) for x in (found.n_a, found.n_b, found.n_groups, found.n_links, found.n_group_links)]
+                rows.append(pa.StructArray.from_arrays([batch.column(0).slice(at, end - at), *numbers, digests, pa.array(found.n_pairs)], names))
                 pairs.append(found.pairs)
                 times.append(found.times)
         if rows:
             yield block()
 
     names = [f.split(":")[0] for f in DOC[7:-1].split(",")]
-    struct = pa.struct([(n, pa.string() if n == "groups_sha256" else pa.int64()) for n in names])
-    plain = lambda x: x if isinstance(x, str) else int(x)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, f"block long, docs array<{DOC}>, pairs array<long>, held array<int>, at array<int>, times array<int>")
 
@@ -267,7 +265,8 @@ def align_tokenizers(docs: DataFrame, tokenizer_file: str, pattern: str, model_f
     tokens of either don't add up to (as those with U+2581) have no tokens, zeros and an empty ``groups_sha256``. Rows
     with equal or null ids are documents by themselves; an empty table gives no rows.
     """
-    blocks = materialise(blocks_of(docs, tokenizer_file, pattern, model_file), "aligned")
+    # a row is a whole block, some 30 MB in memory
+    blocks = materialise(blocks_of(docs, tokenizer_file, pattern, model_file), "aligned", rows_a_file=1)
     pairs = blocks.select("block", F.explode(F.arrays_zip("pairs", "held")).alias("p")).select("block", F.col("p.pairs").alias("pair"), F.col("p.held").alias("held"))
     counts = pairs.groupBy("pair").agg(F.sum("held").alias("n"))
     highest = F.max("n").over(W.partitionBy(F.shiftright("pair", ID_BITS)))  # as many rows as B has ids at most

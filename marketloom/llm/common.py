@@ -73,8 +73,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors."""
+def materialise(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives executors.
+
+    A Parquet writer holds 100 rows before it looks at their size, and a reader decodes up to 4,096 of a file at once. Rows
+    of megabytes therefore need files of few of them (``rows_a_file``; 0 for any number).
+    """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

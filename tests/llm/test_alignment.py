@@ -9,6 +9,7 @@ import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.decoders import ByteLevel
 
@@ -148,3 +149,18 @@ def test_the_byte_letters_are_those_of_the_library():
     for letter, byte in byte_letters().items():
         if byte < 128:
             assert ByteLevel().decode([letter]) == chr(byte)
+
+
+def test_no_file_holds_many_blocks_and_no_block_many_empty_texts(spark, monkeypatch):
+    seen, materialise = [], alignment.materialise
+    monkeypatch.setattr(alignment, "materialise", lambda *a, **k: seen.append(materialise(*a, **k)) or seen[-1])
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 4096)
+    docs = spark.createDataFrame(list(enumerate(["some words to align"] * 40 + [None] * 60)), "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        assert align_tokenizers(docs, *FILES).count() == 100
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = [r.n for r in seen[0].groupBy("_metadata.file_path").agg(F.count("*").alias("n")).collect()]
+    assert len(files) > 2 and max(files) == 1
+    assert max(r.n for r in seen[0].select(F.size("docs").alias("n")).collect()) <= 32
