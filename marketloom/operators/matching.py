@@ -23,6 +23,8 @@ from marketloom.sources.versions import kept
 MOST_WORDS = 5_000
 #: Aliases of so many characters at most in all are sent to every task.
 SENT_CHARS = 5_000_000
+#: Columns of 64 bits that mark a text's words: a text that holds all words of another has all of its bits.
+MARKS = ["_mark0", "_mark1"]
 #: So many characters of titles or aliases are compared with one another in one block, about.
 BLOCK_CHARS = 1_000_000
 # Marks of a sentence that takes a requirement back or softens it.
@@ -49,6 +51,20 @@ def match_exact(titles: DataFrame, dim: DataFrame) -> DataFrame:
     return titles.join(dim, F.col("title") == F.col("alias")).groupBy("title").agg(best).select("title", "m.id", "m.name", F.lit(1.0).alias("score"))
 
 
+def word_marks(words: Column) -> list[Column]:
+    """The columns ``MARKS`` of an array of words: each word sets one bit, by its hash."""
+    bits = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * len(MARKS))).cast("int"))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("bigint"), b % 64)
+    part = lambda k: F.filter(bits, lambda b: F.floor(b / 64) == k)
+    return [F.aggregate(part(k), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(one(b))).alias(c) for k, c in enumerate(MARKS)]
+
+
+def may_hold(marks: list[str], of: list[str]) -> Column:
+    """Whether the words marked by ``marks`` may hold all that ``of`` marks; true wherever they do."""
+    held = [F.bitwise_not(F.col(a)).bitwiseAND(F.col(b)) == 0 for a, b in zip(marks, of)]
+    return F.array_min(F.array(*held))
+
+
 def _few(dim: DataFrame) -> bool:
     return (dim.agg(F.sum(F.length("alias"))).first()[0] or 0) <= SENT_CHARS
 
@@ -59,7 +75,8 @@ def _meeting(texts: DataFrame, low: str, dim: DataFrame) -> DataFrame:
     An alias between other characters than word characters has only whole words of the text. One without a word
     character meets the texts that have its first character. If the aliases are few (``SENT_CHARS``) and have
     ``MOST_WORDS`` different longest words at most, they are sent to the texts. More of them meet hashes of the texts'
-    words, or of two neighbouring words if they have two, in a join; the texts come to what was found, once.
+    words, or of two neighbouring words if they have two, in a join, which passes on those whose words the text may hold
+    by the marks of both; the texts come to what was found, once.
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
     longest = lambda c: F.get(F.array_sort(F.transform(c, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
@@ -75,18 +92,27 @@ def _meeting(texts: DataFrame, low: str, dim: DataFrame) -> DataFrame:
     pairs = lambda c: F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
     # the last word has none after it: it is then a pair by itself, which meets aliases of one word only
     keyed = dim.withColumn("_word", F.xxhash64(F.coalesce(F.when(F.size(words("alias")) > 1, longest(F.slice(pairs(words("alias")), 1, F.size(words("alias")) - 1))), longest(words("alias")), F.substring("alias", 1, 1))))
-    marked = texts.withColumn("_at", F.md5(low))
+    keyed = keyed.select("*", *(c.alias(f"{n}_of") for c, n in zip(word_marks(words("alias")), MARKS)))
+    marked = texts.withColumn("_at", F.unhex(F.md5(low)))
     hashed = F.transform(F.array_distinct(F.concat(said, pairs(said), odd)), lambda x: F.xxhash64(x))
-    met = marked.select("_at", F.explode(hashed).alias("_word")).join(keyed, "_word").groupBy("_at").agg(F.collect_set(F.struct(*dim.columns)).alias("_met"))
+    # in two steps, so that marks are made once a text and not once a word
+    flat = marked.select("_at", *word_marks(said), hashed.alias("_words")).select("_at", *MARKS, F.explode("_words").alias("_word"))
+    met = flat.join(keyed, "_word").filter(may_hold(MARKS, [f"{n}_of" for n in MARKS])).groupBy("_at").agg(F.collect_set(F.struct(*dim.columns)).alias("_met"))
     return marked.join(met, "_at").drop("_at").select(*texts.columns, F.inline("_met"))
 
 
+def _ranked(dim: DataFrame) -> DataFrame:
+    """``dim`` with a ``rank`` by which the longest aliases come first, then those that the taxonomy has first."""
+    order = [-F.length("alias"), *(c for c in ("entity_ord", "alias_ord", "alias", "id") if c in dim.columns)]
+    return kept(dim.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()), "ranked")
+
+
 def match_contained(titles: DataFrame, dim: DataFrame, least_chars: int = 8) -> DataFrame:
     """M2. The longest alias of two words or more within a title, on word bounds."""
-    long = dim.filter((F.length("alias") >= least_chars) & F.col("alias").contains(" ")).withColumn("pattern", whole_word(F.col("alias")))
-    hit = _meeting(titles.select("title"), "title", long).filter(F.expr("contains(title, alias) AND rlike(title, pattern)"))
-    best = F.min_by(F.struct("id", "name"), F.struct(-F.length("alias"), "entity_ord", "alias_ord")).alias("m")
-    return hit.groupBy("title").agg(best).select("title", "m.id", "m.name", F.lit(0.96).alias("score"))
+    long = _ranked(dim.filter((F.length("alias") >= least_chars) & F.col("alias").contains(" ")))
+    met = _meeting(titles.select("title"), "title", long.select("alias", "rank")).withColumn("pattern", whole_word(F.col("alias")))
+    best = met.filter(F.expr("contains(title, alias) AND rlike(title, pattern)")).groupBy("title").agg(F.min("rank").alias("rank"))
+    return best.join(long.select("rank", "id", "name"), "rank").select("title", "id", "name", F.lit(0.96).alias("score"))
 
 
 def _common_subsequence(a: str, b: str) -> int:
@@ -128,9 +154,9 @@ def word_set(text: str) -> Column:
 
 
 def _worded(df: DataFrame, c: str) -> DataFrame:
-    """``id, c, words, n``: different strings with a word, their words in order, and the length of these with spaces."""
+    """``id, c, words, n`` and marks: different strings with a word, their words in order, and the length of these with spaces."""
     rows = df.select(c, word_set(c).alias("words")).filter("size(words) > 0").dropDuplicates([c])
-    return rows.select(F.unhex(F.md5(c)).alias("id"), c, "words", F.length(F.array_join("words", " ")).alias("n"))
+    return rows.select(F.unhex(F.md5(c)).alias("id"), c, "words", F.length(F.array_join("words", " ")).alias("n"), *word_marks(F.col("words")))
 
 
 def _rare(words: DataFrame, counts: DataFrame, share: float) -> DataFrame:
@@ -140,24 +166,39 @@ def _rare(words: DataFrame, counts: DataFrame, share: float) -> DataFrame:
     return flat.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") <= share * F.col("n") + 1e-9).select("id", "word")
 
 
-def _with_words(pairs: DataFrame, titles: DataFrame, aliases: DataFrame, sent) -> DataFrame:
-    """Pairs ``id, alias_id`` with the words and lengths of both (``words, n, _words, _n``) and the alias's place in order."""
-    named = aliases.select(F.col("id").alias("alias_id"), "alias", F.col("words").alias("_words"), F.col("n").alias("_n"), "entity_ord", "alias_ord")
-    return pairs.distinct().join(sent(named), "alias_id").join(titles.select("id", "words", "n"), "id")
+def _short(df: DataFrame) -> int:
+    """The length ``n`` up to which the strings have ``SENT_CHARS`` characters at most in all."""
+    # that many characters can't have more different lengths than this
+    lengths = df.groupBy("n").agg(F.count("*").alias("c")).orderBy("n").limit(int((2 * SENT_CHARS) ** 0.5) + 2).collect()
+    total, at = 0, 0
+    for r in lengths:
+        total += r["n"] * r["c"]
+        if total > SENT_CHARS:
+            break
+        at = r["n"]
+    return at
 
 
-def _holding(titles: DataFrame, words: DataFrame, aliases: DataFrame, alias_words: DataFrame, counts: DataFrame, sent) -> DataFrame:
-    """Pairs of which one's words hold all of the other's: the rarest word of the one is a word of the other.
+def _held(small: DataFrame, key: str, large: DataFrame, of: str, counts: DataFrame, sent) -> DataFrame:
+    """Pairs ``id, rank`` (``key`` and ``of``) where all words of ``small`` are words of ``large``, which has its rarest one.
 
-    Of a title's words only those are looked at that aliases have; a title with another word is in no alias.
+    The fewer words, the more texts hold them. So the shortest strings, ``SENT_CHARS`` in all, are sent to the others and
+    looked for in their rows, and their pairs are never shuffled. The rest meet by the rarest word, and get the words only
+    where the marks of both let the one hold the other. Strings with a word that ``counts`` lacks are held by none.
     """
-    rarest = lambda df: df.join(sent(counts), "word").groupBy("id", "n", "size").agg(F.min(F.struct("count", "word")).alias("m"), F.count("*").alias("known"))
-    of_alias = rarest(alias_words).select(F.col("id").alias("alias_id"), "m.word")
-    of_title = rarest(words).filter("known = size").select("id", "m.word")
-    met = words.join(sent(of_alias), "word").select("id", "alias_id").unionAll(of_title.join(sent(alias_words.select(F.col("id").alias("alias_id"), "word")), "word").select("id", "alias_id"))
-    none = lambda a, b: F.size(F.array_except(a, b)) == 0
-    both = _with_words(met, titles, aliases, sent)
-    return both.filter(none("words", "_words") | none("_words", "words")).select("id", "alias_id", F.lit(1.0).alias("score"), "alias", "entity_ord", "alias_ord")
+    words = small.select(key, F.size("words").alias("size"), F.explode("words").alias("word")).join(sent(counts), "word")
+    rarest = words.groupBy(key, "size").agg(F.min(F.struct("count", "word")).alias("m"), F.count("*").alias("known")).filter("known = size").select(key, "m.word")
+    theirs = [f"{c}_of" for c in MARKS]
+    keyed = kept(rarest.join(small.select(key, "n", F.col("words").alias("_words"), *(F.col(c).alias(d) for c, d in zip(MARKS, theirs))), key), "rarest")
+    holds = F.size(F.array_except("_words", "words")) == 0
+    short = F.col("n") <= _short(keyed)
+    flat = large.select(of, "words", *MARKS, F.explode("words").alias("word"))
+    found = flat.join(F.broadcast(keyed.filter(short).select(key, "word", "_words")), "word").filter(holds).select("id", "rank")
+    far = keyed.filter(~short)
+    if far.isEmpty():
+        return found
+    met = flat.drop("words").join(far.drop("_words", "n"), "word").filter(may_hold(MARKS, theirs)).select("id", "rank")
+    return found.unionAll(met.join(far.select(key, "_words"), key).join(large.select(of, "words"), of).filter(holds).select("id", "rank"))
 
 
 def letter_counts(texts: list[str], kinds: int = 64) -> np.ndarray:
@@ -169,17 +210,17 @@ def letter_counts(texts: list[str], kinds: int = 64) -> np.ndarray:
 
 
 def _alike(titles: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
-    """``id, alias_id, score``: pairs that are alike as strings, compared in blocks of lengths that are close.
+    """``id, rank, score``: pairs that are alike as strings, compared in blocks of lengths that are close.
 
     Of strings of ``n`` and ``m`` letters that reach ``least``, the lengths differ by ``bound`` at most, and the counts of
     letters by ``(1 - least) (n + m)`` in all, whatever the order of the words. The ratio is worked out where both hold.
     """
     bound = least / (2 - least)
     step = F.floor(F.log("n") / log(1 / bound) + 1e-9)
-    rows = lambda df: df.select("id", "n", F.array_join("words", " ").alias("s"))
+    rows = lambda df, key: df.select(F.col(key).alias("id"), "n", F.array_join("words", " ").alias("s"))
     # lengths by steps in which they may differ: those of neighbouring steps meet
-    left = rows(titles).withColumn("step", F.explode(F.array(*(step + d for d in (-1, 0, 1)))))
-    right = rows(aliases).withColumn("step", step)
+    left = rows(titles, "id").withColumn("step", F.explode(F.array(*(step + d for d in (-1, 0, 1)))))
+    right = rows(aliases, "rank").withColumn("step", step)
     blocks = [df.groupBy("step").agg(F.ceil(F.sum("n") / BLOCK_CHARS).alias(c)) for df, c in ((left, "_nl"), (right, "_nr"))]
     blocks = F.broadcast(blocks[0].join(blocks[1], "step"))  # one row a step
     dealt = lambda df, own, other: df.join(blocks, "step").select("id", "n", "s", "step", F.pmod(F.xxhash64("id"), own).alias(f"_b{own[2:]}"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(f"_b{other[2:]}"))
@@ -198,10 +239,10 @@ def _alike(titles: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
                     score = token_set_ratio(s, texts[k])
                     if score >= least:
                         found.append((i, ids[k], score))
-        return pd.DataFrame(found, columns=["id", "alias_id", "score"])
+        return pd.DataFrame(found, columns=["id", "rank", "score"])
 
     met = dealt(left, "_nl", "_nr").groupBy(*key).cogroup(dealt(right, "_nr", "_nl").groupBy(*key))
-    return met.applyInPandas(compare, "id binary, alias_id binary, score double")
+    return met.applyInPandas(compare, "id binary, rank long, score double")
 
 
 def match_fuzzy(titles: DataFrame, dim: DataFrame, least: float = 0.90) -> DataFrame:
@@ -225,38 +266,39 @@ def match_fuzzy(titles: DataFrame, dim: DataFrame, least: float = 0.90) -> DataF
     bound = least / (2 - least)
     asked = kept(_worded(titles.filter("title is not null"), "title"), "titles")
     first = dim.groupBy("alias").agg(F.min(F.struct("entity_ord", "alias_ord", "id", "name")).alias("e"))
-    aliases = kept(_worded(dim.filter("alias is not null"), "alias").join(first, "alias").select("id", "alias", "words", "n", F.col("e.entity_ord").alias("entity_ord"), F.col("e.alias_ord").alias("alias_ord"), F.col("e.id").alias("entity"), F.col("e.name").alias("name")), "aliases")
+    named = _worded(dim.filter("alias is not null"), "alias").join(first, "alias")
+    aliases = _ranked(named.select("alias", "words", "n", *MARKS, F.col("e.entity_ord").alias("entity_ord"), F.col("e.alias_ord").alias("alias_ord"), F.col("e.id").alias("entity"), F.col("e.name").alias("name")))
     sent = F.broadcast if _few(aliases) else lambda df: df
-    flat = lambda df: df.select("id", "n", F.size("words").alias("size"), F.explode("words").alias("word"))
-    alias_words, words = flat(aliases), flat(asked)
+    flat = lambda df, key: df.select(F.col(key).alias("id"), "n", F.explode("words").alias("word"))
+    alias_words, words = flat(aliases, "rank"), flat(asked, "id")
     known = words.join(sent(alias_words.select("word").distinct()), "word", "left_semi")
     counts = kept(known.select("word").unionAll(alias_words.select("word")).groupBy("word").agg(F.count("*").alias("count")), "words")
-    order = F.struct((-F.col("score")).alias("s"), (-F.length("alias")).alias("n"), "entity_ord", "alias_ord", "alias", "alias_id")
-    best = lambda df: df.groupBy("id").agg(F.min(order).alias("m"))
-    settled = kept(best(_holding(asked, known, aliases, alias_words, counts, sent)), "settled")
-    found = settled
+    either = _held(aliases, "rank", asked, "id", counts, sent).unionAll(_held(asked, "id", aliases, "rank", counts, sent))
+    settled = kept(either.groupBy("id").agg(F.min("rank").alias("rank")), "settled")
+    found = settled.select("id", F.lit(1.0).alias("score"), "rank")
     if least < 1:
         rest = kept(asked.join(settled, "id", "left_anti"), "rest")
-        rest_words = flat(rest)
-        named = lambda df: df.select(F.col("id").alias("alias_id"), "word")
+        rest_words = flat(rest, "id")
+        named = lambda df: df.select(F.col("id").alias("rank"), "word")
         of_alias = _rare(alias_words, sent(counts), 1 - bound)
-        met = rest_words.join(sent(named(of_alias)), "word").select("id", "alias_id")
-        met = met.unionAll(_rare(rest_words, sent(counts), 1 - bound).join(sent(named(alias_words)), "word").select("id", "alias_id"))
-        pairs = _with_words(met, rest, aliases, sent)
+        met = rest_words.join(sent(named(of_alias)), "word").select("id", "rank")
+        met = met.unionAll(_rare(rest_words, sent(counts), 1 - bound).join(sent(named(alias_words)), "word").select("id", "rank"))
+        theirs = aliases.select("rank", F.col("words").alias("_words"), F.col("n").alias("_n"))
+        pairs = met.distinct().join(sent(theirs), "rank").join(rest.select("id", "words", "n"), "id")
         common = F.length(F.array_join(F.array_intersect("words", "_words"), " "))
         holding = pairs.filter(common + 1e-6 >= bound * F.least("n", "_n")).withColumn("score", ratio(F.array_join("words", " "), F.array_join("_words", " "))).filter(F.col("score") >= least)
-        place = aliases.select(F.col("id").alias("alias_id"), "alias", "entity_ord", "alias_ord")
-        alike = _alike(rest, aliases, least).join(sent(place), "alias_id")
-        columns = ["id", "alias_id", "score", "alias", "entity_ord", "alias_ord"]
-        found = found.unionAll(best(holding.select(*columns).unionAll(alike.select(*columns))))
-    placed = found.select("id", "m.alias_id", F.round(-F.col("m.s"), 3).alias("score")).join(asked.select("id", "title"), "id").drop("id")
-    return placed.join(sent(aliases.select(F.col("id").alias("alias_id"), F.col("entity").alias("id"), "name")), "alias_id").select("title", "id", "name", "score")
+        scored = holding.select("id", "rank", "score").unionAll(_alike(rest, aliases, least))
+        best = scored.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "rank")).alias("m"))
+        found = found.unionAll(best.select("id", -F.col("m.s"), "m.rank"))
+    placed = found.join(asked.select("id", "title"), "id").select("title", F.round("score", 3).alias("score"), "rank")
+    return placed.join(sent(aliases.select("rank", F.col("entity").alias("id"), "name")), "rank").select("title", "id", "name", "score")
 
 
 def match_career(df: DataFrame, title_col: str, dim: DataFrame, markup: bool = True) -> DataFrame:
     """M4. ``career_id, career_name, career_confidence``: exact, then contained, then fuzzy, by distinct title."""
     keyed = df.withColumn("_title", clean_title(title_col, markup))
     titles = kept(keyed.select(F.col("_title").alias("title")).distinct(), "titles")
+    dim = kept(dim, "dim")
     exact = match_exact(titles, dim)
     rest = titles.join(exact, "title", "left_anti")
     contained = kept(match_contained(rest, dim), "contained")

@@ -68,11 +68,11 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
-        """Any of the shared SQL over this folder's tables."""
+    def sql(self, text: str, **instead: DataFrame) -> DataFrame:
+        """Any of the shared SQL over this folder's tables, or those given ``instead`` by their names."""
         for t in TABLES:
             if t in text:
-                self.table(t).createOrReplaceTempView(t)
+                instead.get(t, self.table(t)).createOrReplaceTempView(t)
         return self.spark.sql(text)
 
     def __getitem__(self, name: str) -> DataFrame:

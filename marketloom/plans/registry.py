@@ -561,7 +561,10 @@ union all select alias, alias, array(alias), cast(1000000 + min(doc_id) as int)
 
 @query("M4_match_career_tiers")
 def _(r):
-    found = M.match_career(r["posts"].select("doc_id", "title"), "title", M.alias_dim(r.sql(LABELLED_TITLES)), markup=False)
+    # titles are first lines: no more of the texts goes into the joins with the labels
+    lines = kept(r.table("documents").withColumn("text", F.split_part("text", F.lit("\n"), F.lit(1))), "lines")
+    posts = r.sql(POSTS, documents=lines).select("doc_id", "title")
+    found = M.match_career(posts, "title", M.alias_dim(r.sql(LABELLED_TITLES, documents=lines)), markup=False)
     return found.select("doc_id", F.md5(F.col("career_id").cast("binary")).alias("career_md5"), "career_confidence")
 
 

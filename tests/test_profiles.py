@@ -189,3 +189,42 @@ def test_three_tiers_of_documents(spark, sf):
     found = {r.doc_id: (r.career_md5, r.career_confidence) for r in QUERIES["M4_match_career_tiers"](spark, sf).collect()}
     assert found == {d: (None if i is None else hashlib.md5(i.encode()).hexdigest(), c) for d, (i, c, _) in want.items()}
     assert {t for _, _, t in want.values()} == {"exact", "contained", "fuzzy", "none"}
+
+
+@pytest.mark.parametrize("sent", [0, 40, 5_000_000])
+def test_titles_and_aliases_that_hold_one_another(spark, monkeypatch, sent):
+    """Whether aliases are sent to the titles or meet them by words, in the plainest case and where marks rule out pairs."""
+    monkeypatch.setattr(M, "SENT_CHARS", sent)
+    rng = random.Random(5)
+    words = ["ant", "bee", "cat", "dog", "eel", "fox", "gnu", "hen"]
+    some = lambda n, most: sorted({" ".join(rng.sample(words, rng.randint(1, most))) for _ in range(n)})
+    aliases, titles = some(25, 3), [*some(60, 6), "zebra", "ant zebra"]
+    dim = spark.createDataFrame([(a, a, a, k, 0) for k, a in enumerate(aliases)], "id string, name string, alias string, entity_ord int, alias_ord int")
+    got = {r.title: (r.id, r.score) for r in M.match_fuzzy(spark.createDataFrame([(t,) for t in titles], "title string"), dim, 1.0).collect()}
+    want = {}
+    for t in titles:
+        held = [(-len(a), k, a) for k, a in enumerate(aliases) if set(a.split()) <= set(t.split()) or set(t.split()) <= set(a.split())]
+        if held:
+            want[t] = (min(held)[2], 1.0)
+    assert got == want and 0 < len(want) < len(titles)
+
+
+def test_a_title_keeps_one_alias_and_pairs_of_short_ones_are_not_shuffled(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(M, "kept", lambda df, name, keep=M.kept: made.append((name, keep(df, name))) or made[-1][1])
+    titles = spark.range(200).selectExpr("'ant bee cat ' || hex(id) as title")
+    dim = spark.createDataFrame([(a, a, a, k, 0) for k, a in enumerate(["ant", "bee", "cat", "ant bee"])], "id string, name string, alias string, entity_ord int, alias_ord int")
+    assert {(r.id, r.score) for r in M.match_fuzzy(titles, dim).collect()} == {("ant bee", 1.0)}
+    asked, aliases, counts = (dict(made)[n] for n in ("titles", "ranked", "words"))
+    plan = M._held(aliases, "rank", asked, "id", counts, lambda df: df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_whole_texts_do_not_meet_the_labels(spark, sf, monkeypatch):
+    from marketloom.plans.registry import QUERIES
+
+    seen = []
+    monkeypatch.setattr(M, "match_career", lambda df, c, dim, markup: seen.extend([df, dim]) or df.selectExpr("doc_id", "cast(null as string) as career_id", "0D as career_confidence"))
+    QUERIES["M4_match_career_tiers"](spark, sf)
+    for df in seen:
+        assert not any("documents.parquet" in f for f in df.inputFiles())
