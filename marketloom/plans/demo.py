@@ -77,3 +77,8 @@ class Roles:
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.sql(role_sql(name))
+
+    def skills_of(self, jobs: DataFrame) -> DataFrame:
+        """The skills of postings that are there already."""
+        jobs.createOrReplaceTempView("jobs")
+        return self.sql(ROLES["skills"].replace("{jobs}", "select * from jobs"))

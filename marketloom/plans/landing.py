@@ -48,15 +48,15 @@ def _(r: Roles) -> DataFrame:
 def _warehouse(r: Roles) -> Warehouse:
     """Three versions: all postings; then two publishers that both start from the first, of which one has to start again."""
     house = Warehouse(r.spark, work_dir(r.spark, "warehouse"))
-    house.publish({"jobs_clean": r["jobs"], "job_skills": r["skills"]}, 0)
-    # later versions are made from what the first one holds, not worked out from the source tables again
-    jobs, skills = house.table("jobs_clean", 1), house.table("job_skills", 1)
-    active = {"jobs_clean": jobs.filter("is_active"), "job_skills": skills}
-    house.publish(active, 1, filled=["jobs_clean"])
+    # skills are made from the postings as written, later versions from what the first one holds: the source tables are joined
+    # once; the skills are the same in all versions
+    house.publish({"jobs_clean": r["jobs"], "job_skills": lambda written: r.skills_of(written["jobs_clean"])}, 0)
+    jobs = house.table("jobs_clean", 1)
+    house.publish({"jobs_clean": jobs.filter("is_active")}, 1, filled=["jobs_clean"], same=["job_skills"])
     try:
         house.publish({"jobs_clean": jobs.limit(0)}, 1)
     except Conflict:
-        house.update(lambda latest: {"jobs_clean": house.table("jobs_clean", latest).filter("province is not null"), "job_skills": house.table("job_skills", 1)})
+        house.update(lambda latest: {"jobs_clean": house.table("jobs_clean", latest).filter("province is not null")}, same=["job_skills"])
     return house
 
 
@@ -86,7 +86,7 @@ def _(r: Roles) -> DataFrame:
 def _(r: Roles) -> DataFrame:
     """Neither an empty snapshot nor one that starts from an old version takes the latest one's place."""
     house, refused = _warehouse(r), 0
-    nothing = r["jobs"].filter("salary_mid_vnd < 0")
+    nothing = house.table("jobs_clean", 1).filter("salary_mid_vnd < 0")
     for based_on, error in ((house.latest(), EmptySnapshot), (1, Conflict)):
         try:
             house.publish({"jobs_clean": nothing}, based_on, filled=["jobs_clean"])

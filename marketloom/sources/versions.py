@@ -3,7 +3,8 @@
 A version's tables and its manifest are written to a folder of their own. The commit is one small file,
 ``versions/<number>``, which names that folder and is made only if it is not there: of two publishers that started from
 the same version one makes it, and the other meets a ``Conflict`` and starts again from what is there now. Versions stay,
-so that older ones can be read. A commit file without its last line (of a publisher that died) counts for nothing.
+so that older ones can be read, and a table that a version has from the one before lies in that one's folder only: the manifest
+names the folder of each table. A commit file without its last line (of a publisher that died) counts for nothing.
 
 ``FileSystem.create`` without overwriting has to be atomic, as it is on HDFS.
 """
@@ -24,6 +25,10 @@ DONE = "done"
 GRACE = 60
 
 
+#: A table, or what makes it from the tables written before it.
+Table = DataFrame | Callable[[dict[str, DataFrame]], DataFrame]
+
+
 class Conflict(RuntimeError):
     """Another publisher has made a version since."""
 
@@ -91,40 +96,61 @@ class Warehouse:
         return f"{self.root}/data/{whole[number]}"
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """``dataset, row_count, snapshot_versions, version, published_at`` of a version, the latest if none is given."""
+        """``dataset, row_count, snapshot_versions, folder, version, published_at`` of a version, the latest if none is given."""
         return self.spark.read.parquet(f"{self._folder(version)}/manifest")
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """A table of a version, the latest if none is given; unknown names raise."""
-        folder = self._folder(version)
-        if not self._fs.exists(self._path(f"{folder}/tables/{name}")):
-            raise ValueError(f"unknown table: {name}")
-        return self.spark.read.parquet(f"{folder}/tables/{name}")
-
-    def publish(self, tables: dict[str, DataFrame], based_on: int, filled: Sequence[str] = (), version_col: str = "snapshot_version") -> int:
+        path = f"{self._folder(version)}/tables/{name}"
+        if not self._fs.exists(self._path(path)):
+            manifest = self.manifest(version)
+            found = manifest.filter(F.col("dataset") == name).select("folder").first() if "folder" in manifest.columns else None
+            if found is None:
+                raise ValueError(f"unknown table: {name}")
+            path = f"{self.root}/data/{found['folder']}/tables/{name}"
+        return self.spark.read.parquet(path)
+
+    def publish(self, tables: dict[str, Table], based_on: int, filled: Sequence[str] = (), version_col: str = "snapshot_version", same: Sequence[str] = ()) -> int:
         """Write all tables and commit them as the version after ``based_on``; its number.
 
         ``Conflict`` if there is a later version by then, ``EmptySnapshot`` if a table named in ``filled`` has no rows; the
-        latest version stays as it is in both cases. Tables may be made from those of earlier versions.
+        latest version stays as it is in both cases. Tables may be made from those of earlier versions, or by a function of those
+        that come before in ``tables``, as they were written. Tables named in ``same`` are those of ``based_on``, not written
+        again.
         """
         folder = uuid.uuid4().hex
         number = self._next(based_on)
-        manifest = None
-        for name, df in tables.items():
+        manifest = self._taken(same, based_on, filled).withColumns({"version": F.lit(number), "published_at": F.current_timestamp()}) if same else None
+        done: dict[str, DataFrame] = {}
+        for name, made in tables.items():
+            df = made(done) if callable(made) else made
             path = f"{self.root}/data/{folder}/tables/{name}"
-            df.write.parquet(path)
-            written = self.spark.read.schema(df.schema).parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
+            done[name] = written = self.spark.read.schema(df.schema).parquet(path)
             if name in filled and written.isEmpty():
                 self._fs.delete(self._path(f"{self.root}/data/{folder}"), True)
                 raise EmptySnapshot(f"{name} has no rows")
             versions = F.array_sort(F.collect_set(version_col)) if version_col in df.columns else F.array().cast("array<string>")
             row = written.agg(F.count("*").alias("row_count"), versions.alias("snapshot_versions"))
-            row = row.select(F.lit(name).alias("dataset"), "row_count", "snapshot_versions", F.lit(number).alias("version"), F.current_timestamp().alias("published_at"))
+            row = row.select(F.lit(name).alias("dataset"), "row_count", "snapshot_versions", F.lit(folder).alias("folder"), F.lit(number).alias("version"), F.current_timestamp().alias("published_at"))
             manifest = row if manifest is None else manifest.unionByName(row)
         manifest.coalesce(1).write.parquet(f"{self.root}/data/{folder}/manifest")
         self._claim(number, folder)
         return number
 
+    def _taken(self, names: Sequence[str], version: int, filled: Sequence[str]) -> DataFrame:
+        """The rows of a version's manifest for the tables ``names``, which have to be there."""
+        rows = self.manifest(version).filter(F.col("dataset").isin(list(names)))
+        if "folder" not in rows.columns:
+            rows = rows.withColumn("folder", F.lit(self._folder(version).rsplit("/", 1)[1]))
+        counts = {r["dataset"]: r["row_count"] for r in rows.collect()}
+        for name in names:
+            if name not in counts:
+                raise ValueError(f"unknown table: {name}")
+            if name in filled and not counts[name]:
+                raise EmptySnapshot(f"{name} has no rows")
+        return rows
+
     def _claim(self, number: int, folder: str) -> None:
         from py4j.protocol import Py4JJavaError
 
@@ -138,7 +164,7 @@ class Warehouse:
         out.write(f"{folder}\n{DONE}\n".encode())
         out.close()
 
-    def update(self, make: Callable[[int], dict[str, DataFrame]], attempts: int = 5, **options) -> int:
+    def update(self, make: Callable[[int], dict[str, Table]], attempts: int = 5, **options) -> int:
         """Publish what ``make(latest version)`` gives; after a conflict again, from what is the latest then."""
         for left in reversed(range(attempts)):
             based_on = self.latest()

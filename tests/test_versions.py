@@ -67,6 +67,35 @@ def test_a_publisher_that_dies_leaves_no_version(spark, tmp_path, monkeypatch):
     assert house.publish({"jobs": spark.range(4)}, 1) == 3 and house.table("jobs").count() == 4
 
 
+def test_a_table_that_stays_the_same_is_not_written_again(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path))
+    house.publish({"jobs": spark.range(6), "skills": lambda written: written["jobs"].selectExpr("id * 2 as skill")}, 0)
+    assert house.publish({"jobs": spark.range(4)}, 1, same=["skills"]) == 2
+    assert house.update(lambda latest: {"jobs": spark.range(2)}, same=["skills"], filled=["skills"]) == 3
+    for n, jobs in ((1, 6), (2, 4), (3, 2)):
+        assert house.table("jobs", n).count() == jobs and sorted(r.skill for r in house.table("skills", n).collect()) == [0, 2, 4, 6, 8, 10]
+        assert {(r.dataset, r.row_count, r.version) for r in house.manifest(n).collect()} == {("jobs", jobs, n), ("skills", 6, n)}
+    assert len(list(tmp_path.glob("data/*/tables/skills"))) == 1 and len(list(tmp_path.glob("data/*/tables/jobs"))) == 3
+    with pytest.raises(ValueError):
+        house.publish({"jobs": spark.range(1)}, 3, same=["unknown"])
+    assert house.publish({"jobs": spark.range(1), "skills": spark.range(0).toDF("skill")}, 3) == 4
+    with pytest.raises(EmptySnapshot):
+        house.publish({"jobs": spark.range(1)}, 4, same=["skills"], filled=["skills"])
+    assert house.latest() == 4 and house.table("skills").count() == 0 and house.table("skills", 3).count() == 6
+
+
+def test_published_skills_are_written_once(spark, sf, tmp_path, monkeypatch):
+    from marketloom.plans import landing
+    from marketloom.plans.demo import Roles
+
+    monkeypatch.setattr(landing, "work_dir", lambda spark, name: str(tmp_path / name))
+    roles = Roles(spark, sf)
+    house = landing._warehouse(roles)
+    assert len(list(tmp_path.glob("warehouse/data/*/tables/job_skills"))) == 1
+    wanted = sorted(map(tuple, roles["skills"].collect()), key=str)
+    assert all(sorted(map(tuple, house.table("job_skills", n).collect()), key=str) == wanted for n in (1, 2, 3))
+
+
 SIGHTED = "source_id string, source_job_id string, crawl long, seq long, content_hash string, collected_at timestamp"
 
 
